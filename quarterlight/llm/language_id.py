@@ -14,12 +14,12 @@ from pyspark.sql.types import StructType
 from quarterlight.llm.common import small, table
 
 #: Bound of what is learned for a language: so many documents, characters of each, and bytes of dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 60, 4000, 64 << 10
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 100, 4000, 192 << 10
 #: A text is compressed in blocks of about this many bytes, as its own words would else serve as dictionary.
 BLOCK_BYTES = 4096
-LEVEL = 1
+LEVEL = 7
 #: A text is rejected where the second-best size is less than this part above the best.
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.001
 UNKNOWN = "und"
 
 
@@ -44,7 +44,7 @@ def learn_dictionaries(docs: DataFrame) -> dict[str, bytes]:
     for row in rows:
         texts.setdefault(row["lang"], []).append(row["text"])
     # equal sizes, else a language with more text would win
-    joined = {lang: "\n".join(dict.fromkeys(found)).encode() for lang, found in texts.items()}
+    joined = {lang: "\n".join(dict.fromkeys(found)).lower().encode("utf-8", "surrogatepass") for lang, found in texts.items()}
     joined = {lang: found for lang, found in joined.items() if found.strip()}
     size = min([DICTIONARY_BYTES, *(len(x) for x in joined.values() if len(x) >= 2048)])
     return {lang: found[:size] for lang, found in sorted(joined.items())}
@@ -69,7 +69,7 @@ class Classifier:
         """Language, score and whether the text is rejected."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        sizes = self.sizes(text.encode("utf-8", "surrogatepass"))
+        sizes = self.sizes(text.lower().encode("utf-8", "surrogatepass"))
         best, *rest = sorted(sizes)
         second = rest[0] if rest else best
         score = 1 / sum(math.exp(-100 * (x - best) / second) for x in sizes)
