@@ -73,7 +73,7 @@ def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int
     max_chars; the one that is best goes in whatever its length, and the text is
     cut at max_chars.
     """
-    words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
+    words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
 
     def of_size(w: Column, n: int) -> Column:
         joined = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -82,27 +82,27 @@ def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int
     def grams(w: Column) -> Column:
         return F.concat(*[of_size(w, n) for n in range(1, most + 1)])
 
-    split = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("i", "sentence"))
-    split = split.withColumn("_w", words(F.col("sentence")))
-    n_sentences = docs.select("doc_id", F.size(sentences(F.col("text"))).alias("n_sentences"))
-    # only n-grams of the anchor add to the product, but all to a sentence's length
-    terms = split.select("doc_id", "i", F.explode(grams(F.col("_w"))).alias("g")).groupBy("doc_id", "i", "g").agg(F.count("*").alias("tf"))
-    spark = docs.sparkSession
-    asked = spark.createDataFrame([(anchor,)], "a string").select(F.explode(grams(words(F.col("a")))).alias("g")).groupBy("g").agg(F.count("*").alias("qtf"))
+    listed = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
+    n_sentences = listed.select("doc_id", F.size("_s").alias("n_sentences"))
+    split = listed.select("doc_id", F.size("_s").alias("n"), F.posexplode("_s").alias("i", "sentence"))
+    terms = split.select("doc_id", "n", "i", F.explode(grams(words(F.col("sentence")))).alias("g")).groupBy("doc_id", "g", "n", "i").agg(F.count("*").alias("tf"))
+    asked = docs.sparkSession.createDataFrame([(anchor,)], "a string").select(F.explode(grams(words(F.col("a")))).alias("g")).groupBy("g").agg(F.count("*").cast("double").alias("qtf"))
     asked = F.broadcast(asked)  # the anchor's n-grams
-    df = terms.groupBy("doc_id", "g").agg(F.count("*").alias("df")).join(asked, "g", "left").withColumn("df", F.col("df") + F.when(F.col("qtf").isNotNull(), 1).otherwise(0))
-    idf = lambda d: F.log((F.col("n_sentences") + 2) / (d + 1.0)) + 1  # noqa: E731  n sentences and the anchor
-    weighed = df.join(n_sentences, "doc_id").withColumn("idf", idf(F.col("df")))
-    # the anchor's own length: its n-grams with their idf in this document
-    seen = weighed.filter("qtf IS NOT NULL").groupBy("doc_id").agg(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2.0)).alias("_seen"), F.sum(F.pow(F.col("qtf"), 2)).alias("_qseen"))
-    everything = asked.agg(F.sum(F.pow(F.col("qtf").cast("double"), 2.0)).alias("_qall"))
-    alone = n_sentences.join(seen, "doc_id", "left").crossJoin(F.broadcast(everything)).select("doc_id", F.sqrt(F.coalesce("_seen", F.lit(0.0)) + (F.col("_qall") - F.coalesce("_qseen", F.lit(0.0))) * F.pow(idf(F.lit(1)), 2.0)).alias("qnorm"))
-    scored = (
-        terms.join(weighed.select("doc_id", "g", "idf", "qtf"), ["doc_id", "g"]).groupBy("doc_id", "i")
-        .agg(F.sum(F.col("tf") * F.col("qtf") * F.col("idf") * F.col("idf")).alias("dot"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2.0))).alias("norm"))
-        .join(alone, "doc_id").select("doc_id", "i", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 9).alias("score"))
+    idf = lambda d: F.log((F.col("n") + 2) / (d + 1.0)) + 1  # noqa: E731  n sentences and the anchor
+    # one shuffle by document and n-gram counts the sentences that have it
+    counted = terms.withColumn("c", F.count("*").over(Window.partitionBy("doc_id", "g"))).join(asked, "g", "left")
+    weighed = counted.withColumn("idf", idf(F.col("c") + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)))
+    sums = weighed.groupBy("doc_id", "n", "i").agg(
+        F.sum(F.col("tf") * F.col("qtf") * F.pow("idf", F.lit(2.0))).alias("dot"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"),
+        # the anchor's own n-grams: each of the c rows of one brings a part
+        F.sum(F.pow(F.col("qtf") * F.col("idf"), F.lit(2.0)) / F.col("c")).alias("seen"), F.sum(F.pow("qtf", F.lit(2.0)) / F.col("c")).alias("qseen"),
     )
-    ranked = split.select("doc_id", "i", "sentence").join(scored, ["doc_id", "i"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    everything = asked.agg(F.sum(F.pow("qtf", F.lit(2.0))).alias("qall"))
+    of_doc = Window.partitionBy("doc_id")
+    total = lambda c: F.coalesce(F.sum(c).over(of_doc), F.lit(0.0))
+    qnorm = F.sqrt(total("seen") + (F.col("qall") - total("qseen")) * F.pow(idf(F.lit(1)), F.lit(2.0)))
+    scored = sums.crossJoin(F.broadcast(everything)).select("doc_id", "i", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * qnorm), F.lit(0.0)), 9).alias("score"))
+    ranked = split.join(scored, ["doc_id", "i"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "i"))).filter(F.col("r") <= k)
     items = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "i", "sentence"))).alias("items"))
     empty = F.expr("named_struct('chars', 0, 'kept', cast(array() as array<struct<i:int,sentence:string>>))")

@@ -176,10 +176,10 @@ STOP = ["the", "of", "and", "to", "in", "is", "a"]
 
 @query("tfidf_context_select", r"""WITH RECURSIVE se AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS ss FROM documents),
 sp AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS i, len(ss) AS n FROM se),
-wd AS (SELECT doc_id, i, n, sentence, list_filter(regexp_extract_all(sentence, '\b\w\w+\b'), lambda w: w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a')) AS w FROM sp),
+wd AS (SELECT doc_id, i, n, sentence, list_filter(regexp_extract_all(sentence, '[\p{L}\p{N}_]{2,}'), lambda w: w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a')) AS w FROM sp),
 gr AS (SELECT doc_id, i, n, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])), list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]))) AS g FROM wd),
 tm AS (SELECT doc_id, i, n, g, count(*) AS tf FROM gr GROUP BY 1, 2, 3, 4),
-qw AS (SELECT list_filter(regexp_extract_all('the inflation of this er and with erth onst; price stability that on in', '\b\w\w+\b'), lambda w: w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a')) AS w),
+qw AS (SELECT list_filter(regexp_extract_all('the inflation of this er and with erth onst; price stability that on in', '[\p{L}\p{N}_]{2,}'), lambda w: w NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'a')) AS w),
 qg AS (SELECT g, count(*) AS qtf FROM (SELECT unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])), list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]))) AS g FROM qw) GROUP BY 1),
 df AS (SELECT doc_id, n, tm.g, qtf, ln((n + 2) / (count(*) + (qtf IS NOT NULL)::INTEGER + 1.0)::DOUBLE) + 1 AS idf FROM tm LEFT JOIN qg ON tm.g = qg.g GROUP BY doc_id, n, tm.g, qtf),
 qn AS (SELECT se.doc_id, sqrt(sum(pow(qg.qtf * coalesce(df.idf, ln((len(ss) + 2) / 2.0::DOUBLE) + 1), 2))) AS qnorm FROM se CROSS JOIN qg LEFT JOIN df ON df.doc_id = se.doc_id AND df.g = qg.g GROUP BY 1),
