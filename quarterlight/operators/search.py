@@ -85,7 +85,9 @@ def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int
     listed = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
     n_sentences = listed.select("doc_id", F.size("_s").alias("n_sentences"))
     split = listed.select("doc_id", F.size("_s").alias("n"), F.posexplode("_s").alias("i", "sentence"))
-    terms = split.select("doc_id", "n", "i", F.explode(grams(words(F.col("sentence")))).alias("g")).groupBy("doc_id", "g", "n", "i").agg(F.count("*").alias("tf"))
+    # words are a column of their own, or each n-gram would split the sentence again
+    listed_words = split.select("doc_id", "n", "i", words(F.col("sentence")).alias("w"))
+    terms = listed_words.select("doc_id", "n", "i", F.explode(grams(F.col("w"))).alias("g")).groupBy("doc_id", "g", "n", "i").agg(F.count("*").alias("tf"))
     asked = docs.sparkSession.createDataFrame([(anchor,)], "a string").select(F.explode(grams(words(F.col("a")))).alias("g")).groupBy("g").agg(F.count("*").cast("double").alias("qtf"))
     asked = F.broadcast(asked)  # the anchor's n-grams
     idf = lambda d: F.log((F.col("n") + 2) / (d + 1.0)) + 1  # noqa: E731  n sentences and the anchor

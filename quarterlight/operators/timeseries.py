@@ -138,3 +138,10 @@ def lagged_feature_join(labels: DataFrame, features: DataFrame, columns: Sequenc
     nxt = quarter_name(F.add_months(F.col("quarter_end"), 3))
     moved = features.select(entity, nxt.alias("quarter"), *columns)
     return labels.join(moved, [entity, "quarter"]).dropna(subset=list(columns))
+
+
+def expanding_sums(df: DataFrame, entity: str, order: str, sums: Mapping[str, Column]) -> DataFrame:
+    """Sums over all earlier rows of the entity, for each row that has some: what a fit on the past needs, without joining it."""
+    past = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("n", F.count("*").over(past)).withColumns({k: F.sum(c).over(past) for k, c in sums.items()})
+    return out.filter("n > 0").select(entity, order, "n", *sums)
