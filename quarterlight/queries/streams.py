@@ -1 +1,151 @@
-"""To come."""
+"""Streaming jobs over the events and documents, run on all that is there; results equal those of a batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarterlight.functions.text import text_hash
+from quarterlight.queries.registry import query, table
+from quarterlight.scratch import scratch_path
+from quarterlight.streaming import events as stream
+
+SECONDS = "yyyy-MM-dd HH:mm:ss"
+
+
+def raw_events(spark, sf_dir):
+    """Event JSON with missing ids and times, each event once."""
+    k = F.col("event_id") % 4
+    at = F.date_format("ts", SECONDS)
+    payload = F.when(k == 3, F.lit("not json")).otherwise(F.to_json(F.struct(F.when(k == 0, F.col("value")).alias("energy_risk"), F.when(F.col("event_id") % 8 == 1, F.struct(F.col("user_id").alias("geo"), F.lit(7).alias("max_rounds"))).alias("counterfactual"))))
+    return table(spark, sf_dir, "events").select(
+        F.when(k != 1, F.col("event_id").cast("string")).alias("event_id"), F.when(k == 1, F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_type") == "error", "energy_shock").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(k != 2, at).alias("as_of"), F.when(k == 2, at).alias("timestamp"), F.lit(None).cast("string").alias("created_at"), F.array(F.col("user_id").cast("string")).alias("source_ids"), payload.alias("payload"),
+    )
+
+
+def watched(spark, sf_dir, copies: int = 1):
+    """A folder of JSON event files, and the stream of it."""
+    path = scratch_path(spark, "watched")
+    rows = raw_events(spark, sf_dir)
+    for _ in range(copies):
+        rows.write.mode("append").json(path)
+    return stream.file_source(spark, path)
+
+
+def collected(spark, df, sink=None, mode="append"):
+    out, check = scratch_path(spark, "archive"), scratch_path(spark, "checkpoint")
+    stream.run_available(df, sink(out) if sink else stream.archive(out), check, mode)
+    return spark.read.parquet(out)
+
+
+TS = "date_trunc('second', ts)"
+
+
+@query("event_normalize", f"SELECT event_id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS as_of, user_id::VARCHAR AS source, event_id % 4 = 3 AS wrapped FROM events")
+def _(spark, sf_dir):
+    out = stream.normalize(raw_events(spark, sf_dir))
+    return out.select("event_id", F.date_format("as_of", SECONDS).alias("as_of"), F.col("source_ids")[0].alias("source"), (F.get_json_object("payload", "$.raw") == "not json").alias("w")).select("event_id", "as_of", "source", F.coalesce("w", F.lit(False)).alias("wrapped"))
+
+
+@query("event_to_quarter", "SELECT event_id::VARCHAR AS event_id, year(ts)::VARCHAR || 'Q' || quarter(ts)::VARCHAR AS quarter FROM events")
+def _(spark, sf_dir):
+    return stream.normalize(raw_events(spark, sf_dir)).select("event_id", stream.active_quarter(F.col("as_of")).alias("quarter"))
+
+
+@query("counterfactual_request", """SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 8 = 1 THEN 7 ELSE 3 END::INTEGER AS max_rounds, ((event_id % 4 = 0)::INTEGER + (event_id % 8 = 1)::INTEGER)::INTEGER AS n FROM events WHERE (event_type = 'error' OR event_id % 8 = 1) AND (event_id % 4 = 0 OR event_id % 8 = 1)""")
+def _(spark, sf_dir):
+    out = stream.counterfactual_requests(stream.normalize(raw_events(spark, sf_dir)), ["energy_risk", "geo"])
+    return out.select("event_id", "max_rounds", F.size("overrides").alias("n"))
+
+
+@query("event_dedup_ack", "SELECT event_id::VARCHAR AS event_id, event_type FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'energy_shock' ELSE event_type END AS event_type FROM events)")
+def _(spark, sf_dir):
+    events = stream.deduplicated(stream.normalize(watched(spark, sf_dir, copies=2)), "60 days")
+    return collected(spark, events.select("event_id", "event_type", "as_of")).select("event_id", "event_type")
+
+
+@query("file_event_source", "SELECT event_type, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'energy_shock' ELSE event_type END AS event_type FROM events) GROUP BY 1")
+def _(spark, sf_dir):
+    return collected(spark, stream.normalize(watched(spark, sf_dir))).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("kafka_event_source", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'error' THEN 'energy_shock' ELSE event_type END AS event_type FROM events")
+def _(spark, sf_dir):
+    sent = stream.kafka_encode(stream.normalize(raw_events(spark, sf_dir)).withColumn("as_of", F.col("as_of").cast("string")))
+    return stream.kafka_decode(sent.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))).select("event_id", "event_type")
+
+
+@query("prediction_archive", "SELECT event_id::VARCHAR AS event_id, 0::INTEGER AS batch FROM events")
+def _(spark, sf_dir):
+    return collected(spark, stream.normalize(watched(spark, sf_dir))).select("event_id", "batch")
+
+
+@query("run_counter", "SELECT count(*)::BIGINT AS runs, count(*)::BIGINT AS names FROM events")
+def _(spark, sf_dir):
+    return collected(spark, stream.normalize(watched(spark, sf_dir))).agg(F.count("*").alias("runs"), F.countDistinct("run").alias("names"))
+
+
+@query("watcher_trigger", "SELECT 1::BIGINT AS batches, count(*)::BIGINT AS events FROM events")
+def _(spark, sf_dir):
+    out, check = scratch_path(spark, "archive"), scratch_path(spark, "checkpoint")
+    events = stream.normalize(watched(spark, sf_dir))
+    for _ in range(2):  # the second run finds nothing new
+        stream.run_available(events, stream.archive(out), check)
+    return spark.read.parquet(out).agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("events"))
+
+
+PRED = """p AS (SELECT event_id, user_id AS entity, date_trunc('second', ts) AS as_of, CASE WHEN event_id % 3 = 0 THEN (event_id % 7) / 10.0 END AS hike FROM events),
+c AS (SELECT event_id, entity, coalesce(last_value(hike IGNORE NULLS) OVER (PARTITION BY entity ORDER BY as_of, event_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.2)::DOUBLE AS hike, hike IS NULL AS carried FROM p)"""
+
+
+@query("rolling_prediction", f"WITH {PRED} SELECT entity, event_id::VARCHAR AS event_id, round(hike, 6) AS hike, carried FROM c")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "watched")
+    k = F.col("event_id") % 3
+    hike = F.when(k == 0, (F.col("event_id") % 7) / 10.0)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", SECONDS).alias("as_of"), hike.alias("hike"), F.when(k == 0, 0.5).alias("hold"), F.when(k == 0, 0.1).alias("cut"))
+    rows.write.parquet(path)
+    events = spark.readStream.schema(rows.schema).parquet(path).withColumn("as_of", F.to_timestamp("as_of"))
+    return collected(spark, stream.rolling_predictions(events)).select("entity", "event_id", F.round("hike", 6).alias("hike"), "carried")
+
+
+@query("carry_forward_prediction", f"WITH {PRED} SELECT entity, event_id, round(hike, 6) AS hike FROM c")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    past = Window.partitionBy("entity").orderBy("as_of", F.col("event_id").cast("string")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("entity"), F.date_trunc("second", "ts").alias("as_of"), F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 7) / 10.0).alias("own"))
+    return rows.select("entity", "event_id", F.round(F.coalesce(F.last("own", ignorenulls=True).over(past), F.lit(stream.PRIOR[0])), 6).alias("hike"))
+
+
+@query("evidence_rules_stream", """SELECT event_id::VARCHAR AS event_id, CASE WHEN l = '' THEN 'no rule applies' ELSE l END AS evidence FROM (SELECT event_id, concat_ws('; ', CASE WHEN value / 50 - 1 > 0.5 THEN 'above long-run equilibrium' WHEN value / 50 - 1 < -0.5 THEN 'below long-run equilibrium' END, CASE WHEN (event_id % 10) / 10.0 > 0.5 THEN 'hawkish text' END, CASE WHEN (user_id % 5) / 10.0 > 0.3 THEN 'energy risk' END) AS l FROM events)""")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "watched")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("as_of"), (F.col("value") / 50 - 1).alias("ect"), ((F.col("event_id") % 10) / 10.0).alias("hawkish"), ((F.col("user_id") % 5) / 10.0).alias("energy"))
+    rows.write.parquet(path)
+    events = spark.readStream.schema(rows.schema).parquet(path).withColumn("evidence", stream.evidence(F.col("ect"), F.col("hawkish"), F.col("energy")))
+    return collected(spark, events).select("event_id", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("document_incremental_dedup", r"SELECT sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS hash FROM documents GROUP BY 1")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "arriving")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_hash(F.col("text")).alias("hash"))
+    for part in range(2):  # two arrivals that share texts
+        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return collected(spark, arriving, lambda out: stream.incremental_documents(out, "hash", "doc_id")).select("hash")
+
+
+@query("daily_event_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "watched")
+    rows = table(spark, sf_dir, "events").select("ts", "event_type")
+    rows.write.parquet(path)
+    events = spark.readStream.schema(rows.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    counts = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    out, check = scratch_path(spark, "archive"), scratch_path(spark, "checkpoint")
+    stream.run_available(counts, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), check, "complete")
+    newest = spark.read.parquet(out)
+    last = newest.agg(F.max("batch")).first()[0]
+    return newest.filter(F.col("batch") == last).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
