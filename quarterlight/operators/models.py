@@ -146,7 +146,7 @@ def choose_order(df: DataFrame, columns: Sequence[str], most: int, entity: str,
         parts = sums if parts is None else parts.unionByName(sums)
     k = len(columns)
 
-    def criterion(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def criterion(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         scores = [(np.linalg.slogdet(np.array(xx).reshape(k, k) / n + 1e-12 * np.eye(k))[1] + 2 * k * (k * p + 1) / n, p) for n, xx, p in zip(pdf["n"], pdf["xx"], pdf["p"])]
         return pd.DataFrame({entity: [key[0]], "p": [min(scores)[1]]})
 
