@@ -41,3 +41,9 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     """df with a broadcast hint if it has at most limit rows, else as it is. df must be cheap to count."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def shielded(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names renamed out of the way, and the names that bring them back (for withColumnsRenamed)."""
+    back = {f"__kept_{c}": c for c in df.columns if c in names}
+    return df.withColumnsRenamed({v: k for k, v in back.items()}), back

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quarterlight.llm.common import table
+from quarterlight.llm.common import shielded, table
 from quarterlight.llm.words import alnum_words
 
 #: Words of a window and of a k-gram.
@@ -203,14 +204,13 @@ def _one_pass(docs: DataFrame, items) -> DataFrame:
             more = [pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(which, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_words", "spans", "items"])
 
-    from pyspark.sql.types import StructType
-
     return docs.mapInArrow(scan, StructType(docs.schema.fields + StructType.fromDDL(FOUND).fields))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs; columns as in docs."""
-    return find_benchmark(docs, benchmark).filter(F.size("spans") == 0).select(*docs.columns)
+    plain, back = shielded(docs, ["n_words", "spans", "items"])
+    return find_benchmark(plain, benchmark).filter(F.size("spans") == 0).select(*plain.columns).withColumnsRenamed(back)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,10 @@ LABELLED = (
     f"<div><ul>{_MENU}</ul></div><div><p>{_LONG} {_LONG}</p><p>keep a few words here</p><p>{_LONG}</p></div><div><a href=/a>drop more</a> <a href=/b>drop stories</a></div><div>drop legal</div>",
     f"<article><div class=ad>drop an advert within</div><p>{_LONG}<div class=notice>drop we use cookies on this site to give you more of them and you may agree to it</div><p>keep after it<ul><li>keep one<li>keep two</ul><p><a href=/z>keep all of it is a link</a></article><div class=cookie>drop accept</div>",
     f"<nav><a href=/>drop home</a></nav><article><h1>keep</h1><p>keep word</article><footer>drop</footer><footer><p>{_LONG.replace('keep', 'drop')}</footer>",
+    "<article>keep only words", f"<article><p>{_LONG}", f"<p>{_LONG} {_LONG}", "<main><p>keep <a href=/m>more of it</a></main>", "<article><h1>keep a title</h1></article>",
+    f"<article><h1>keep</h1><p>keep it</p></article><article><p>keep that<p>{_LONG}</article>",
+    f"<nav><ul>{_MENU}</ul></nav><article><p>keep alone</article>", f"<nav><ul>{_MENU}</ul></nav><article><p>{_LONG}</article>", f"<nav><ul>{_MENU}</ul></nav><article><h1>keep</h1><p><a href=/n>keep a link</a><p>keep last</article>",
+    f"<nav><ul>{_MENU}</ul></nav><article><p><a href=/n>keep a link of some words</a></article><div class=ad>drop buy</div>", f"<article><p>{_LONG}<p><a href=/n>keep it</a><p>keep the last one</article>",
     f"<div class=header>drop top line of it</div><article><h2>keep second</h2><p>keep tiny<p>keep tiny too</article><div class=related><a href=/r>drop read this</a><p>{_LONG.replace('keep', 'drop')}</div>",
 )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarterlight.llm.common import small, table
+from quarterlight.llm.common import shielded, small, table
 
 #: Bound of what is learned for a language: so many documents, characters of each, and bytes of dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 100, 4000, 192 << 10
@@ -106,7 +106,9 @@ def held_out(key: Column) -> Column:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language isn't rejected, learned from those that aren't held out; columns as in docs."""
     learned = learn_dictionaries(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
-    return identify_languages(docs, learned).filter("NOT rejected").select(*docs.columns)
+    plain, back = shielded(docs, ["lang_pred", "score", "rejected"])
+    kept = identify_languages(plain, learned).filter("NOT rejected").select(*plain.columns)
+    return kept.withColumnsRenamed(back)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,8 +124,9 @@ def with_copies(df: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns as in docs."""
     _, cuts = mix_plan(docs, weights, share, most)
-    kept = with_copies(docs.withColumn("_h", _hash(F.col("doc_id"))), cuts).filter("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "source", _hash(F.col("doc_id")).alias("_h"))
+    kept = with_copies(rows, cuts).filter("_copies > 0")
+    return kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

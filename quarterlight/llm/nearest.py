@@ -209,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
     chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk")
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    def visit(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(left) or not len(right):
             return empty
