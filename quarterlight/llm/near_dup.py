@@ -12,8 +12,10 @@ time and a block stops once it is later than every component's present minimum.
 
 Signatures are cut into bands. Exact copies are one class from the start, and
 band groups don't expand into pairs: each member meets its group's first, links
-are checked on the whole bags, and what then still is in different classes of
-one group meets there, class by class.
+are checked on the whole bags, and of groups that then still hold different
+classes, members are compared inside tasks, in blocks of bounded size: a pair
+in the first band that it shares, if its classes differ, its signatures come
+near and no link found there has joined it yet. Tasks return links only.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS components: at similarity 0.8 one of BANDS agrees with probability 0.99995.
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Pairs of different classes in one band group are all compared once they are at most this many for a document, or after so many leaders.
-PAIRS_A_ROW, LEADERS = 4, 8
+#: Members of a band group that meet in one task at most, twice (a block and a block).
+BLOCK = 512
+#: A pair whose signatures agree less is not checked on the bags: four standard errors below SIMILARITY.
+LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5
 
 _U = np.uint64
 
@@ -120,15 +124,23 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bands(docs: DataFrame, lot_chars: int = 4_000_000) -> DataFrame:
-    """(id, keys) of docs (id, text): the keys of the signature's bands, none for a text without words."""
+def short(signature: np.ndarray) -> np.ndarray:
+    """Components as 32-bit integers, to be compared."""
+    return (_mix(signature.view(np.uint64)) >> _U(32)).astype(np.uint32)
+
+
+SIGNED = "id long, n long, keys array<long>, signature binary"
+
+
+def bands(docs: DataFrame, lot_chars: int = 1_500_000) -> DataFrame:
+    """(id, n, keys, signature) of docs (id, text): number of shingles, keys of the bands (none for a text without words), short signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             ids, lot, size = [], [], 0
             for i, text in zip(batch.column(0), batch.column(1)):
-                ids.append(i)
+                ids.append(i.as_py())
                 lot.append(bag(text.as_py(), hashes))
                 size += len(lot[-1][0])
                 if size > lot_chars // 6:
@@ -137,13 +149,117 @@ def bands(docs: DataFrame, lot_chars: int = 4_000_000) -> DataFrame:
             yield packed(ids, lot)
 
     def packed(ids: list, lot: list) -> pa.RecordBatch:
-        keys = band_keys(signatures(lot)) if lot else np.empty((0, BANDS), np.int64)
-        n = [BANDS if len(x[0]) else 0 for x in lot]
-        flat = keys[np.array(n, bool)].reshape(-1)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], pa.int64()), lists], names=["id", "keys"])
+        times = signatures(lot)
+        some = np.array([len(x[0]) > 0 for x in lot], bool)
+        flat = band_keys(times)[some].reshape(-1) if lot else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(BANDS * some)]), pa.int32()), pa.array(flat, pa.int64()))
+        n = pa.array([int(x[1].sum()) for x in lot], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), n, lists, pa.array([x.tobytes() for x in short(times)], pa.binary())], names=["id", "n", "keys", "signature"])
+
+    return docs.select("id", "text").mapInArrow(sign, SIGNED)
+
+
+def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """f(group) -> frame, over the rows with equal keys: tasks read sorted rows and cut them at each new key, as most groups are tiny."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            values = held[keys].to_numpy()
+            edges = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *edges[:-1]], edges):
+                yield from f(held.iloc[start:end])
+            held = held.iloc[edges[-1] :] if len(edges) else held
+        if held is not None and len(held):
+            yield from f(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, schema)
+
+
+def _open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and agreement of the pairs of a block pair that are to be checked here."""
+    key, one, two = group[["key", "one", "two"]].iloc[0]
+    block, cls, n = group["block"].to_numpy(), group["class"].to_numpy(), group["n"].to_numpy()
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    keys = np.stack(group["keys"].to_numpy())
+    sigs = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), -1)
+    band = int(np.argmax(keys[0] == key))
+    found = []
+    for a in left:
+        to = right[right > a] if one == two else right
+        to = to[(cls[to] != cls[a]) & (np.minimum(n[to], n[a]) >= SIMILARITY * np.maximum(n[to], n[a]))]
+        if len(to):
+            to = to[~(keys[to, :band] == keys[a, :band]).any(axis=1)]
+        if len(to):
+            agree = (sigs[to] == sigs[a]).mean(axis=1)
+            near = agree >= LEAST_AGREEMENT
+            if near.any():
+                found.append((np.full(near.sum(), a), to[near], agree[near]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _candidates(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a block pair that have a pair to be checked."""
+    if len(group) > 1:
+        a, b, _ = _open_pairs(group)
+        if len(a):
+            yield group.iloc[np.unique(np.concatenate([a, b]))]
+
+
+def _links(group: pd.DataFrame, similarity: float, hashes: WordHash) -> Iterator[pd.DataFrame]:
+    """Links of a block pair that join two classes, nearest signatures first."""
+    a, b, agree = _open_pairs(group)
+    ids, cls, texts = group["id"].to_numpy(), group["class"].to_numpy(), group["text"].to_numpy()
+    parent: dict[int, int] = {}
+    bags: dict[int, tuple] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    def own(i: int) -> tuple:
+        if i not in bags:
+            bags[i] = bag(texts[i], hashes)
+        return bags[i]
+
+    out = []
+    for k in np.argsort(-agree, kind="stable"):
+        i, j = a[k], b[k]
+        x, y = root(cls[i]), root(cls[j])
+        if x != y and weighted_jaccard(own(i), own(j)) >= similarity:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    if out:
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def links_inside(members: DataFrame, signed: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different classes of one band group, enough to join all that are linked.
+
+    members: key, id. found: (id, class) so far. A group of more
+    than BLOCK members is dealt into blocks by hash and each two blocks meet in
+    a task of their own.
+    """
+    labelled = members.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count("*").alias("_m")).filter("_x <> _y").select("key", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
+    dealt = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "_o").alias("one"), F.greatest("block", "_o").alias("two"), "block", "id", "class")
+    meeting = ["key", "one", "two"]
+    rows = dealt.join(signed, "id").select(*meeting, "block", "id", "class", "n", "keys", "signature")
+    schema = "key long, one int, two int, block int, id long, class long, n long, keys array<long>, signature binary"
+    near = save(_by_group(rows, meeting, _candidates, schema), "near")
+    ready = near.join(texts, "id").select(*near.columns, "text")
 
-    return docs.select("id", "text").mapInArrow(sign, "id long, keys array<long>")
+    hashes = WordHash()
+
+    def check(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return _links(group, similarity, hashes)
+
+    return _by_group(ready, meeting, check, "a long, b long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -208,47 +324,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first_ids = save(firsts, "firsts")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # texts stay where they are: copies are signed too, and the narrow rows of signatures meet the list of firsts
-    signed = bands(texts).join(first_ids.select(F.col("first").alias("id")), "id", "left_semi")
-    keys = save(signed.select("id", F.explode("keys").alias("key")), "bands")
-    groups = save(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
+    signed = save(bands(texts).join(first_ids.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "signed")
+    keys = signed.select("id", F.explode("keys").alias("key"))
+    groups = save(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
     members = save(keys.join(groups, "key"), "members")
-    stars = save(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     wanted = save(members.select("id").distinct(), "wanted")
-    texts = save(texts.join(small(wanted, wanted.count()), "id", "left_semi"), "texts")
-    links, done = save(linked(stars, texts, similarity), "links"), stars
-    found = classes(links)
-    n = texts.count()
-    seed = 0
-    while True:
-        # what is left: members of one band group in different classes
-        labelled = members.select("key", "id").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        mixed = labelled.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("key")
-        open_ = save(labelled.join(mixed, "key", "left_semi"), "open")
-        by_class = open_.groupBy("key", "class").agg(F.count("*").alias("n"))
-        sums = by_class.groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
-        total, groups_left = sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)), F.count("*")).first()
-        if not groups_left:
-            break
-        last = total <= PAIRS_A_ROW * n or seed >= LEADERS
-        if last:
-            sides = by_class.select("key", F.col("class").alias("ca")).join(by_class.select("key", F.col("class").alias("cb")), "key").filter("ca < cb")
-            at = open_.select("key", F.col("id").alias("a"), F.col("class").alias("ca"))
-            to = open_.select("key", F.col("id").alias("b"), F.col("class").alias("cb"))
-            pairs = sides.join(at, ["key", "ca"]).join(to, ["key", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            # one more leader for each class of a group meets the group's other classes
-            seed += 1
-            leaders = open_.groupBy("key", "class").agg(F.min_by("id", F.xxhash64("id", F.lit(seed))).alias("a"), F.count("*").alias("n"))
-            leader = leaders.groupBy("key").agg(F.max_by(F.struct("a", "class"), F.struct("n", F.xxhash64("a", F.lit(seed)))).alias("l"))
-            pairs = open_.join(leader, "key").filter("class <> l.class").select(F.least("id", "l.a").alias("a"), F.greatest("id", "l.a").alias("b"))
-        fresh = save(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        done = save(done.unionByName(fresh), "done")
-        more = save(linked(fresh, texts, similarity), "links")
-        if not more.isEmpty():
-            links = save(links.unionByName(more), "links")
-            found = classes(links)
-        if last:
-            break
+    texts = save(texts.join(small(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    links = save(linked(stars, texts, similarity), "links")
+    more = save(links_inside(members.select("key", "id"), signed, texts, classes(links), similarity), "links")
+    found = classes(links.unionByName(more))
     copy_class = first_ids.select("_copy", F.col("first").alias("id")).join(found, "id", "left").select("_copy", F.coalesce("class", "id").alias("class_id"))
     return rows.join(copy_class, "_copy").select("doc_id", "class_id")
 
