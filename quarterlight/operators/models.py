@@ -47,8 +47,22 @@ def balanced_logistic(train: DataFrame, features: Sequence[str], label: str, reg
 
 
 def with_probabilities(model: PipelineModel, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    p = vector_to_array("probability")
-    return model.transform(df).withColumns({n: p[i] for i, n in enumerate(names)})
+    """df with a probability column for each class and prediction, of a fitted balanced_logistic; rows with a null feature go.
+
+    The fitted numbers become column expressions, so scoring is part of the
+    query's own generated code.
+    """
+    assembler, scaler, logistic = model.stages
+    features = assembler.getInputCols()
+    mean, std, weights, bias = scaler.mean.toArray(), scaler.std.toArray(), logistic.coefficientMatrix.toArray(), logistic.interceptVector.toArray()
+    z = [(F.col(c) - float(m)) / float(s) if s > 0 else F.lit(0.0) for c, m, s in zip(features, mean, std)]
+    logits = [sum((x * float(w) for x, w in zip(z, row)), F.lit(float(b))) for row, b in zip(weights, bias)]
+    most = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    parts = [F.exp(x - most) for x in logits]
+    total = sum(parts[1:], parts[0])
+    out = df.dropna(subset=list(features)).withColumns({n: p / total for n, p in zip(names, parts)})
+    largest = F.greatest(*[F.col(n) for n in names[: len(parts)]]) if len(parts) > 1 else F.col(names[0])
+    return out.withColumn("prediction", F.coalesce(*[F.when(F.col(n) == largest, i) for i, n in enumerate(names[: len(parts)])]).cast("double"))
 
 
 def boosted_one_vs_rest(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, classes: Sequence[int], stages: int = 30, depth: int = 3, rate: float = 0.1, least: int = 5) -> list[tuple[int, int, PipelineModel]]:
@@ -185,7 +199,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     A row takes the value of the row that follows it in a seeded order of its
     bucket (one for every few thousand rows), so no window runs over all rows.
     """
-    p = lambda d: model.transform(d).withColumn("_p", vector_to_array("probability"))
+    names = [f"_p{i}" for i in range(model.stages[-1].numClasses)]
+    p = lambda d: with_probabilities(model, d, names).withColumn("_p", F.array(*names))
     buckets = max(1, df.count() // 4096)
     base = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
     w = Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed + 1)), key)

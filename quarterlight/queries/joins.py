@@ -30,10 +30,10 @@ def _(spark, sf_dir):
 
 @query("varx_inner_join", f"""WITH {QUARTERS}, r AS (SELECT entity, quarter_end, mean_value - lag(mean_value) OVER w AS resid FROM q WINDOW w AS (PARTITION BY entity ORDER BY quarter_end)),
 e AS (SELECT entity, quarter_end, lag(last_value) OVER (PARTITION BY entity ORDER BY quarter_end) AS ect FROM q)
-SELECT q.entity, q.quarter_end, round(resid, 2) AS resid, ect FROM q JOIN r ON q.entity = r.entity AND q.quarter_end = r.quarter_end JOIN e ON q.entity = e.entity AND q.quarter_end = e.quarter_end WHERE mean_value IS NOT NULL AND resid IS NOT NULL AND ect IS NOT NULL""")
+SELECT q.entity, q.quarter_end, round(resid, 4) AS resid, ect FROM q JOIN r ON q.entity = r.entity AND q.quarter_end = r.quarter_end JOIN e ON q.entity = e.entity AND q.quarter_end = e.quarter_end WHERE mean_value IS NOT NULL AND resid IS NOT NULL AND ect IS NOT NULL""")
 def _(spark, sf_dir):
     q = quarters(spark, sf_dir)
-    resid = q.select("entity", "quarter_end", F.round(ts.first_difference("mean_value"), 2).alias("resid"))
+    resid = q.select("entity", "quarter_end", F.round(ts.first_difference("mean_value"), 4).alias("resid"))
     ect = q.select("entity", "quarter_end", ts.lagged("last_value", 1).alias("ect"))
     keys = ["entity", "quarter_end"]
     return q.select(*keys, "mean_value").join(resid, keys).join(ect, keys).dropna().select(*keys, "resid", "ect")
@@ -58,9 +58,9 @@ def _(spark, sf_dir):
 
 @query("lagged_feature_join", f"""WITH {QUARTERS}, f AS (SELECT entity, quarter_end, mean_value, mean_value - lag(mean_value) OVER w AS diff FROM q WINDOW w AS (PARTITION BY entity ORDER BY quarter_end)),
 lb AS (SELECT o_orderpriority AS entity, last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS quarter_end, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)
-SELECT lb.entity, year(lb.quarter_end)::VARCHAR || 'Q' || quarter(lb.quarter_end)::VARCHAR AS quarter, n, f.mean_value, round(f.diff, 2) AS diff FROM lb JOIN f ON lb.entity = f.entity AND last_day(f.quarter_end + INTERVAL 3 MONTH) = lb.quarter_end WHERE f.mean_value IS NOT NULL AND diff IS NOT NULL""")
+SELECT lb.entity, year(lb.quarter_end)::VARCHAR || 'Q' || quarter(lb.quarter_end)::VARCHAR AS quarter, n, f.mean_value, round(f.diff, 4) AS diff FROM lb JOIN f ON lb.entity = f.entity AND last_day(f.quarter_end + INTERVAL 3 MONTH) = lb.quarter_end WHERE f.mean_value IS NOT NULL AND diff IS NOT NULL""")
 def _(spark, sf_dir):
-    features = quarters(spark, sf_dir).withColumn("diff", F.round(ts.first_difference("mean_value"), 2))
+    features = quarters(spark, sf_dir).withColumn("diff", F.round(ts.first_difference("mean_value"), 4))
     labels = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("entity"), quarter_name(F.col("o_orderdate").cast("date")).alias("quarter")).agg(F.count("*").alias("n"))
     return ts.lagged_feature_join(labels, features, ["mean_value", "diff"])
 

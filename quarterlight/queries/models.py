@@ -142,7 +142,9 @@ def _(spark, sf_dir):
     seq = ts.sequence_windows(rows, ["d", "d_n"], 4, "entity", "ts")
     flat = seq.select("entity", "ts", "y", *[F.flatten("sequence")[i].alias(f"x{i}") for i in range(8)])
     model = models.balanced_logistic(flat.filter("ts < DATE'2000-01-01'"), [f"x{i}" for i in range(8)], "y")
-    scored = models.with_probabilities(model, flat.filter("ts >= DATE'2000-01-01'"), ["p_hike_25bp", "p_hold", "p_cut_25bp"])
+    names = ["p_hike_25bp", "p_hold", "p_cut_25bp"]
+    scored = models.with_probabilities(model, flat.filter("ts >= DATE'2000-01-01'"), names)
+    scored = scored.withColumns({n: F.lit(0.0) for n in names if n not in scored.columns})
     actual = F.when(F.col("y") == 0, "hike_25bp").when(F.col("y") == 1, "hold").otherwise("cut_25bp")
     return metrics.forecast_metrics(scored.withColumn("actual_class", actual)).select("n", "accuracy", "brier_score", "log_loss")
 
@@ -154,6 +156,7 @@ def _(spark, sf_dir):
     both = paired(spark, sf_dir).withColumn("apart", F.abs(F.col("a1") - F.col("b1"))).withColumn("y", F.when(F.col("actual_class") == "hike_25bp", 0).when(F.col("actual_class") == "hold", 1).otherwise(2))
     x = ["a1", "a2", "a3", "b1", "b2", "b3", "apart"]
     model = models.balanced_logistic(both.filter("day <= DATE'2024-01-20'"), x, "y", reg=0.1)
-    late = model.transform(both.filter("day > DATE'2024-01-20'")).withColumn("p", vector_to_array("probability"))
-    p = [F.coalesce(F.try_element_at("p", F.lit(i + 1)), F.lit(0.0)) for i in range(3)]
+    names = ["q0", "q1", "q2"]
+    late = models.with_probabilities(model, both.filter("day > DATE'2024-01-20'"), names)
+    p = [F.col(n) if n in late.columns else F.lit(0.0) for n in names]
     return late.select("entity", "day", *[F.round(v, 5).alias(c) for v, c in zip(p, ("p_hike_25bp", "p_hold", "p_cut_25bp"))])

@@ -16,7 +16,7 @@ m AS (SELECT o_orderpriority AS entity, CAST(date_trunc('month', o_orderdate) AS
       FROM orders GROUP BY 1, 2)
 """
 QUARTERS = f"""{MONTHS},
-qf AS (SELECT entity, last_day(date_trunc('quarter', ts) + INTERVAL 2 MONTH) AS quarter_end, round(avg(value), 2) AS mean_value, arg_max(value, ts) AS last_value
+qf AS (SELECT entity, last_day(date_trunc('quarter', ts) + INTERVAL 2 MONTH) AS quarter_end, round(avg(value), 4) AS mean_value, arg_max(value, ts) AS last_value
        FROM m GROUP BY 1, 2),
 g AS (SELECT entity, unnest(generate_series(date_trunc('quarter', min(quarter_end)), date_trunc('quarter', max(quarter_end)), INTERVAL 3 MONTH)) AS q FROM qf GROUP BY 1),
 q AS (SELECT g.entity, last_day(g.q + INTERVAL 2 MONTH) AS quarter_end, mean_value, last_value
@@ -33,7 +33,7 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ts.resample_quarter(months(spark, sf_dir).withColumn("mean_value", F.col("value")).withColumn("last_value", F.col("value")), {"mean_value": "mean", "last_value": "last"})
-    return out.withColumn("mean_value", F.round("mean_value", 2))
+    return out.withColumn("mean_value", F.round("mean_value", 4))
 
 
 @query("resample_quarter", f"WITH {QUARTERS} SELECT entity, quarter_end, mean_value, last_value FROM q")
@@ -51,15 +51,15 @@ def _(spark, sf_dir):
     return quarters(spark, sf_dir).select("entity", "quarter_end", F.round(ts.qoq_annualized("mean_value"), 4).alias("qoq"))
 
 
-@query("first_difference", f"WITH {QUARTERS} SELECT entity, quarter_end, round(mean_value - lag(mean_value) OVER w, 2) AS diff FROM q WINDOW w AS (PARTITION BY entity ORDER BY quarter_end)")
+@query("first_difference", f"WITH {QUARTERS} SELECT entity, quarter_end, round(mean_value - lag(mean_value) OVER w, 4) AS diff FROM q WINDOW w AS (PARTITION BY entity ORDER BY quarter_end)")
 def _(spark, sf_dir):
-    return quarters(spark, sf_dir).select("entity", "quarter_end", F.round(ts.first_difference("mean_value"), 2).alias("diff"))
+    return quarters(spark, sf_dir).select("entity", "quarter_end", F.round(ts.first_difference("mean_value"), 4).alias("diff"))
 
 
 @query("macro_quarterly_history", f"""WITH {MONTHS},
 q AS (SELECT entity, last_day(date_trunc('quarter', ts) + INTERVAL 2 MONTH) AS quarter_end, avg(value) AS level, arg_max(n, ts)::DOUBLE AS rate FROM m GROUP BY 1, 2),
 d AS (SELECT *, (level / lag(level, 4) OVER w - 1) * 100 AS yoy, rate - lag(rate) OVER w AS rate_qoq FROM q WINDOW w AS (PARTITION BY entity ORDER BY quarter_end))
-SELECT entity, year(quarter_end)::VARCHAR || 'Q' || quarter(quarter_end)::VARCHAR AS quarter, round(level, 2) AS level, rate, round(yoy, 6) AS yoy, rate_qoq,
+SELECT entity, year(quarter_end)::VARCHAR || 'Q' || quarter(quarter_end)::VARCHAR AS quarter, round(level, 4) AS level, rate, round(yoy, 6) AS yoy, rate_qoq,
        round(yoy - lag(yoy) OVER (PARTITION BY entity ORDER BY quarter_end), 6) AS yoy_qoq, round(rate - yoy, 6) AS real_rate
 FROM d WHERE quarter_end BETWEEN DATE '1996-01-01' AND DATE '2001-12-31'""")
 def _(spark, sf_dir):
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
     q = ts.resample_quarter(panel, {"level": "mean", "rate": "last"}).withColumn("yoy", ts.yoy_pct("level")).withColumn("rate_qoq", ts.first_difference("rate"))
     # the SQL filters before its last window, so the filter comes first here too
     kept = q.filter("quarter_end BETWEEN DATE'1996-01-01' AND DATE'2001-12-31'").withColumn("yoy_qoq", ts.first_difference("yoy"))
-    return kept.select("entity", quarter_name(F.col("quarter_end")).alias("quarter"), F.round("level", 2).alias("level"), "rate", F.round("yoy", 6).alias("yoy"), "rate_qoq", F.round("yoy_qoq", 6).alias("yoy_qoq"), F.round(F.col("rate") - F.col("yoy"), 6).alias("real_rate"))
+    return kept.select("entity", quarter_name(F.col("quarter_end")).alias("quarter"), F.round("level", 4).alias("level"), "rate", F.round("yoy", 6).alias("yoy"), "rate_qoq", F.round("yoy_qoq", 6).alias("yoy_qoq"), F.round(F.col("rate") - F.col("yoy"), 6).alias("real_rate"))
 
 
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
@@ -97,10 +97,10 @@ def _(spark, sf_dir):
     return ts.change_points(months(spark, sf_dir).select("entity", "ts", F.col("n").alias("rate")))
 
 
-@query("error_correction_term", f"""WITH {QUARTERS} SELECT entity, quarter_end, round(lag(0.5 * mean_value - 0.25 * last_value) OVER (PARTITION BY entity ORDER BY quarter_end), 4) AS ect FROM q
+@query("error_correction_term", f"""WITH {QUARTERS} SELECT entity, quarter_end, round(lag(0.5 * mean_value - 0.25 * last_value) OVER (PARTITION BY entity ORDER BY quarter_end), 6) AS ect FROM q
 QUALIFY lag(0.5 * mean_value - 0.25 * last_value) OVER (PARTITION BY entity ORDER BY quarter_end) IS NOT NULL""")
 def _(spark, sf_dir):
-    return ts.error_correction_term(quarters(spark, sf_dir), {"mean_value": 0.5, "last_value": -0.25}).select("entity", "quarter_end", F.round("ect", 4).alias("ect"))
+    return ts.error_correction_term(quarters(spark, sf_dir), {"mean_value": 0.5, "last_value": -0.25}).select("entity", "quarter_end", F.round("ect", 6).alias("ect"))
 
 
 @query("sequence_windows", f"""WITH {QUARTERS}, s AS (SELECT entity, quarter_end, list([mean_value, last_value]) OVER (PARTITION BY entity ORDER BY quarter_end ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS seq FROM q)
