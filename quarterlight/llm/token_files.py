@@ -26,12 +26,20 @@ TOKENIZER = "word_bpe_49k.json"
 #: Id that ends a document.
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-#: Distinct words whose ids a task remembers.
-CACHED_WORDS = 400_000
+FILES = "part int, doc_id long, n_tokens long, tokens array<int>"
+#: Distinct words whose ids a Python worker remembers.
+CACHED_WORDS = 250_000
 
 
 class Encoder:
-    """Ids of a text, word by word: a space is a border for this tokenizer, so words between spaces are encoded once and remembered."""
+    """Ids of texts, word by word where a space is a border for the tokenizer: a word between spaces is encoded once and remembered.
+
+    New words are encoded many at a time, parted by a mark that is a token of
+    its own; words with the mark in them are encoded alone. For a tokenizer
+    that looks over spaces, whole texts are encoded.
+    """
+
+    MARK, CHUNK = "|", 4000
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,18 +47,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.known: dict[str, bytes] = {}
+        mark, *more = self._ids([self.MARK])[0]
+        self.mark = mark
+        self.by_word = not more and self._ids(["a | b  c"])[0] == [i for part in self._ids(["a", "|", "b", "", "c"]) for i in part]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [w for w in words if self.MARK in w]
+        plain = [w for w in words if self.MARK not in w]
+        for i in range(0, len(plain), self.CHUNK):
+            part = plain[i : i + self.CHUNK]
+            ids = np.array(self._ids([" | ".join(part)])[0], "<i4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                alone += part
+                continue
+            data = ids.tobytes()
+            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+            self.known.update((w, data[a:b]) for w, a, b in zip(part, starts, ends))
+        for word, ids in zip(alone, self._ids(alone)):
+            self.known[word] = np.array(ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(ids, "<i4") for ids in self._ids(texts)]
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
+        # beyond CACHED_WORDS, new words were for this lot alone
+        if len(self.known) > CACHED_WORDS:
+            for word in new[max(0, len(new) - (len(self.known) - CACHED_WORDS)) :]:
+                del self.known[word]
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """The worker's encoder for a tokenizer: a Python worker serves many tasks, and keeps what it has learned."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    return _ENCODERS[name]
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,12 +102,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_chars: int = 2_000_000) -> DataFrame:
+def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_chars: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, more) with n_tokens and tokens in the place of text."""
     place, rest = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # lots of bounded size
@@ -76,7 +117,7 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_chars: int = 2_000
                     size += len(texts[-1])
                     upto += 1
                 part = batch.slice(at, upto - at)
-                ids = [np.append(x, np.int32(end_id)) for x in encoder.encode(texts)]
+                ids = [np.append(x, np.int32(end_id)) for x in own.encode(texts)]
                 n = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
@@ -97,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
     (
         _encode(dealt, tokenizer, end_id).write.option("compression", "zstd")
         .option("parquet.block.size", row_group).option("parquet.page.size", page)
@@ -109,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
 def _with_start(spark: SparkSession, path: str, rows: DataFrame, *ties: str) -> DataFrame:
     """rows (part, doc_id, n_tokens, more) with start: a running sum inside the part, and what the parts before it hold."""
-    totals = save(spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")
+    totals = save(spark.read.schema(FILES).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     so_far = Window.partitionBy("part").orderBy("doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("_own", F.coalesce(F.sum("n_tokens").over(so_far), F.lit(0)))
@@ -118,7 +159,7 @@ def _with_start(spark: SparkSession, path: str, rows: DataFrame, *ties: str) ->
 
 def read_starts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and n_tokens, from the files' metadata columns alone."""
-    return _with_start(spark, path, spark.read.parquet(path).select("part", "doc_id", "n_tokens")).select("doc_id", "start", "n_tokens")
+    return _with_start(spark, path, spark.read.schema(FILES).parquet(path).select("part", "doc_id", "n_tokens")).select("doc_id", "start", "n_tokens")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +172,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.parquet(path).select("part", "doc_id", "n_tokens", "tokens").mapInArrow(digest, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILES).parquet(path).select("part", "doc_id", "n_tokens", "tokens").mapInArrow(digest, "part int, doc_id long, n_tokens long, ids_crc32 long")
     return _with_start(spark, path, rows, "ids_crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
