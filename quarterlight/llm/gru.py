@@ -189,16 +189,21 @@ def score(p: dict, v: Vocabulary, docs: list[np.ndarray], width: int = 512, wind
     return total
 
 
-def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 128, window: int = 16, rate: float = 0.2) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation through time over ids (documents with their ends, one after the other), by Adagrad.
+def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 128, window: int = 16, rate: float = 0.2, squares: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation through time over all ids (documents with their ends, one after the other), by Adagrad.
 
-    As many lanes run side by side as give a few hundred steps or more, `lanes` at most.
+    As many lanes run side by side as give a few hundred steps or more, `lanes`
+    at most; what fills the last of them up isn't learned from. squares, a dict
+    that may be empty, carries Adagrad's sums on from call to call.
     """
     p = {k: x.copy() for k, x in p.items()}
     lanes = max(1, min(lanes, len(ids) // (128 * window)))
-    steps = len(ids) // lanes
-    target = ids[: steps * lanes].reshape(lanes, steps).T
-    squares = {k: np.full_like(x, 1e-6) for k, x in p.items()}
+    steps = -(-len(ids) // lanes)
+    target = np.append(ids, np.zeros(steps * lanes - len(ids), ids.dtype)).reshape(lanes, steps).T
+    filled = (np.arange(steps * lanes) >= len(ids)).reshape(lanes, steps).T
+    squares = {} if squares is None else squares
+    for k, x in p.items():
+        squares.setdefault(k, np.full_like(x, 1e-6))
     n = p["u"].shape[0]
     h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, np.int64)
     for at in range(0, steps, window):
@@ -213,11 +218,16 @@ def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 128, window: int
             states.append(h)
         before = y[-1]
         all_states, flat = np.concatenate(states), y.reshape(-1)
-        scale = np.float32(1 / len(flat))
+        none = np.flatnonzero(filled[at : at + window].reshape(-1))
+        if len(none) == len(flat):
+            break
+        scale = np.float32(1 / (len(flat) - len(none)))
         grads = {k: np.zeros_like(x) for k, x in p.items()}
         cls = v.cls[flat]
         d = np.exp(_log_softmax(all_states @ p["wc"] + p["bc"]))
         d[np.arange(len(flat)), cls] -= 1
+        if len(none):
+            d[none], cls[none] = 0, v.rare_class
         d *= scale
         grads["wc"], grads["bc"] = all_states.T @ d, d.sum(axis=0)
         d_states = d @ p["wc"].T

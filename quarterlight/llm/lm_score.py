@@ -4,7 +4,7 @@ Counts of all training tokens are summed by Spark. The commonest LISTED words
 go to every task; the model's classes, its output biases and the probabilities
 inside the classes that don't depend on the state come from the counts of the
 whole corpus. The recurrent weights are trained in parallel: each task runs
-truncated backpropagation over its part of the training text and the results
+truncated backpropagation over its whole part of the training text and the results
 are averaged, weighted by tokens, ROUNDS times. Words beyond the listed ones are
 joined with their counts, as they may be any number.
 """
@@ -28,8 +28,8 @@ from quarterlight.llm.words import space_words
 
 #: Words that tasks hold, those with a softmax of their own, ranges of rank of the others, and the state's size.
 LISTED, HEAD, RANGES, HIDDEN = 65_536, 2048, 31, 16
-#: Part of the training documents, by their text's hash, whose text the recurrent weights are trained on, and passes over it.
-TRAIN_SHARE, ROUNDS = 1 / 8, 2
+#: Passes over the training text, and tokens that a task holds to train on at once.
+ROUNDS, TRAINED = 2, 4_000_000
 #: Results that are averaged at once.
 AVERAGED = 32
 #: Stands for a document's end; no word has a line end.
@@ -108,11 +108,19 @@ def train(texts: DataFrame, corpus: Corpus) -> bytes:
             words, numbers, rare = shared.value
             v = gru.Vocabulary(words, np.maximum(numbers, 1), rare, HEAD, RANGES)
             params = gru.unpack(given.value, gru.start(v, HIDDEN))
-            ids = [v.encode(space_words(text.as_py())) for batch in batches for text in batch.column(0)]
+            squares: dict[str, np.ndarray] = {}
+            ids, held, tokens = [], 0, 0
+            for batch in batches:
+                for text in batch.column(0):
+                    ids.append(v.encode(space_words(text.as_py())))
+                    held += len(ids[-1])
+                    if held >= TRAINED:
+                        params = gru.train(params, v, np.concatenate(ids), squares=squares)
+                        ids, held, tokens = [], 0, tokens + held
             if ids:
-                joined = np.concatenate(ids)
-                params = gru.train(params, v, joined)
-                yield pa.RecordBatch.from_arrays([pa.array([len(joined)]), pa.array([gru.pack(params)], pa.binary())], names=["tokens", "params"])
+                params = gru.train(params, v, np.concatenate(ids), squares=squares)
+            if tokens + held:
+                yield pa.RecordBatch.from_arrays([pa.array([tokens + held]), pa.array([gru.pack(params)], pa.binary())], names=["tokens", "params"])
 
         results = save(texts.mapInArrow(learn, "tokens long, params binary").withColumn("part", F.spark_partition_id()), "weights")
         n = results.count()
@@ -175,7 +183,6 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = docs.filter(~held_out(F.col("doc_id"))).select("text")
     corpus = Corpus(save(token_counts(learned), "counts"))
-    chance = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    params = train(save(learned.filter(chance < TRAIN_SHARE), "train"), corpus)
+    params = train(learned, corpus)
     scored = score_documents(docs, corpus, params)
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(corpus.tokens).cast("long"))

@@ -345,6 +345,22 @@ def test_lm_training_learns_order():
     assert gru.score(gru.train(p, v, ids), v, [doc])[0] > gru.score(p, v, [doc])[0] + 10
 
 
+def test_lm_trains_on_the_tail_that_does_not_fill_the_lanes():
+    words = [b"\n", *(f"w{i}".encode() for i in range(20))]
+    ids = np.array(([1, 2, 3, 4, 5] * 6 + [0]) * 133)[:4097]  # two lanes and one id over
+    v = gru.Vocabulary(words, np.bincount(ids, minlength=21) + 1, 1, 64, 3)
+    last = {k: gru.train(gru.start(v, 8), v, np.append(ids[:-1], k)) for k in (1, 7)}
+    assert any((last[1][k] != last[7][k]).any() for k in gru.NAMES)
+    assert all(np.isfinite(x[k]).all() for x in last.values() for k in gru.NAMES)
+
+
+def test_lm_trains_on_every_learned_document(spark, sf_dir, documents, monkeypatch):
+    seen, before = [], lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda texts, corpus: seen.append(collections.Counter(r.text for r in texts.collect())) or before(texts, corpus))
+    QUERIES["op9_lm_score"](spark, sf_dir)
+    assert seen == [collections.Counter(d.text for d in documents.values() if zlib.crc32(str(d.doc_id).encode()) % 7 != 2)]
+
+
 def test_lm_odd_rows(spark, odd, none):
     corpus = lm_score.Corpus(common.save(lm_score.token_counts(odd.select("text")), "counts"))
     params = lm_score.train(odd.select("text"), corpus)
