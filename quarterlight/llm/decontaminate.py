@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarterlight.llm.common import shielded, table
+from quarterlight.llm.common import save, shielded, table
 from quarterlight.llm.words import alnum_words
 
 #: Words of a window and of a k-gram.
@@ -161,8 +161,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark: item_id long, text. Null texts have no words. Documents keep all
     columns but those of the three names, which are replaced. The benchmark is
     dealt by its items' hash into passes of about PASS_WORDS words, each held
-    by every task while the documents stream past; documents aren't shuffled,
-    but for the join of several passes' spans. One document more than LOT_WORDS
+    by every task while the documents stream past, and collected and released
+    one after the other; documents aren't shuffled, but for the join of several
+    passes' spans by a saved row number. One document more than LOT_WORDS
     long is looked at alone. Repeated item ids count once.
     """
     spark = docs.sparkSession
@@ -170,13 +171,28 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 5
     passes = max(1, math.ceil(words / PASS_WORDS))
     kept = docs.drop("n_words", "spans", "items")
-    parts = [_one_pass(kept, spark.sparkContext.broadcast([tuple(r) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()])) for p in range(passes)]
+
+    def share(p: int):
+        return spark.sparkContext.broadcast([tuple(r) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()])
+
     if passes == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        more = part.select("doc_id", F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-        out = out.join(more, "doc_id").withColumn("spans", F.concat("spans", "_spans")).withColumn("items", F.array_sort(F.array_union("items", "_items"))).drop("_spans", "_items")
+        return _one_pass(kept, share(0))
+    row = "_row"
+    while row in kept.columns:
+        row = f"_{row}"
+    numbered, hits = save(kept.withColumn(row, F.monotonically_increasing_id()), "numbered"), []
+    for p in range(passes):
+        items = share(p)
+        # the words are the same in each pass, and are kept from the first
+        found = _one_pass(numbered.select(row, "text"), items).drop("text")
+        hits.append(save(found if p == 0 else found.filter(F.size("spans") > 0), "hits"))
+        items.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    together = every.groupBy(row).agg(F.max("n_words").alias("n_words"), flat("spans").alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    out = numbered.join(together, row).select(*kept.columns, "n_words", "spans", "items")
     joined = F.aggregate(
         F.array_sort("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))

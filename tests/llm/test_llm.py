@@ -193,6 +193,19 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert decontaminate.clean_documents(odd, bench.limit(0)).count() == odd.count() and decontaminate.clean_documents(none, bench).count() == 0
 
 
+def test_decontamination_passes_keep_null_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 40, n))
+    items = [(i, say(20)) for i in range(12)]
+    rows = [(None, "x " + items[0][1]), (None, "clean"), (5, items[1][1] + " y " + items[7][1]), (5, items[2][1]), (5, "clean too"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("mine"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 60)
+    out = decontaminate.find_benchmark(docs, bench)
+    got = [(r.doc_id, r.text, r["_row"], r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(((i, t, "mine", *hits(t, items)) for i, t in rows), key=str)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     for _ in range(50):
