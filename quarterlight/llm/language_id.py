@@ -15,6 +15,8 @@ from quarterlight.llm.common import shielded, small, table
 
 #: Bound of what is learned for a language: so many documents, characters of each, and bytes of dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 100, 4000, 192 << 10
+#: Dictionaries of fewer bytes don't set the size of the others.
+FLOOR_BYTES = 64 << 10
 #: A text is compressed in blocks of about this many bytes, as its own words would else serve as dictionary.
 BLOCK_BYTES = 4096
 LEVEL = 7
@@ -24,29 +26,32 @@ UNKNOWN = "und"
 
 
 def learn_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language of docs (text, lang; null ones aside), of a sample chosen by the texts' hash.
+    """A dictionary for each language of docs (text, lang; null ones aside), of a sample of its distinct texts chosen by their hash.
 
-    Languages' rows are counted, rows are kept at a rate that gives three times
-    SAMPLE_DOCS of each language, and the smallest hashes of these stay, so no
-    task and not the driver sees more than that bound for a language.
+    What counts is a text's lower-cased beginning, which is all that is learned
+    of it; copies are one. Languages' distinct texts are estimated, texts are
+    kept at a rate that gives three times SAMPLE_DOCS of them for each language,
+    and the smallest hashes of these stay, so no task and not the driver sees
+    more than that bound for a language.
     """
-    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("_n")).collect()
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * SAMPLE_DOCS / r["_n"])) for r in counts], "lang string, _rate double")
-    chance = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    part = F.substring("text", 1, SAMPLE_CHARS)
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64(F.lower(part)).alias("_hash"), part.alias("text")).filter(F.trim("text") != "")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_n")).collect()
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * SAMPLE_DOCS / max(1, r["_n"]))) for r in counts], "lang string, _rate double")
+    chance = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
     some = known.join(small(rates, len(counts)), "lang").withColumn("_chance", chance).filter("_chance < _rate")
-    first = Window.partitionBy("lang").orderBy("_chance", "text")
+    first = Window.partitionBy("lang").orderBy("_chance", "_hash")
     rows = (
-        some.select("lang", "_chance", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        some.groupBy("lang", "_hash", "_chance").agg(F.min("text").alias("text"))
         .withColumn("_k", F.row_number().over(first)).filter(f"_k <= {SAMPLE_DOCS}").orderBy("lang", "_k").collect()
     )
     texts: dict[str, list[str]] = {}
     for row in rows:
         texts.setdefault(row["lang"], []).append(row["text"])
-    # equal sizes, else a language with more text would win
+    # near equal sizes, else a language with more text would win; one of little text is at its own, and doesn't cut the others
     joined = {lang: "\n".join(dict.fromkeys(found)).lower().encode("utf-8", "surrogatepass") for lang, found in texts.items()}
     joined = {lang: found for lang, found in joined.items() if found.strip()}
-    size = min([DICTIONARY_BYTES, *(len(x) for x in joined.values() if len(x) >= 2048)])
+    size = min([DICTIONARY_BYTES, *(len(x) for x in joined.values() if len(x) >= FLOOR_BYTES)])
     return {lang: found[:size] for lang, found in sorted(joined.items())}
 
 

@@ -123,6 +123,20 @@ def test_language_odd_rows(spark, odd, none, documents):
     assert {r.lang_pred for r in language_id.identify_languages(odd, {}).collect()} == {"und"}
 
 
+def test_language_learns_from_distinct_texts(spark):
+    rng = np.random.default_rng(2)
+    say = lambda a, n: " ".join(f"{a}{i}" for i in rng.integers(0, 5000, n))
+    few, many, rare = [say("few", 600) for _ in range(10)], [say("many", 600) for _ in range(130)], [say("rare", 400)]
+    copies = [x for x in many for _ in range(150)]  # any group of copies fills the sample
+    df = spark.createDataFrame([(x, "aa") for x in few for _ in range(1000)] + [(x, "bb") for x in copies] + [(x, "cc") for x in rare], "text string, lang string")
+    learned = language_id.learn_dictionaries(df)
+    assert sorted(learned) == ["aa", "bb", "cc"]
+    assert all(x[:3900].encode() in learned["aa"] for x in few) and learned["cc"] == rare[0].encode()
+    assert len(learned["bb"]) > 100_000 and sum(x[:100].encode() in learned["bb"] for x in many) > 20
+    found = language_id.identify_languages(spark.createDataFrame([(few[3],), (many[5],), (rare[0][:900],)], "text string"), learned).collect()
+    assert [r.lang_pred for r in found] == ["aa", "bb", "cc"]
+
+
 # 4 warc
 
 
