@@ -37,24 +37,65 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 _WORD = re.compile(r"[a-z]+")
+#: Their words of a class, id or role say nothing of what is inside.
+WRAPPERS = frozenset("html body main article".split())
+#: Skipped elements whose content is plain characters, and elements without content.
+RAW = frozenset("script style title textarea iframe".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end an open svg or math.
+_OUTSIDE = frozenset("body blockquote div dl dd dt h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 
 
-def _is_aside(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
+def _is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element is beside the text, and whether its class, id or role says so, which doesn't hold for one around the text."""
+    if tag in ASIDE_TAGS or tag == "header" and not inside or attrs and _HIDDEN.search(attrs):
+        return True, False
+    if not attrs or tag in WRAPPERS:
+        return False, False
     words = {w for m in _CLASSES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
     if inside and "header" in words:
         words.discard("header")
-    return bool(words & ASIDE_WORDS) or bool(_HIDDEN.search(attrs))
+    return False, bool(words & ASIDE_WORDS)
+
+
+def _skip(page: str, at: int, tag: str, outer: set[str]) -> int:
+    """Where the skipped element that begins before `at` ends: behind its end tag, or before what shows that it was left open."""
+    if tag in RAW:
+        over = _CLOSE[tag].search(page, at)
+        return over.end() if over else len(page)
+    inner = [tag]
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        met = (m["tag"] or m["tag2"] or "").lower()
+        if not met:
+            continue
+        if m["end"] or m["end2"]:
+            if met in inner:
+                while inner.pop() != met:
+                    pass
+                if not inner:
+                    return at
+            elif met in outer:
+                return m.start()
+        elif tag == "option" and met in ("option", "optgroup") or tag in ("svg", "math") and met in _OUTSIDE and "foreignobject" not in inner:
+            return m.start()
+        elif not (m["attrs"] or "").endswith("/") and met not in VOID:
+            if met in RAW:
+                at = _skip(page, at, met, outer)
+            else:
+                inner.append(met)
+    return len(page)
 
 
 def blocks(page: str | None) -> list[tuple]:
     """(text, words, link words, aside, inside, heading) of each block with text, in page order."""
     found: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    # elements that are aside by their words: whether they are around the text; and what of each block
+    around: list[bool] = []
+    by_words: list[list[int]] = []
+    seen: set[str] = set()
     parts: list[str] = []
     aside = inside = heading = False
     in_link, link_words, at = 0, 0, 0
@@ -66,6 +107,7 @@ def blocks(page: str | None) -> list[tuple]:
             words = "".join(parts).split()
             if words:
                 found.append((" ".join(words), len(words), min(link_words, len(words)), aside, inside, heading))
+                by_words.append([x[3] for x in stack if x[3] >= 0])
             parts.clear()
         link_words = 0
 
@@ -90,8 +132,7 @@ def blocks(page: str | None) -> list[tuple]:
             if tag not in INLINE:
                 flush()
             if not closing and not attrs.endswith("/"):
-                over = _CLOSE[tag].search(page, at)
-                at = over.end() if over else len(page)
+                at = _skip(page, at, tag, {x[0] for x in stack})
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -99,7 +140,7 @@ def blocks(page: str | None) -> list[tuple]:
         if tag == "br":
             parts.append(" ")
             continue
-        marked = not closing and tag in INLINE and attrs and _is_aside(tag, attrs, inside)
+        marked = not closing and tag in INLINE and attrs and any(_is_aside(tag, attrs, inside))
         if tag in INLINE and not marked and not (closing and any(x[0] == tag for x in stack)):
             continue
         flush()
@@ -114,12 +155,25 @@ def blocks(page: str | None) -> list[tuple]:
                     del stack[i:]
                     break
         elif not attrs.endswith("/") and tag not in ("hr", "meta", "link", "base", "col", "source", "input", "img"):
-            stack.append((tag, _is_aside(tag, attrs, inside), tag in ("article", "main")))
+            if tag in ("article", "main"):
+                # the page's first article, or first one inside main, is its text: no word of what is around it holds
+                within = any(x[0] == "main" for x in stack)
+                if tag not in seen or within and "article in main" not in seen:
+                    for x in stack:
+                        if x[3] >= 0:
+                            around[x[3]] = True
+                seen.add(tag)
+                if within:
+                    seen.add("article in main")
+            sure, by_word = _is_aside(tag, attrs, inside)
+            stack.append((tag, sure, tag in ("article", "main"), len(around) if by_word else -1))
+            if by_word:
+                around.append(False)
         aside, inside = any(x[1] for x in stack), any(x[2] for x in stack)
         heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     add(page[at:])
     flush()
-    return found
+    return [(*b[:3], b[3] or not all(around[i] for i in own), *b[4:]) for b, own in zip(found, by_words)]
 
 
 def features(found: list[tuple]) -> list[tuple]:
@@ -147,6 +201,7 @@ LABELLED = (
     f"<article><h1>keep</h1><p>keep it</p></article><article><p>keep that<p>{_LONG}</article>",
     f"<nav><ul>{_MENU}</ul></nav><article><p>keep alone</article>", f"<nav><ul>{_MENU}</ul></nav><article><p>{_LONG}</article>", f"<nav><ul>{_MENU}</ul></nav><article><h1>keep</h1><p><a href=/n>keep a link</a><p>keep last</article>",
     f"<nav><ul>{_MENU}</ul></nav><article><p><a href=/n>keep a link of some words</a></article><div class=ad>drop buy</div>", f"<article><p>{_LONG}<p><a href=/n>keep it</a><p>keep the last one</article>",
+    f"<body class='has-sidebar'><div class='layout no-ads'><article class='post share'><h1>keep title</h1><p>{_LONG}<p>keep short<div class=share>drop send it on</div></article></div><div class=sidebar><p>{_LONG.replace('keep', 'drop')}</div></body>",
     f"<div class=header>drop top line of it</div><article><h2>keep second</h2><p>keep tiny<p>keep tiny too</article><div class=related><a href=/r>drop read this</a><p>{_LONG.replace('keep', 'drop')}</div>",
 )
 
@@ -199,8 +254,8 @@ def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
     Null and empty pages have empty text, as have pages of which no block is
     kept. Character references are decoded once and white space in a block
-    becomes one space. A page is read whole; unclosed comments, scripts and
-    elements end with it. Other columns stay; one named text is replaced.
+    becomes one space. A page is read whole; unclosed comments and
+    scripts end with it, other skipped elements with their parent. Other columns stay; one named text is replaced.
     """
     spark = pages.sparkSession
     kept = F.filter("blocks", lambda b: tree_column(spark, b))

@@ -102,6 +102,20 @@ def test_html_odd_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_and_unclosed_elements(spark):
+    story = "<h1>Title</h1><p>" + "some words of the story that go on for a while " * 3 + "</p><p>Tiny.</p>"
+    want = "Title\n" + " ".join(("some words of the story that go on for a while " * 3).split()) + "\nTiny."
+    around = "<div class=related><article><p>Another story to read</p></article></div>"
+    pages = [
+        f'<html class="no-ads"><body class="has-sidebar"><article>{story}</article></body></html>', f'<div class="layout no-ads"><article>{story}</article>{around}</div>',
+        f'<article class="post share">{story}<div class=share>Share it</div></article>{around}', f'<main id="search"><div class="layout no-sidebar"><article>{story}</article></div></main>',
+        f"<article><datalist><option value=a></datalist>{story}<form><select><option>x</option></select></form></article>",
+        f"<article><div><svg><path d=x></div>{story}</article>", f"<article><div><object data=x></div>{story}</article>", f"<article><select><option>a<option>b</select>{story}</article>",
+    ]
+    out = html_text.main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert {r.page_id: r.text for r in out} == dict.fromkeys(range(len(pages)), want)
+
+
 # 3 language
 
 
