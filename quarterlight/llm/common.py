@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a small side that may be broadcast; beyond it a join is left to Spark.
-BROADCAST_ROWS = 200_000
+#: Most rows, and most bytes in their strings, of a small side that may be broadcast; beyond that a join is left to Spark.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session may name none: driver and executors are one process then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="spark-")
     return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder for a table of the session's own, which goes when the session's JVM ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +46,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is. df must be cheap to count."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    """df with a broadcast hint if it has at most limit rows and BROADCAST_BYTES of strings, else as it is.
+
+    df must be cheap to read. With rows given it isn't counted: its rows are that many, and narrow.
+    """
+    if rows is None:
+        strings = [F.octet_length(c) for c, t in df.dtypes if t in ("string", "binary")]
+        rows, held = df.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in strings), F.lit(0)).cast("long")), F.lit(0))).first()
+        limit = limit if held <= BROADCAST_BYTES else -1
+    return F.broadcast(df) if rows <= limit else df
 
 
 def shielded(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:

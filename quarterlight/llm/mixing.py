@@ -28,8 +28,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def _hash(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 1)
+def _hash(key: Column, text: Column) -> Column:
+    """63 bits by which rows go in or out: of the key, or of the text where there is no key."""
+    return F.shiftrightunsigned(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), 1)
 
 
 def _prefix(level: int) -> Column:
@@ -85,14 +86,17 @@ def source_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             .filter("_before <= _rest AND _before + _words > _rest")
             .groupBy(F.col("source").alias("_s")).agg(F.min(F.struct("_bucket", "_before", "_words")).alias("_at"))
         )
-        rest = F.col("_rest") - F.coalesce(F.col("_at._before"), F.lit(0))
+        # no bucket passes the rest only if the rest is all there is
+        rest = F.coalesce(F.col("_rest") - F.col("_at._before"), F.lit(0.0))
         # the last bucket goes in if that brings the sum nearer
         nearer = F.when(rest * 2 >= F.col("_at._words"), 1).otherwise(0) if level == LEVELS else F.lit(0)
+        # a cut that met its budget at a bucket's edge stays there, in finer buckets
+        edge = F.shiftleft(F.when(F.col("_rest") > 0, F.col("cut") + 1).otherwise(F.col("cut")), BITS)
         state = save(
             state.join(small(passed, n), F.col("source").eqNullSafe(F.col("_s")), "left").select(
                 "source", "source_size", "target", "passes",
                 F.when(F.col("_rest") > 0, rest).otherwise(0.0).alias("_rest"),
-                F.when(F.col("_rest") <= 0, 0).otherwise(F.coalesce(F.col("_at._bucket"), F.lit(0)) + nearer).cast("long").alias("cut"),
+                F.when((F.col("_rest") > 0) & F.col("_at").isNotNull(), F.col("_at._bucket") + nearer).otherwise(edge).cast("long").alias("cut"),
             ),
             "cuts",
         )
@@ -103,11 +107,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     """(sizes, cuts): the size and hash of each document, and what is taken of each source.
 
     Null text counts 0 words; null sources are one source, the last. An empty
-    table gives no sources. Rows with equal keys are taken together. Sums of
-    words are exact whatever else the table has: only key, text and source are
-    read.
+    table gives no sources. Rows with equal keys are taken together, and of
+    those without a key rows with equal texts. Sums of words are exact whatever
+    else the table has: only key, text and source are read.
     """
-    sizes = save(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _hash(F.col(key)).alias("_h")), "sizes")
+    sizes = save(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _hash(F.col(key), F.col(text)).alias("_h")), "sizes")
     return sizes, source_cuts(sizes, save(source_targets(sizes, weights, share, most), "targets"))
 
 
@@ -122,9 +126,13 @@ def with_copies(df: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as in docs."""
+    """The rows of docs (doc_id, text, source, more), each as often as the mix takes it; columns as in docs, whatever their names.
+
+    Null and empty texts have no words and are taken with their hash's place;
+    nulls, ties, repeated rows and empty tables are as in mix_plan.
+    """
     _, cuts = mix_plan(docs, weights, share, most)
-    rows = docs.select(F.struct("*").alias("_row"), "source", _hash(F.col("doc_id")).alias("_h"))
+    rows = docs.select(F.struct("*").alias("_row"), "source", _hash(F.col("doc_id"), F.col("text")).alias("_h"))
     kept = with_copies(rows, cuts).filter("_copies > 0")
     return kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
