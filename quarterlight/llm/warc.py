@@ -1,9 +1,11 @@
-"""Web archives: request, response (or revisit) and metadata records of each capture, written as WARC/1.1 text and read back.
-
-Every record ends with two line ends, which is also the line separator of the
-text files that Spark writes: its writer commits whole tasks, so a lost
-executor leaves no half archive, and works on any file system. Files are read
-whole by the binary reader; `records` bounds their size.
+"""Web archives: request, response (or revisit) and metadata records of each capture, written as WARC/1.1 and read back.
+
+Every record is a gzip member of its own, so tools can seek to it. Members are
+written by Spark's text writer, whose tasks are committed whole: a lost executor
+leaves no half archive, and any file system will do. A member's last byte is the
+highest of its length, zero below 16 MB, and is left to the writer as its line
+separator; a longer record has an empty member after it. Files are bounded by
+bytes, and readers hold one record at a time beside a file's compressed bytes.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import new_path, table
+from quarterlight.llm.common import new_path, save, small, table
 
 END = "\r\n"
-#: Records in a file at most.
-RECORDS = 3000
-#: Parts that the captures of one payload are dealt over.
+#: Captures in a file at most, payload bytes from which a capture is a large one, and bytes of a file of large ones (or one capture).
+CAPTURES, LARGE, FILE_BYTES = 256, 1 << 20, 256 << 20
+#: Parts that the captures of one payload are dealt over, where they are shuffled.
 SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 
@@ -44,55 +46,110 @@ def _record(kind: str, ident: Column, headers: list[tuple[str, Column]], block:
     return F.concat(*lines, F.lit("Content-Length: "), _bytes(block).cast("string"), F.lit(END + END), block)
 
 
-def with_original(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, _payload) with _digest and _original, the largest page_id of an equal payload, null where the page is that one or its payload has under `least` bytes.
+def numbered(pages: DataFrame) -> DataFrame:
+    """_row, page_id, _url, _payload, _digest and _bytes of each row of pages, saved: a capture is known by its row, whatever its page_id."""
+    payload = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("_url"), payload.alias("_payload"))
+    return save(rows.withColumn("_digest", base32(F.sha1(F.col("_payload").cast("binary")))).withColumn("_bytes", _bytes(F.col("_payload")).cast("long")), "captures")
+
+
+def with_original(rows: DataFrame, least: int = 0) -> DataFrame:
+    """rows (numbered) with _original, the page_id and row of the capture with an equal payload that they revisit; null where they are that one, or have under `least` bytes.
 
-    Originals are found by a maximum that is taken before the shuffle; only
-    those of payloads that occur twice meet the pages again, dealt over SALTS
-    parts, so a payload that a third of the pages share isn't one task's.
+    Of equal payloads that with the largest page_id is the original, nulls being
+    the smallest, and of rows with that page_id the last. Originals are found by
+    a maximum that is taken before the shuffle, from narrow columns; those of
+    payloads that occur twice are broadcast if they are few, or else meet the
+    rows dealt over SALTS parts, so a payload that a third of the pages share
+    isn't one task's.
     """
-    known = pages.withColumn("_digest", base32(F.sha1(F.col("_payload").cast("binary")))).withColumn("_bytes", _bytes(F.col("_payload")).cast("long"))
-    twice = known.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_largest"), F.count("*").alias("_n")).filter("_n > 1")
-    dealt = twice.select("_digest", "_bytes", "_largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    met = known.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(dealt, ["_digest", "_bytes", "_salt"], "left")
-    return met.withColumn("_original", F.when(F.col("_largest") != F.col("page_id"), F.col("_largest"))).drop("_salt", "_largest")
+    own = F.struct("page_id", "_row")
+    twice = save(rows.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max(own).alias("_last"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "originals")
+    few = small(twice)
+    if few is not twice:
+        met = rows.join(few, ["_digest", "_bytes"], "left")
+    else:
+        dealt = twice.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(dealt, ["_digest", "_bytes", "_salt"], "left").drop("_salt")
+    return met.withColumn("_original", F.when(F.col("_last._row") != F.col("_row"), F.col("_last"))).drop("_last")
+
+
+def _ident(kind: str, page_id: Column, row: Column) -> Column:
+    return F.concat(F.lit("<urn:capture:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit("-"), row.cast("string"), F.lit(f":{kind}>"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's records as gzip members, without the last byte, which is zero."""
+
+    def member(data: bytes) -> bytes:
+        press = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return press.compress(data) + press.flush()
+
+    for batch in batches:
+        out = []
+        for records in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = []
+            for record in records:
+                parts.append(member(record.encode("utf-8", "surrogatepass") + b"\r\n\r\n"))
+                if parts[-1][-1]:
+                    parts.append(member(b""))
+            out.append(b"".join(parts)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes the three records of each row of pages: page_id, url, html (null: empty), other columns aside.
 
     Of rows with equal payloads of `least` bytes or more, that with the largest
-    page_id is a response and the others revisit it. page_id must be unique; a
-    null one is left out, as it names no capture. Line ends in a url become
-    spaces.
+    page_id is a response and the others revisit it; null page_ids are the
+    smallest, and of repeated ones the last row counts. Every row is a capture
+    of its own. Line ends in a url become spaces. No rows give no records.
     """
-    rows = with_original(pages.filter("page_id IS NOT NULL").select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("_url"), F.coalesce("html", F.lit("")).alias("_payload")), least)
-    ident = lambda kind, key="page_id": F.concat(F.lit("<urn:capture:"), F.col(key).cast("string"), F.lit(f":{kind}>"))
+    rows = with_original(numbered(pages), least)
+    ident = lambda kind: _ident(kind, F.col("page_id"), F.col("_row"))
     uri, digest, main = F.col("_url"), F.concat(F.lit("sha1:"), F.col("_digest")), ident("response")
     host = F.regexp_extract("_url", r"://([^/?#]*)", 1)
     about = [("WARC-Target-URI", uri)]
     http = F.lit("HTTP/1.1 200 OK" + END + "Content-Type: text/html; charset=utf-8" + END + END)
     request = _record("request", ident("request"), [*about, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + END + "Host: "), host, F.lit(END + END)))
     response = _record("response", main, [*about, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, F.col("_payload")))
-    revisit = _record("revisit", main, [*about, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", ident("response", "_original")), ("Content-Type", F.lit("application/http; msgtype=response"))], http)
-    metadata = _record("metadata", ident("metadata"), [*about, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(END + "payloadBytes: "), F.col("_bytes").cast("string"), F.lit(END)))
+    revisit = _record("revisit", main, [*about, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _ident("response", F.col("_original.page_id"), F.col("_original._row"))), ("Content-Type", F.lit("application/http; msgtype=response"))], http)
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    metadata = _record("metadata", ident("metadata"), [*about, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), page, F.lit(END + "payloadBytes: "), F.col("_bytes").cast("string"), F.lit(END)))
     both = F.when(F.col("_original").isNull(), response).otherwise(revisit)
-    (
-        rows.select(F.concat_ws(END + END, request, both, metadata).alias("value"))
-        .write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS // 3).text(path)
-    )
+
+    def write(part: DataFrame, captures: int) -> None:
+        members = part.select(request.alias("request"), both.alias("main"), metadata.alias("metadata")).mapInArrow(_members, "value binary")
+        members.select(F.col("value").cast("string").alias("value")).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", captures).text(path)
+
+    write(rows.filter(F.col("_bytes") < LARGE), CAPTURES)
+    largest = rows.filter(F.col("_bytes") >= LARGE).agg(F.max("_bytes")).first()[0]
+    if largest:
+        write(rows.filter(F.col("_bytes") >= LARGE), max(1, FILE_BYTES // largest))
 
 
 RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("fields", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 RECORD_DDL = "record_id string, type string, uri string, concurrent_to string, refers_to string, digest string, fields string, payload_bytes long, payload binary"
 
 
+def members(data: memoryview) -> Iterator[bytes]:
+    """What each gzip member of a file holds, one after the other."""
+    while len(data):
+        press = zlib.decompressobj(31)
+        found = press.decompress(data)
+        if not press.eof:
+            raise ValueError("a gzip member is cut off")
+        data = data[len(data) - len(press.unused_data) :]
+        if found:
+            yield found
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
     at = 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
             raise ValueError(f"no record at byte {at}")
-        head, block = data.index(b"\r\n\r\n", at), 0
+        head = data.index(b"\r\n\r\n", at)
         headers = dict(line.split(": ", 1) for line in data[at:head].decode().split(END)[1:])
         block, size = head + 4, int(headers["Content-Length"])
         body = data[block : block + size]
@@ -110,15 +167,29 @@ def _parse(data: bytes) -> Iterator[tuple]:
         yield (headers["WARC-Record-ID"], kind, headers.get("WARC-Target-URI"), headers.get("WARC-Concurrent-To"), headers.get("WARC-Refers-To"), digest, fields, None if payload is None else len(payload), payload)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives at path, response payloads and their SHA-1 checked against the header."""
+def read_records(spark: SparkSession, path: str, payload: bool = True, lot_bytes: int = 8 << 20) -> DataFrame:
+    """One row for each record of the archives at path, response payloads and their SHA-1 checked against the header.
+
+    Records leave a task in lots of about lot_bytes (a longer record alone);
+    without payload its column is null.
+    """
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), RECORD.types)], schema=RECORD)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = zlib.decompress(content.as_buffer(), 31)
-                rows = list(_parse(data))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), RECORD.types)] if rows else [pa.array([], t) for t in RECORD.types], schema=RECORD)
+                rows, size = [], 0
+                for data in members(memoryview(content.as_buffer())):
+                    for record in _parse(data):
+                        rows.append(record if payload else (*record[:-1], None))
+                        size += 500 + len(rows[-1][-1] or b"")
+                        if size > lot_bytes:
+                            yield packed(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield packed(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(records, RECORD_DDL)
@@ -142,12 +213,12 @@ def assemble(records: DataFrame) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    captures = assemble(read_records(spark, path).drop("payload"))
-    number = lambda field: F.regexp_extract("metadata.fields", rf"{field}: (\d+)", 1).cast("long")
+    captures = assemble(read_records(spark, path, payload=False).drop("payload"))
+    number = lambda field: F.regexp_extract("metadata.fields", rf"{field}: (-?\d+)", 1).try_cast("long")
     return captures.select(
         number("pageId").alias("page_id"), F.coalesce("main.payload_bytes", number("payloadBytes")).alias("payload_bytes"),
         F.col("main.digest").alias("payload_digest"), F.col("main.type").alias("record_type"),
-        F.regexp_extract("main.refers_to", r"capture:(-?\d+):", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract("main.refers_to", r"capture:(-?\d+)-", 1).try_cast("long").alias("refers_to"),
     )
 
 
