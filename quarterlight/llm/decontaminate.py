@@ -7,11 +7,14 @@ benchmark's, the windows of WINDOW words around it are compared word by word.
 An item of fewer words is one window of its own length; for each such length
 the documents' grams of that length are looked up, which is winnowing with one
 gram to a run.
+
+A benchmark of up to INDEXED_BYTES is indexed once and goes to every task, and
+documents aren't shuffled. Of a larger one the fingerprints of both sides are
+joined by Spark, then the words of the windows around the hits.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarterlight.llm.common import save, shielded, table
-from quarterlight.llm.words import alnum_words
+from quarterlight.llm.words import WordHash, alnum_words
 
 #: Words of a window and of a k-gram.
 WINDOW, K = 10, 5
-#: Benchmark words that one pass over the documents holds in a task; more are matched in further passes.
-PASS_WORDS = 2_000_000
+#: Bytes of benchmark text that are indexed for every task.
+INDEXED_BYTES = 8 << 20
 #: Document words that a task looks at together (a longer document is one such lot).
 LOT_WORDS = 400_000
 
@@ -63,30 +66,44 @@ def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
     return np.unique(at)
 
 
+def _window_hashes(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """gram_hashes of n ids at each start."""
+    h = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        h = h * _MULT + ids[starts + j]
+    h ^= h >> np.uint64(31)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
+
+
 class BenchmarkIndex:
-    """Windows of the items' words and the winnowed k-grams by which documents find them."""
+    """Words of the items one after the other, places of their windows by hash, and the winnowed k-grams by which documents find them.
+
+    items: (number, text) with numbers from 0. Built once, and sent to tasks.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, list[tuple[np.ndarray, int]]] = {}
-        kept: list[np.ndarray] = []
-        for item, text in items:
-            words = alnum_words(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            n = min(len(ids), WINDOW)
-            if not n:
-                continue
-            windows.setdefault(n, []).extend((ids[i : i + n], item) for i in range(len(ids) - n + 1))
+        vocabulary: dict[bytes, int] = {}
+        words = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in alnum_words(text)] for _, text in items]
+        lengths = np.array([len(w) for w in words], np.int64)
+        #: A 0 is no word and keeps items apart.
+        self.ids = np.fromiter((i for w in words for i in (*w, 0)), np.uint64, int(lengths.sum()) + len(words))
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        number = np.array([i for i, _ in items], np.int64)
+        kept, self.windows = [], {}
+        for n in np.unique(np.minimum(lengths[lengths > 0], WINDOW)).tolist():
+            which = np.flatnonzero(np.minimum(lengths, WINDOW) == n)
+            count = lengths[which] - n + 1
+            starts = np.repeat(begins[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            hashes, item = _window_hashes(self.ids, starts, n), np.repeat(number[which], count)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[n] = (hashes[order], starts[order], item[order])
             if n == WINDOW:
-                grams = gram_hashes(ids, K)
-                kept.append(grams[winnow(grams, WINDOW - K + 1)])
+                for i in which:
+                    grams = gram_hashes(self.ids[begins[i] : begins[i] + lengths[i]], K)
+                    kept.append(grams[winnow(grams, WINDOW - K + 1)])
         self.fingerprints = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
-        self.windows = {}
-        for n, found in windows.items():
-            ids, item = np.array([x[0] for x in found], np.uint64).reshape(-1, n), np.array([x[1] for x in found])
-            hashes = np.array([gram_hashes(x, n)[0] for x in ids], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            self.windows[n] = (hashes[order], ids[order], item[order])
+        self.vocabulary = vocabulary
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(start, length, item) of the windows that occur in ids; an id of 0 is no benchmark word."""
@@ -96,28 +113,28 @@ class BenchmarkIndex:
             if n == WINDOW:
                 grams = gram_hashes(ids, K)
                 at = winnow(grams, WINDOW - K + 1)
-                at = at[np.isin(grams[at], self.fingerprints)]
-                starts = np.unique(at[:, None] - np.arange(WINDOW - K + 1))
-                starts = starts[(starts >= 0) & (starts <= len(ids) - n)]
-                own = ids[starts[:, None] + np.arange(n)] if len(starts) else np.empty((0, n), np.uint64)
-                looked = np.zeros(len(starts), np.uint64)
-                for j in range(n):
-                    looked = looked * _MULT + own[:, j]
-                looked ^= looked >> np.uint64(31)
-                looked *= _MIX
-                looked ^= looked >> np.uint64(29)
+                starts = around(at[np.isin(grams[at], self.fingerprints)], len(ids))
+                looked = _window_hashes(ids, starts, n)
             else:
                 looked = gram_hashes(ids, n)
                 starts = np.flatnonzero(np.isin(looked, hashes))
-                looked, own = looked[starts], ids[starts[:, None] + np.arange(n)]
-            first, last = np.searchsorted(hashes, looked, "left"), np.searchsorted(hashes, looked, "right")
-            size = last - first
-            place = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else first, size) + np.arange(size.sum())
+                looked = looked[starts]
+            first = np.searchsorted(hashes, looked, "left")
+            size = np.searchsorted(hashes, looked, "right") - first
+            place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             which = np.repeat(np.arange(len(size)), size)
-            same = (windows[place] == own[which]).all(axis=1) if len(place) else np.empty(0, bool)
+            same = np.ones(len(place), bool)
+            for j in range(n):
+                same &= self.ids[windows[place] + j] == ids[starts[which] + j]
             yield starts[which[same]], n, items[place[same]]
 
 
+def around(at: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows that hold the k-grams at these places."""
+    starts = np.unique(at[:, None] - np.arange(WINDOW - K + 1))
+    return starts[(starts >= 0) & (starts <= length - WINDOW)]
+
+
 def _scan(index: BenchmarkIndex, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
     """For each text its number of words, the hit spans (start, end in words; joined) and the items with a window in it."""
     get, ids, starts = index.vocabulary.get, [], []
@@ -158,54 +175,27 @@ FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<lon
 def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, spans (start and end in words, joined where they touch) and items (sorted ids with a window in the text).
 
-    benchmark: item_id long, text. Null texts have no words. Documents keep all
-    columns but those of the three names, which are replaced. The benchmark is
-    dealt by its items' hash into passes of about PASS_WORDS words, each held
-    by every task while the documents stream past, and collected and released
-    one after the other; documents aren't shuffled, but for the join of several
-    passes' spans by a saved row number. One document more than LOT_WORDS
-    long is looked at alone. Repeated item ids count once.
+    benchmark: item_id long, text. Null and empty texts have no words. Documents
+    keep all columns but those of the three names, which are replaced; repeated
+    and null doc_ids are rows like others, which nothing here looks at. Repeated
+    item ids count once; windows of items without an id are hit, but can't be
+    listed. Of no documents there are none, with no benchmark none is hit.
     """
-    spark = docs.sparkSession
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    words = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 5
-    passes = max(1, math.ceil(words / PASS_WORDS))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     kept = docs.drop("n_words", "spans", "items")
-
-    def share(p: int):
-        return spark.sparkContext.broadcast([tuple(r) for r in sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()])
-
-    if passes == 1:
-        return _one_pass(kept, share(0))
-    row = "_row"
-    while row in kept.columns:
-        row = f"_{row}"
-    numbered, hits = save(kept.withColumn(row, F.monotonically_increasing_id()), "numbered"), []
-    for p in range(passes):
-        items = share(p)
-        # the words are the same in each pass, and are kept from the first
-        found = _one_pass(numbered.select(row, "text"), items).drop("text")
-        hits.append(save(found if p == 0 else found.filter(F.size("spans") > 0), "hits"))
-        items.destroy()
-    every = hits[0]
-    for more in hits[1:]:
-        every = every.unionByName(more)
-    flat = lambda c: F.flatten(F.collect_list(c))
-    together = every.groupBy(row).agg(F.max("n_words").alias("n_words"), flat("spans").alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
-    out = numbered.join(together, row).select(*kept.columns, "n_words", "spans", "items")
-    joined = F.aggregate(
-        F.array_sort("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    return out.withColumn("spans", joined)
+    return _by_index(kept, items) if size <= INDEXED_BYTES else _by_join(kept, items)
 
 
-def _one_pass(docs: DataFrame, items) -> DataFrame:
+def _by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """items: at most INDEXED_BYTES of text."""
     place = docs.columns.index("text")
+    rows = items.orderBy("item_id", "text").collect()
+    listed = [r["item_id"] for r in rows]
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex([(i, r["text"]) for i, r in enumerate(rows)]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BenchmarkIndex(items.value)
+        index = shared.value
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts, found, lot, size = batch.column(place), [], [], 0
@@ -217,14 +207,99 @@ def _one_pass(docs: DataFrame, items) -> DataFrame:
                     lot, size = [], 0
             found += _scan(index, lot)
             n, spans, which = zip(*found) if found else ((), (), ())
-            more = [pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(which, pa.list_(pa.int64()))]
+            ids = [sorted({listed[i] for i in w} - {None}) for w in which]
+            more = [pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(ids, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_words", "spans", "items"])
 
     return docs.mapInArrow(scan, StructType(docs.schema.fields + StructType.fromDDL(FOUND).fields))
 
 
+PRINTS = "array<struct<n:int,at:int,print:long>>"
+
+
+def fingerprints(words: list[bytes], hashes: WordHash, short: list[int]) -> list[tuple[int, int, int]]:
+    """(window length, place, hash) of a text's winnowed k-grams, and of all its grams of each short length."""
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    grams = gram_hashes(ids, K)
+    at = winnow(grams, WINDOW - K + 1)
+    found = [(np.full(len(at), WINDOW), at, grams[at])]
+    for n in short:
+        grams = gram_hashes(ids, n)
+        found.append((np.full(len(grams), n), np.arange(len(grams)), grams))
+    return list(zip(*(np.concatenate(x).tolist() for x in ([f[0] for f in found], [f[1] for f in found], [f[2].view(np.int64) for f in found]))))
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Fingerprints of documents meet those of the benchmark by hash, distinct on the benchmark's side, so a frequent one isn't multiplied; then windows meet by their words."""
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("row"), "text")
+
+    def own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                words = alnum_words(text.as_py())
+                n = min(len(words), WINDOW)
+                found = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else ()
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(found), pa.int64()), pa.array([n] * len(found), pa.int32()), pa.array(list(found), pa.binary())], names=["item", "n", "words"])
+
+    windows = save(items.mapInArrow(own_windows, "item long, n int, words binary").distinct(), "windows")
+    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # WINDOW of them at most
+    short = sorted(n for n in lengths if n < WINDOW)
+
+    def own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int32()), ("print", pa.int64())]))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = alnum_words(batch.column(1)[i].as_py())
+                found = [{"n": n, "at": at, "print": h} for n, at, h in fingerprints(words, hashes, short)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(words)], pa.int64()), pa.array([found], kind)], names=["row", "n_words", "prints"])
+
+    made = f"row long, n_words long, prints {PRINTS}"
+    known = items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(own_prints, made).select(F.explode("prints").alias("p")).select("p.n", "p.print").distinct()
+    # a short gram of an item counts only where it is all of the item
+    prints = save(texts.mapInArrow(own_prints, made), "prints")
+    met = prints.select("row", F.explode("prints").alias("p")).select("row", "p.*").join(known, ["n", "print"], "left_semi")
+    places = save(met.groupBy("row").agg(F.collect_list(F.struct("n", "at")).alias("places")), "places")
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, out = alnum_words(batch.column(1)[i].as_py()), []
+                places = batch.column(2)[i].as_py()
+                for n in {p["n"] for p in places}:
+                    at = np.array([p["at"] for p in places if p["n"] == n])
+                    out += [(n, s) for s in (around(at, len(words)) if n == WINDOW else at).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(out), pa.int64()), pa.array([n for n, _ in out], pa.int32()), pa.array([s for _, s in out], pa.int64()), pa.array([b" ".join(words[s : s + n]) for n, s in out], pa.binary())],
+                    names=["row", "n", "start", "words"],
+                )
+
+    asked = save(texts.join(places, "row").select("row", "text", "places").mapInArrow(looked, "row long, n int, start long, words binary"), "asked")
+    # a window met by many items and many documents gives a row for each item and document, as the result lists both
+    hits = asked.join(windows, ["n", "words"]).groupBy("row").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
+    )
+    joined = F.aggregate(
+        "spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
+        .otherwise(F.concat(acc, F.array(x))),
+    )
+    found = hits.select("row", joined.alias("spans"), "items")
+    out = numbered.join(prints.select(F.col("row").alias(row), "n_words"), row).join(found.withColumnRenamed("row", row), row, "left")
+    empty = lambda t: F.expr(f"cast(array() as {t})")
+    return out.select(*docs.columns, "n_words", F.coalesce("spans", empty("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("items", empty("array<bigint>")).alias("items"))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs; columns as in docs."""
+    """The documents in which no benchmark window occurs; columns as in docs, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; with no
+    benchmark all stay.
+    """
     plain, back = shielded(docs, ["n_words", "spans", "items"])
     return find_benchmark(plain, benchmark).filter(F.size("spans") == 0).select(*plain.columns).withColumnsRenamed(back)
 
