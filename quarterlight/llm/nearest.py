@@ -31,6 +31,8 @@ DIMENSIONS, CONFIDENCE = 12, 0.95
 CELL, LEAF, MOST_CELLS, SAMPLE = 8192, 256, 4096, 20_000
 #: Vectors and queries at most (about) that meet in one task.
 BLOCK, QUERIES = 16_384, 4096
+#: Queries whose products with a leaf are made together, and the part of the norms' product by which these may be off.
+TOGETHER, SLACK = 1024, 1e-12
 #: Parts that equal vectors are first cut down in.
 SALTS = 8
 
@@ -113,13 +115,20 @@ class Leaves:
         return out
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each row of a with that of b: one order of summing for each pair, wherever it stands."""
+    return (a * b).sum(axis=1)
+
+
 def search_block(vectors: np.ndarray, ids: np.ndarray, points: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, query_points: np.ndarray, worst2: np.ndarray, norm2: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the up to k best of a block for each query.
 
     worst2: squared distance of the k-th best known before, inf if none. A query
     takes the leaves in rising distance until the next is beyond
     worst2 * stop, the projected radius that holds all nearer ones at the level
-    of the test. Queries at one leaf are verified together.
+    of the test. Queries at one leaf are verified together: a matrix product
+    picks those that may be among the k best, to SLACK of the norms, as its last
+    bits depend on the place; these have their exact sums made and are ranked by them.
     """
     leaves = Leaves(points)
     far = leaves.distances(query_points)
@@ -127,7 +136,8 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, points: np.ndarray, queri
     best = np.full((len(queries), k), -np.inf)
     best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
     # inner product p means squared distance |q|^2 + M^2 - 2 p
-    base = np.square(queries).sum(axis=1) + norm2
+    length2 = np.square(queries).sum(axis=1)
+    base, slack = length2 + norm2, SLACK * np.sqrt(length2 * norm2)
     worst = worst2.copy()
     active = np.arange(len(queries))
     for step in range(len(leaves.order)):
@@ -139,18 +149,46 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, points: np.ndarray, queri
         by = np.argsort(leaf, kind="stable")
         edges = np.flatnonzero(np.diff(leaf[by], prepend=-1))
         for start, end in zip(edges, [*edges[1:], len(by)]):
-            who, here = active[by[start:end]], leaves.order[leaf[by[start]]]
-            scores = queries[who] @ vectors[here].T
-            scores[query_ids[who][:, None] == ids[here][None, :]] = -np.inf
-            both = np.concatenate([best[who], scores], axis=1)
-            both_ids = np.concatenate([best_id[who], np.broadcast_to(ids[here], scores.shape)], axis=1)
-            order = np.lexsort((both_ids, -both), axis=1)[:, :k]
-            best[who], best_id[who] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
-            worst[who] = np.minimum(worst[who], np.maximum(0, base[who] - 2 * best[who, -1]))
+            here = leaves.order[leaf[by[start]]]
+            for at in range(start, end, TOGETHER):
+                who = active[by[at : min(at + TOGETHER, end)]]
+                scores = queries[who] @ vectors[here].T
+                scores[query_ids[who][:, None] == ids[here][None, :]] = -np.inf
+                least = best[who, -1]
+                if len(here) > k:
+                    least = np.maximum(least, np.partition(scores, len(here) - k, axis=1)[:, len(here) - k])
+                row, column = np.nonzero(scores >= (least - slack[who])[:, None])
+                column = column[kept := scores[row, column] > -np.inf]
+                row = row[kept]
+                if not len(row):
+                    continue
+                count = np.bincount(row, minlength=len(who))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                both = np.full((len(who), k + count.max()), -np.inf)
+                both_ids = np.full(both.shape, np.iinfo(np.int64).max)
+                both[:, :k], both_ids[:, :k] = best[who], best_id[who]
+                both[row, k + place], both_ids[row, k + place] = exact(queries[who[row]], vectors[here[column]]), ids[here[column]]
+                order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+                best[who], best_id[who] = np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
+                worst[who] = np.minimum(worst[who], np.maximum(0, base[who] - 2 * best[who, -1]))
     found = np.isfinite(best)
     return np.repeat(query_ids, found.sum(axis=1)), best_id[found], best[found]
 
 
+def chunks_by_cell(routed: DataFrame) -> DataFrame:
+    """(cell, chunks) of the cells that queries come to: as many chunks as their own queries fill. At most MOST_CELLS rows."""
+    return F.broadcast(save(routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks")), "chunks"))
+
+
+def for_chunks(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """blocks once for each chunk of queries that comes to their cell, and not at all where none comes."""
+    return blocks.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+
+def in_chunks(routed: DataFrame, chunks: DataFrame) -> DataFrame:
+    return routed.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")).drop("chunks")
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """id and embedding as doubles of the vectors that take part: not null, not zero, all components finite, of the commonest length."""
     double = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
@@ -189,12 +227,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
     points = save(few.select("id", "v", "norm2").mapInPandas(project, "id long, v array<double>, p array<double>, q array<double>"), "points")
     asked = save(distinct.filter(F.col("id") % every == 0).select("id", "v", "norm2").mapInPandas(project, "id long, v array<double>, p array<double>, q array<double>").drop("p"), "queries")
 
-    m, n_asked = points.count(), asked.count()
+    m = points.count()
     sampled = points.select("id", "p") if m <= SAMPLE else points.select("id", "p").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / m))
     sample = np.array([r["p"] for r in sampled.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]).reshape(-1, dimensions)
     cells = Cells(sample, min(MOST_CELLS, max(1, round(m / cell))))
     per_cell = max(1, m // len(cells.low))
-    splits, chunks = max(1, round(per_cell / BLOCK)), max(1, math.ceil(n_asked / QUERIES))
+    splits = max(1, round(per_cell / BLOCK))
     stop = chi_square_quantile(confidence, dimensions)
 
     @F.pandas_udf("int")
@@ -206,39 +244,33 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
         return pd.Series([x.astype("int32") for x in cells.reached(np.stack(q.to_numpy()), worst2.to_numpy() * stop)]) if len(q) else pd.Series([], dtype=object)
 
     blocks = save(points.select("id", "v", "p", cell_of("p").alias("cell"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(splits)).cast("int").alias("part")), "blocks")
-    chunk = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk")
-    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(left) or not len(right):
             return empty
-        left, right = left.sort_values("id"), right.sort_values("id")
-        v, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        who, what, _ = search_block(v, left["id"].to_numpy(), np.stack(left["p"].to_numpy()), q, right["id"].to_numpy(), np.stack(right["q"].to_numpy()), right["worst2"].to_numpy(), norm2, k, stop)
-        if not len(who):
-            return empty
-        # the same sum for the same two vectors, wherever they stood in a block
-        a, b = q[np.searchsorted(right["id"].to_numpy(), who)], v[np.searchsorted(left["id"].to_numpy(), what)]
-        return pd.DataFrame({"query_id": who, "vec_id": what, "score": (a * b).sum(axis=1)})
+        stack = lambda df, c: np.stack(df[c].to_numpy())
+        who, what, score = search_block(stack(left, "v"), left["id"].to_numpy(), stack(left, "p"), stack(right, "v"), right["id"].to_numpy(), stack(right, "q"), right["worst2"].to_numpy(), norm2, k, stop)
+        return pd.DataFrame({"query_id": who, "vec_id": what, "score": score}) if len(who) else empty
 
     def run(routed: DataFrame) -> DataFrame:
         """routed: id, v, q, worst2, cell."""
-        held = blocks.withColumn("chunk", numbers(chunks))
-        sent = routed.withColumn("part", numbers(splits)).withColumn("chunk", chunk)
+        chunks = chunks_by_cell(routed)
+        held, sent = blocks.transform(for_chunks, chunks), in_chunks(routed, chunks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
         keys = ["cell", "part", "chunk"]
         return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(visit, "query_id long, vec_id long, score double")
 
     inf = float("inf")
-    home = asked.withColumn("cell", cell_of("q")).withColumn("worst2", F.lit(inf))
+    home = save(asked.withColumn("cell", cell_of("q")).withColumn("worst2", F.lit(inf)), "home")
     first = save(run(home), "near")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
     kth = ranked(first).groupBy("query_id").agg(F.min("score").alias("_s"), F.count("*").alias("_n"))
     worst2 = F.when(F.col("_n") >= k, F.greatest(F.lit(0.0), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + norm2 - 2 * F.col("_s"))).otherwise(inf)
-    known = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left").withColumn("worst2", worst2).drop("_s", "_n")
-    onward = known.withColumn("own", cell_of("q")).withColumn("cell", F.explode(reached("q", "worst2"))).filter("cell <> own").drop("own")
-    found = first.unionByName(run(onward))
+    known = home.drop("worst2").join(kth.withColumnRenamed("query_id", "id"), "id", "left").withColumn("worst2", worst2).drop("_s", "_n")
+    # a query is one row here, with the list of its cells
+    listed = save(known.withColumn("cells", F.array_except(reached("q", "worst2"), F.array("cell"))).drop("cell"), "routed")
+    found = first.unionByName(run(listed.withColumn("cell", F.explode("cells")).drop("cells")))
     return ranked(found).select("query_id", "rank", "vec_id", "score")
 
 
