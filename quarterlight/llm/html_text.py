@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -26,19 +27,23 @@ _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>""",
     re.S,
 )
-_CLASSES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Their content isn't text of the page.
 SKIPPED = frozenset("script style title noscript template textarea svg math iframe object select option canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-#: Elements, and words of a class, id or role, that mark what stands beside the text.
+#: Elements that stand beside the text.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
-ASIDE_WORDS = frozenset(
+#: What a class, id or role calls such a thing, and what may be added to its name; any other word in the name makes it another thing.
+ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-_WORD = re.compile(r"[a-z]+")
-#: Their words of a class, id or role say nothing of what is inside.
+ADDED_NAMES = frozenset("area bar block body box button center container content field group holder inner item items left line link links list main message messages page panel policy right row section side site slot small sticky text thread top bottom unit user wrap wrapper".split())
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Their class, id or role says nothing of what is inside.
 WRAPPERS = frozenset("html body main article".split())
+#: Part of a page's words beyond which an element is the page's text, whatever it is called, if there is no article or main elsewhere.
+MOST_WORDS = 0.6
 #: Skipped elements whose content is plain characters, and elements without content.
 RAW = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,16 +52,37 @@ _OUTSIDE = frozenset("body blockquote div dl dd dt h1 h2 h3 h4 h5 h6 li ol p pre
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 
 
+@lru_cache(4096)
+def names_aside(name: str) -> bool:
+    """Whether a class, id or role is made of ASIDE_NAMES and ADDED_NAMES alone (parted by case or signs, or written in one), one of the first among them."""
+
+    def cut(part: str, found: bool) -> bool | None:
+        """Whether there is an aside name among the words of the best cut; None if it can't be cut."""
+        if not part:
+            return found
+        ways = [cut(part[n:], found or part[:n] in ASIDE_NAMES) for n in range(len(part), 1, -1) if part[:n] in ASIDE_NAMES or part[:n] in ADDED_NAMES]
+        return None if all(x is None for x in ways) else any(ways)
+
+    parts = _NAME_PARTS.findall(name[:60])
+    cuts = [cut(x.lower(), False) for x in parts if not x.isdigit()]
+    if any(x is None for x in cuts):
+        whole = cut("".join(parts).lower(), False)  # sideBar, side-bar
+        return bool(whole)
+    return any(cuts) or bool(cut("".join(x for x in parts if not x.isdigit()).lower(), False))
+
+
 def _is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether the element is beside the text, and whether its class, id or role says so, which doesn't hold for one around the text."""
-    if tag in ASIDE_TAGS or tag == "header" and not inside or attrs and _HIDDEN.search(attrs):
+    """Whether the element is beside the text, or hidden, and whether its class, id or role says so, which doesn't hold for one around the text."""
+    if tag in ASIDE_TAGS or tag == "header" and not inside:
         return True, False
-    if not attrs or tag in WRAPPERS:
-        return False, False
-    words = {w for m in _CLASSES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    if inside and "header" in words:
-        words.discard("header")
-    return False, bool(words & ASIDE_WORDS)
+    named = False
+    for name, *values in _ATTRIBUTE.findall(attrs) if attrs else ():
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True, False
+        if name in ("class", "id", "role") and tag not in WRAPPERS:
+            named = named or any(names_aside(x) and not (inside and x.lower() in ("header", "banner")) for x in value.split())
+    return False, named
 
 
 def _skip(page: str, at: int, tag: str, outer: set[str]) -> int:
@@ -173,6 +199,16 @@ def blocks(page: str | None) -> list[tuple]:
         heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     add(page[at:])
     flush()
+    # an element that has most of the page's words is its text, if no article or main stands elsewhere
+    held, every = [0] * len(around), sum(b[1] for b in found)
+    within = [0] * len(around)
+    for b, own in zip(found, by_words):
+        for i in own:
+            held[i] += b[1]
+            within[i] += b[1] * b[4]
+    texts = sum(b[1] for b in found if b[4])
+    for i in range(len(around)):
+        around[i] = around[i] or held[i] > MOST_WORDS * every and texts == within[i]
     return [(*b[:3], b[3] or not all(around[i] for i in own), *b[4:]) for b, own in zip(found, by_words)]
 
 
@@ -187,22 +223,28 @@ def features(found: list[tuple]) -> list[tuple]:
 
 
 _LONG = "keep this is a paragraph of the story with quite a number of words in it and it goes on for a while so that it reads as prose"
+_OTHER = _LONG.replace("keep", "drop")
 _MENU = "".join(f"<li><a href='/{w}'>drop {w}</a></li>" for w in ("home", "news", "about us"))
 #: The labelled table: pages of which each block's first word is its label.
 LABELLED = (
     f"<nav><ul>{_MENU}</ul></nav><div class=ad>drop buy now</div><article><h1>keep title</h1><p>{_LONG}<p>keep.<p>{_LONG} {_LONG}</article><footer>drop all rights reserved by the owner</footer>",
     f"<header>drop the site</header><main><h1>keep a title of more words</h1><p>{_LONG}<p><a href=/x>keep linked</a> words in the text<p>keep so<aside>drop see also <a href=/y>drop this</a></aside><p>keep the end</main><form>drop your name</form>",
-    f"<div class=sidebar><p>{_LONG.replace('keep', 'drop')}</div><article><p>keep<p>keep it<p>{_LONG}</article><div class=comments><p>{_LONG.replace('keep', 'drop')}<p>drop nice</div>",
+    f"<div class=sidebar><p>{_OTHER}</div><article><p>keep<p>keep it<p>{_LONG}</article><div class=comments><p>{_OTHER}<p>drop nice</div>",
     f"<ul>{_MENU}</ul><h1>keep heading</h1><p>{_LONG}</p><p>{_LONG}</p><p>keep short one</p><p>{_LONG}</p><ul>{_MENU}</ul><p>drop contact</p>",
     f"<div><ul>{_MENU}</ul></div><div><p>{_LONG} {_LONG}</p><p>keep a few words here</p><p>{_LONG}</p></div><div><a href=/a>drop more</a> <a href=/b>drop stories</a></div><div>drop legal</div>",
     f"<article><div class=ad>drop an advert within</div><p>{_LONG}<div class=notice>drop we use cookies on this site to give you more of them and you may agree to it</div><p>keep after it<ul><li>keep one<li>keep two</ul><p><a href=/z>keep all of it is a link</a></article><div class=cookie>drop accept</div>",
-    f"<nav><a href=/>drop home</a></nav><article><h1>keep</h1><p>keep word</article><footer>drop</footer><footer><p>{_LONG.replace('keep', 'drop')}</footer>",
+    f"<nav><a href=/>drop home</a></nav><article><h1>keep</h1><p>keep word</article><footer>drop</footer><footer><p>{_OTHER}</footer>",
     "<article>keep only words", f"<article><p>{_LONG}", f"<p>{_LONG} {_LONG}", "<main><p>keep <a href=/m>more of it</a></main>", "<article><h1>keep a title</h1></article>",
     f"<article><h1>keep</h1><p>keep it</p></article><article><p>keep that<p>{_LONG}</article>",
     f"<nav><ul>{_MENU}</ul></nav><article><p>keep alone</article>", f"<nav><ul>{_MENU}</ul></nav><article><p>{_LONG}</article>", f"<nav><ul>{_MENU}</ul></nav><article><h1>keep</h1><p><a href=/n>keep a link</a><p>keep last</article>",
     f"<nav><ul>{_MENU}</ul></nav><article><p><a href=/n>keep a link of some words</a></article><div class=ad>drop buy</div>", f"<article><p>{_LONG}<p><a href=/n>keep it</a><p>keep the last one</article>",
-    f"<body class='has-sidebar'><div class='layout no-ads'><article class='post share'><h1>keep title</h1><p>{_LONG}<p>keep short<div class=share>drop send it on</div></article></div><div class=sidebar><p>{_LONG.replace('keep', 'drop')}</div></body>",
-    f"<div class=header>drop top line of it</div><article><h2>keep second</h2><p>keep tiny<p>keep tiny too</article><div class=related><a href=/r>drop read this</a><p>{_LONG.replace('keep', 'drop')}</div>",
+    f"<body class='has-sidebar'><div class='layout no-ads'><article class='post share'><h1>keep title</h1><p>{_LONG}<p>keep short<div class=share>drop send it on</div></article></div><div class=sidebar><p>{_OTHER}</div></body>",
+    f"<div class=commentlist><p>{_OTHER}<p>drop nice</div><div><h2>keep the title</h2><p>{_LONG}<p>{_LONG} {_LONG}</div><div class=side-bar><p>{_OTHER}</div>",
+    f"<div id=cookiebar><p>{_OTHER}</div><div class=social-science><h1>keep title</h1><p>{_LONG}<p>keep short</p><p>{_LONG}</div><div class=pageFooter>drop all rights</div>",
+    f"<article><p>{_LONG}<blockquote>keep a quote</blockquote><p>{_LONG}<ul class=share-links><li><a href=/s>drop send</a><li><a href=/t>drop post</a></ul></article><section class=comment-thread><p>{_OTHER}<p>{_OTHER}</section>",
+    f"<div><a href=/>drop home</a> <a href=/n>drop news</a></div><div><p>{_LONG}<p>{_LONG}<p>{_LONG}</div><div><a href=/p>drop previous</a></div><div>drop terms</div><div><a href=/c>drop contact us</a></div>",
+    f"<article><header><h1>keep title</h1><p>keep by the writer</header><p>{_LONG}<footer>drop filed under news</footer></article><div role=complementary><p>{_OTHER}</div>",
+    f"<div class=header>drop top line of it</div><article><h2>keep second</h2><p>keep tiny<p>keep tiny too</article><div class=related><a href=/r>drop read this</a><p>{_OTHER}</div>",
 )
 
 
@@ -228,9 +270,9 @@ def tree_column(spark: SparkSession, block: Column) -> Column:
 BLOCK_TYPE = pa.list_(pa.struct([("text", pa.string()), *((name, pa.float64()) for name in FEATURES)]))
 
 
-def cut_blocks(pages: DataFrame, column: str = "html") -> DataFrame:
-    """pages with blocks, an array of structs of text and FEATURES, in place of the html column."""
-    place, rest = pages.columns.index(column), [c for c in pages.columns if c not in (column, "blocks")]
+def cut_blocks(pages: DataFrame, column: str = "html", name: str = "blocks") -> DataFrame:
+    """pages with the column `name`, an array of structs of text and FEATURES, in place of the html column."""
+    place, rest = pages.columns.index(column), [c for c in pages.columns if c not in (column, name)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,9 +285,9 @@ def cut_blocks(pages: DataFrame, column: str = "html") -> DataFrame:
                 for found in cut_pages:
                     offsets.append(offsets[-1] + len(found))
                 values = pa.StructArray.from_arrays([pa.array(texts, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], fields=list(BLOCK_TYPE.value_type))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*rest, "blocks"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*rest, name])
 
-    ddl = "blocks array<struct<text:string," + ",".join(f"{name}:double" for name in FEATURES) + ">>"
+    ddl = f"`{name}` array<struct<text:string," + ",".join(f"{x}:double" for x in FEATURES) + ">>"
     return pages.mapInArrow(cut, StructType([pages.schema[c] for c in rest] + StructType.fromDDL(ddl).fields))
 
 
@@ -257,9 +299,11 @@ def main_text(pages: DataFrame, column: str = "html") -> DataFrame:
     becomes one space. A page is read whole; unclosed comments and
     scripts end with it, other skipped elements with their parent. Other columns stay; one named text is replaced.
     """
-    spark = pages.sparkSession
-    kept = F.filter("blocks", lambda b: tree_column(spark, b))
-    return cut_blocks(pages.drop("text"), column).withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).drop("blocks")
+    spark, name = pages.sparkSession, "_blocks"
+    while name in pages.columns:
+        name = f"_{name}"
+    kept = F.filter(name, lambda b: tree_column(spark, b))
+    return cut_blocks(pages.drop("text"), column, name).withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n")).drop(name)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
