@@ -28,14 +28,17 @@ UNKNOWN = "und"
 def learn_dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of docs (text, lang; null ones aside), of a sample of its distinct texts chosen by their hash.
 
-    What counts is a text's lower-cased beginning, which is all that is learned
-    of it; copies are one. Languages' distinct texts are estimated, texts are
-    kept at a rate that gives three times SAMPLE_DOCS of them for each language,
-    and the smallest hashes of these stay, so no task and not the driver sees
-    more than that bound for a language.
+    Copies, by their lower-cased whole text, are one. Languages' distinct texts
+    are estimated, texts are kept at a rate that gives three times SAMPLE_DOCS
+    of them for each language, and the smallest hashes of these stay, so no task
+    and not the driver sees more than that bound for a language. Of a text of
+    more than SAMPLE_CHARS the hash says which stretch is learned; stretches are
+    taken in the order of their hashes until a dictionary is full. Null and
+    blank texts and null languages teach nothing; no rows give no languages.
     """
-    part = F.substring("text", 1, SAMPLE_CHARS)
-    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64(F.lower(part)).alias("_hash"), part.alias("text")).filter(F.trim("text") != "")
+    hashed = F.xxhash64(F.lower("text"))
+    part = F.substring(F.col("text"), (F.pmod(hashed, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", hashed.alias("_hash"), part.alias("text")).filter(F.trim("text") != "")
     counts = known.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_n")).collect()
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * SAMPLE_DOCS / max(1, r["_n"]))) for r in counts], "lang string, _rate double")
     chance = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
@@ -109,7 +112,12 @@ def held_out(key: Column) -> Column:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language isn't rejected, learned from those that aren't held out; columns as in docs."""
+    """The documents whose language isn't rejected, learned from those that aren't held out; columns as in docs, whatever their names.
+
+    Null and empty texts and those without a letter go, as do texts of a word or
+    two whose margin is under MIN_MARGIN; repeated rows stay or go together.
+    Nothing is learned from rows with null ids; with nothing learned all go.
+    """
     learned = learn_dictionaries(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
     plain, back = shielded(docs, ["lang_pred", "score", "rejected"])
     kept = identify_languages(plain, learned).filter("NOT rejected").select(*plain.columns)
