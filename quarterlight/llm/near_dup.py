@@ -37,6 +37,8 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Members of a band group that meet in one task at most, twice (a block and a block).
 BLOCK = 512
+#: Rows with one key that a task is given, where one side of a join has many rows for a key and the other has one.
+HOT = 2000
 #: A pair whose signatures agree less is not checked on the bags: four standard errors below SIMILARITY.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5
 
@@ -277,7 +279,12 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
                 out.append(weighted_jaccard(made, bag(y, hashes)))
             yield pd.Series(out, dtype="float64")
 
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_x")), "a")
+    # the text that many pairs have in common is dealt over parts
+    parts = save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).filter("_parts > 1"), "parts")
+    hot = small(parts)
+    dealt = pairs.join(hot, "a", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    centres = texts.select(F.col("id").alias("a"), F.col("text").alias("_x")).join(hot, "a", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    with_a = dealt.join(centres, ["a", "_part"])
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_y")), "b")
     return both.select("a", "b", alike("_x", "_y").alias("_j")).filter(F.col("_j") >= similarity).select("a", "b")
 
@@ -335,11 +342,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = save(links_inside(members.select("key", "id"), signed, texts, classes(links), similarity), "links")
     found = classes(links.unionByName(more))
     copy_class = first_ids.select("_copy", F.col("first").alias("id")).join(found, "id", "left").select("_copy", F.coalesce("class", "id").alias("class_id"))
-    return rows.join(copy_class, "_copy").select("doc_id", "class_id")
+    # copies of one text may be a third of all rows: the classes of such texts are few, and meet the rows where they are
+    many = save(copy_class.join(first_ids.filter(F.col("_n") > HOT).select("_copy"), "_copy"), "many")
+    met = rows.join(small(many.withColumnRenamed("class_id", "_many")), "_copy", "left")
+    other = met.filter("_many IS NULL").join(copy_class, "_copy").select("doc_id", "class_id")
+    return met.filter("_many IS NOT NULL").select("doc_id", F.col("_many").alias("class_id")).unionByName(other)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id (one of its rows, if they repeat); documents without an id stay. Columns as in docs."""
+    """One document of each class, that with the smallest id (one of its rows, if they repeat); columns as in docs, whatever their names.
+
+    Documents without an id stay, as do those with null texts, each on its own;
+    empty and other texts without words go but for one of each exact text.
+    """
     kept = save(near_classes(docs.select("doc_id", "text")).filter("doc_id = class_id").select("doc_id").distinct(), "kept")
     first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
