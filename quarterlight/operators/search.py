@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +44,12 @@ def _newest(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
     of_day = Window.partitionBy("date").orderBy("doc_id")
     kept = records.select("doc_id", "date").withColumn("_k", F.row_number().over(of_day)).filter(F.col("_k") <= k).drop("_k")
     days = kept.groupBy("date").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    dates = queries.select("as_of").distinct()
-    met = dates.join(days, F.col("date") <= F.col("as_of"))
-    first = Window.partitionBy("as_of").orderBy(F.desc("date"))
-    # k dates hold at least k records
-    near = met.withColumn("_d", F.row_number().over(first)).filter(F.col("_d") <= k).select("as_of", "date", F.explode("docs").alias("doc_id"))
+    # a day carries the k newest days up to itself, which hold at least k records; a row for each day there is
+    dates = queries.select(F.col("as_of").alias("date")).distinct()
+    both = days.join(dates.withColumn("_asked", F.lit(True)), "date", "full_outer")
+    numbered = both.withColumn("_n", F.count("docs").over(Window.orderBy("date")))
+    last = days.withColumn("_n", F.row_number().over(Window.orderBy("date"))).withColumn("_days", F.collect_list(F.struct("date", "docs")).over(Window.orderBy("_n").rowsBetween(-(k - 1), 0))).select("_n", "_days")
+    near = numbered.filter("_asked").select(F.col("date").alias("as_of"), "_n").join(last, "_n").select("as_of", F.explode("_days").alias("_d")).select("as_of", F.col("_d.date").alias("date"), F.explode("_d.docs").alias("doc_id"))
     best = near.withColumn("_k", F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("date"), "doc_id"))).filter(F.col("_k") <= k)
     return queries.select("query_id", "as_of").join(best, "as_of").select("query_id", "doc_id", "date")
 
@@ -64,6 +68,10 @@ def search_sets(queries: DataFrame, records: DataFrame, k: int, bonus: float = 0
     return hits.withColumn("score", score).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _ngrams(words: Sequence[str], most: int) -> list[str]:
+    return [" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
+
+
 def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int = 12, max_chars: int = 6000, most: int = 3) -> DataFrame:
     """(doc_id, n_sentences, selected, text): sentences of each document nearest to an anchor by TF-IDF, in their order.
 
@@ -71,45 +79,36 @@ def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int
     `most` words of two characters or more after stop words are dropped, smooth
     idf and unit length. The k best are taken greedily as long as they fit
     max_chars; the one that is best goes in whatever its length, and the text is
-    cut at max_chars.
+    cut at max_chars. A document stays one row and nothing is shuffled; tasks
+    hold the n-grams of one document at a time.
     """
     words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-
-    def of_size(w: Column, n: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    def grams(w: Column) -> Column:
-        return F.concat(*[of_size(w, n) for n in range(1, most + 1)])
+    asked = docs.sparkSession.createDataFrame([(anchor,)], "a string").select(words(F.col("a"))).first()[0]
+    wanted = Counter(_ngrams(asked, most))
+
+    def best(split: Sequence[Sequence[str]], sizes: Sequence[int]) -> list[int]:
+        own = [Counter(_ngrams(list(w), most)) for w in split]
+        held = Counter(g for tf in own for g in tf)
+        weight = {g: math.log((len(own) + 2) / (d + (g in wanted) + 1)) + 1 for g, d in held.items()}
+        unseen = math.log((len(own) + 2) / 2) + 1
+        length = math.sqrt(sum((n * weight.get(g, unseen)) ** 2 for g, n in wanted.items()))
+        scores = []
+        for tf in own:
+            norm = math.sqrt(sum((n * weight[g]) ** 2 for g, n in tf.items())) * length
+            met = wanted.keys() & tf.keys()
+            scores.append(round(sum(tf[g] * wanted[g] * weight[g] ** 2 for g in met) / norm, 9) if met and norm else 0.0)
+        chars, kept = 0, []
+        for i in sorted(range(len(own)), key=lambda i: (-scores[i], i))[:k]:
+            if chars < max_chars and (chars == 0 or chars + sizes[i] + 1 <= max_chars):
+                chars += sizes[i] + 1
+                kept.append(i)
+        return sorted(kept)
+
+    @F.pandas_udf("array<int>")
+    def select(split: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else best(w, n) for w, n in zip(split, sizes)], dtype=object)
 
     listed = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
-    n_sentences = listed.select("doc_id", F.size("_s").alias("n_sentences"))
-    split = listed.select("doc_id", F.size("_s").alias("n"), F.posexplode("_s").alias("i", "sentence"))
-    # words are a column of their own, or each n-gram would split the sentence again
-    listed_words = split.select("doc_id", "n", "i", words(F.col("sentence")).alias("w"))
-    terms = listed_words.select("doc_id", "n", "i", F.explode(grams(F.col("w"))).alias("g")).groupBy("doc_id", "g", "n", "i").agg(F.count("*").alias("tf"))
-    asked = docs.sparkSession.createDataFrame([(anchor,)], "a string").select(F.explode(grams(words(F.col("a")))).alias("g")).groupBy("g").agg(F.count("*").cast("double").alias("qtf"))
-    asked = F.broadcast(asked)  # the anchor's n-grams
-    idf = lambda d: F.log((F.col("n") + 2) / (d + 1.0)) + 1  # noqa: E731  n sentences and the anchor
-    # one shuffle by document and n-gram counts the sentences that have it
-    counted = terms.withColumn("c", F.count("*").over(Window.partitionBy("doc_id", "g"))).join(asked, "g", "left")
-    weighed = counted.withColumn("idf", idf(F.col("c") + F.when(F.col("qtf").isNotNull(), 1).otherwise(0)))
-    sums = weighed.groupBy("doc_id", "n", "i").agg(
-        F.sum(F.col("tf") * F.col("qtf") * F.pow("idf", F.lit(2.0))).alias("dot"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"),
-        # the anchor's own n-grams: each of the c rows of one brings a part
-        F.sum(F.pow(F.col("qtf") * F.col("idf"), F.lit(2.0)) / F.col("c")).alias("seen"), F.sum(F.pow("qtf", F.lit(2.0)) / F.col("c")).alias("qseen"),
-    )
-    everything = asked.agg(F.sum(F.pow("qtf", F.lit(2.0))).alias("qall"))
-    of_doc = Window.partitionBy("doc_id")
-    total = lambda c: F.coalesce(F.sum(c).over(of_doc), F.lit(0.0))
-    qnorm = F.sqrt(total("seen") + (F.col("qall") - total("qseen")) * F.pow(idf(F.lit(1)), F.lit(2.0)))
-    scored = sums.crossJoin(F.broadcast(everything)).select("doc_id", "i", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * qnorm), F.lit(0.0)), 9).alias("score"))
-    ranked = split.join(scored, ["doc_id", "i"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "i"))).filter(F.col("r") <= k)
-    items = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "i", "sentence"))).alias("items"))
-    empty = F.expr("named_struct('chars', 0, 'kept', cast(array() as array<struct<i:int,sentence:string>>))")
-    fits = lambda acc, x: (acc["chars"] == 0) | (acc["chars"] + F.length(x["sentence"]) + 1 <= max_chars)
-    take = lambda acc, x: F.struct((acc["chars"] + F.length(x["sentence"]) + 1).alias("chars"), F.array_append(acc["kept"], F.struct(x["i"].alias("i"), x["sentence"].alias("sentence"))).alias("kept"))
-    kept = F.aggregate("items", empty, lambda acc, x: F.when(fits(acc, x) & (acc["chars"] < max_chars), take(acc, x)).otherwise(acc))
-    chosen = items.withColumn("_k", F.array_sort(kept["kept"])).select("doc_id", F.transform("_k", lambda x: x["i"]).alias("selected"), F.substring(F.array_join(F.transform("_k", lambda x: x["sentence"]), "\n"), 1, max_chars).alias("text"))
-    return n_sentences.join(chosen, "doc_id", "left").select("doc_id", "n_sentences", F.coalesce("selected", F.array().cast("array<int>")).alias("selected"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = listed.withColumn("_i", F.coalesce(select(F.transform("_s", words), F.transform("_s", F.length)), F.array().cast("array<int>")))
+    text = F.substring(F.array_join(F.transform("_i", lambda i: F.get("_s", i)), "\n"), 1, max_chars)
+    return chosen.select("doc_id", F.size("_s").alias("n_sentences"), F.col("_i").alias("selected"), text.alias("text"))

@@ -67,10 +67,12 @@ def external_shocks(clusters: DataFrame, by: Sequence[str], cluster: str, field:
 
 
 def run_deltas(factual: DataFrame, counterfactual: DataFrame, scope: Sequence[str], fields: Sequence[str], least: float = 1e-6) -> DataFrame:
-    """(scope, field, factual, counterfactual, delta) of two runs, outer-matched; rows null on both sides and deltas of `least` or less go."""
-    long = lambda df, name: df.select(*scope, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(list(scope), list(fields), "field", name)
-    met = long(factual, "factual").join(long(counterfactual, "counterfactual"), [*scope, "field"], "full_outer")
-    both = met.filter("factual IS NOT NULL OR counterfactual IS NOT NULL").withColumn("delta", F.coalesce("counterfactual", F.lit(0.0)) - F.coalesce("factual", F.lit(0.0)))
+    """(scope, field, factual, counterfactual, delta) of two runs, outer-matched as they are, then a row for each field; rows null on both sides and deltas of `least` or less go."""
+    packed = lambda df, name: df.select(*scope, F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias(name))
+    met = packed(factual, "_f").join(packed(counterfactual, "_c"), list(scope), "full_outer")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col("_f")[f].alias("factual"), F.col("_c")[f].alias("counterfactual")) for f in fields])
+    long = met.select(*scope, F.explode(pairs).alias("_p")).select(*scope, "_p.*")
+    both = long.filter("factual IS NOT NULL OR counterfactual IS NOT NULL").withColumn("delta", F.coalesce("counterfactual", F.lit(0.0)) - F.coalesce("factual", F.lit(0.0)))
     return both.filter(F.abs("delta") > least)
 
 

@@ -33,10 +33,11 @@ def _(spark, sf_dir):
     return docs.prefer_best(inventory(spark, sf_dir), ["date", "country", "doc_type"], rules.document_rank(F.col("url")), ["url"]).select("id", "date", "country", "doc_type", "url")
 
 
-@query("union_inventory_dedup", f"WITH {INV}, u AS (SELECT id, date, country, doc_type, url, NULL AS note FROM iv WHERE id % 2 = 0 UNION ALL SELECT id, date, country, doc_type, NULL, 'second' FROM iv WHERE id % 3 = 0) SELECT id, date, country, doc_type, url, note FROM u QUALIFY row_number() OVER (PARTITION BY id, date, country, doc_type ORDER BY url NULLS LAST, note NULLS LAST) = 1")
+@query("union_inventory_dedup", f"WITH {INV}, u AS (SELECT id, date, country, doc_type, CASE WHEN id % 2 = 0 THEN url END AS url, NULL AS note FROM iv UNION ALL SELECT id, date, country, doc_type, NULL, CASE WHEN id % 3 = 0 THEN 'second' END FROM iv) SELECT id, date, country, doc_type, url, note FROM u QUALIFY row_number() OVER (PARTITION BY id, date, country, doc_type ORDER BY url NULLS LAST, note NULLS LAST) = 1")
 def _(spark, sf_dir):
     iv = inventory(spark, sf_dir)
-    one, two = iv.filter("id % 2 = 0").select("id", "date", "country", "doc_type", "url"), iv.filter("id % 3 = 0").select("id", "date", "country", "doc_type", F.lit("second").alias("note"))
+    keys = ["id", "date", "country", "doc_type"]
+    one, two = iv.select(*keys, F.when(F.col("id") % 2 == 0, F.col("url")).alias("url")), iv.select(*keys, F.when(F.col("id") % 3 == 0, "second").alias("note"))
     return docs.union_dedup([one, two], ["id", "date", "country", "doc_type"], ["url", "note"])
 
 
@@ -113,10 +114,10 @@ def _(spark, sf_dir):
     return snaps.select("event_id", F.size("own").alias("own_n"), F.size("others").alias("other_n"), F.coalesce(F.size("macro"), F.lit(0)).alias("macros"), F.round(F.col("macro")["click"]["value"], 4).alias("click"), "rag_text")
 
 
-@query("event_context_left_join", f"WITH {EV}, c AS (SELECT event_id, event_type || '!' AS note FROM ev WHERE event_id % 4 = 0) SELECT ev.event_id, coalesce(note, '{{}}') AS note FROM ev LEFT JOIN c ON ev.event_id = c.event_id")
+@query("event_context_left_join", f"WITH {EV}, c AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_type || '!' END AS note FROM ev) SELECT ev.event_id, coalesce(note, '{{}}') AS note FROM ev LEFT JOIN c ON ev.event_id = c.event_id")
 def _(spark, sf_dir):
     ev = events(spark, sf_dir)
-    contexts = ev.filter("event_id % 4 = 0").select("event_id", F.concat("event_type", F.lit("!")).alias("note"))
+    contexts = ev.select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat("event_type", F.lit("!"))).alias("note"))
     return docs.with_context(ev.select("event_id"), contexts, "event_id", {"note": F.lit("{}")})
 
 

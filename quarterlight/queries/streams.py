@@ -69,6 +69,20 @@ def _(spark, sf_dir):
     return collected(spark, stream.normalize(watched(spark, sf_dir))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("counterfactual_runner", """SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 8 = 1 THEN 7 ELSE 3 END END::INTEGER AS rounds FROM events WHERE (event_type = 'error' OR event_id % 8 = 1) AND (event_id % 4 = 0 OR event_id % 8 = 1)""")
+def _(spark, sf_dir):
+    requests = stream.counterfactual_requests(stream.normalize(raw_events(spark, sf_dir)), ["energy_risk", "geo"])
+    # the quarter that the function sees says which calls fail
+    told = requests.withColumn("quarter", F.when(F.col("event_id").cast("long") % 3 == 0, F.lit("none")).otherwise(F.col("quarter")))
+
+    def run(quarter: str, overrides: dict, rounds: int) -> dict:
+        if quarter == "none":
+            raise ValueError("no such quarter")
+        return {"rounds": rounds, "fields": sorted(overrides)}
+
+    return stream.run_counterfactuals(told, run).select("event_id", "status", F.get_json_object("result", "$.rounds").cast("int").alias("rounds"))
+
+
 @query("kafka_event_source", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'error' THEN 'energy_shock' ELSE event_type END AS event_type FROM events")
 def _(spark, sf_dir):
     sent = stream.kafka_encode(stream.normalize(raw_events(spark, sf_dir)).withColumn("as_of", F.col("as_of").cast("string")))
@@ -132,9 +146,10 @@ def _(spark, sf_dir):
     path = scratch_path(spark, "arriving")
     docs = table(spark, sf_dir, "documents").select("doc_id", text_hash(F.col("text")).alias("hash"))
     for part in range(2):  # two arrivals that share texts
-        docs.filter(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return collected(spark, arriving, lambda out: stream.incremental_documents(out, "hash", "doc_id")).select("hash")
+        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
+    files = max(1, len(spark.read.parquet(path).inputFiles()) // 2)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return collected(spark, stream.incremental_documents(arriving, "hash"), lambda out: lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).select("hash")
 
 
 @query("daily_event_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

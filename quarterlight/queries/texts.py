@@ -122,16 +122,15 @@ def _(spark, sf_dir):
     return df.withColumn("latin", latin).withColumn("raw", raw).withColumn("t", text_).select("page_id", F.md5(plain.cast("binary")).alias("text_md5"))
 
 
-@query("crawl_frontier", f"""WITH RECURSIVE {LINKS}, pg AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages),
-ed AS (SELECT DISTINCT regexp_replace(a.url, '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url, regexp_replace(b.url, '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS target FROM pg a JOIN pg b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2)),
-hs AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pg WHERE page_id % 2 = 0),
-r(url, depth) AS (SELECT DISTINCT regexp_replace(url, '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2'), 0 FROM pg WHERE page_id % 2 = 0 UNION SELECT ed.target, r.depth + 1 FROM r JOIN ed ON ed.url = r.url WHERE r.depth < 3 AND regexp_extract(ed.target, '^https?://([^/?#]*)', 1) IN (SELECT h FROM hs))
+@query("crawl_frontier", f"""WITH RECURSIVE {LINKS}, pg AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url FROM pages),
+ed AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url, regexp_replace(target, '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS target FROM ln JOIN (SELECT page_id AS p, url FROM pages) ON p = page_id WHERE text <> ''),
+hs AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pg),
+r(url, depth) AS (SELECT DISTINCT url, 0 FROM pg UNION SELECT ed.target, r.depth + 1 FROM r JOIN ed ON ed.url = r.url WHERE r.depth < 3 AND regexp_extract(ed.target, '^https?://([^/?#]*)', 1) IN (SELECT h FROM hs))
 SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
 def _(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    child = pages.select(F.col("page_id").alias("c"), F.col("url").alias("target"))
-    edges = pages.select("url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("c")).join(child, "c")
-    return page_ops.crawl(pages, edges, pages.filter("page_id % 2 = 0"), 3)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    edges = page_ops.page_links(pages, "url").select("url", "target")
+    return page_ops.crawl(pages, edges, pages, 3)
 
 
 DAY = "CAST(o_orderdate AS DATE)"
@@ -253,10 +252,16 @@ def _(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", *[F.round(v, 5).alias(k) for k, v in b.items()])
 
 
-@query("belief_from_text", "SELECT doc_id, round(0.55::DOUBLE + 0.18::DOUBLE * (contains(lower(text), 'the ') OR contains(lower(text), 'zzz'))::INTEGER, 4) AS inflation_persistence FROM documents".replace("'the '", "'inflation'").replace("'zzz'", "'cpi'"))
+@query("belief_from_text", """WITH t AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, round(0.55::DOUBLE + 0.18::DOUBLE * (contains(t, 'inflation') OR contains(t, 'cpi'))::INTEGER, 4) AS inflation_persistence,
+ round(0.28::DOUBLE + 0.14::DOUBLE * (contains(t, 'unemployment') OR contains(t, 'labor'))::INTEGER, 4) AS labor_softening,
+ round(0.25::DOUBLE + 0.18::DOUBLE * (contains(t, 'energy') OR contains(t, 'oil'))::INTEGER, 4) AS energy_shock_risk,
+ round(0.25::DOUBLE + 0.2::DOUBLE * (contains(t, 'sanction') OR contains(t, 'war') OR contains(t, 'geopolitical'))::INTEGER, 4) AS geopolitical_escalation,
+ round(0.2::DOUBLE + 0.15::DOUBLE * (contains(t, 'liquidity') OR contains(t, 'dollar'))::INTEGER, 4) AS dollar_liquidity_pressure,
+ round(0.45::DOUBLE + 0.2::DOUBLE * (contains(t, 'target') OR contains(t, 'credibility'))::INTEGER, 4) AS policy_credibility_risk FROM t""")
 def _(spark, sf_dir):
     b = game.belief_from_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(b["inflation_persistence"], 4).alias("inflation_persistence"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.round(v, 4).alias(k) for k, v in b.items()])
 
 
 @query("fomc_path", f"""WITH {BRIEF}, s AS (SELECT *, greatest(0, least(0.95::DOUBLE, 0.02::DOUBLE + 0.55::DOUBLE * hp + 0.3::DOUBLE * b1 + 0.1::DOUBLE * b6 + 0.08::DOUBLE * b3 - 0.1::DOUBLE * b2)) AS h, greatest(0, least(0.6::DOUBLE, 0.02::DOUBLE + 0.35::DOUBLE * ep + 0.3::DOUBLE * b2 - 0.25::DOUBLE * b1 - 0.1::DOUBLE * b6)) AS c FROM be),

@@ -77,16 +77,17 @@ def _(spark, sf_dir):
     return proposals(spark, sf_dir).groupBy("cluster", source.alias("source")).agg(F.count("*").alias("n"))
 
 
-DELTAS = f"""{CL}, fa AS (SELECT trace, cluster, unnest(['hike', 'ease', 'press']) AS field, unnest([hike, ease, press]) AS v FROM cl WHERE trace % 5 > 0),
-cf AS (SELECT trace, cluster, unnest(['hike', 'ease', 'press']) AS field, unnest([round(hike + 0.1, 6), ease, round(press + (CASE WHEN trace % 2 = 0 THEN 0.2 ELSE -0.05 END), 6)]::DOUBLE[]) AS v FROM cl WHERE trace % 7 > 0),
+DELTAS = f"""{CL}, fa AS (SELECT trace, cluster, unnest(['hike', 'ease', 'press']) AS field, unnest([hike, ease, press]) AS v FROM (SELECT trace, cluster, CASE WHEN trace % 5 > 0 THEN hike END AS hike, CASE WHEN trace % 5 > 0 THEN ease END AS ease, CASE WHEN trace % 5 > 0 THEN press END AS press FROM cl)),
+cf AS (SELECT trace, cluster, unnest(['hike', 'ease', 'press']) AS field, unnest([round(hike + 0.1, 6), ease, round(press + (CASE WHEN trace % 2 = 0 THEN 0.2 ELSE -0.05 END), 6)]::DOUBLE[]) AS v FROM (SELECT trace, cluster, CASE WHEN trace % 7 > 0 THEN hike END AS hike, CASE WHEN trace % 7 > 0 THEN ease END AS ease, CASE WHEN trace % 7 > 0 THEN press END AS press FROM cl)),
 de AS (SELECT coalesce(fa.trace, cf.trace) AS trace, coalesce(fa.cluster, cf.cluster) AS cluster, coalesce(fa.field, cf.field) AS field, fa.v AS factual, cf.v AS counterfactual, coalesce(cf.v, 0) - coalesce(fa.v, 0) AS delta
  FROM fa FULL JOIN cf ON fa.trace = cf.trace AND fa.cluster = cf.cluster AND fa.field = cf.field WHERE abs(coalesce(cf.v, 0) - coalesce(fa.v, 0)) > 1e-6)"""
 
 
 def deltas(spark, sf_dir):
     cl = clusters(spark, sf_dir)
-    changed = cl.filter("trace % 7 > 0").withColumns({"hike": F.round(F.col("hike") + 0.1, 6), "press": F.round(F.col("press") + F.when(F.col("trace") % 2 == 0, 0.2).otherwise(-0.05), 6)})
-    return traces.run_deltas(cl.filter("trace % 5 > 0"), changed, ["trace", "cluster"], ["hike", "ease", "press"])
+    given = lambda n: {c: F.when(F.col("trace") % n > 0, F.col(c)) for c in ("hike", "ease", "press")}
+    changed = cl.withColumns(given(7)).withColumns({"hike": F.round(F.col("hike") + 0.1, 6), "press": F.round(F.col("press") + F.when(F.col("trace") % 2 == 0, 0.2).otherwise(-0.05), 6)})
+    return traces.run_deltas(cl.withColumns(given(5)), changed, ["trace", "cluster"], ["hike", "ease", "press"])
 
 
 @query("factual_counterfactual_join", f"WITH {DELTAS} SELECT trace, cluster, field, factual, counterfactual, round(delta, 6) AS delta FROM de")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -110,13 +111,13 @@ def rolling_predictions(events: DataFrame) -> DataFrame:
 
 
 def archive(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: a folder for each batch, overwritten when a batch is replayed, with the batch's number and the events' place in it."""
-    from pyspark.sql import Window
+    """foreachBatch sink: a folder for each batch, overwritten when a batch is replayed; a run is named by its batch, its task and its place there."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # a run's number counts within the trigger
-        run = F.row_number().over(Window.partitionBy(F.lit(batch_id)).orderBy("as_of", "event_id"))
-        batch.withColumn("run", F.format_string("run_%04d_%06d", F.lit(batch_id), run)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # numbered where the events are, so no task sees them all
+        place = F.monotonically_increasing_id()
+        run = F.format_string("run_%04d_%05d_%06d", F.lit(batch_id), F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1)))
+        batch.withColumn("run", run).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
@@ -131,14 +132,37 @@ def run_every(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(sink).start()
 
 
-def incremental_documents(store: str, hash_: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink that appends the documents whose hash isn't stored yet, one of equal ones; a replayed batch overwrites its own part."""
-    from quarterlight.operators.documents import unseen
-    from quarterlight.sources.files import exists
+def incremental_documents(arriving: DataFrame, hash_: str) -> DataFrame:
+    """The documents of a stream whose hash hasn't come before, one of equal ones.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(store).filter(F.col("batch") < batch_id) if exists(spark, store) else batch.select(hash_).limit(0)
-        unseen(batch, known, hash_, [key]).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+    The hashes that came are the stream's state, dealt by hash over the tasks, so
+    no batch reads what is stored; RocksDB keeps them off the heap where the
+    session names it as spark.sql.streaming.stateStore.providerClass.
+    """
+    return arriving.dropDuplicates([hash_])
 
-    return write
+
+def publish(events: DataFrame, path: str) -> None:
+    """Writes events as JSON lines to a watched folder; files appear whole. What a source with done="delete" or "archive" has handled leaves the folder: that is the acknowledgement."""
+    events.write.mode("append").json(path)
+
+
+def run_counterfactuals(requests: DataFrame, run: Callable[[str, dict[str, str], int], dict]) -> DataFrame:
+    """(event_id, quarter, status, result, error) of a caller's function of quarter, overrides and max_rounds, called where each request is.
+
+    requests: as counterfactual_requests gives them, a batch or a stream. result
+    is JSON. A function that fails gives a row with status failed and its
+    message, and the other requests go on.
+    """
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                try:
+                    out.append((r.event_id, r.quarter, "completed", json.dumps(run(r.quarter, dict(r.overrides), int(r.max_rounds)), default=str), None))
+                except Exception as error:  # noqa: BLE001  a caller's function may raise anything
+                    out.append((r.event_id, r.quarter, "failed", None, f"{type(error).__name__}: {error}"[:500]))
+            yield pd.DataFrame(out, columns=["event_id", "quarter", "status", "result", "error"])
+
+    return requests.select("event_id", "quarter", "overrides", "max_rounds").mapInPandas(call, "event_id string, quarter string, status string, result string, error string")
