@@ -151,7 +151,7 @@ def panel_var(df: DataFrame, columns: Sequence[str], p: int, entity: str, order:
 
 
 def choose_order(df: DataFrame, columns: Sequence[str], most: int, entity: str, order: str) -> DataFrame:
-    """(entity, p): order with the least Akaike criterion, by the log determinant of the residuals' covariance over common rows."""
+    """(entity, p): order with the least Akaike criterion, by the log determinant of the residuals' covariance, each over the rows that have so many before them."""
     parts = None
     for p in range(1, most + 1):
         res = panel_var(df, columns, p, entity, order)
