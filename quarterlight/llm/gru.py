@@ -189,7 +189,26 @@ def score(p: dict, v: Vocabulary, docs: list[np.ndarray], width: int = 512, wind
     return total
 
 
-def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 128, window: int = 16, rate: float = 0.2, squares: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+def _class_order(cls: np.ndarray, head_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the head's tokens, class by class, and where each class begins and ends among them."""
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(head_classes + 1))
+    return order[: edges[-1]], edges
+
+
+def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax of each row less one at its target; logits are overwritten."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.exp(logits)
+        total = out.sum(axis=1, keepdims=True)
+        out /= total
+    if not np.isfinite(total).all():  # only logits beyond float32's exp
+        out = np.exp(_log_softmax(logits))
+    out[np.arange(len(at)), at] -= 1
+    return out
+
+
+def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 512, window: int = 16, rate: float = 0.2, squares: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """One pass of truncated backpropagation through time over all ids (documents with their ends, one after the other), by Adagrad.
 
     As many lanes run side by side as give a few hundred steps or more, `lanes`
@@ -204,63 +223,85 @@ def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 128, window: int
     squares = {} if squares is None else squares
     for k, x in p.items():
         squares.setdefault(k, np.full_like(x, 1e-6))
-    n = p["u"].shape[0]
-    h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, np.int64)
+    n, rate = p["u"].shape[0], np.float32(rate)
+    h, before = np.zeros((lanes, n), np.float32), np.zeros(lanes, ids.dtype)
     for at in range(0, steps, window):
-        y = target[at : at + window]
-        inputs = np.concatenate([before[None], y[:-1]])
-        seen, fresh = v.seen_as[inputs], (inputs != 0).astype(np.float32)[:, :, None]
-        kept, states = [], []
-        for t in range(len(y)):
-            carried = h * fresh[t]
-            h, *gates = _step(p, p["x"][seen[t]], carried)
-            kept.append((carried, *gates))
-            states.append(h)
-        before = y[-1]
-        all_states, flat = np.concatenate(states), y.reshape(-1)
+        y = np.ascontiguousarray(target[at : at + window])
+        length, flat = len(y), y.reshape(-1)
         none = np.flatnonzero(filled[at : at + window].reshape(-1))
         if len(none) == len(flat):
             break
+        inputs = np.concatenate([before[None], y[:-1]])
+        before = y[-1]
+        seen, fresh = v.seen_as[inputs].reshape(-1), (inputs != 0).astype(np.float32)[:, :, None]
+        gates = p["x"][seen].reshape(length, lanes, 3 * n)
+        carried, states, hu_c = (np.empty((length, lanes, n), np.float32) for _ in range(3))
+        rz, cs = gates[:, :, : 2 * n], gates[:, :, 2 * n :]  # worked out in place
+        with np.errstate(over="ignore"):
+            for t in range(length):
+                np.multiply(h, fresh[t], out=carried[t])
+                hu = carried[t] @ p["u"]
+                hu_c[t] = hu[:, 2 * n :]
+                now, c = rz[t], cs[t]
+                now += hu[:, : 2 * n]
+                np.negative(now, out=now)
+                np.exp(now, out=now)
+                now += 1
+                np.reciprocal(now, out=now)
+                c += now[:, :n] * hu_c[t]
+                np.tanh(c, out=c)
+                h = states[t]
+                np.subtract(carried[t], c, out=h)
+                h *= now[:, n:]
+                h += c
         scale = np.float32(1 / (len(flat) - len(none)))
-        grads = {k: np.zeros_like(x) for k, x in p.items()}
-        cls = v.cls[flat]
-        d = np.exp(_log_softmax(all_states @ p["wc"] + p["bc"]))
-        d[np.arange(len(flat)), cls] -= 1
+        all_states, cls = states.reshape(-1, n), v.cls[flat]
+        grads = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+        d = _softmax_error(all_states @ p["wc"] + p["bc"], cls)
         if len(none):
             d[none], cls[none] = 0, v.rare_class
         d *= scale
         grads["wc"], grads["bc"] = all_states.T @ d, d.sum(axis=0)
         d_states = d @ p["wc"].T
-        for c, rows in _by_class(cls, v.head_classes):
-            own = all_states[rows]
-            d = np.exp(_log_softmax(own @ p["ww"][c] + p["bw"][c]))
-            d[np.arange(len(rows)), flat[rows] - c * WIDTH] -= 1
+        order, edges = _class_order(cls, v.head_classes)
+        own, words, d_own = all_states[order], flat[order], np.empty((len(order), n), np.float32)
+        for k in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[k], edges[k + 1])
+            d = _softmax_error(own[part] @ p["ww"][k] + p["bw"][k], words[part] - k * WIDTH)
             d *= scale
-            grads["ww"][c], grads["bw"][c] = own.T @ d, d.sum(axis=0)
-            d_states[rows] += d @ p["ww"][c].T
-        d_states = d_states.reshape(len(y), lanes, n)
-        d_h, d_gates = np.zeros((lanes, n), np.float32), np.empty((len(y), lanes, 3 * n), np.float32)
-        for t in reversed(range(len(y))):
-            carried, r, z, c, hu_c = kept[t]
-            d_now = d_h + d_states[t]
-            d_c = d_now * (1 - z) * (1 - c * c)
-            d_z = d_now * (carried - c) * z * (1 - z)
-            d_r = d_c * hu_c * r * (1 - r)
-            d_gates[t] = np.concatenate([d_r, d_z, d_c], axis=1)
-            d_hu = np.concatenate([d_r, d_z, d_c * r], axis=1)
-            grads["u"] += carried.T @ d_hu
-            d_h = (d_now * z + d_hu @ p["u"].T) * fresh[t]
-        which, place = np.unique(seen, return_inverse=True)
-        summed = np.zeros((len(which), 3 * n), np.float32)
-        np.add.at(summed, place.reshape(-1), d_gates.reshape(-1, 3 * n))
-        norm = np.sqrt(sum(float((g * g).sum()) for k, g in grads.items() if k != "x") + float((summed * summed).sum()))
+            grads["ww"][k], grads["bw"][k] = own[part].T @ d, d.sum(axis=0)
+            np.matmul(d, p["ww"][k].T, out=d_own[part])
+        d_states[order] += d_own
+        d_states = d_states.reshape(length, lanes, n)
+        r, z = rz[:, :, :n], rz[:, :, n:]
+        shut = 1 - z
+        of_z = (carried - cs) * z * shut
+        of_c = shut * (1 - cs * cs)
+        of_r = hu_c * r * (1 - r)
+        d_hu, d_c = np.empty((length, lanes, 3 * n), np.float32), np.empty((length, lanes, n), np.float32)
+        d_h, u_back = np.zeros((lanes, n), np.float32), np.ascontiguousarray(p["u"].T)
+        for t in reversed(range(length)):
+            d_h += d_states[t]
+            own_c, out = d_c[t], d_hu[t]
+            np.multiply(d_h, of_c[t], out=own_c)
+            np.multiply(own_c, of_r[t], out=out[:, :n])
+            np.multiply(d_h, of_z[t], out=out[:, n : 2 * n])
+            np.multiply(own_c, r[t], out=out[:, 2 * n :])
+            d_h *= z[t]
+            d_h += out @ u_back
+            d_h *= fresh[t]
+        grads["u"] = carried.reshape(-1, n).T @ d_hu.reshape(-1, 3 * n)
+        d_hu[:, :, 2 * n :] = d_c
+        by = np.argsort(seen, kind="stable")
+        which, first = np.unique(seen[by], return_index=True)
+        summed = np.add.reduceat(d_hu.reshape(-1, 3 * n)[by], first, axis=0)
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()) + float((summed * summed).sum()))
         shrink = np.float32(min(1.0, 1.0 / (norm + 1e-12)))
+        summed *= shrink
+        squares["x"][which] += summed * summed
+        p["x"][which] -= rate * summed / np.sqrt(squares["x"][which])
         for k, g in grads.items():
-            if k == "x":
-                squares[k][which] += np.square(summed * shrink)
-                p[k][which] -= rate * summed * shrink / np.sqrt(squares[k][which])
-            else:
-                g = g * shrink
-                squares[k] += g * g
-                p[k] -= np.float32(rate) * g / np.sqrt(squares[k])
+            g *= shrink
+            squares[k] += g * g
+            p[k] -= rate * g / np.sqrt(squares[k])
     return p

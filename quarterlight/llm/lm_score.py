@@ -4,8 +4,8 @@ Counts of all training tokens are summed by Spark. The commonest LISTED words
 go to every task; the model's classes, its output biases and the probabilities
 inside the classes that don't depend on the state come from the counts of the
 whole corpus. The recurrent weights are trained in parallel: each task runs
-truncated backpropagation over its whole part of the training text and the results
-are averaged, weighted by tokens, ROUNDS times. Words beyond the listed ones are
+truncated backpropagation over its part of the training text and the results are
+averaged, weighted by tokens: first of a fourth of the texts, then of the others. Words beyond the listed ones are
 joined with their counts, as they may be any number.
 """
 
@@ -28,10 +28,12 @@ from quarterlight.llm.words import space_words
 
 #: Words that tasks hold, those with a softmax of their own, ranges of rank of the others, and the state's size.
 LISTED, HEAD, RANGES, HIDDEN = 65_536, 2048, 31, 16
-#: Passes over the training text, and tokens that a task holds to train on at once.
-ROUNDS, TRAINED = 2, 4_000_000
+#: Parts of the training text's fourths that the rounds learn from, tokens that a task holds to train on at once, and the learning rate.
+ROUNDS, TRAINED, RATE = ((0, 1), (1, 4)), 4_000_000, 0.3
+#: Bars of the histogram of counts for each doubling; counts below have a bar each.
+BARS = 64
 #: Results that are averaged at once.
-AVERAGED = 32
+AVERAGED = 8
 #: Stands for a document's end; no word has a line end.
 END = b"\n"
 #: Words that a task counts before it sends them on.
@@ -43,7 +45,10 @@ def held_out(key: Column) -> Column:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts (one column): words as bytes, and END once for each text. Tasks add up before the shuffle."""
+    """(word, n) over all texts (one column): words as bytes, and END once for each text. Tasks add up before the shuffle.
+
+    Null and empty texts have an END alone, repeated texts count each time, no rows give none.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -64,33 +69,53 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _bar(n: Column) -> Column:
+    return F.when(n <= BARS, n).otherwise(F.floor(F.log2(n.cast("double")) * BARS)).cast("long")
+
+
 class Corpus:
-    """Counts of the training tokens: the listed words with theirs, and what the others have together."""
+    """Counts of the training tokens: the listed words with theirs, and what the others have together.
+
+    Listed are the words of the highest bars of a histogram of counts, as many
+    bars as hold fewer than LISTED words, so the driver and each task see at
+    most that many words whatever the corpus has. counts: word, n; no rows give
+    no tokens and END alone.
+    """
 
     def __init__(self, counts: DataFrame):
         self.counts = counts
-        total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        listed = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(LISTED - 1).collect()
-        end = counts.filter(F.col("word") == F.lit(END)).first()
-        self.tokens, self.distinct = total, distinct
-        self.words = [END, *(bytes(r["word"]) for r in listed)]
-        self.numbers = np.array([end["n"] if end else 0, *(r["n"] for r in listed)], np.int64)
-        self.rare_tokens, self.rare_distinct = total - int(self.numbers.sum()), max(0, distinct - len(self.words))
-        self.last = (int(listed[-1]["n"]), bytes(listed[-1]["word"])) if listed else None
+        bars = counts.groupBy((F.col("word") == F.lit(END)).alias("end"), _bar(F.col("n")).alias("bar")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+        self.tokens, self.distinct = sum(r["n"] for r in bars), sum(r["words"] for r in bars)
+        self.floor, held = None, 0
+        for r in sorted((r for r in bars if not r["end"]), key=lambda r: -r["bar"]):
+            held += r["words"]
+            if held >= LISTED:
+                break
+            self.floor = r["bar"]
+        listed = [] if self.floor is None else counts.filter((F.col("word") != F.lit(END)) & (_bar(F.col("n")) >= self.floor)).collect()
+        listed = sorted(((int(r["n"]), bytes(r["word"])) for r in listed), key=lambda x: (-x[0], x[1]))
+        self.words = [END, *(w for _, w in listed)]
+        self.numbers = np.array([sum(r["n"] for r in bars if r["end"]), *(n for n, _ in listed)], np.int64)
+        self.rare_tokens, self.rare_distinct = self.tokens - int(self.numbers.sum()), max(0, self.distinct - len(self.words))
 
     def rare(self) -> DataFrame:
         """Counts of the words that aren't listed."""
-        if not self.last or not self.rare_distinct:
-            return self.counts.limit(0)
-        n, word = self.last
-        return self.counts.filter((F.col("word") != F.lit(END)) & ((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(word)))))
+        others = self.counts.filter(F.col("word") != F.lit(END))
+        return others if self.floor is None else others.filter(_bar(F.col("n")) < self.floor)
 
     def vocabulary(self) -> gru.Vocabulary:
         return gru.Vocabulary(self.words, np.maximum(self.numbers, 1), self.rare_tokens, HEAD, RANGES)
 
 
 def train(texts: DataFrame, corpus: Corpus) -> bytes:
-    """The model's parameters after ROUNDS of training in parallel on texts (one column)."""
+    """The model's parameters after training in parallel on texts (one column), each of which is learned from once, in one of the ROUNDS.
+
+    A round begins with what the tasks of the one before have learned together.
+    Null and empty texts are an END alone; repeated texts are learned from each
+    time; a text of any length runs over windows with its state carried on. With
+    no rows the parameters are those that give each token its unigram
+    probability. They depend on how texts are dealt over tasks.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((corpus.words, corpus.numbers, corpus.rare_tokens))
     start = gru.start(corpus.vocabulary(), HIDDEN)
@@ -101,7 +126,8 @@ def train(texts: DataFrame, corpus: Corpus) -> bytes:
         mean = sum(np.frombuffer(p, "<f4") * (t / tokens.sum()) for p, t in zip(parts["params"], tokens))
         return pd.DataFrame({"part": [key[0]], "tokens": [int(tokens.sum())], "params": [mean.astype("<f4").tobytes()]})
 
-    for _ in range(ROUNDS):
+    fourth = F.pmod(F.xxhash64(texts.columns[0]), F.lit(ROUNDS[-1][1]))
+    for low, high in ROUNDS:
         given = spark.sparkContext.broadcast(now)
 
         def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
@@ -115,14 +141,14 @@ def train(texts: DataFrame, corpus: Corpus) -> bytes:
                     ids.append(v.encode(space_words(text.as_py())))
                     held += len(ids[-1])
                     if held >= TRAINED:
-                        params = gru.train(params, v, np.concatenate(ids), squares=squares)
+                        params = gru.train(params, v, np.concatenate(ids), rate=RATE, squares=squares)
                         ids, held, tokens = [], 0, tokens + held
             if ids:
-                params = gru.train(params, v, np.concatenate(ids), squares=squares)
+                params = gru.train(params, v, np.concatenate(ids), rate=RATE, squares=squares)
             if tokens + held:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens + held]), pa.array([gru.pack(params)], pa.binary())], names=["tokens", "params"])
 
-        results = save(texts.mapInArrow(learn, "tokens long, params binary").withColumn("part", F.spark_partition_id()), "weights")
+        results = save(texts.filter((fourth >= low) & (fourth < high)).mapInArrow(learn, "tokens long, params binary").withColumn("part", F.spark_partition_id()), "weights")
         n = results.count()
         while n > 1:
             n = math.ceil(n / AVERAGED)
