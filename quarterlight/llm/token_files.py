@@ -9,12 +9,16 @@ indexes let a reader skip to a range of documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -25,63 +29,135 @@ from quarterlight.llm.common import new_path, save, small, table
 TOKENIZER = "word_bpe_49k.json"
 #: Id that ends a document.
 END_ID = 1
-ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-FILES = "part int, doc_id long, n_tokens long, tokens array<int>"
-#: Distinct words whose ids a Python worker remembers.
-CACHED_WORDS = 250_000
+ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
+#: part: the range of documents that a task wrote; begin: ids of the part before the document.
+FILES = "part int, doc_id long, begin long, n_tokens long, tokens array<int>"
+#: Distinct words, and as many pieces of words, whose ids a Python worker remembers, half of them older.
+CACHED = 300_000
+
+# How the tokenizer's file says that texts are cut, for which ids are looked up piece by piece.
+CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Latin-1 letters that stand for themselves under NFC and have their small letter 32 places on.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9 \t-\r]+".encode("latin-1"))
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_PLAIN = bytes([*range(0x80), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+
+
+def _plain(text: str) -> bytes | None:
+    """text in Latin-1, lower-cased, if it has ASCII and Latin-1 letters alone."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return data.translate(_LOWER) if data.isascii() or not data.translate(None, _PLAIN) else None
+
+
+class Remembered(dict):
+    """Ids of at most CACHED keys and those of one lot; what wasn't met for longest is forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def of(self, keys: list, learn: Callable[[list], list[bytes]]) -> list[bytes]:
+        """Ids of distinct keys; learn gives those of new ones."""
+        if len(self) > CACHED // 2:
+            self.older = dict(self)
+            self.clear()
+        found = list(map(self.get, keys))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            ids = self.older.get(keys[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self[keys[i]] = found[i] = ids
+        for i, ids in zip(new, learn([keys[i] for i in new])):
+            self[keys[i]] = found[i] = ids
+        return found
 
 
 class Encoder:
-    """Ids of texts, word by word where a space is a border for the tokenizer: a word between spaces is encoded once and remembered.
-
-    New words are encoded many at a time, parted by a mark that is a token of
-    its own; words with the mark in them are encoded alone. For a tokenizer
-    that looks over spaces, whole texts are encoded.
+    """Ids of whole texts by the tokenizers library; what repeats is encoded once.
+
+    Where the tokenizer's file cuts texts by CUT_PATTERN after CUT_NORMALIZER no
+    token runs over a space: Arrow finds the distinct words between spaces, words
+    of ASCII and Latin-1 letters are cut here, and each distinct piece is encoded
+    by the library's model. Other words, and those with an added token in them,
+    are given to the library as they are; so are whole texts for other
+    tokenizers.
     """
 
-    MARK, CHUNK = "|", 4000
+    CHUNK = 500
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.known: dict[str, bytes] = {}
-        mark, *more = self._ids([self.MARK])[0]
-        self.mark = mark
-        self.by_word = not more and self._ids(["a | b  c"])[0] == [i for part in self._ids(["a", "|", "b", "", "c"]) for i in part]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.MARK in w]
-        plain = [w for w in words if self.MARK not in w]
-        for i in range(0, len(plain), self.CHUNK):
-            part = plain[i : i + self.CHUNK]
-            ids = np.array(self._ids([" | ".join(part)])[0], "<i4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            data = ids.tobytes()
-            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
-            self.known.update((w, data[a:b]) for w, a, b in zip(part, starts, ends))
-        for word, ids in zip(alone, self._ids(alone)):
-            self.known[word] = np.array(ids, "<i4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        path = tokenizer_path(name)
+        self.tokenizer = Tokenizer.from_file(path)
+        given = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in given["added_tokens"]]
+        self.known_words, self.known_pieces = Remembered(), Remembered()
+        first, *more = (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        ends = given["model"].get("end_of_word_suffix")
+        self.by_word = (
+            given["normalizer"] == CUT_NORMALIZER and given["model"].get("type") == "BPE" and bool(ends) and not given["model"].get("dropout")
+            and first == {"type": "Split", "pattern": {"Regex": CUT_PATTERN}, "behavior": "Removed", "invert": True}
+            and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in more] == [("ByteLevel", False, False)]
+            and not any(" " in x for x in self.added) and not any(t["lstrip"] or t["rstrip"] for t in given["added_tokens"])
+        )
+        if self.by_word:
+            self.pieces = Tokenizer.from_file(path)
+            self.pieces.normalizer = None
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.pieces.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.pieces.get_vocab().items() if token.endswith(ends)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<i4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[bytes]) -> list[bytes]:
+        found: list[bytes] = []
+        for i in range(0, len(new), self.CHUNK):
+            part = new[i : i + self.CHUNK]
+            ids = np.array(self.pieces.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, "<i4")
+            # the last token of a piece, and no other, has the word's end
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer's word ends don't tell pieces apart")
+            data, at = ids.tobytes(), cuts.tolist()
+            found += [data[a:b] for a, b in zip([0, *at], at)]
+        return found
+
+    def _learn_words(self, new: list[str]) -> list[bytes]:
+        plain = [None if any(x in word for x in self.added) else _plain(word) for word in new]
+        cut = [() if data is None else _PIECE.findall(data) for data in plain]
+        pieces = list(dict.fromkeys(chain.from_iterable(cut)))
+        get = dict(zip(pieces, self.known_pieces.of(pieces, self._learn_pieces))).__getitem__
+        found = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cut]
+        other = [i for i, data in enumerate(plain) if data is None]
+        for i, ids in zip(other, self._whole([new[i] for i in other])):
+            found[i] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one after the other, and where each text begins and the last ends."""
         if not self.by_word:
-            return [np.array(ids, "<i4") for ids in self._ids(texts)]
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*split).difference(self.known))
-        self._learn(new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
-        # beyond CACHED_WORDS, new words were for this lot alone
-        if len(self.known) > CACHED_WORDS:
-            for word in new[max(0, len(new) - (len(self.known) - CACHED_WORDS)) :]:
-                del self.known[word]
-        return out
+            ids = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        ids = self.known_words.of(words.dictionary.to_pylist(), self._learn_words)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        flat = own.take(words.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size[words.indices.to_numpy()])])
+        return flat, upto[lists.offsets.to_numpy()]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -102,34 +178,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_chars: int = 1_000_000) -> DataFrame:
-    """docs (doc_id, text, more) with n_tokens and tokens in the place of text."""
+def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 8_000_000) -> DataFrame:
+    """docs (doc_id, text, more) with begin, n_tokens and tokens in the place of text; begin counts the ids of the partition's rows before."""
     place, rest = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own, before = encoder(tokenizer), 0
         for batch in batches:
+            texts = pc.fill_null(batch.column(place), "")
+            held = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
             at = 0
-            while at < batch.num_rows:  # lots of bounded size
-                texts, size, upto = [], 0, at
-                while upto < batch.num_rows and (size < lot_chars or upto == at):
-                    texts.append(batch.column(place)[upto].as_py() or "")
-                    size += len(texts[-1])
-                    upto += 1
+            while at < batch.num_rows:  # lots of bounded size, a longer text alone
+                upto = max(at + 1, int(np.searchsorted(held, held[at] + lot_bytes, "right")) - 1)
+                ids, edges = own.encode(texts.slice(at, upto - at))
+                ids = np.insert(ids, edges[1:], end_id)
+                edges = edges + np.arange(len(edges))
                 part = batch.slice(at, upto - at)
-                ids = [np.append(x, np.int32(end_id)) for x in own.encode(texts)]
-                n = np.array([len(x) for x in ids], np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(n), lists], names=[*rest, "n_tokens", "tokens"])
-                at = upto
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(before + edges[:-1]), pa.array(np.diff(edges)), lists], names=[*rest, "begin", "n_tokens", "tokens"])
+                before, at = before + int(edges[-1]), upto
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(encode, StructType([*kept, *StructType.fromDDL("n_tokens long").fields, StructField("tokens", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(encode, StructType([*kept, *StructType.fromDDL("begin long, n_tokens long").fields, StructField("tokens", ArrayType(IntegerType()))]))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, encoding: str = "dictionary", row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES) -> None:
-    """Writes doc_id, part, n_tokens and tokens of docs (doc_id, text) in ascending doc_id order over the files.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, encoding: str = "dictionary", row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
+    """Writes part, doc_id, begin, n_tokens and tokens of docs (doc_id, text) in ascending doc_id order over the files.
 
     A null text is empty and has the end id alone; null ids come first, and
     rows with equal ids stay beside each other in one file, by their text.
@@ -138,28 +212,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "text").sortWithinPartitions("doc_id", "text")
     (
         _encode(dealt, tokenizer, end_id).write.option("compression", "zstd")
-        .option("parquet.block.size", row_group).option("parquet.page.size", page)
+        .option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.row.count.limit", page_rows)
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0")
         .parquet(path)
     )
 
 
-def _with_start(spark: SparkSession, path: str, rows: DataFrame, *ties: str) -> DataFrame:
-    """rows (part, doc_id, n_tokens, more) with start: a running sum inside the part, and what the parts before it hold."""
+def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """rows (part, begin, more) with start: begin, and what the parts before hold."""
     totals = save(spark.read.schema(FILES).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")
+    # one row for each task that wrote
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    so_far = Window.partitionBy("part").orderBy("doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("_own", F.coalesce(F.sum("n_tokens").over(so_far), F.lit(0)))
-    return own.join(small(before, totals.count()), "part").withColumn("start", F.col("_before") + F.col("_own"))
+    return rows.join(small(before, totals.count()), "part").withColumn("start", F.col("_before") + F.col("begin"))
+
+
+def read_range(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """doc_id, start, n_tokens and tokens of the documents from low to high: row groups and pages of others are skipped by their statistics and page indexes."""
+    rows = spark.read.schema(FILES).parquet(path).filter(F.col("doc_id").between(low, high))
+    return _with_start(spark, path, rows).select("doc_id", "start", "n_tokens", "tokens")
 
 
 def read_starts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and n_tokens, from the files' metadata columns alone."""
-    return _with_start(spark, path, spark.read.schema(FILES).parquet(path).select("part", "doc_id", "n_tokens")).select("doc_id", "start", "n_tokens")
+    return _with_start(spark, path, spark.read.schema(FILES).parquet(path).select("part", "doc_id", "begin", "n_tokens")).select("doc_id", "start", "n_tokens")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -170,13 +249,18 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             lists = batch.column("tokens")
             ids, offsets = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4"), lists.offsets.to_numpy()
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.schema(FILES).parquet(path).select("part", "doc_id", "n_tokens", "tokens").mapInArrow(digest, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    return _with_start(spark, path, rows, "ids_crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = spark.read.schema(FILES).parquet(path).mapInArrow(digest, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return _with_start(spark, path, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of docs (doc_id, text), written to token files and read back.
+
+    Each row of docs gives one row: null texts have the end id alone, null ids
+    stand first, repeated rows beside each other. No rows give none.
+    """
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path)
     return read_digests(docs.sparkSession, path)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import html
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -59,9 +61,25 @@ def test_mix_targets_and_taken(spark, sf_dir, documents):
         left -= sum(target[s] for s in full)
         open_ -= set(full)
     target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
-    largest = max(len((d.text or "").split()) for d in documents.values())
+    sizes, cuts = mixing.mix_plan(common.table(spark, sf_dir, "documents"))
+    edge = collections.Counter()  # words of the bucket at which a source is cut
+    for r in mixing.with_copies(sizes, cuts).filter((mixing._prefix(mixing.LEVELS) - F.col("_m.cut")).isin(-1, 0)).collect():
+        edge[r.source] += r["size"]
     for s in names:
-        assert by[s][2] == pytest.approx(target[s]) and abs(by[s][1] - target[s]) <= largest
+        assert by[s][2] == pytest.approx(target[s]) and abs(by[s][1] - target[s]) <= edge[s] + 1e-6 * target[s]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 10])
+def test_mix_of_equal_documents_meets_the_target_exactly(spark, n):
+    rows = [(i, " ".join(["w"] * 10), s) for s in ("a", None) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = collections.Counter(r.source for r in mixing.mix_documents(docs, weights=(1, 1)).collect())
+    assert {s: 10 * k for s, k in taken.items()} == {"a": 15 * n // 10 * 10 + (10 if n == 1 else 0), None: 15 * n // 10 * 10 + (10 if n == 1 else 0)}
+
+
+def test_mix_deals_rows_without_a_key(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    assert mixing.mix_documents(docs).count() == 300 and mixing.mix_documents(docs, share=0.5).count() == 100
 
 
 def test_mix_reruns_agree_and_odd_rows(spark, sf_dir, odd, none):
@@ -116,6 +134,31 @@ def test_html_wrappers_and_unclosed_elements(spark):
     assert {r.page_id: r.text for r in out} == dict.fromkeys(range(len(pages)), want)
 
 
+def test_html_names_are_no_judge_of_the_text(spark):
+    story = "".join(f"<p>{x} some words of the story that go on for a while and then a little longer so that it reads as prose</p>" for x in "ABCD")
+    want = "\n".join(f"{x} some words of the story that go on for a while and then a little longer so that it reads as prose" for x in "ABCD")
+    reader = "<p>Reader comment of several words which is long enough to read as prose and goes on for quite some time</p>"
+    pages = [
+        f'<body class="has-sidebar"><div>{story}</div></body>', f'<body class="home search-enabled"><div>{story}</div></body>', f'<article class="post has-comments">{story}</article>',
+        f'<div class="social-science">{story}</div>', f'<div class="research search-paper">{story}</div>', f'<div class="comments">{story}</div>',
+        story.replace("<p>A", '<p title="the hidden cost of it">A'), story.replace("<p>B", '<p data-style="display:none" class="hidden-figures">B'),
+        *(f"<article>{story}</article><div {name}>{reader}</div>" for name in ("class=commentlist", "class='side-bar'", "class='cookiebar big'", "id=commentThread", "role=complementary", "style='display: none'", "hidden", "class=user-comments-2")),
+        f"<div>{story}</div><div class=commentlist>{reader}</div>", f"<div class=sideBar>{reader}</div><div>{story}</div>",
+    ]
+    out = html_text.main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("blocks", F.lit("mine"))).collect()
+    assert {r.page_id: r.text for r in out} == dict.fromkeys(range(len(pages)), want) and {r.blocks for r in out} == {"mine"}
+
+
+def test_html_density_and_neighbours_decide_without_names(spark):
+    prose = "".join(f"<p>Paragraph {i} of the story that goes on for a while and then a little longer so that it reads as prose</p>" for i in range(4))
+    links = "".join(f"<div><a href=/{i}>link {i} to more</a></div>" for i in range(6))
+    out = html_text.main_text(spark.createDataFrame([(1, f"<div>{links}</div><div>{prose}</div><div>{links}</div>")], "page_id long, html string")).first().text
+    assert out.count("Paragraph") == 4 and "link" not in out
+    feature = dict(zip(html_text.FEATURES, range(len(html_text.FEATURES))))
+    rows = [x for page in html_text.LABELLED for x in html_text.features(html_text.blocks(page))]
+    assert len(rows) > 120 and len({x[feature["density"]] for x in rows}) > 3
+
+
 # 3 language
 
 
@@ -145,8 +188,9 @@ def test_language_learns_from_distinct_texts(spark):
     df = spark.createDataFrame([(x, "aa") for x in few for _ in range(1000)] + [(x, "bb") for x in copies] + [(x, "cc") for x in rare], "text string, lang string")
     learned = language_id.learn_dictionaries(df)
     assert sorted(learned) == ["aa", "bb", "cc"]
-    assert all(x[:3900].encode() in learned["aa"] for x in few) and learned["cc"] == rare[0].encode()
-    assert len(learned["bb"]) > 100_000 and sum(x[:100].encode() in learned["bb"] for x in many) > 20
+    assert all(x[max(0, len(x) - 4000) : 4000].encode() in learned["aa"] for x in few) and learned["cc"] == rare[0].encode()
+    assert len(learned["bb"]) > 100_000 and sum(x[2000:2100].encode() in learned["bb"] for x in many) > 20
+    assert sum(x[:300].encode() not in learned["aa"] for x in few if len(x) > 4100) > 0  # stretches don't all begin where texts do
     found = language_id.identify_languages(spark.createDataFrame([(few[3],), (many[5],), (rare[0][:900],)], "text string"), learned).collect()
     assert [r.lang_pred for r in found] == ["aa", "bb", "cc"]
 
@@ -154,19 +198,40 @@ def test_language_learns_from_distinct_texts(spark):
 # 4 warc
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 100_000)
     body = "<p>a\r\n\r\nWARC/1.1\r\n</p> ü"
-    rows = [(1, "http://x/1", body), (2, None, body), (3, "http://x/\r\n3", None), (4, "http://x/4", ""), (5, "http://x/5", "z" * 200_000), (None, "http://x/6", "a")]
+    rows = [(1, "http://x/1", body), (2, None, body), (3, "http://x/\r\n3", None), (4, "http://x/4", ""), (-5, "http://x/5", "z" * 200_000), (None, "http://x/6", "a"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"_digest": F.lit("mine"), "fields": F.lit("mine")})
     path = f"file://{tmp_path}/warc"
     warc.write_archives(pages, path)
-    captures = {r.capture: r for r in warc.assemble(warc.read_records(spark, path)).collect()}
-    assert len(captures) == 5 and all(r.main and r.request and r.metadata for r in captures.values())
-    of = lambda i: captures[f"<urn:capture:{i}:response>"].main
+    captures = {r.metadata.fields.split()[1] if "pageId: \r" not in r.metadata.fields else r.main.uri: r for r in warc.assemble(warc.read_records(spark, path)).collect()}
+    assert len(captures) == 7 and all(r.main and r.request and r.metadata for r in captures.values())
+    of = lambda i: captures[str(i)].main
     assert bytes(of(2).payload) == body.encode() and of(2).type == "response"
-    assert of(1).type == "revisit" and of(1).refers_to == "<urn:capture:2:response>" and of(1).digest == of(2).digest
-    assert of(3).type == "revisit" and of(4).type == "response" and len(of(5).payload) == 200_000
-    assert of(4).digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+    assert of(1).type == "revisit" and of(1).refers_to == of(2).record_id and of(1).digest == of(2).digest
+    assert of(3).type == "revisit" and of(4).type == "response" and len(of(-5).payload) == 200_000 and of(3).refers_to == of("").refers_to == of(4).record_id
+    assert of(4).digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and bytes(of("http://x/6").payload) == b"a"
+    # other tools read the files as one gzip stream of a member a record
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "warc").glob("part-*")))
+    assert data.count(b"WARC-Type: ") == 21 and sum(1 for f in (tmp_path / "warc").glob("part-*") for _ in warc.members(memoryview(f.read_bytes()))) == 21
+
+
+def test_warc_keeps_repeated_and_null_ids(spark, monkeypatch):
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "other"), (None, "u", "same"), (None, "u", "none"), (None, "u", "none"), (7, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "table", lambda *_: pages)
+    for few in (common.BROADCAST_ROWS, 0):  # originals broadcast, originals shuffled
+        monkeypatch.setattr(warc, "small", lambda df, few=few: common.small(df, limit=few))
+        got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op4_warc(spark, "").collect())
+        assert got == collections.Counter({(1, 4, "response", None): 1, (1, 4, "revisit", 1): 1, (1, 5, "response", None): 1, (None, 4, "revisit", 1): 1, (None, 4, "response", None): 1, (None, 4, "revisit", None): 1, (7, 0, "response", None): 1})
+
+
+def test_warc_members_end_in_a_zero_byte():
+    long = "x" * (1 << 24)  # its length's highest byte is one
+    batch = warc.pa.RecordBatch.from_arrays([warc.pa.array([x]) for x in ("a", long, "b")], names=["request", "main", "metadata"])
+    value = next(warc._members(iter([batch]))).column(0)[0].as_py() + b"\0"
+    assert [len(x) for x in warc.members(memoryview(value))] == [5, (1 << 24) + 4, 5] and len(gzip.decompress(value)) == (1 << 24) + 14
 
 
 def test_warc_threshold_and_empty(spark, tmp_path):
@@ -195,7 +260,7 @@ def hits(text, items):
     return len(words), len(found), sorted(which)
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(30)]
     say = lambda n: " ".join(rng.choice(vocabulary, n))
@@ -203,12 +268,10 @@ def test_decontamination_against_brute_force(spark):
     texts = [say(60) + " " + items[int(rng.integers(8))][1] + ", " + say(20) for _ in range(60)] + [None, "", "!!", "a " * 500, items[0][1].upper(), "W1-w2"]
     docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for words in (decontaminate.PASS_WORDS, 40):  # one pass, several passes
-        before, decontaminate.PASS_WORDS = decontaminate.PASS_WORDS, words
-        try:
-            out = decontaminate.find_benchmark(docs, bench).collect()
-        finally:
-            decontaminate.PASS_WORDS = before
+    for held in (decontaminate.INDEXED_BYTES, 0):  # an index in every task, a join of fingerprints
+        monkeypatch.setattr(decontaminate, "INDEXED_BYTES", held)
+        out = decontaminate.find_benchmark(docs, bench).collect()
+        assert len(out) == len(texts)
         for r in out:
             assert (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) == hits(texts[r.doc_id], items)
             assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
@@ -221,17 +284,20 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert decontaminate.clean_documents(odd, bench.limit(0)).count() == odd.count() and decontaminate.clean_documents(none, bench).count() == 0
 
 
-def test_decontamination_passes_keep_null_and_repeated_ids(spark, monkeypatch):
+def test_decontamination_ways_agree_on_null_and_repeated_ids(spark, monkeypatch):
     rng = np.random.default_rng(4)
     say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 40, n))
-    items = [(i, say(20)) for i in range(12)]
-    rows = [(None, "x " + items[0][1]), (None, "clean"), (5, items[1][1] + " y " + items[7][1]), (5, items[2][1]), (5, "clean too"), (6, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("mine"))
+    items = [(i, say(20)) for i in range(12)] + [(None, say(15)), (3, "w1 w2 w3")]
+    rows = [(None, "x " + items[0][1]), (None, "clean"), (5, items[1][1] + " y " + items[7][1]), (5, items[2][1]), (5, "clean too"), (6, None), (7, "q " + items[12][1]), (7, "w1 W2, w3"), (7, "w1 W2, w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("_row", "row", "prints")})
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "PASS_WORDS", 60)
-    out = decontaminate.find_benchmark(docs, bench)
-    got = [(r.doc_id, r.text, r["_row"], r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in out.collect()]
-    assert sorted(got, key=str) == sorted(((i, t, "mine", *hits(t, items)) for i, t in rows), key=str)
+    want = [(i, t, "mine", *(lambda n, hit, which: (n, hit, sorted(x for x in which if x is not None)))(*hits(t, [(-1 if i is None else i, x) for i, x in items]))) for i, t in rows]
+    want = sorted(((*w[:5], [x for x in w[5] if x >= 0]) for w in want), key=str)
+    for held in (decontaminate.INDEXED_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "INDEXED_BYTES", held)
+        got = [(r.doc_id, r.text, r["_row"], r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for r in decontaminate.find_benchmark(docs, bench).collect()]
+        assert sorted(got, key=str) == want
+        assert decontaminate.find_benchmark(docs.limit(0), bench).count() == 0 and decontaminate.clean_documents(docs, bench.limit(0)).count() == len(rows)
 
 
 def test_winnowing_guarantee():
@@ -267,14 +333,81 @@ def test_token_files_round_trip(spark, documents, tmp_path, encoding):
             assert column.has_offset_index and any(("DICTIONARY" if encoding == "dictionary" else "DELTA") in e for e in column.encodings)
 
 
-def test_token_files_odd_rows(spark, odd, none):
-    rows = token_files.token_digests(odd).collect()
-    assert len(rows) == odd.count() and sorted(r.start for r in rows)[0] == 0
-    ends = sorted((r.start, r.n_tokens) for r in rows)
-    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+def split_ids(ids, edges):
+    return [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
+
+
+def test_token_encoder_equals_the_library(documents):
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    assert encoder.by_word
+    texts = ["A\u0301 E\u0301x\tTab's 'S 'LL don'T <|endoftext|>\u0130", "\u00c0\u00c9\u00d7\u00f7\u00aa \u00b5 \u0085 x\x1cy \x0by z\x7f\u00a0q", "\u01c6 \u0391\u03a3 \u03a3 \u01f0 J\u030c H\u0331 h\u0331", "\u00ff\u0178\r\nA1\u00b23\u00bdx", "a \u0301b", "a\u2026\u00bbb \u00abc\u00bb 'LL", "<|startoftext|>ab <| endoftext|>", "\ufb01 \ufdfa \U0001d4b3 \U0001d7d9 \U0001f44d\U0001f3fd", "", "\n\n  \n", "x|y | z||", LONG]
+    texts += [d.text for d in documents.values() if d.text]
+    texts += [a + b for a in ("\u00e9", "e\u0301", "X", "1", "'", "\u00b7") for b in ("s", "'s", " 's", "\u0301", "\u0323\u0302", "\u00c5", "!\u00a1")]
+    want = [f.ids for f in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new and remembered pieces
+        assert split_ids(*encoder.encode(pa.array(texts))) == want
+
+
+def test_token_encoder_forgets_and_takes_other_tokenizers(documents, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 50)
+    for name in (token_files.TOKENIZER, "byte_bpe_50k.json"):
+        encoder = token_files.Encoder(name)
+        for d in list(documents.values())[:20]:
+            words = len(set((d.text or "").split(" ")))
+            assert split_ids(*encoder.encode(pa.array([d.text or ""]))) == [encoder.tokenizer.encode(d.text or "", add_special_tokens=False).ids]
+            assert len(encoder.known_words) <= 25 + words
+
+
+def test_token_files_odd_rows(spark, odd, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.tokenizer_path(token_files.TOKENIZER))
+    rows = [(1, "ab " * n) for n in (9, 0, 5, 3, 3, 7)] + [(None, "x y"), (None, None), (0, "z"), (2, "end")]
+    path = f"file://{tmp_path}/repeated"
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    # where the ids stand in the files, taken one after the other
+    stored = [r for file in sorted((tmp_path / "repeated").glob("part-*")) for r in pq.read_table(file).to_pylist()]
+    at, want = 0, []
+    for r in sorted(stored, key=lambda r: r["part"]):  # a stable sort: rows of a part stay as they are written
+        want.append((r["doc_id"], at, r["n_tokens"], zlib.crc32(np.array(r["tokens"], "<u4").tobytes())))
+        at += r["n_tokens"]
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_digests(spark, path).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want and [r[0] for r in want] == [None, None, 0, 1, 1, 1, 1, 1, 1, 2]
+    texts = sorted((i is not None, i or 0, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tokens"]) for r in stored) == texts
+    assert sorted((r.start, r.n_tokens) for r in token_files.read_starts(spark, path).collect()) == [r[1:3] for r in want]
+    ends = sorted((r.start, r.n_tokens) for r in token_files.token_digests(odd).collect())
+    assert len(ends) == odd.count() and ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
     assert token_files.token_digests(none).count() == 0
 
 
+def test_token_files_read_a_range_skips_pages(spark, tmp_path):
+    path = f"file://{tmp_path}/range"
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id").cast("string"), F.repeat(F.lit("more of it "), 20)).alias("text"))
+    token_files.write_tokens(docs, path, row_group=1 << 16, page=1 << 12, page_rows=100)
+    every = {r.doc_id: r for r in token_files.read_digests(spark, path).collect()}
+    found = token_files.read_range(spark, path, 3000, 3049)
+    rows = found.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000, 3050))
+    assert all((r.start, r.n_tokens, zlib.crc32(np.array(r.tokens, "<u4").tobytes())) == (every[r.doc_id].start, len(r.tokens), every[r.doc_id].ids_crc32) for r in rows)
+    assert scanned_rows(found) < 600  # of 6000
+
+
+def scanned_rows(df):
+    """Rows that the plan's scan of tokens gave, after row groups and pages were skipped."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if "Scan" in node.nodeName() and "tokens" in node.toString().split("ReadSchema")[-1]:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 # 7 urls
 
 
@@ -295,6 +428,18 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_url_rules_that_conflict_are_judged_alike_both_ways(spark, monkeypatch, turn):
+    urls = {1: "http://a.com/x", 2: "http://b.com/xy/z", 3: "http://c.com/q", 4: "http://d.com/xy", 5: "http://e.com", 6: None}
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    rules = [("allow", "a.com", ""), ("block", "a.com", None), ("block", "b.com", "/x"), ("allow", "b.com", "/x"), ("block", "c.com", "q"), ("allow", "d.com", "/x"), ("block", "d.com", "/xy"), ("block", "", "/xy/z"), ("block", "e.com", "/")][::turn]
+    want = {1: ("a.com", "block"), 2: ("b.com/x", "block"), 3: (None, "allow"), 4: ("d.com/xy", "block"), 5: (None, "allow"), 6: (None, "allow")}
+    for most in (100, 2):
+        monkeypatch.setattr(url_filter, "TRIE_RULES", most)
+        out = url_filter.filter_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
+        assert {r.page_id: (r.rule, r.verdict) for r in out} == want
+
+
 # 8 nearest
 
 
@@ -324,6 +469,37 @@ def test_nearest_recall_and_ties(spark):
     assert got[2000] == [(i, pytest.approx(s)) for i, s in want[2000]]  # ties to the smaller id
 
 
+@pytest.mark.parametrize("cell", [300, 2000])
+def test_nearest_recall_with_several_cells_and_chunks(spark, monkeypatch, cell):
+    monkeypatch.setattr(nearest, "QUERIES", 40)
+    monkeypatch.setattr(nearest, "BLOCK", 200)
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 24)) * rng.uniform(0.5, 2, (4000, 1)))]
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=cell).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = brute(rows, 20, 20)
+    assert set(got) == set(want) and all(sorted(x)[0][0] == 1 and len(x) == 20 for x in got.values())
+    assert np.mean([len({x[1] for x in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    scores = {(q, i): s for q, found in want.items() for i, s in found}
+    assert all(s == scores[q, i] for q, found in got.items() for _, i, s in found if (q, i) in scores)
+
+
+def test_nearest_blocks_go_to_the_chunks_of_their_cell_alone(spark, monkeypatch):
+    """Rows sent grow with the data: twice the vectors and queries in twice the cells are twice the rows."""
+    monkeypatch.setattr(nearest, "QUERIES", 10)
+    sent = []
+    for n in (1000, 2000):
+        blocks = spark.range(n).select("id", (F.col("id") % (n // 100)).alias("cell"))
+        routed = blocks.filter("id % 4 = 0")
+        chunks = nearest.chunks_by_cell(routed)
+        held, asked = nearest.for_chunks(blocks, chunks), nearest.in_chunks(routed, chunks)
+        assert asked.count() == n // 4 and held.select("cell", "chunk").distinct().exceptAll(asked.select("cell", "chunk").distinct()).count() <= n // 50
+        assert held.filter("cell % 4 > 0").join(routed.select("cell").distinct(), "cell", "left_anti").count() == 0
+        sent.append(held.count())
+    assert sent[1] == 2 * sent[0]
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id, r.score) for r in sorted(nearest.nearest(df).collect(), key=lambda r: r.rank)] == [(1, 2, 3.0), (2, 1, 0.5)]
@@ -347,6 +523,29 @@ def test_lm_counts_are_exact_and_score_beats_base(spark, sf_dir, documents):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words))
         assert np.isfinite(r.score)
+    apart = [r for r in rows if r.held_out]
+    assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
+
+
+def test_lm_held_out_score_beats_base_and_untrained_start(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    learned = docs.filter(~lm_score.held_out(F.col("doc_id"))).select("text")
+    corpus = lm_score.Corpus(common.save(lm_score.token_counts(learned), "counts"))
+    apart = docs.filter(lm_score.held_out(F.col("doc_id")))
+    total = lambda params: lm_score.score_documents(apart, corpus, params).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    trained, start = total(lm_score.train(learned, corpus)), total(gru.pack(gru.start(corpus.vocabulary(), lm_score.HIDDEN)))
+    assert (trained[0] - start[0]) / trained[2] > 0.1 and (trained[0] - trained[1]) / trained[2] > 0.1
+
+
+def test_lm_lists_words_by_a_histogram(spark, monkeypatch):
+    counts = {f"w{i}".encode(): n for i, n in enumerate([900, 500, 70, 70, 70, 9, 9, 3, 3, 3, 1])} | {b"\n": 40}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    for listed, want in ((4, 2), (6, 5), (12, 11), (100, 11), (1, 0)):
+        monkeypatch.setattr(lm_score, "LISTED", listed)
+        corpus = lm_score.Corpus(df)
+        assert len(corpus.words) == want + 1 and (corpus.tokens, corpus.distinct) == (sum(counts.values()), 12)
+        assert {bytes(r.word) for r in corpus.rare().collect()} | set(corpus.words) == set(counts) and corpus.rare().count() == 11 - want == corpus.rare_distinct
+        assert corpus.rare_tokens == sum(n for w, n in counts.items() if w not in corpus.words)
 
 
 def test_lm_probabilities_add_to_one():
@@ -451,7 +650,7 @@ def test_near_duplicates_against_brute_force(spark, sf_dir, documents):
     assert got == plain_classes({i: near_dup.bag(d.text, hashes) for i, d in documents.items()}, {i: d.text for i, d in documents.items()})
 
 
-def test_near_duplicates_in_blocks(spark):
+def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A family whose members are near some, not all: groups with several classes, in blocks smaller than the group."""
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(120)]
@@ -462,11 +661,11 @@ def test_near_duplicates_in_blocks(spark):
             words[j] = f"x{i}y{j}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    before, near_dup.BLOCK = near_dup.BLOCK, 16
-    try:
-        got = {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()}
-    finally:
-        near_dup.BLOCK = before
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "HOT", 7)
+    got = {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()}
+    copies = docs.unionByName(spark.range(1000, 1050).select(F.col("id").alias("doc_id"), F.lit(texts[5]).alias("text")))
+    assert {r.class_id for r in near_dup.near_classes(copies).filter("doc_id >= 1000").collect()} == {got[5]}
     hashes = WordHash()
     want = plain_classes({i: near_dup.bag(t, hashes) for i, t in enumerate(texts)}, dict(enumerate(texts)))
     assert sum(got[i] != want[i] for i in got) <= 2  # banding finds a link at the border with probability 0.99995
@@ -498,6 +697,16 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert sorted(r.doc_id for r in out) == sorted(kept["mix_sources"]) and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
 
 
+def test_pipeline_on_odd_rows_and_none(spark, sf_dir, odd, none):
+    for docs in (odd, none):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.save(stage(spark, docs, sf_dir), name)
+            assert docs.columns == columns, name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert sorted((r.doc_id for r in out), key=str) == sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str)
+
+
 def test_digest_of_no_items(spark, sf_dir):
     rows = [r for r in QUERIES["op5_decontaminate"](spark, sf_dir).collect() if not r.n_items]
     assert rows and {r.items_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
