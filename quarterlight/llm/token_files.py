@@ -33,7 +33,7 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 #: part: the range of documents that a task wrote; begin: ids of the part before the document.
 FILES = "part int, doc_id long, begin long, n_tokens long, tokens array<int>"
 #: Distinct words, and as many pieces of words, whose ids a Python worker remembers, half of them older.
-CACHED = 240_000
+CACHED = 300_000
 
 # How the tokenizer's file says that texts are cut, for which ids are looked up piece by piece.
 CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -183,7 +183,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 5_000_000) -> DataFrame:
+def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 6_000_000) -> DataFrame:
     """docs (doc_id, text, more) with begin, n_tokens and tokens in the place of text; begin counts the ids of the partition's rows before."""
     place, rest = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
@@ -202,8 +202,6 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 5_000
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(before + edges[:-1]), pa.array(np.diff(edges)), lists], names=[*rest, "begin", "n_tokens", "tokens"])
                 before, at = before + int(edges[-1]), upto
-                del ids, lists, part
-                pa.default_memory_pool().release_unused()
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(encode, StructType([*kept, *StructType.fromDDL("begin long, n_tokens long").fields, StructField("tokens", ArrayType(IntegerType()))]))
