@@ -11,10 +11,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,53 +30,99 @@ END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 #: part: the range of documents that a task wrote; begin: ids of the part before the document.
 FILES = "part int, doc_id long, begin long, n_tokens long, tokens array<int>"
-#: Distinct words, and as many pieces of words, whose ids a Python worker remembers, half of them older.
+#: Distinct pieces of words, and as many words that aren't cut, whose ids a Python worker remembers.
 CACHED = 300_000
 
 # How the tokenizer's file says that texts are cut, for which ids are looked up piece by piece.
 CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Latin-1 letters that stand for themselves under NFC and have their small letter 32 places on.
-_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9 \t-\r]+".encode("latin-1"))
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
-_PLAIN = bytes([*range(0x80), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
-
-
-def _plain(text: str) -> bytes | None:
-    """text in Latin-1, lower-cased, if it has ASCII and Latin-1 letters alone."""
-    try:
-        data = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return None
-    return data.translate(_LOWER) if data.isascii() or not data.translate(None, _PLAIN) else None
-
-
-class Remembered(dict):
-    """Ids of at most CACHED keys and those of one lot; what wasn't met for longest is forgotten."""
+#: What a byte of lower-cased UTF-8 is, where ASCII and Latin-1 letters stand alone: space, letter, digit or other.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(9, 14), 32]] = _SPACE
+_KIND[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+#: First byte of the Latin-1 letters in UTF-8, and the second ones of the signs that stand among them.
+_LATIN, _TIMES, _DIVISION = 0xC3, 0x97, 0xB7
+
+
+def _edges(array: pa.Array) -> np.ndarray:
+    """Where each string of an array without offset begins in its bytes, and where the last ends."""
+    return np.frombuffer(array.buffers()[1], np.int32, len(array) + 1) if len(array) else np.zeros(1, np.int32)
+
+
+def _bytes(array: pa.Array) -> np.ndarray:
+    held = _edges(array)[-1]
+    return np.frombuffer(array.buffers()[2], np.uint8, held) if held else np.zeros(0, np.uint8)
+
+
+def _sums(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _lists(edges: np.ndarray, ids: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int32()))
+
+
+def cut_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of lower-cased words of ASCII and Latin-1 letters, as CUT_PATTERN cuts them, and where each word's begin and the last ends."""
+    edges, data = _edges(words), _bytes(words)
+    after = np.concatenate([[0], data[:-1]])
+    data = data + 32 * ((data >= 0x41) & (data <= 0x5A) | (after == _LATIN) & (data >= 0x80) & (data <= 0x9E)).astype(np.uint8)
+    kind = _KIND[data]
+    first = np.zeros(len(data) + 3, bool)  # a word begins, or all have ended
+    first[edges] = first[len(data) :] = True
+    begins = first[: len(data)] | (kind == _DIGIT)
+    begins[1:] |= kind[1:] != kind[:-1]
+    # a short form begins where a run of other signs does, and its letters belong to it
+    sign = np.flatnonzero(begins & (data == ord("'")))
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    one, two = padded[sign + 1], padded[sign + 2]
+    short = ~first[sign + 1] & np.isin(one, list(b"stmd"))
+    long = ~first[sign + 1] & ~first[sign + 2] & (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    begins[sign[short | long] + 1] = False
+    rest = np.concatenate([sign[short] + 2, sign[long] + 3])
+    rest = rest[rest < len(data)]
+    begins[rest] |= kind[rest] == _LETTER
+    kept = kind != _SPACE
+    begins &= kept
+    upto = _sums(begins)[edges]
+    at = np.append(_sums(kept)[:-1][begins], np.count_nonzero(kept)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data[kept])), upto
+
+
+def _are_plain(words: pa.Array) -> np.ndarray:
+    """Which words have no letter or sign but ASCII and the letters of Latin-1."""
+    edges, data = _edges(words), _bytes(words)
+    after = np.concatenate([[0], data[:-1]])
+    strange = (data >= 0xC0) & (data != _LATIN) | (after == _LATIN) & ((data == _TIMES) | (data == _DIVISION))
+    found = _sums(strange)[edges]
+    return found[1:] == found[:-1]
+
+
+class Remembered:
+    """Ids of at most CACHED keys, or those of one lot; what wasn't met for longest is forgotten."""
 
     def __init__(self):
-        super().__init__()
-        self.older: dict = {}
+        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def __len__(self) -> int:
+        return len(self.keys)
 
-    def of(self, keys: list, learn: Callable[[list], list[bytes]]) -> list[bytes]:
+    def of(self, keys: pa.Array, learn: Callable[[list[str]], pa.ListArray]) -> pa.ListArray:
         """Ids of distinct keys; learn gives those of new ones."""
-        if len(self) > CACHED // 2:
-            self.older = dict(self)
-            self.clear()
-        found = list(map(self.get, keys))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in missing:
-            ids = self.older.get(keys[i])
-            if ids is None:
-                new.append(i)
-            else:
-                self[keys[i]] = found[i] = ids
-        for i, ids in zip(new, learn([keys[i] for i in new])):
-            self[keys[i]] = found[i] = ids
-        return found
+        found = pc.index_in(keys, value_set=self.keys)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        unmet = np.ones(len(self.keys), bool)
+        unmet[at[~new]] = False
+        at[new] = len(self.keys) + np.arange(np.count_nonzero(new))
+        ids = pa.concat_arrays([self.ids, learn(keys.filter(pa.array(new)).to_pylist())]).take(pa.array(at))
+        older = np.flatnonzero(unmet)[: max(0, CACHED - len(keys))]
+        self.keys = pa.concat_arrays([keys, self.keys.take(pa.array(older))])
+        self.ids = pa.concat_arrays([ids, self.ids.take(pa.array(older))])
+        return ids
 
 
 class Encoder:
@@ -86,10 +130,10 @@ class Encoder:
 
     Where the tokenizer's file cuts texts by CUT_PATTERN after CUT_NORMALIZER no
     token runs over a space: Arrow finds the distinct words between spaces, words
-    of ASCII and Latin-1 letters are cut here, and each distinct piece is encoded
-    by the library's model. Other words, and those with an added token in them,
-    are given to the library as they are; so are whole texts for other
-    tokenizers.
+    of ASCII and Latin-1 letters are cut together, and each distinct piece that
+    isn't remembered is encoded by the library's model. Other words, and those
+    with an added token in them, are given to the library as they are; so are
+    whole texts for other tokenizers.
     """
 
     CHUNK = 500
@@ -118,51 +162,49 @@ class Encoder:
             self.ends = np.zeros(self.pieces.get_vocab_size(), bool)
             self.ends[[i for token, i in self.pieces.get_vocab().items() if token.endswith(ends)]] = True
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<i4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> pa.ListArray:
+        found = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return _lists(_sums([len(x) for x in found]), np.concatenate([np.zeros(0, np.int32), *found]))
 
-    def _learn_pieces(self, new: list[bytes]) -> list[bytes]:
-        found: list[bytes] = []
+    def _learn_pieces(self, new: list[str]) -> pa.ListArray:
+        found, edges = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for i in range(0, len(new), self.CHUNK):
             part = new[i : i + self.CHUNK]
-            ids = np.array(self.pieces.encode_batch_fast([b" ".join(part).decode("latin-1")], add_special_tokens=False)[0].ids, "<i4")
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
             # the last token of a piece, and no other, has the word's end
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer's word ends don't tell pieces apart")
-            data, at = ids.tobytes(), cuts.tolist()
-            found += [data[a:b] for a, b in zip([0, *at], at)]
-        return found
-
-    def _learn_words(self, new: list[str]) -> list[bytes]:
-        plain: list[bytes | None] = []
-        for i in range(0, len(new), 1000):  # words have no space, so many are looked at together
-            part = new[i : i + 1000]
-            joined = " ".join(part)
-            data = None if any(x in joined for x in self.added) else _plain(joined)
-            plain += data.split(b" ") if data is not None else [None if any(x in word for x in self.added) else _plain(word) for word in part]
-        cut = [() if data is None else _PIECE.findall(data) for data in plain]
-        pieces = list(dict.fromkeys(chain.from_iterable(cut)))
-        get = dict(zip(pieces, self.known_pieces.of(pieces, self._learn_pieces))).__getitem__
-        found = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cut]
-        other = [i for i, data in enumerate(plain) if data is None]
-        for i, ids in zip(other, self._whole([new[i] for i in other])):
-            found[i] = ids
-        return found
+            edges.append(edges[-1][-1] + cuts)
+            found.append(ids)
+        return _lists(np.concatenate(edges), np.concatenate(found))
+
+    def _of_words(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct words."""
+        plain = _are_plain(words)
+        for token in self.added:
+            plain &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        pieces, edges = cut_words(words.filter(pa.array(plain)))
+        coded = pieces.dictionary_encode()
+        known = self.known_pieces.of(coded.dictionary, self._learn_pieces)
+        upto = _sums(known.value_lengths().take(coded.indices).to_numpy())
+        own = _lists(upto[edges], known.take(coded.indices).flatten())
+        if plain.all():
+            return own
+        other = self.known_words.of(words.filter(pa.array(~plain)), self._whole)
+        place = np.where(plain, np.cumsum(plain) - 1, len(own) + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([own, other]).take(pa.array(place))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls), one after the other, and where each text begins and the last ends."""
         if not self.by_word:
-            ids = self._whole(texts.to_pylist())
-            return np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+            found = self._whole(texts.to_pylist())
+            return found.flatten().to_numpy(), _sums(found.value_lengths().to_numpy())
         lists = pc.split_pattern(texts, " ")
         words = lists.flatten().dictionary_encode()
-        ids = self.known_words.of(words.dictionary.to_pylist(), self._learn_words)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        flat = own.take(words.indices).flatten().to_numpy()
-        upto = np.concatenate([[0], np.cumsum(size[words.indices.to_numpy()])])
-        return flat, upto[lists.offsets.to_numpy()]
+        own = self._of_words(words.dictionary)
+        upto = _sums(own.value_lengths().take(words.indices).to_numpy())
+        return own.take(words.indices).flatten().to_numpy(), upto[lists.offsets.to_numpy()]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -356,6 +356,8 @@ def test_token_encoder_forgets_and_takes_other_tokenizers(documents, monkeypatch
             words = len(set((d.text or "").split(" ")))
             assert split_ids(*encoder.encode(pa.array([d.text or ""]))) == [encoder.tokenizer.encode(d.text or "", add_special_tokens=False).ids]
             assert len(encoder.known_words) <= 25 + words
+            held = len(encoder.known_pieces)
+            assert held <= max(50, len(set(re.findall(r"\w+|[^\w\s]+", (d.text or "").lower()))) * 2)
 
 
 def test_token_files_odd_rows(spark, odd, none, tmp_path):
