@@ -131,6 +131,14 @@ def rate_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return rows.select(key, day.alias("date"), parse_number(F.col("x.r")).alias("rate")).filter("date IS NOT NULL AND rate IS NOT NULL")
 
 
+def chart_rates(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, date, rate) of a page's chart script: the first `categories` list of dd.mm.yyyy dates beside the first `data` list of numbers; what has no partner goes."""
+    days = F.regexp_extract_all(F.regexp_extract(F.col(html), r'"categories"\s*:\s*\[([^\]]*)\]', 1), F.lit(r'"(\d{2}\.\d{2}\.\d{4})"'), F.lit(1))
+    rates = F.regexp_extract_all(F.regexp_extract(F.col(html), r'"data"\s*:\s*\[([\d.,\s]+)\]', 1), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    rows = pages.select(key, F.explode(F.arrays_zip(days.alias("d"), rates.alias("r"))).alias("x"))
+    return rows.select(key, F.try_to_date("x.d", "dd.MM.yyyy").alias("date"), F.col("x.r").try_cast("double").alias("rate")).filter("date IS NOT NULL AND rate IS NOT NULL")
+
+
 def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """(url, depth) reached from seeds over stored links, breadth first, on the seeds' own hosts.
 

@@ -66,7 +66,10 @@ def _(spark, sf_dir):
     return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(path)
 
 
-@query("load_snapshots_with_fallback", "SELECT doc_id AS id, lang AS country, length(text)::INTEGER AS chars, 'rebuilt' AS origin FROM documents")
+@query("load_snapshots_with_fallback", "SELECT doc_id AS id, lang AS country, length(text)::INTEGER AS chars, unnest(['rebuilt', 'snapshot']) AS origin FROM documents")
 def _(spark, sf_dir):
     index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.lit("2020-01-01").alias("date"), "text")
-    return files.snapshots_or_rebuilt(spark, scratch_path(spark, "missing"), index).select("id", "country", F.length("rag_text").alias("chars"), "origin")
+    rebuilt, path = files.snapshots_or_rebuilt(spark, scratch_path(spark, "missing"), index), scratch_path(spark, "snapshots")
+    rebuilt.withColumn("origin", F.lit("snapshot")).write.parquet(path)
+    both = rebuilt.unionByName(files.snapshots_or_rebuilt(spark, path, index))
+    return both.select("id", "country", F.length("rag_text").alias("chars"), "origin")

@@ -101,14 +101,19 @@ def _(spark, sf_dir):
     return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.length("title").alias("title_chars"))
 
 
-@query("html_rate_table", """WITH m AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2) SELECT entity, date, (n * 1.25)::DOUBLE AS rate FROM m""")
+@query("html_rate_table", """WITH m AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2) SELECT entity, date, (n * 1.25)::DOUBLE AS rate, unnest(['table', 'chart']) AS origin FROM m""")
 def _(spark, sf_dir):
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
     format_ = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "d MMM yyyy")).otherwise(F.date_format("day", "dd.MM.yyyy"))
     named = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "yyyy d MMM")).otherwise(format_)
     row = F.concat(F.lit("<tr><td>"), named, F.lit("</td><td>"), F.format_number(F.col("n") * 1.25, 2), F.lit("</td></tr>"))
-    pages = days.groupBy("entity", F.year("day").alias("year")).agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
-    return page_ops.rate_rows(pages, "entity")
+    point = F.struct(row.alias("row"), F.format_string('"%s"', F.date_format("day", "dd.MM.yyyy")).alias("day"), (F.col("n") * 1.25).cast("string").alias("rate"))
+    list_ = lambda field: F.array_join(F.transform("points", lambda x: x[field]), ",")
+    pages = days.groupBy("entity", F.year("day").alias("year")).agg(F.collect_list(point).alias("points")).select(
+        "entity", F.concat(F.lit("<table>"), F.array_join("points.row", ""), F.lit("</table>")).alias("html"),
+        F.concat(F.lit('<script>chart({"categories":['), list_("day"), F.lit('],"series":[{"name":"rate","data":['), list_("rate"), F.lit("]}]})</script>")).alias("script"),
+    )
+    return page_ops.rate_rows(pages, "entity").withColumn("origin", F.lit("table")).unionByName(page_ops.chart_rates(pages, "entity", "script").withColumn("origin", F.lit("chart")))
 
 
 @query("decode_charset", "SELECT page_id, md5(html) AS text_md5 FROM pages")

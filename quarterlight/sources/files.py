@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,7 +107,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def snapshots_or_rebuilt(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The snapshot table; where it is missing, minimal snapshots of the index rows (id, country, date, text)."""
+    """The snapshot table; where it is missing or its files aren't readable as Parquet, minimal snapshots of the index rows (id, country, date, text)."""
     if exists(spark, path):
-        return spark.read.parquet(path)
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # no file in the folder
+                raise
+        except Py4JJavaError as error:
+            if "is not a Parquet file" not in str(error):  # what else fails may pass when tried again
+                raise
     return index.select("id", "country", "date", F.col("text").alias("rag_text"), F.array().cast("array<string>").alias("own_history"), F.lit("rebuilt").alias("origin"))

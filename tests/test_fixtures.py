@@ -259,3 +259,23 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_unreadable_snapshots_are_rebuilt(spark, tmp_path):
+    from quarterlight.sources.files import snapshots_or_rebuilt
+
+    index = spark.createDataFrame([(1, "US", "2020-01-01", "text")], "id long, country string, date string, text string")
+    for name, data in (("empty", None), ("broken", b"not parquet at all")):
+        folder = tmp_path / name
+        folder.mkdir()
+        if data:
+            (folder / "part.parquet").write_bytes(data)
+        assert [r.origin for r in snapshots_or_rebuilt(spark, str(folder), index).collect()] == ["rebuilt"]
+
+
+def test_chart_rates(spark):
+    from quarterlight.operators.pages import chart_rates
+
+    script = 'x = {"categories": ["01.02.2024", "bad", "05.03.2024", "06.03.2024"], "series": [{"data": ["a"]}, {"data": [16.0, 15.5]}]}'
+    pages = spark.createDataFrame([(1, script), (2, None), (3, "<p>no chart</p>")], "id long, html string")
+    assert [(r.id, str(r.date), r.rate) for r in chart_rates(pages, "id").collect()] == [(1, "2024-02-01", 16.0), (1, "2024-03-05", 15.5)]
