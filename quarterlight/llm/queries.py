@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarterlight.llm import decontaminate, html_text, language_id, lm_score, mixing, near_dup, nearest, token_files, url_filter, warc
+from quarterlight.llm import decontaminate, html_text, language_id, lm_score, mixing, near_dup, nearest, phrases, token_files, url_filter, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_nearest": nearest.op8_nearest,
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_phrases": phrases.op11_phrases,
 }
 ORACLES = {
     "op4_warc": warc.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
