@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarterlight.llm import decontaminate, html_text, language_id, lm_score, mixing, near_dup, nearest, phrases, token_files, url_filter, warc
+from quarterlight.llm import decontaminate, html_text, language_id, lm_score, mixing, near_dup, nearest, phrases, spelling, token_files, url_filter, vector_dups, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_lm_score": lm_score.op9_lm_score,
     "op10_near_dup": near_dup.op10_near_dup,
     "op11_phrases": phrases.op11_phrases,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_vector_dups": vector_dups.op13_vector_dups,
 }
 ORACLES = {
     "op4_warc": warc.OP4_SQL,
