@@ -4,8 +4,10 @@ Tasks read whole texts and make stripes: for a prefix of no, one, two or three
 words the words that follow it, with their counts. Stripes of one prefix are
 merged elementwise. A merged stripe has the prefix's extensions and their counts
 (the counts of phrases one word longer), the largest of which is what may
-subsume the prefix. Long stripes are cut into shards by a hash of the next word
-from the start, so a frequent prefix is merged in several tasks.
+subsume the prefix. The stripe of no word, which has all words, and those that
+begin with one of the words that make up a HOT-th of the corpus each (at most HOT
+words) are cut into shards by a hash of the next word, so they are merged in
+many tasks.
 
 A phrase is frequent only if its parts are. So the text is read three times: for
 words, for pairs of frequent words, and for phrases of three and four words of
@@ -16,7 +18,7 @@ the count then drops; it never hides a frequent one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from quarterlight.llm.common import save, table
 LONGEST, LEAST, COVER, TOP = 4, 30, 80, 2000
 #: Bits of the bitmap of frequent phrases (8 MB).
 BITS = 1 << 26
-#: Shards of a stripe, by the number of words in its prefix.
-SHARDS = (4096, 16, 4, 4)
+#: Shards of the stripe of no word, and of stripes that begin with a frequent word; a word is frequent from one in HOT words on.
+WORD_SHARDS, SHARDS, HOT = 4096, 16, 4000
 #: Bytes of text that are counted together, and the most of one text that is cut at a time.
-LOT, SLICE = 6_000_000, 4_000_000
+LOT, SLICE = 16_000_000, 4_000_000
 #: Groups into which a language's candidates are dealt before the last ranking.
 DEALT = 64
 
@@ -70,8 +72,8 @@ class _Lot:
 
     def add(self, words: list[bytes], old: int) -> None:
         known = self.known
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        self.parts += [ids, np.zeros(1, np.int64)]
+        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+        self.parts += [ids, np.zeros(1, np.int32)]
         fresh = np.ones(len(ids) + 1, bool)
         fresh[:old] = False
         self.fresh.append(fresh)
@@ -91,22 +93,23 @@ def _seed(lang: str) -> np.uint64:
 
 
 def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> _U(64 - (BITS.bit_length() - 1))
+    at = h >> _U(64 - (64 * len(bitmap)).bit_length() + 1)
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) > 0
 
 
-def _stripes(lot: _Lot, sizes: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of a lot for phrases of these sizes all of whose parts are in the bitmap (words of pairs, pairs of longer phrases)."""
+def _stripes(lot: _Lot, sizes: tuple[int, ...], bitmap: np.ndarray | None, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stripes of a lot for phrases of these sizes all of whose parts are in the bitmap (words of pairs, pairs of longer phrases); hot: hashes of frequent words."""
     ids, fresh, hashes = lot.ready()
     names = pa.array(list(lot.known), pa.binary()).cast(pa.string())
     usable = ids > 0
-    start = np.full(len(hashes), _seed(lot.lang))
+    single = _mix(np.full(len(hashes), _seed(lot.lang)), hashes)
+    shards = np.where(np.isin(single, hot), SHARDS, 1)
     if bitmap is not None and 2 in sizes:
-        usable &= _has(bitmap, _mix(start, hashes))[ids]
+        usable &= _has(bitmap, single)[ids]
     if bitmap is not None and max(sizes) > 2:
-        first = _mix(start, hashes)[ids[:-1]]
         pair = usable[:-1] & usable[1:]
-        pair[pair] = _has(bitmap, _mix(first[pair], hashes[ids[1:][pair]]))
+        at = np.flatnonzero(pair)
+        pair[at] = _has(bitmap, _mix(single[ids[at]], hashes[ids[at + 1]]))
     for size in sizes:
         if len(ids) < size:
             continue
@@ -123,11 +126,12 @@ def _stripes(lot: _Lot, sizes: tuple[int, ...], bitmap: np.ndarray | None) -> It
             continue
         rows = [ids[places + j] for j in range(size)]
         # number the prefixes, then prefix, shard and next word make one key
-        prefix = rows[0] if size > 1 else np.zeros(len(places), np.int64)
+        prefix = rows[0].astype(np.int64) if size > 1 else np.zeros(len(places), np.int64)
         for row in rows[1:-1]:
             _, prefix = np.unique(prefix * len(hashes) + row, return_inverse=True)
-        shard = (hashes[rows[-1]] % _U(SHARDS[size - 1])).astype(np.int64)
-        order = np.lexsort((rows[-1], shard, prefix))
+        of = shards[rows[0]] if size > 1 else WORD_SHARDS
+        shard = (hashes[rows[-1]] % _U(max(SHARDS, WORD_SHARDS))).astype(np.int64) % of
+        order = np.argsort((prefix * WORD_SHARDS + shard) * len(hashes) + rows[-1])
         prefix, shard, last, stand = prefix[order], shard[order], rows[-1][order], places[order]
         new_key = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])])
         new = new_key | np.concatenate([[True], last[1:] != last[:-1]])
@@ -138,25 +142,17 @@ def _stripes(lot: _Lot, sizes: tuple[int, ...], bitmap: np.ndarray | None) -> It
         heads = stand[entries[stripes]]
         words = [names.take(pa.array(ids[heads + j])) for j in range(size - 1)]
         text = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0] if words else pa.array([""] * len(heads))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lot.lang] * len(heads)),
-                pa.array(np.full(len(heads), size), pa.int32()),
-                text,
-                pa.array(shard[entries[stripes]], pa.int32()),
-                pa.ListArray.from_arrays(offsets, names.take(pa.array(last[entries]))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-            ],
-            names=["lang", "size", "prefix", "shard", "next", "counts"],
-        )
+        joined = lambda x: pc.binary_join(pa.ListArray.from_arrays(offsets, x), " ")  # noqa: E731  words have no spaces
+        columns = [pa.array([lot.lang] * len(heads)), pa.array(np.full(len(heads), size), pa.int32()), text, pa.array(shard[entries[stripes]], pa.int32()), joined(names.take(pa.array(last[entries]))), joined(pa.array(counts).cast(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "prefix", "shard", "next", "counts"])
 
 
-STRIPES = "lang string, size int, prefix string, shard int, next array<string>, counts array<bigint>"
+STRIPES = "lang string, size int, prefix string, shard int, next string, counts string"
 
 
-def stripes(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None = None) -> DataFrame:
-    """Stripes of docs (lang, text) for phrases of these sizes: a row for each prefix, shard and lot of a task."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def stripes(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None = None, hot: Sequence[int] = (), lot_bytes: int = LOT) -> DataFrame:
+    """Stripes of docs (lang, text) for phrases of these sizes: a row for each prefix, shard and lot of a task, with the next words and their counts, space-joined."""
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, np.array(sorted(hot), np.uint64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots: dict[str, _Lot] = {}
@@ -172,13 +168,13 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None =
                     taken = min(len(raw), SLICE)
                     lot.bytes += taken
                     all_bytes += taken
-                    if all_bytes >= LOT:  # the largest lot goes
+                    if all_bytes >= lot_bytes:  # the largest lot goes
                         lang_out = max(lots, key=lambda k: lots[k].bytes)
                         out = lots.pop(lang_out)
                         all_bytes -= out.bytes
-                        yield from _stripes(out, sizes, held.value)
+                        yield from _stripes(out, sizes, *held.value)
         for out in lots.values():
-            yield from _stripes(out, sizes, held.value)
+            yield from _stripes(out, sizes, *held.value)
 
     return docs.select("lang", "text").mapInArrow(count, STRIPES)
 
@@ -186,13 +182,14 @@ def stripes(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None =
 def merged(parts: DataFrame) -> DataFrame:
     """(lang, size, prefix, next, f): stripes of one prefix and shard come together and are added elementwise."""
     met = parts.repartition("lang", "size", "prefix", "shard")
-    entries = met.select("lang", "size", "prefix", "shard", F.explode(F.arrays_zip("next", "counts")).alias("_e"))
-    entries = entries.select("lang", "size", "prefix", "shard", F.col("_e.next").alias("next"), F.col("_e.counts").alias("_n"))
+    pairs = F.arrays_zip(F.split("next", " ").alias("next"), F.split("counts", " ").alias("n"))
+    entries = met.select("lang", "size", "prefix", "shard", F.explode(pairs).alias("_e"))
+    entries = entries.select("lang", "size", "prefix", "shard", F.col("_e.next").alias("next"), F.col("_e.n").cast("long").alias("_n"))
     return entries.groupBy("lang", "size", "prefix", "shard", "next").agg(F.sum("_n").alias("f")).drop("shard")
 
 
-def bitmap_of(frequent: DataFrame) -> np.ndarray:
-    """Bitmap of the phrases (lang, phrase): at most BITS / 64 numbers come to the driver, whatever the corpus."""
+def bitmap_of(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Bitmap of the phrases (lang, phrase): at most bits / 64 numbers come to the driver, whatever the corpus."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,30 +199,33 @@ def bitmap_of(frequent: DataFrame) -> np.ndarray:
                 for w in phrase.encode("utf-8", "surrogatepass").split(b" "):
                     h = _mix(h, np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))
                 found.append(h[0])
-            at = np.array(found, np.uint64) >> _U(64 - (BITS.bit_length() - 1))
+            at = np.array(found, np.uint64) >> _U(64 - bits.bit_length() + 1)
             yield pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int64)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], names=["at", "bits"])
 
-    bitmap = np.zeros(BITS // 64, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     got = frequent.select("lang", "phrase").mapInArrow(place, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bitmap[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return bitmap
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = BITS, lot_bytes: int = LOT) -> tuple[DataFrame, DataFrame]:
     """(lang, size, prefix, next, phrase, f) of all phrases of up to LONGEST words with f >= least, and (lang, n): all words."""
 
     def named(df: DataFrame) -> DataFrame:
         return df.filter(F.col("f") >= least).withColumn("phrase", F.when(F.col("size") == 1, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")))
 
-    words = save(merged(stripes(docs, (1,))), "words")
+    words = save(merged(stripes(docs, (1,), lot_bytes=lot_bytes)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     single = named(words)
-    pairs = save(named(merged(stripes(docs, (2,), bitmap_of(single)))), "pairs")
-    longer = save(named(merged(stripes(docs, tuple(range(3, LONGEST + 1)), bitmap_of(pairs)))), "longer")
+    # words of one in HOT, of which there are HOT at most
+    much = (words.agg(F.sum("f")).first()[0] or 0) / HOT
+    hot = [_mix(np.array([_seed(r.lang)]), np.array([xxhash.xxh3_64_intdigest(r.next.encode())], np.uint64))[0] for r in words.filter(F.col("f") > much).collect()]
+    pairs = save(named(merged(stripes(docs, (2,), bitmap_of(single, bits), hot, lot_bytes))), "pairs")
+    longer = save(named(merged(stripes(docs, tuple(range(3, LONGEST + 1)), bitmap_of(pairs, bits), hot, lot_bytes))), "longer")
     return single.unionByName(pairs).unionByName(longer), totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int | None = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int | None = TOP, bits: int = BITS, lot_bytes: int = LOT) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): phrases of 2 to LONGEST words by their weakest cut.
 
     docs: lang, text; other columns don't matter. A null language is `und`, a null
@@ -233,10 +233,10 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     A-Z alone and end at spaces and tabs, pieces at . , ; : ! ? and line ends. A
     phrase goes if one with a word more, itself frequent, has at least `cover`
     percent of its occurrences. Ties: larger a, then the phrase in byte order.
-    top None returns all.
+    top None returns all. bits and lot_bytes bound memory and change no result.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    found, totals = frequent_phrases(docs, least)
+    found, totals = frequent_phrases(docs, least, bits, lot_bytes)
     counts = found.select("lang", "phrase", "f")
     longer = found.filter("size > 2")
     # the largest extension on either side: that of a prefix is its stripe's maximum
