@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterlight.functions.dates import quarter_end, quarter_name
+from quarterlight.scratch import stored
 
 
 def _over(entity: str | Sequence[str], order: str | Sequence[str]):
@@ -82,15 +87,34 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     return out.select("_l.*", F.col("_r._ts").alias(f"matched_{right_ts}"), *[F.col("_r")[v].alias(v) for v in values])
 
 
-def asof_grid(facts: DataFrame, grid: DataFrame, by: Sequence[str], key: str, year: str, value: str) -> DataFrame:
-    """For each grid row (by, year) a map from key to the latest (value, year) at or before it.
+def asof_intervals(facts: DataFrame, grid: DataFrame, by: Sequence[str], key: str, at: str, width: int) -> DataFrame:
+    """(by, at, key, _fact): for each grid row (by, at) and key the facts row that holds then, by joining only rows that meet.
 
-    Facts of one (by, key, year) must be one row. Each grid row meets the facts
-    of its `by` values; the latest of a key is taken before they are gathered.
+    A fact of a (by, key) holds from its own `at` until that of the next. Time,
+    whole numbers or dates, is cut into blocks of `width`; a fact goes to those
+    blocks that it reaches and that the grid has, and meets the grid's rows there.
+    Facts of one (by, key, at) must be one row; null times and keys hold never.
     """
-    met = grid.join(facts.withColumnRenamed(year, "_y"), list(by)).filter(F.col("_y") <= F.col(year))
-    latest = met.groupBy(*by, year, key).agg(F.max_by(F.struct(F.col(value).alias("value"), F.col("_y").alias("year")), "_y").alias("_v"))
-    return latest.groupBy(*by, year).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_v")))).alias("latest"))
+    day = lambda c: (F.datediff(c, F.lit("1970-01-01").cast("date")) if dict(facts.dtypes)[at] == "date" else F.col(c)).cast("long")
+    asked = grid.select(*by, at).filter(F.col(at).isNotNull()).distinct().withColumn("_at", day(at)).withColumn("_block", F.floor(F.col("_at") / width))
+    there = asked.groupBy(*by).agg(F.array_sort(F.collect_set("_block")).alias("_blocks"))
+    known = facts.filter(F.col(at).isNotNull() & F.col(key).isNotNull())
+    spans = known.select(*by, F.col(key), F.struct("*").alias("_fact"), day(at).alias("_from")).withColumn("_to", F.lead("_from").over(_over([*by, key], "_from")))
+    reached = lambda b: (b >= F.floor(F.col("_from") / width)) & (F.col("_to").isNull() | (b * width < F.col("_to")))
+    dealt = spans.join(there, list(by)).withColumn("_block", F.explode(F.filter("_blocks", reached))).drop("_blocks")
+    met = asked.join(dealt, [*by, "_block"]).filter((F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to"))))
+    return met.select(*by, at, key, "_fact")
+
+
+def asof_grid(facts: DataFrame, grid: DataFrame, by: Sequence[str], key: str, year: str, value: str, width: int = 1) -> DataFrame:
+    """For each grid row (by, year) a map from key to the latest (value, year) at or before it; grid rows without any don't come.
+
+    Facts of one (by, key, year) must be one row. A long history isn't met by each
+    grid row: see asof_intervals, of which `width` is the block.
+    """
+    met = asof_intervals(facts.select(*by, key, year, value), grid, by, key, year, width)
+    pair = F.struct(F.col(f"_fact.{value}").alias("value"), F.col(f"_fact.{year}").alias("year")).alias("_v")
+    return met.select(*by, year, key, pair).groupBy(*by, year).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_v")))).alias("latest"))
 
 
 def own_history(df: DataFrame, fields: Sequence[str], n: int, entity: str, order: Sequence[str], name: str = "history") -> DataFrame:
@@ -99,25 +123,77 @@ def own_history(df: DataFrame, fields: Sequence[str], n: int, entity: str, order
     return df.withColumn(name, F.collect_list(F.struct(*fields)).over(frame))
 
 
-def other_history(df: DataFrame, fields: Sequence[str], n: int, entity: str, order: Sequence[str], id_: str, entities: Sequence, name: str = "others") -> DataFrame:
-    """Adds the up to n rows of all other entities before each row, oldest first.
+def _tail(rows: Column, n: int) -> Column:
+    """Of rows (`_e`, ...), newest first, what is enough to have the last n of all but any one entity: n an entity, 2n in all."""
+    seen = lambda x, i: F.size(F.filter(F.slice(rows, F.lit(1), i), lambda y: y["_e"].eqNullSafe(x["_e"]))) < n
+    return F.slice(F.filter(rows, seen), 1, 2 * n)
+
 
-    For a few entities: each row becomes a timeline row of every other entity,
-    which carries a window of the last n, and each own row takes the window of
-    the last foreign row before it. Nothing runs over the whole table at once.
+def _carried(blocks: DataFrame, count: int, n: int) -> DataFrame:
+    """(block, tail): for each of `count` blocks the tail of all blocks before it, of blocks (block, tail).
+
+    A tail of 2n rows needs nothing from before; only blocks whose tail is
+    shorter look back, one block, then two, four and so on further.
+    """
+    spark = blocks.sparkSession
+    every = spark.range(count).select(F.col("id").cast("int").alias("block"))
+    empty = F.array().cast(blocks.schema["tail"].dataType)
+    now = stored(every.join(blocks, "block", "left").select("block", F.coalesce("tail", empty).alias("tail")), "tails")
+    step = 1
+    while step < count:
+        short = (F.size("tail") < 2 * n) & (F.col("block") >= step)
+        if now.filter(short).isEmpty():
+            break
+        before = now.select((F.col("block") + step).alias("block"), F.col("tail").alias("_old"))
+        met = now.filter(short).join(before, "block").withColumn("_all", F.concat("tail", "_old"))
+        now = stored(now.filter(~short).unionByName(met.select("block", _tail(F.col("_all"), n).alias("tail"))), "tails")
+        step *= 2
+    return now.select((F.col("block") + 1).alias("block"), "tail")
+
+
+def other_history(df: DataFrame, fields: Sequence[str], n: int, entity: str, order: Sequence[str], name: str = "others", block_rows: int = 100_000) -> DataFrame:
+    """Adds the up to n rows of all other entities before each row, oldest first; a null entity is one of its own.
+
+    The timeline is cut into blocks of about block_rows rows. A block's tail, its
+    last rows with n an entity at most and 2n in all, is enough for whatever
+    comes after it; tails are joined over the blocks and each block is finished by
+    itself with the tail of what lies before. Rows go to one place, whatever the
+    number of entities. `order` must tell all rows apart.
     """
-    fact = F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_f_{c}") for c in fields])
-    every = F.array(*[F.lit(e) for e in entities])
-    foreign = df.select(F.explode(F.filter(every, lambda e: e != F.col(entity))).alias("_for"), *order, F.lit(0).alias("_own"), fact.alias("_fact"), F.lit(None).cast(df.schema[id_].dataType).alias("_id"))
-    own = df.select(F.col(entity).alias("_for"), *order, F.lit(1).alias("_own"), F.lit(None).cast(foreign.schema["_fact"].dataType).alias("_fact"), F.col(id_).alias("_id"))
-    line = foreign.unionByName(own)
-    over = Window.partitionBy("_for").orderBy(*order)
-    foreign_so_far = F.count("_fact").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = line.withColumn("_n", foreign_so_far)
-    held = numbered.filter("_own = 0").withColumn("_last", F.collect_list("_fact").over(Window.partitionBy("_for").orderBy("_n").rowsBetween(-(n - 1), 0))).select("_for", "_n", "_last")
-    asked = numbered.filter("_own = 1").select(F.col("_id").alias(id_), "_for", "_n").join(held, ["_for", "_n"], "left")
-    plain = F.transform(F.coalesce("_last", F.array().cast(held.schema["_last"].dataType)), lambda x: F.struct(*[x[f"_f_{c}"].alias(c) for c in fields]))
-    return df.join(asked.select(id_, plain.alias(name)), id_, "left")
+    count = max(1, -(-df.count() // block_rows))
+    placed = stored(df.repartitionByRange(count, *order).withColumn("_block", F.spark_partition_id()), "timeline")
+    fact = F.struct(F.col(entity).alias("_e"), *[F.col(c).alias(f"_f_{i}") for i, c in enumerate(fields)])
+    newest = [F.desc(c) for c in order]
+    narrow = placed.select("_block", *order, entity, fact.alias("_fact")).withColumn("_r", F.row_number().over(Window.partitionBy("_block", entity).orderBy(*newest))).filter(F.col("_r") <= n)
+    narrow = narrow.withColumn("_r", F.row_number().over(Window.partitionBy("_block").orderBy(*newest))).filter(F.col("_r") <= 2 * n)
+    tails = narrow.groupBy(F.col("_block").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_fact"))), lambda x: x["_fact"]).alias("tail"))
+    before = _carried(tails, count, n).filter(F.size("tail") > 0).select(F.col("block").alias("_block"), F.posexplode("tail").alias("_back", "_fact")).select("_block", "_back", "_fact.*")
+    kinds = {f.name: f.dataType for f in df.schema}
+    listed = T.StructField(name, T.ArrayType(T.StructType([T.StructField(c, kinds[c]) for c in fields])))
+    back, orders, own = [f"_f_{i}" for i in range(len(fields))], list(order), df.columns
+
+    def finish(rows: pa.Table, old: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in orders])
+        old = old.sort_by([("_back", "descending")])
+        line = pa.concat_arrays([*old["_e"].chunks, *rows[entity].cast(old["_e"].type).chunks])
+        codes = pc.fill_null(line.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        at = np.arange(len(codes))
+        # where each row's run of one entity begins: what is before it is of another
+        run = np.maximum.accumulate(np.where(np.concatenate([[True], codes[1:] != codes[:-1]]), at, 0)) if len(codes) else at
+        mine = at[len(old) :]
+        found, here = np.full((len(mine), n), -1), mine - 1
+        for k in range(n):
+            here = np.where((here >= 0) & (codes[here] == codes[mine]), run[here] - 1, here)
+            found[:, n - 1 - k] = here
+            here = np.maximum(here - 1, -1)
+        some = found >= 0
+        offsets = pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]), pa.int32())
+        take = pa.array(found[some])
+        values = [pa.concat_arrays([*old[b].chunks, *rows[f].cast(old[b].type).chunks]).take(take) for b, f in zip(back, fields)]
+        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, list(fields)))
+        return rows.select(own).append_column(name, lists)
+
+    return placed.groupBy("_block").cogroup(before.groupBy("_block")).applyInArrow(finish, T.StructType([*placed.drop("_block").schema.fields, listed]))
 
 
 def sequence_windows(df: DataFrame, features: Sequence[str], length: int, entity: str, order: str) -> DataFrame:

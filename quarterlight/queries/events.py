@@ -94,7 +94,7 @@ oh AS (SELECT ow.event_id, count(fo.event_id)::INTEGER AS n, coalesce(string_agg
 
 
 def with_others(spark, sf_dir):
-    return timeseries.other_history(events(spark, sf_dir), ["event_id"], 20, "country", ["ts", "event_id"], "event_id", range(5))
+    return timeseries.other_history(events(spark, sf_dir), ["event_id"], 20, "country", ["ts", "event_id"])
 
 
 @query("other_history", f"WITH {OTHERS} SELECT event_id, n, others FROM oh")
@@ -110,7 +110,7 @@ SELECT e.event_id, own_n, oh.n AS other_n, coalesce(macros, 0)::INTEGER AS macro
 def _(spark, sf_dir):
     from quarterlight.plans.snapshots import context_snapshots
 
-    snaps = context_snapshots(events(spark, sf_dir), "country", "event_type", "value", range(5))
+    snaps = context_snapshots(events(spark, sf_dir), "country", "event_type", "value")
     return snaps.select("event_id", F.size("own").alias("own_n"), F.size("others").alias("other_n"), F.coalesce(F.size("macro"), F.lit(0)).alias("macros"), F.round(F.col("macro")["click"]["value"], 4).alias("click"), "rag_text")
 
 

@@ -183,15 +183,6 @@ def test_sentence_selection(spark):
     assert out[1] == "inflation remains elevated above two percent." and not out.get(2) and not out[3]
 
 
-def test_other_history_equals_brute_force(spark):
-    rng = np.random.default_rng(7)
-    rows = [(i, int(rng.integers(0, 50)), int(rng.integers(0, 4))) for i in range(120)]
-    out = timeseries.other_history(spark.createDataFrame(rows, "id long, t int, c int"), ["id"], 5, "c", ["t", "id"], "id", range(4))
-    for r in out.collect():
-        before = sorted((t, i) for i, t, c in rows if c != r.c and (t, i) < (r.t, r.id))
-        assert [x["id"] for x in r.others] == [i for _, i in before[-5:]]
-
-
 def test_even_sample_places(spark):
     df = spark.createDataFrame([(i, 2020) for i in range(10)], "i int, y int")
     assert sorted(r.i for r in documents.even_sample(df, F.col("y"), ["i"], 4).collect()) == [0, 3, 6, 9]
