@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,44 +67,112 @@ def with_probabilities(model: PipelineModel, df: DataFrame, names: Sequence[str]
     return out.withColumn("prediction", F.coalesce(*[F.when(F.col(n) == largest, i) for i, n in enumerate(names[: len(parts)])]).cast("double"))
 
 
-def boosted_one_vs_rest(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, classes: Sequence[int], stages: int = 30, depth: int = 3, rate: float = 0.1, least: int = 5) -> list[tuple[int, int, PipelineModel]]:
-    """(class, stages, model) of a boosted classifier for each class against the others, refitted at the stage with the least validation loss."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    out = []
-    for c in classes:
-        one = lambda df, c=c: assembler.transform(df).withColumn("_y", (F.col(label) == c).cast("double"))
-        make = lambda n: GBTClassifier(featuresCol="features", labelCol="_y", maxIter=n, maxDepth=depth, stepSize=rate, seed=1)
-        losses = make(stages).fit(one(train)).evaluateEachIteration(one(val))
-        best = max(least, 1 + int(np.argmin(losses)))
-        out.append((c, best, PipelineModel(stages=[assembler, make(best).fit(one(train))])))
-    return out
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def score_one_vs_rest(models, df: DataFrame, names: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Probabilities of the classes' models, normalised to add to 1."""
-    out = df
-    for (_, _, model), name in zip(models, names):
-        scored = model.transform(out).withColumn(name, vector_to_array("probability")[1])
-        out = scored.drop("features", "rawPrediction", "probability", "prediction")
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return out.withColumns({n: F.col(n) / total for n in names})
+def _phi(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution and density of the normal law."""
+    return _erfc(-z / math.sqrt(2)).astype(float) / 2, np.exp(-np.minimum(z * z, 1e4) / 2) / math.sqrt(2 * math.pi)
 
 
-def ordered_probit(train: DataFrame, features: Sequence[str], label: str) -> tuple:
-    """Two cumulative probit models of a label in 0, 1, 2: P(y >= 1) and P(y >= 2)."""
-    scaler = standardize(train, features)
-    ready = scaler.transform(train)
-    fit = lambda k: GeneralizedLinearRegression(family="binomial", link="probit", featuresCol="scaled", labelCol="_y", regParam=0.1, maxIter=50).fit(ready.withColumn("_y", (F.col(label) >= k).cast("double")))
-    return scaler, fit(1), fit(2)
+def _probit_terms(x: np.ndarray, y: np.ndarray, beta: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, score and Hessian in (beta, cuts), summed over the rows."""
+    eta, ends = x @ beta, np.concatenate([[-np.inf], cuts, [np.inf]])
+    up, low = np.clip(ends[y + 1] - eta, -37, 37), np.clip(ends[y] - eta, -37, 37)
+    # differences are taken on the side where the law is small
+    flip = low > 0
+    p = _phi(np.where(flip, -low, up))[0] - _phi(np.where(flip, -up, low))[0]
+    p = np.maximum(p, 1e-300)
+    a = np.where(y == len(cuts), 0.0, _phi(up)[1] / p)
+    b = np.where(y == 0, 0.0, _phi(low)[1] / p)
+    at_up, at_low = (np.column_stack([-x, y[:, None] == np.arange(len(cuts)) + shift]).astype(float) for shift in (0, 1))
+    score = a @ at_up - b @ at_low
+    cross = (at_up * (a * b)[:, None]).T @ at_low
+    hessian = (at_up * (-up * a - a * a)[:, None]).T @ at_up + (at_low * (low * b - b * b)[:, None]).T @ at_low + cross + cross.T
+    return float(np.log(p).sum()), score, hessian
+
+
+@dataclass
+class OrderedProbit:
+    """P(y <= j) = Phi(cut j - x beta) on standardised features. gradient: the largest part of the score at the fit, by row."""
+
+    features: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    beta: np.ndarray
+    cuts: np.ndarray
+    loglik: float
+    gradient: float
+    rows: int
 
 
-def score_probit(models: tuple, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Differences of the cumulative probabilities, clipped at a small floor and normalised."""
-    scaler, one, two = models
-    ready = two.setPredictionCol("_p2").transform(one.setPredictionCol("_p1").transform(scaler.transform(df)))
-    parts = [F.greatest(F.lit(1e-6), x) for x in (1 - F.col("_p1"), F.col("_p1") - F.col("_p2"), F.col("_p2"))]
-    total = parts[0] + parts[1] + parts[2]
-    return ready.withColumns({n: p / total for n, p in zip(names, parts)}).drop("_p1", "_p2", "scaled", "_v")
+def ordered_probit(train: DataFrame, features: Sequence[str], label: str, classes: int = 3, rounds: int = 60) -> OrderedProbit:
+    """The joint maximum of an ordered probit's likelihood by Newton steps; a label is 0 .. classes - 1.
+
+    Each step is one aggregate of the log-likelihood, its score and its Hessian;
+    a step that lowers the likelihood or puts cut points out of order is halved.
+    Rows with a null feature or label go. A feature without variance has no part.
+    Where the features part the classes without error no maximum exists: the steps
+    end after `rounds`. A class without rows has probability 0.
+    """
+    k = len(features)
+    rows = train.dropna(subset=[*features, label]).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("int").alias("y")).filter(F.col("y").between(0, classes - 1))
+    said = rows.agg(*[f(f"x{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_samp))], *[F.sum((F.col("y") == j).cast("long")).alias(f"n{j}") for j in range(classes)]).first()
+    mean, std = (np.array([said[f"{n}{i}"] or 0.0 for i in range(k)]) for n in "ms")
+    n = np.array([said[f"n{j}"] or 0 for j in range(classes)], float)
+    total = max(int(n.sum()), 1)
+    scale = np.where(std > 1e-12, 1 / np.maximum(std, 1e-12), 0.0)
+    seen = np.flatnonzero(n)
+    m, place = max(len(seen) - 1, 0), np.cumsum(n > 0) - 1
+    size = 1 + (k + m) + (k + m) ** 2
+
+    def summed(beta: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(size)
+            for batch in batches:
+                if len(batch):
+                    x = (np.column_stack([batch.column(i).to_numpy() for i in range(k)]) - mean) * scale
+                    ll, score, hessian = _probit_terms(x, place[batch.column(k).to_numpy()], beta, cuts)
+                    held += np.concatenate([[ll], score, hessian.reshape(-1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(held)], names=["at", "v"])
+
+        found = rows.mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+        return float(found[0]), found[1 : 1 + k + m], found[1 + k + m :].reshape(k + m, k + m)
+
+    cuts = np.array([NormalDist().inv_cdf(c) for c in np.cumsum(n[seen])[:-1] / total])
+    beta = np.zeros(k)
+    now = summed(beta, cuts)
+    for _ in range(rounds):
+        ll, score, hessian = now
+        if np.abs(score).max(initial=0.0) <= 1e-9 * total:
+            break
+        step = np.linalg.lstsq(-hessian, score, rcond=1e-12)[0]
+        share, new = 1.0, None
+        while share > 1e-6:
+            to_beta, to_cuts = beta + share * step[:k], cuts + share * step[k:]
+            new = summed(to_beta, to_cuts) if (np.diff(to_cuts) > 0).all() else None
+            if new and new[0] >= ll - 1e-12 * abs(ll):
+                break
+            share, new = share / 2, None
+        if new is None:
+            break
+        beta, cuts, now = to_beta, to_cuts, new
+    ends = np.concatenate([[-37.0], cuts, [37.0]])
+    cuts = ends[[int((n[: j + 1] > 0).sum()) for j in range(classes - 1)]]
+    return OrderedProbit(list(features), mean, scale, np.where(scale > 0, beta, 0.0), cuts, now[0], float(np.abs(now[1]).max(initial=0.0)) / total, total)
+
+
+def score_probit(model: OrderedProbit, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df with the classes' probabilities, which add to one; rows with a null feature go."""
+
+    @F.pandas_udf("array<double>")
+    def p(*columns: pd.Series) -> pd.Series:
+        eta = ((np.column_stack([c.to_numpy(float) for c in columns]) - model.mean) * model.scale) @ model.beta
+        ends = np.column_stack([np.zeros(len(eta)), *(_phi(c - eta)[0] for c in model.cuts), np.ones(len(eta))])
+        return pd.Series(list(np.diff(ends, axis=1)), dtype=object)
+
+    scored = df.dropna(subset=model.features).withColumn("_p", p(*[F.col(c).cast("double") for c in model.features]))
+    return scored.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p")
 
 
 def _lagged(df: DataFrame, columns: Sequence[str], p: int, entity: str, order: str) -> tuple[DataFrame, list[str]]:
@@ -150,21 +220,74 @@ def panel_var(df: DataFrame, columns: Sequence[str], p: int, entity: str, order:
     return out.withColumns({f"res_{c}": F.col(c) - F.col(f"fit_{c}") for c in columns}).drop("beta", *names)
 
 
+def _products(ready: DataFrame, columns: Sequence[str], entity: str) -> DataFrame:
+    """(entity, n, products): number of rows and sums of the columns' products with each other, flat. Tasks add up what they read, and their sums meet."""
+    width = len(columns)
+
+    def frame(held: dict) -> pd.DataFrame:
+        return pd.DataFrame({entity: list(held), "n": [v[0] for v in held.values()], "products": [v[1].reshape(-1) for v in held.values()]})
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(entity):
+                z = rows[list(columns)].to_numpy(float)
+                n, products = held.get(key, (0, 0.0))
+                held[key] = (n + len(z), products + z.T @ z)
+            if len(held) > 20_000:
+                yield frame(held)
+                held = {}
+        yield frame(held)
+
+    parts = ready.filter(F.col(entity).isNotNull()).select(entity, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(part, f"`{entity}` {dict(ready.dtypes)[entity]}, n long, products array<double>")
+    placed = parts.select(entity, "n", F.posexplode("products").alias("_at", "_v")).groupBy(entity, "_at").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda p: p["_v"])
+    return placed.groupBy(entity).agg(F.first("n").alias("n"), listed.alias("products")).filter(F.size("products") == width * width)
+
+
 def choose_order(df: DataFrame, columns: Sequence[str], most: int, entity: str, order: str) -> DataFrame:
-    """(entity, p): order with the least Akaike criterion, by the log determinant of the residuals' covariance, each over the rows that have so many before them."""
-    parts = None
-    for p in range(1, most + 1):
-        res = panel_var(df, columns, p, entity, order)
-        names = [f"res_{c}" for c in columns]
-        sums = gram_sums(res, names, names, [entity]).withColumn("p", F.lit(p))
-        parts = sums if parts is None else parts.unionByName(sums)
-    k = len(columns)
+    """(entity, p): order from 0 to `most` with the least Akaike criterion, ties to the smaller, all orders over the rows with `most` rows before them.
 
-    def criterion(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = [(np.linalg.slogdet(np.array(xx).reshape(k, k) / n + 1e-12 * np.eye(k))[1] + 2 * k * (k * p + 1) / n, p) for n, xx, p in zip(pdf["n"], pdf["xx"], pdf["p"])]
-        return pd.DataFrame({entity: [key[0]], "p": [min(scores)[1]]})
+    One matrix of products an entity serves every order: an order's equations are
+    its leading block. Orders with no more rows than unknowns aren't considered;
+    an entity without a row that has `most` before it doesn't come.
+    """
+    ready, x = _lagged(df, columns, most, entity, order)
+    k, width = len(columns), len(x)
+    sums = _products(ready, [*x, *columns], entity)
 
-    return parts.groupBy(entity).applyInPandas(criterion, f"`{entity}` {dict(df.dtypes)[entity]}, p int")
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, n, flat in zip(pdf[entity], pdf["n"], pdf["products"]):
+                m = np.array(flat).reshape(width + k, -1)
+                scores = []
+                for p in range(most + 1):
+                    q = 1 + k * p
+                    if p == 0 or n > q + k:
+                        beta = np.linalg.lstsq(m[:q, :q], m[:q, width:], rcond=None)[0]
+                        rest = m[width:, width:] - m[width:, :q] @ beta
+                        scores.append(np.linalg.slogdet((rest + rest.T) / 2 / n + 1e-12 * np.eye(k))[1] + 2 * k * q / n)
+                out.append((key, next(p for p, v in enumerate(scores) if v <= min(scores) + 1e-9)))
+            yield pd.DataFrame(out, columns=[entity, "p"])
+
+    return sums.mapInPandas(choose, f"`{entity}` {dict(df.dtypes)[entity]}, p int")
+
+
+def panel_var_by_order(df: DataFrame, columns: Sequence[str], most: int, entity: str, order: str) -> DataFrame:
+    """Residuals and fitted values of an autoregression for each entity, of the order that choose_order gives it, with that order as p: rows p + 1 on."""
+    w = Window.partitionBy(entity).orderBy(order)
+    k = len(columns)
+    # lags beyond an entity's order are zero and get no weight
+    lags = {f"_{c}_{j}": F.when(F.col("p") >= j, F.lag(c, j).over(w)).otherwise(0.0) for j in range(1, most + 1) for c in columns}
+    x = ["_one", *lags]
+    ready = df.join(choose_order(df, columns, most, entity, order), entity).withColumns({"_one": F.lit(1.0), **lags}).dropna(subset=[*x, *columns])
+    rows_of = lambda start, n: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(x) - 1)), lambda i: F.slice("products", i * (len(x) + k) + start + 1, n)))
+    sums = _products(ready, [*x, *columns], entity).select(entity, "n", rows_of(0, len(x)).alias("xx"), rows_of(len(x), k).alias("xy"))
+    beta = solve(sums, entity, len(x), k, 1)
+    fitted = {c: sum((F.col(v) * F.col("beta")[i * k + j] for i, v in enumerate(x)), F.lit(0.0)) for j, c in enumerate(columns)}
+    out = ready.join(beta, entity).withColumns({f"fit_{c}": v for c, v in fitted.items()})
+    return out.withColumns({f"res_{c}": F.col(c) - F.col(f"fit_{c}") for c in columns}).drop("beta", *x)
 
 
 def rolling_var(df: DataFrame, columns: Sequence[str], entity: str, order: str, least: int = 16) -> DataFrame:

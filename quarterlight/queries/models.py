@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarterlight.functions.rules import probs_from_delta
-from quarterlight.operators import metrics, models
+from quarterlight.operators import boosting, metrics, models
 from quarterlight.operators import timeseries as ts
 from quarterlight.queries.panels import MONTHS, months
 from quarterlight.queries.registry import query, table
@@ -77,10 +77,12 @@ def _(spark, sf_dir):
 
 @query("gbt_early_stop")
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).cache()
-    found = models.boosted_one_vs_rest(rows.filter("split = 'train'"), rows.filter("split = 'val'"), FEATURES, "quality", [0, 1], stages=12)
-    scored = models.score_one_vs_rest(found, rows, ["p0", "p1"], ["doc_id"])
-    return scored.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg(((F.col("p1") > F.col("p0")).cast("int") == F.col("quality")).cast("int")), 4).alias("accuracy"))
+    rows = labelled(spark, sf_dir).withColumn("y", F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality"))).cache()
+    model = boosting.boosted_softmax(rows.filter("split = 'train'"), rows.filter("split = 'val'"), FEATURES, "y", [0, 1, 2])
+    scored = model.score(rows, ["p0", "p1", "p2"])
+    p = F.element_at(F.array("p0", "p1", "p2"), F.col("y") + 1)
+    right = (p >= F.greatest("p0", "p1", "p2")).cast("int")
+    return scored.groupBy("split").agg(F.lit(model.best).alias("stages"), F.count("*").alias("n"), F.round(F.avg(right), 4).alias("accuracy"), F.round(F.avg(-F.ln(F.greatest(p, F.lit(1e-15)))), 4).alias("log_loss"))
 
 
 def quarterly_moves(spark, sf_dir):
@@ -116,7 +118,13 @@ def _(spark, sf_dir):
 @query("var_order")
 def _(spark, sf_dir):
     panel = months(spark, sf_dir).withColumns({"y": F.col("value") / 1e6, "n": F.col("n").cast("double")})
-    return models.choose_order(panel, ["y", "n"], 4, "entity", "ts")
+    return models.choose_order(panel, ["y", "n"], 8, "entity", "ts")
+
+
+@query("panel_var_by_order")
+def _(spark, sf_dir):
+    panel = months(spark, sf_dir).withColumns({"y": F.col("value") / 1e6, "n": F.col("n").cast("double")})
+    return models.panel_var_by_order(panel, ["y", "n"], 8, "entity", "ts").select("entity", "ts", "p", F.round("fit_y", 4).alias("fit"), F.round("res_y", 4).alias("residual"))
 
 
 @query("rolling_var_direction")

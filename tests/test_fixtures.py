@@ -100,15 +100,6 @@ def test_rolling_var_needs_a_past(spark):
     assert out[10] is None and out[25] is not None
 
 
-def test_boosted_probabilities_add_to_one(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, float(a), float(b), int(a + b > 0)) for i, (a, b) in enumerate(rng.standard_normal((200, 2)))]
-    df = spark.createDataFrame(rows, "id int, a double, b double, y int").repartition(2)
-    found = models.boosted_one_vs_rest(df.filter("id < 120"), df.filter("id >= 120"), ["a", "b"], "y", [0, 1], stages=6, depth=2)
-    out = models.score_one_vs_rest(found, df, ["p0", "p1"], ["id"]).collect()
-    assert all(r.p0 + r.p1 == pytest.approx(1) for r in out) and np.mean([(r.p1 > r.p0) == r.y for r in out]) > 0.85
-
-
 def test_dates_numbers_titles(spark):
     cases = {"monetary20240131a.htm": "2024-01-31", "on 2024/2/9": "2024-02-09", "March 5, 2024": "2024-03-05", "20241399 then 2024-01-02": "2024-01-02", "none": None}
     df = spark.createDataFrame(list(cases), "string").select("value", text.infer_date(F.col("value")).cast("string").alias("d"))
