@@ -8,10 +8,12 @@ level for each group's count; a search walks down depth first and spends a
 surplus and a deficit of one, and the words of the leaves that it reaches are
 compared letter by letter.
 
-The trie is dealt over tasks by its first SPLIT levels: a word stands in its own
-branch and asks in each branch that its budget reaches. A branch of more than
-BRANCH words is dealt into parts by hash, all of which are asked. A task answers
-with one row a word that asks: how many words are near it and the best of them.
+Above these levels stand SPLIT levels of coarser groups, by whose counts the trie
+is dealt over tasks: a word stands in its own branch and asks in those branches of
+a larger number that its budget reaches. A branch of more than BRANCH words is
+dealt into parts by hash, all of which are asked. A task answers with a row a
+word, how many words are near it and the best of them, for words that ask and for
+words that are found.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 from quarterlight.llm.common import save, small, table
 
 LETTERS, OCCURRENCES, DAMAGED, FACTOR = 5, 3, 97, 2
-GROUPS, SPLIT = 8, 4
-#: Words of a branch that one task holds.
-BRANCH = 20_000
+GROUPS = 16
+#: For the branches letters fall into COARSE groups, of which SPLIT are counted.
+COARSE, SPLIT = 8, 4
+#: Words of a branch that one task holds, and words that ask it at a time.
+BRANCH, ASKING = 10_000, 50_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
 #: Words under a node that are looked at together, and pairs that are compared at a time.
@@ -86,12 +90,12 @@ def word_counts(docs: DataFrame, occurrences: int = OCCURRENCES) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= occurrences)
 
 
-def vectors(words: list[bytes]) -> np.ndarray:
+def vectors(words: list[bytes], groups: int = GROUPS) -> np.ndarray:
     """Counts of each word's letters by group."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    letters = np.frombuffer(b"".join(words), np.uint8) % GROUPS
+    letters = np.frombuffer(b"".join(words), np.uint8) % groups
     at = np.repeat(np.arange(len(words)), lengths)
-    return np.bincount(at * GROUPS + letters, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
+    return np.bincount(at * groups + letters, minlength=len(words) * groups).reshape(len(words), groups)
 
 
 def _steps() -> np.ndarray:
@@ -109,21 +113,37 @@ def _branch(counts: np.ndarray) -> np.ndarray:
     return key
 
 
-def _equal_halves(words: list[bytes], asks: list[bytes], w: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those (w, q) with w before or after an edit in q: an edit leaves the first or the last half of the shorter word as it is."""
-    half = min(len(words[w[0]]), len(asks[q[0]])) // 2
-    found: set[tuple[int, int]] = set()
-    for end in (False, True):
-        cut = (lambda x: x[-half:]) if end else (lambda x: x[:half])
-        by: dict[bytes, list[int]] = {}
-        for i in w:
-            by.setdefault(cut(words[i]), []).append(i)
-        for j in q:
-            found.update((i, j) for i in by.get(cut(asks[j]), ()))
-    if not found:
-        return w[:0], q[:0]
-    pairs = np.array(sorted(found))
-    return pairs[:, 0], pairs[:, 1]
+class Letters:
+    """Words as one array of letters."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.all = np.frombuffer(b"".join(words), np.uint8)
+
+    def of(self, at: np.ndarray, first: int, length: int) -> np.ndarray:
+        """So many letters from `first` on of the words at these places, which have them: a row a word."""
+        return self.all[(self.start[at] + first)[:, None] + np.arange(length)]
+
+
+def _equal_halves(words: Letters, asks: Letters, w: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those (w, q) whose first or last halves are equal: an edit leaves one half of the shorter word as it is. Words w have one length, asks q have one."""
+    lw, lq = int(words.length[w[0]]), int(asks.length[q[0]])
+    half = min(lw, lq) // 2
+    pairs = []
+    for last in (False, True):
+        left = words.of(w, lw - half if last else 0, half)
+        right = asks.of(q, lq - half if last else 0, half)
+        _, key = np.unique(np.concatenate([left, right]), axis=0, return_inverse=True)
+        kw, kq = key[: len(w)], key[len(w) :]
+        order = np.argsort(kw, kind="stable")
+        low, high = np.searchsorted(kw[order], kq, "left"), np.searchsorted(kw[order], kq, "right")
+        n = high - low
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs.append(np.repeat(np.arange(len(q)), n) * len(w) + order[np.repeat(low, n) + within])
+    both = np.unique(np.concatenate(pairs))
+    return w[both % len(w)], q[both // len(w)]
 
 
 class Trie:
@@ -133,58 +153,57 @@ class Trie:
         self.leaf, self.few = leaf, few
         counts = vectors(words)
         order = np.lexsort(counts.T[::-1])
-        self.words, self.counts = [words[i] for i in order], counts[order]
-
-    def near(self, asks: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ask, word) places of all pairs one edit apart, in portions. Two words of equal vectors share a leaf."""
-        self.asks, self.wanted = asks, vectors(asks)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        n, all_asks = len(asks), np.arange(len(asks))
-        waiting = 0
-        for q, w in self._search(0, len(self.words), 0, all_asks, np.ones(n, np.int8), np.ones(n, np.int8)):
-            self.held.append((q, w))
+        self.order, self.counts = order, counts[order]
+        self.words = Letters([words[i] for i in order])
+
+    def near(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ask, word) places of all pairs one edit apart, in portions."""
+        asks, wanted = Letters(words), vectors(words)
+        ones = np.ones(len(words), np.int8)
+        held, waiting = [], 0
+        for q, w in self._search(asks, wanted, 0, len(self.order), 0, np.arange(len(words)), ones, ones):
+            held.append((q, w))
             waiting += len(q)
             if waiting >= PAIRS:
-                yield self._verified()
-                waiting = 0
-        yield self._verified()
+                yield self._verified(asks, held)
+                held, waiting = [], 0
+        if held:
+            yield self._verified(asks, held)
 
-    def _search(self, low: int, high: int, level: int, q: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _search(self, asks: Letters, wanted: np.ndarray, low: int, high: int, level: int, q: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if level < GROUPS and high - low > self.few:
             counts = self.counts[low:high, level]
             edges = [0, *(np.flatnonzero(counts[1:] != counts[:-1]) + 1), high - low]
             for start, end in zip(edges, edges[1:]):
-                more = self.wanted[q, level] - counts[start]
-                go = (more <= surplus) & (-more <= deficit)
-                if go.any():
-                    yield from self._search(low + start, low + end, level + 1, q[go], (surplus - np.maximum(more, 0))[go].astype(np.int8), (deficit - np.maximum(-more, 0))[go].astype(np.int8))
+                more = wanted[q, level] - counts[start]
+                go = np.flatnonzero((more <= surplus) & (-more <= deficit))
+                if len(go):
+                    more = more[go]
+                    left = (surplus[go] - np.maximum(more, 0)).astype(np.int8), (deficit[go] - np.maximum(-more, 0)).astype(np.int8)
+                    yield from self._search(asks, wanted, low + start, low + end, level + 1, q[go], *left)
+            return
+        if level == GROUPS and len(q) * (high - low) > self.leaf:  # words of a leaf have one length
+            under = np.arange(low, high)
+            for length in np.unique(asks.length[q]):
+                w, asked = _equal_halves(self.words, asks, under, q[asks.length[q] == length])
+                for x in range(0, len(w), PAIRS):
+                    yield asked[x : x + PAIRS], w[x : x + PAIRS]
             return
         step = max(1, PAIRS // (high - low))
         for at in range(0, len(q), step):
             part = q[at : at + step]
             if level < GROUPS:
-                more = self.wanted[part][:, None, level:] - self.counts[None, low:high, level:]
-                near = (np.maximum(more, 0).sum(axis=2) <= surplus[at : at + step, None]) & (np.maximum(-more, 0).sum(axis=2) <= deficit[at : at + step, None])
-                i, j = np.nonzero(near)
+                more = wanted[part][:, None, level:] - self.counts[None, low:high, level:]
+                up = np.maximum(more, 0).sum(axis=2)
+                i, j = np.nonzero((up <= surplus[at : at + step, None]) & (up - more.sum(axis=2) <= deficit[at : at + step, None]))
                 yield part[i], low + j
-            elif len(q) * (high - low) > self.leaf:
-                under = np.arange(low, high)
-                for length in {len(self.asks[i]) for i in part}:
-                    same = np.array([i for i in part if len(self.asks[i]) == length])
-                    w, asked = _equal_halves(self.words, self.asks, under, same)
-                    for x in range(0, len(w), PAIRS):
-                        yield asked[x : x + PAIRS], w[x : x + PAIRS]
             else:
                 yield np.repeat(part, high - low), np.tile(np.arange(low, high), len(part))
 
-    def _verified(self) -> tuple[np.ndarray, np.ndarray]:
+    def _verified(self, asks: Letters, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs held those that are one edit apart."""
-        if not self.held:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        q, w = (np.concatenate(x) for x in zip(*self.held))
-        self.held = []
-        lq = np.fromiter((len(self.asks[i]) for i in q), np.int64, len(q))
-        lw = np.fromiter((len(self.words[i]) for i in w), np.int64, len(w))
+        q, w = (np.concatenate(x) for x in zip(*held))
+        lq, lw = asks.length[q], self.words.length[w]
         good = np.zeros(len(q), bool)
         for length in np.unique(lq):
             for other in (length - 1, length, length + 1):
@@ -192,15 +211,10 @@ class Trie:
                 size = max(1, 4_000_000 // int(length + 1))
                 for x in range(0, len(at), size):
                     part = at[x : x + size]
-                    left = self._letters(self.asks, q[part], length)
-                    right = self._letters(self.words, w[part], other)
+                    left, right = asks.of(q[part], 0, length), self.words.of(w[part], 0, other)
                     good[part] = one_edit(left, right) if other >= length else one_edit(right, left)
         return q[good], w[good]
 
-    @staticmethod
-    def _letters(words: list[bytes], at: np.ndarray, length: int) -> np.ndarray:
-        return np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), length)
-
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the rows of letters are one edit apart; b's rows are as long as a's or one longer."""
@@ -217,80 +231,103 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ANSWER = "word string, n_near long, best struct<n: long, word: string>"
 
 
+def _best(n: np.ndarray, words: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """Places by n, the largest first, equal ones by word; and each place's rank in that order."""
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return order, rank
+
+
 def near_words(words: DataFrame, branch: int = BRANCH, leaf: int = LEAF, few: int = FEW) -> DataFrame:
     """(word, n_near, best (n, word)) for words (word, n) that have a near one: their number, and the one of largest n, ties to the first in code-point order."""
     steps = _steps()
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            counts = vectors([w.encode("latin-1") for w in batch.column(0).to_pylist()])[:, :SPLIT]
             for start in range(0, batch.num_rows, 20_000):
-                part = counts[start : start + 20_000]
-                to = part[:, None, :] + steps[None]
-                i, j = np.nonzero((to >= 0).all(axis=2))
-                rows = batch.slice(start, len(part)).take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_branch(to[i, j])), pa.array(j > 0)], names=["word", "n", "branch", "asks"])
+                part = batch.slice(start, 20_000)
+                counts = vectors([w.encode("latin-1") for w in part.column(0).to_pylist()], COARSE)[:, :SPLIT]
+                to = counts[:, None, :] + steps[None]
+                key = _branch(to)
+                # of two branches the words of that with the smaller number ask in the other
+                i, j = np.nonzero((to >= 0).all(axis=2) & ((key > key[:, :1]) | (np.arange(len(steps)) == 0)))
+                rows = part.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key[i, j]), pa.array(j > 0)], names=["word", "n", "branch", "asks"])
 
-    # the first step is none: the word's own branch, where it stands as well
     visits = save(words.select("word", "n").mapInArrow(asking, "word string, n long, branch long, asks boolean"), "visits")
     own = visits.filter("not asks")
-    branches = own.groupBy("branch").agg(F.ceil(F.count("*") / branch).cast("int").alias("parts"))
-    stand = own.select("branch", "word", "n", F.lit(0).alias("role"))
-    asks = visits.select("branch", "word", "n", F.lit(1).alias("role"))
-    many = save(branches.filter("parts > 1"), "branches")
-    split = small(many)
-    stand = stand.join(split, "branch", "left").select("branch", F.coalesce(F.pmod(F.xxhash64("word"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "role", "word", "n")
-    # a branch without words isn't asked
-    asks = asks.join(branches.select("branch"), "branch", "left_semi").join(split, "branch", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select("branch", "part", "role", "word", "n")
-
-    def answer(words: list[bytes], ns: np.ndarray, asked: list[bytes]) -> pa.RecordBatch:
-        trie = Trie(words, leaf, few)
-        place = {w: i for i, w in enumerate(words)}
-        n_of = np.array([ns[place[w]] for w in trie.words], np.int64)
-        # the rank of a word among those that stand here: larger n first, then the smaller word
-        order = sorted(range(len(words)), key=lambda i: (-n_of[i], trie.words[i]))
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        found, best = np.zeros(len(asked), np.int64), np.full(len(asked), len(words), np.int64)
+    branches = save(own.groupBy("branch").agg(F.ceil(F.count("*") / branch).cast("int").alias("parts")), "branches")
+    split = small(branches)
+    # a word stands in one part of its branch and asks, as do visitors, in all; a branch without words isn't asked
+    met = visits.join(split, "branch").withColumn("_part", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    dealt = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    stands = ~F.col("asks") & (F.col("part") == F.col("_part"))
+    dealt = dealt.select("branch", "part", F.when(stands, 0).when(~F.col("asks"), 1).otherwise(2).alias("role"), "word", "n")
+
+    def answers(asked: list[bytes], found: np.ndarray, best: np.ndarray, order: list[int], n: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+        some = np.flatnonzero(found)
+        chosen = [order[i] for i in best[some]]
+        names = pa.array([words[i].decode("latin-1") for i in chosen], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([asked[i].decode("latin-1") for i in some], pa.string()), pa.array(found[some]), pa.StructArray.from_arrays([pa.array(n[chosen]), names], ["n", "word"])], names=["word", "n_near", "best"])
+
+    def answer(trie: Trie, n: np.ndarray, asked: list[bytes], asked_n: np.ndarray, guests: bool) -> Iterator[pa.RecordBatch]:
+        """What the askers find; where they are guests of other branches, also what the trie's words find in them."""
+        stand = trie.words.words
+        order, rank = _best(n, stand)
+        found, best = np.zeros(len(asked), np.int64), np.full(len(asked), len(stand), np.int64)
+        if guests:
+            order_q, rank_q = _best(asked_n, asked)
+            found_w, best_w = np.zeros(len(stand), np.int64), np.full(len(stand), len(asked), np.int64)
         for q, w in trie.near(asked):
-            np.add.at(found, q, 1)
+            found += np.bincount(q, minlength=len(asked))
             np.minimum.at(best, q, rank[w])
-        some = np.flatnonzero(found)
-        chosen = [order[best[i]] for i in some]
-        names = pa.array([trie.words[i].decode("latin-1") for i in chosen], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([asked[i].decode("latin-1") for i in some], pa.string()), pa.array(found[some]), pa.StructArray.from_arrays([pa.array(n_of[chosen]), names], ["n", "word"])], names=["word", "n_near", "best"])
+            if guests:
+                found_w += np.bincount(w, minlength=len(stand))
+                np.minimum.at(best_w, w, rank_q[q])
+        yield answers(asked, found, best, order, n, stand)
+        if guests:
+            yield answers(stand, found_w, best_w, order_q, asked_n, asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by branch, part and role: the words that stand, then the words that ask, these in portions."""
-        key, words, ns, asked = None, [], [], []
+        """Rows come sorted by branch, part and role: words that stand here, words of this branch that stand in other parts, guests; those that ask in portions."""
+        key = trie = n = None
+        stand: tuple[list, list] = ([], [])
+        waiting: tuple[list, list] = ([], [])
+        guests = False
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            nonlocal trie, n, waiting
+            if trie is None and stand[0]:
+                trie = Trie(stand[0], leaf, few)
+                n = np.array(stand[1], np.int64)[trie.order]
+                yield from answer(trie, n, stand[0], np.array(stand[1], np.int64), False)
+            if waiting[0] and trie is not None:
+                yield from answer(trie, n, waiting[0], np.array(waiting[1], np.int64), guests)
+            waiting = ([], [])
+
         for batch in batches:
             branch_, part, role = (batch.column(k).to_numpy() for k in range(3))
-            names, counts = [w.encode("latin-1") for w in batch.column(3).to_pylist()], batch.column(4).to_numpy()
+            names, counts = [w.encode("latin-1") for w in batch.column(3).to_pylist()], batch.column(4).to_pylist()
             edges = np.flatnonzero((branch_[1:] != branch_[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
             for start, end in zip([0, *edges], [*edges, len(names)]):
                 if start == end:
                     continue
-                now = (branch_[start], part[start])
-                if now != key:
-                    if asked and words:
-                        yield answer(words, np.array(ns), asked)
-                    key, words, ns, asked = now, [], [], []
-                if role[start] == 0:
-                    words += names[start:end]
-                    ns += counts[start:end].tolist()
-                else:
-                    asked += names[start:end]
-                    if len(asked) >= 50_000 and words:
-                        yield answer(words, np.array(ns), asked)
-                        asked = []
-        if asked and words:
-            yield answer(words, np.array(ns), asked)
-
-    met = stand.unionByName(asks).repartition("branch", "part").sortWithinPartitions("branch", "part", "role")
-    answers = met.mapInArrow(search, ANSWER)
-    return answers.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min_by("best", F.struct(-F.col("best.n"), F.col("best.word"))).alias("best"))
+                if (branch_[start], part[start]) != key or (role[start] == 2) != guests:
+                    yield from asked()
+                if (branch_[start], part[start]) != key:
+                    key, trie, stand = (branch_[start], part[start]), None, ([], [])
+                guests = role[start] == 2
+                to = waiting if role[start] else stand
+                to[0].extend(names[start:end])
+                to[1].extend(counts[start:end])
+                if len(waiting[0]) >= ASKING:
+                    yield from asked()
+        yield from asked()
+
+    met = dealt.repartition("branch", "part").sortWithinPartitions("branch", "part", "role")
+    found = met.mapInArrow(search, ANSWER)
+    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min_by("best", F.struct(-F.col("best.n"), F.col("best.word"))).alias("best"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
