@@ -57,6 +57,16 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: int = 2000) -> DataFrame:
+    """left with the columns of right, which has one row a key at most (nulls where it has none). Keys of more than `hot` rows of left are few: they are joined where the rows are."""
+    many = save(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(key), "many")
+    loud = small(save(many.join(right, key).withColumn("_hot", F.lit(True)), "loud"))
+    values = [c for c in right.columns if c != key]
+    met = save(left.join(loud, key, "left"), "met")
+    rest = met.filter("_hot IS NULL").drop("_hot", *values).join(right, key, "left")
+    return met.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def shielded(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with columns of these names renamed out of the way, and the names that bring them back (for withColumnsRenamed)."""
     back = {f"__kept_{c}": c for c in df.columns if c in names}

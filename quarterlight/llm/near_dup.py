@@ -10,12 +10,14 @@ place in the block at random: blocks wholly below the weight take every point,
 the last takes those that fall below the weight. Points are drawn in rising
 time and a block stops once it is later than every component's present minimum.
 
-Signatures are cut into bands. Exact copies are one class from the start, and
-band groups don't expand into pairs: each member meets its group's first, links
-are checked on the whole bags, and of groups that then still hold different
-classes, members are compared inside tasks, in blocks of bounded size: a pair
-in the first band that it shares, if its classes differ, its signatures come
-near and no link found there has joined it yet. Tasks return links only.
+Signatures are cut into bands. A text is known by its hash and then by a saved
+number, never by its document's id: exact copies are one class from the start,
+and unlike texts under one id are texts of their own. Band groups don't expand
+into pairs: each member meets its group's first, links are checked on the whole
+bags, and of groups that then still hold different classes, members are compared
+inside tasks, in blocks of bounded size: a pair in the first band that it shares,
+if its classes differ, its signatures come near and no link found there has
+joined it yet. Tasks return links only.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import save, small, table
+from quarterlight.llm.common import lookup, save, shielded, small, table
 from quarterlight.llm.words import WordHash, alnum_words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -39,7 +41,7 @@ SIZE = BANDS * ROWS
 BLOCK = 512
 #: Rows with one key that a task is given, where one side of a join has many rows for a key and the other has one.
 HOT = 2000
-#: A pair whose signatures agree less is not checked on the bags: four standard errors below SIMILARITY.
+#: A pair of a mixed group whose signatures agree less is not checked on the bags: four standard errors below SIMILARITY; 0 checks all.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SIZE) ** 0.5
 
 _U = np.uint64
@@ -131,18 +133,29 @@ def short(signature: np.ndarray) -> np.ndarray:
     return (_mix(signature.view(np.uint64)) >> _U(32)).astype(np.uint32)
 
 
-SIGNED = "id long, n long, keys array<long>, signature binary"
+#: Texts whose copies a task knows again, so that it signs them once.
+SEEN = 100_000
+SIGNED = "copy string, n long, keys array<long>, signature binary"
 
 
 def bands(docs: DataFrame, lot_chars: int = 1_500_000) -> DataFrame:
-    """(id, n, keys, signature) of docs (id, text): number of shingles, keys of the bands (none for a text without words), short signature."""
+    """(copy, n, keys, signature) of docs (copy, text): number of shingles, keys of the bands (none for a text without words), short signature.
+
+    Texts with one `copy` are the same; a task signs one of them as long as it remembers it.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
+        seen: set[str] = set()
         for batch in batches:
             ids, lot, size = [], [], 0
-            for i, text in zip(batch.column(0), batch.column(1)):
-                ids.append(i.as_py())
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(i)
+                ids.append(i)
                 lot.append(bag(text.as_py(), hashes))
                 size += len(lot[-1][0])
                 if size > lot_chars // 6:
@@ -156,9 +169,9 @@ def bands(docs: DataFrame, lot_chars: int = 1_500_000) -> DataFrame:
         flat = band_keys(times)[some].reshape(-1) if lot else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(BANDS * some)]), pa.int32()), pa.array(flat, pa.int64()))
         n = pa.array([int(x[1].sum()) for x in lot], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), n, lists, pa.array([x.tobytes() for x in short(times)], pa.binary())], names=["id", "n", "keys", "signature"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), n, lists, pa.array([x.tobytes() for x in short(times)], pa.binary())], names=["copy", "n", "keys", "signature"])
 
-    return docs.select("id", "text").mapInArrow(sign, SIGNED)
+    return docs.select("copy", "text").mapInArrow(sign, SIGNED)
 
 
 def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
@@ -179,7 +192,7 @@ def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, schema)
 
 
-def _open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open_pairs(group: pd.DataFrame, similarity: float, least_agreement: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and agreement of the pairs of a block pair that are to be checked here."""
     key, one, two = group[["key", "one", "two"]].iloc[0]
     block, cls, n = group["block"].to_numpy(), group["class"].to_numpy(), group["n"].to_numpy()
@@ -190,12 +203,12 @@ def _open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     found = []
     for a in left:
         to = right[right > a] if one == two else right
-        to = to[(cls[to] != cls[a]) & (np.minimum(n[to], n[a]) >= SIMILARITY * np.maximum(n[to], n[a]))]
+        to = to[(cls[to] != cls[a]) & (np.minimum(n[to], n[a]) >= similarity * np.maximum(n[to], n[a]))]
         if len(to):
             to = to[~(keys[to, :band] == keys[a, :band]).any(axis=1)]
         if len(to):
             agree = (sigs[to] == sigs[a]).mean(axis=1)
-            near = agree >= LEAST_AGREEMENT
+            near = agree >= least_agreement
             if near.any():
                 found.append((np.full(near.sum(), a), to[near], agree[near]))
     if not found:
@@ -203,17 +216,17 @@ def _open_pairs(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _candidates(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _candidates(group: pd.DataFrame, similarity: float, least_agreement: float) -> Iterator[pd.DataFrame]:
     """Rows of a block pair that have a pair to be checked."""
     if len(group) > 1:
-        a, b, _ = _open_pairs(group)
+        a, b, _ = _open_pairs(group, similarity, least_agreement)
         if len(a):
             yield group.iloc[np.unique(np.concatenate([a, b]))]
 
 
-def _links(group: pd.DataFrame, similarity: float, hashes: WordHash) -> Iterator[pd.DataFrame]:
+def _links(group: pd.DataFrame, similarity: float, least_agreement: float, hashes: WordHash) -> Iterator[pd.DataFrame]:
     """Links of a block pair that join two classes, nearest signatures first."""
-    a, b, agree = _open_pairs(group)
+    a, b, agree = _open_pairs(group, similarity, least_agreement)
     ids, cls, texts = group["id"].to_numpy(), group["class"].to_numpy(), group["text"].to_numpy()
     parent: dict[int, int] = {}
     bags: dict[int, tuple] = {}
@@ -232,15 +245,15 @@ def _links(group: pd.DataFrame, similarity: float, hashes: WordHash) -> Iterator
     for k in np.argsort(-agree, kind="stable"):
         i, j = a[k], b[k]
         x, y = root(cls[i]), root(cls[j])
-        if x != y and weighted_jaccard(own(i), own(j)) >= similarity:
+        if x != y and (alike := weighted_jaccard(own(i), own(j))) >= similarity:
             parent[max(x, y)] = min(x, y)
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), alike))
     if out:
-        yield pd.DataFrame(out, columns=["a", "b"])
+        yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
 
-def links_inside(members: DataFrame, signed: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different classes of one band group, enough to join all that are linked.
+def links_inside(members: DataFrame, signed: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """Links (a, b, similarity) between different classes of one band group, enough to join all that are linked.
 
     members: key, id. found: (id, class) so far. A group of more
     than BLOCK members is dealt into blocks by hash and each two blocks meet in
@@ -253,19 +266,19 @@ def links_inside(members: DataFrame, signed: DataFrame, texts: DataFrame, found:
     meeting = ["key", "one", "two"]
     rows = dealt.join(signed, "id").select(*meeting, "block", "id", "class", "n", "keys", "signature")
     schema = "key long, one int, two int, block int, id long, class long, n long, keys array<long>, signature binary"
-    near = save(_by_group(rows, meeting, _candidates, schema), "near")
+    near = save(_by_group(rows, meeting, lambda group: _candidates(group, similarity, least_agreement), schema), "near")
     ready = near.join(texts, "id").select(*near.columns, "text")
 
     hashes = WordHash()
 
     def check(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        return _links(group, similarity, hashes)
+        return _links(group, similarity, least_agreement, hashes)
 
-    return _by_group(ready, meeting, check, "a long, b long")
+    return _by_group(ready, meeting, check, "a long, b long, similarity double")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) whose whole bags are at least `similarity` alike. texts: id, text."""
+    """(a, b, similarity) of those pairs (a, b) whose whole bags are at least `similarity` alike. texts: id, text."""
 
     @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -286,7 +299,7 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     centres = texts.select(F.col("id").alias("a"), F.col("text").alias("_x")).join(hot, "a", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
     with_a = dealt.join(centres, ["a", "_part"])
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_y")), "b")
-    return both.select("a", "b", alike("_x", "_y").alias("_j")).filter(F.col("_j") >= similarity).select("a", "b")
+    return both.select("a", "b", alike("_x", "_y").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def classes(links: DataFrame, name: str = "classes") -> DataFrame:
@@ -318,46 +331,76 @@ def classes(links: DataFrame, name: str = "classes") -> DataFrame:
     return save(found.unionByName(found.select(F.col("class").alias("id"), "class")).distinct(), name)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id of the documents that links of `similarity` or more join.
+def _text_key() -> Column:
+    return F.when(F.col("text").isNotNull(), F.sha2("text", 256))
 
-    docs: doc_id, text. Equal texts are one class. A text without words is like
-    none but its exact copies; null texts are each alone. Rows with equal ids
-    give equal rows; null ids are left out. The whole text counts.
-    """
-    rows = save(docs.filter("doc_id IS NOT NULL").select("doc_id", F.when(F.col("text").isNotNull(), F.sha2(F.col("text"), 256)).otherwise(F.concat(F.lit("null "), F.col("doc_id").cast("string"))).alias("_copy")), "copies")
-    firsts = rows.groupBy("_copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n"))
-    # one text stands for its copies
-    first_ids = save(firsts, "firsts")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    # texts stay where they are: copies are signed too, and the narrow rows of signatures meet the list of firsts
-    signed = save(bands(texts).join(first_ids.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "signed")
+
+def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> DataFrame:
+    """(doc_id, copy, class, class_id, n_copies, partner_id, similarity) of each row of docs (doc_id, text); null texts have no copy and no class."""
+    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("copy")), "copies")
+    # one text stands for its copies, under a number that is saved
+    firsts = rows.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    firsts = save(firsts.withColumn("id", F.monotonically_increasing_id()), "firsts")
+    texts = docs.select(_text_key().alias("copy"), "text").filter("copy IS NOT NULL")
+    # texts stay where they are: narrow signatures meet, of each text one
+    once = bands(texts).groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "keys", "signature")])
+    signed = save(once.join(firsts.select("copy", "id"), "copy").drop("copy"), "signed")
     keys = signed.select("id", F.explode("keys").alias("key"))
     groups = save(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
     members = save(keys.join(groups, "key"), "members")
     stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = save(members.select("id").distinct(), "wanted")
-    texts = save(texts.join(small(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = save(firsts.select("copy", "id").join(members.select("id").distinct(), "id"), "wanted")
+    texts = save(texts.join(small(wanted, wanted.count()), "copy").select("id", "text").dropDuplicates(["id"]), "texts")
     links = save(linked(stars, texts, similarity), "links")
-    more = save(links_inside(members.select("key", "id"), signed, texts, classes(links), similarity), "links")
-    found = classes(links.unionByName(more))
-    copy_class = first_ids.select("_copy", F.col("first").alias("id")).join(found, "id", "left").select("_copy", F.coalesce("class", "id").alias("class_id"))
-    # copies of one text may be a third of all rows: the classes of such texts are few, and meet the rows where they are
-    many = save(copy_class.join(first_ids.filter(F.col("_n") > HOT).select("_copy"), "_copy"), "many")
-    met = rows.join(small(many.withColumnRenamed("class_id", "_many")), "_copy", "left")
-    other = met.filter("_many IS NULL").join(copy_class, "_copy").select("doc_id", "class_id")
-    return met.filter("_many IS NOT NULL").select("doc_id", F.col("_many").alias("class_id")).unionByName(other)
+    more = save(links_inside(members.select("key", "id"), signed, texts, classes(links), similarity, least_agreement), "links")
+    links = links.unionByName(more)
+    # of the links that were found the nearest, of equal ones that to the smallest id
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
+    partner = lookup(ends, firsts.select(F.col("id").alias("other"), F.col("least").alias("partner_id")), "other")
+    partner = partner.groupBy("id").agg(F.min_by(F.struct("partner_id", "similarity"), F.struct(-F.col("similarity"), F.col("partner_id").isNull(), "partner_id")).alias("_p")).select("id", "_p.*")
+    found = firsts.join(classes(links), "id", "left").join(partner, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    found = save(found.select("copy", "class", "least", "n_copies", "partner_id", "similarity"), "found")
+    named = save(found.groupBy("class").agg(F.min("least").alias("class_id")), "named")
+    return lookup(rows, save(lookup(found, named, "class").drop("least"), "classed"), "copy")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """(doc_id, class_id, n_copies, partner_id, similarity): a row for each row of docs (doc_id, text).
+
+    class_id is the smallest doc_id of the rows that links of `similarity` or more
+    join, n_copies the number of rows with the same text. partner_id is the smallest doc_id
+    of the other text that is nearest among the links that were found, and
+    similarity that link's; both null without a link to another text. Rows are
+    joined by their texts, so unlike texts under one id have classes of their own.
+    Equal texts are one class. A text without words is like none but its exact
+    copies; null texts are each alone, under their own id. Rows with a null id take
+    part; a class without any id has none. The whole text counts. least_agreement 0
+    checks all pairs of mixed groups on their bags.
+    """
+    found = _classed(docs.select("doc_id", "text"), similarity, least_agreement)
+    alone = F.col("copy").isNull()
+    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "partner_id", "similarity")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id (one of its rows, if they repeat); columns as in docs, whatever their names.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class: that with the smallest id, nulls last, then with the smallest hash of its text, then of the whole row; columns as in docs, whatever their names.
 
-    Documents without an id stay, as do those with null texts, each on its own;
-    empty and other texts without words go but for one of each exact text.
+    Unlike texts under one id are kept or dropped each by its own class, and reruns
+    agree. Rows with null texts stay; empty and other texts without words go but for
+    one of each exact text. Columns must be of types that can be hashed (no maps).
     """
-    kept = save(near_classes(docs.select("doc_id", "text")).filter("doc_id = class_id").select("doc_id").distinct(), "kept")
-    first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    plain, back = shielded(docs, ["__copy", "__kept", "__id", "__single"])
+    found = save(_classed(docs.select("doc_id", "text"), similarity, LEAST_AGREEMENT).filter("copy IS NOT NULL").select("doc_id", "copy", "class"), "rows")
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "copy")).alias("_k")).select("_k.doc_id", "_k.copy")
+    times = found.groupBy("copy", "doc_id").agg((F.count("*") == 1).alias("__single"))
+    same = best["doc_id"].eqNullSafe(times["doc_id"]) & (best["copy"] == times["copy"])
+    kept = save(best.join(times, same).select(best["copy"].alias("__kept"), best["doc_id"].alias("__id"), "__single"), "kept")
+    keyed = plain.withColumn("__copy", _text_key())
+    met = keyed.join(small(kept, kept.count()), (F.col("__copy") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    columns = [F.col(f"`{c}`") for c in plain.columns]
+    once = met.filter("__single").select(*columns)
+    repeated = met.filter("NOT __single").groupBy("__copy", "__id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")).select("_r.*")
+    return once.unionByName(repeated).unionByName(plain.filter("text IS NULL")).withColumnsRenamed(back).select(*docs.columns)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import save, small, table
-from quarterlight.llm.near_dup import HOT, classes
+from quarterlight.llm.common import lookup, save, table
+from quarterlight.llm.near_dup import classes
 
-SIMILARITY, RECALL = 0.93, 0.9999
+SIMILARITY, RECALL = 0.93, 0.999
 #: Vectors that the codebooks are fitted on, and those of them that the visits are measured on.
 SAMPLE, MEASURED = 20_000, 1_000
 #: Vectors by cell, and codewords by half at least and at most.
@@ -149,16 +149,6 @@ def valid(df: DataFrame) -> DataFrame:
     return read_rows.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.when(F.col("vector").isNotNull(), F.concat_ws(" ", F.sha2("vector", 256), F.sha2("label", 256))))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
-    """left with the columns of right, which has one row a key at most (nulls where it has none). Keys of more than `hot` rows of left are few: they are joined where the rows are."""
-    many = save(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(key), "many")
-    loud = small(save(many.join(right, key).withColumn("_hot", F.lit(True)), "loud"))
-    values = [c for c in right.columns if c != key]
-    met = save(left.join(loud, key, "left"), "met")
-    rest = met.filter("_hot IS NULL").drop("_hot", *values).join(right, key, "left")
-    return met.filter("_hot").drop("_hot").unionByName(rest)
-
-
 def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links enough to join all that (left, right) join."""
     parent: dict[int, int] = {}

@@ -675,10 +675,39 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 
 def test_near_duplicates_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.class_id) for r in near_dup.near_classes(odd).collect()}
-    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5)}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (None, None)}
+    assert {(r.doc_id, r.n_copies) for r in near_dup.near_classes(odd).collect()} >= {(1, 2), (2, 1), (6, 2)}
     kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 5]
-    assert near_dup.near_classes(none).count() == 0
+    assert near_dup.near_classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
+
+
+def shifted(words: int, seed: int, change: int = 0) -> str:
+    rng = np.random.default_rng(seed)
+    out = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    for i in range(change):
+        out[(i + 1) * words // (change + 1)] = f"y{seed}x{i}"
+    return " ".join(out)
+
+
+def test_unlike_texts_under_one_id_are_neither_lost_nor_left_unlinked(spark):
+    a, a2, b, b2, c = shifted(200, 1), shifted(200, 1, 2), shifted(200, 2), shifted(200, 2, 2), shifted(50, 3)
+    rows = [(1, a, "x"), (1, b, "x"), (2, a2, "y"), (3, b2, "z"), (7, c, "p"), (7, c, "q"), (7, c, "q"), (None, c, "r"), (None, shifted(60, 4), "r"), (5, None, "n"), (5, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id, r.n_copies, r.partner_id, r.similarity is not None and r.similarity >= 0.8) for r in near_dup.near_classes(docs).collect()), key=str)
+    want = [(1, 1, 1, 2, True), (1, 1, 1, 3, True), (2, 1, 1, 1, True), (3, 1, 1, 1, True), (7, 7, 4, None, False), (7, 7, 4, None, False), (7, 7, 4, None, False), (None, 7, 4, None, False), (None, None, 1, None, False), (5, 5, 1, None, False), (5, 5, 1, None, False)]
+    assert got == sorted(want, key=str)
+    kept = [sorted((tuple(r) for r in near_dup.keep_one(docs.repartition(n)).collect()), key=str) for n in (1, 2, 5)]
+    assert kept[0] == kept[1] == kept[2]
+    # of (1, a), (2, a2) and of (1, b), (3, b2) one row each, one row of c, the text without an id, both null texts
+    assert [r[:2] for r in kept[0]] == sorted([(1, a), (1, b), (7, c), (None, rows[8][1]), (5, None), (5, None)], key=str)
+
+
+def test_near_duplicates_of_a_larger_table_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()}
+    hashes = WordHash()
+    got = {r.doc_id: r.class_id for r in near_dup.op10_near_dup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == plain_classes({i: near_dup.bag(t, hashes) for i, t in docs.items()}, docs)
 
 
 # pipeline
