@@ -1,41 +1,130 @@
-"""Search as batch jobs: many queries against many records, by joins on tokens."""
+"""Search as batch jobs: many queries against many records, by an index of blocks."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterlight.functions.text import sentences, token_set, tokens
+from quarterlight.scratch import stored
 
 
 def _counts(df: DataFrame, key: str, words: Column) -> DataFrame:
     return df.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
+#: A score of overlap, date and as_of.
+Score = Callable[[Column, Column, Column], Column]
+
+
+class BlockIndex:
+    """An inverted index over blocks of records, asked by many queries for their k best records without scoring most of them.
+
+    records: doc_id, date; counts: doc_id, token, m (of the tokens that queries
+    have); asked: query_id, token, n; when: query_id, as_of. A record's overlap with
+    a query is the sum of least(n, m). Records of like size stand in blocks of at
+    most `block`; a block knows the largest count of each of its tokens, its largest
+    record and its dates, which bound every score in it. Each query's first
+    blocks, those of the highest bounds, are scored whole; of the others only those
+    whose bound reaches the k-th best score so far.
+    """
+
+    def __init__(self, records: DataFrame, counts: DataFrame, asked: DataFrame, when: DataFrame, block: int = 64):
+        self.asked, self.when = stored(asked, "asked"), stored(when, "when")
+        counts = stored(counts, "counts")
+        sizes = counts.groupBy("doc_id").agg(F.sum("m").alias("size")).withColumn("_class", F.floor(4 * F.log2(F.col("size") + 1)).cast("long"))
+        # a class for each quarter of a power of two: 256 at most
+        parts = sizes.groupBy("_class").agg(F.ceil(F.count("*") / block).alias("_parts"))
+        placed = sizes.join(F.broadcast(parts), "_class").withColumn("block", F.col("_class") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+        placed = stored(placed.join(records.select("doc_id", "date").filter("date IS NOT NULL"), "doc_id").select("doc_id", "date", "block", "size"), "placed")
+        self.postings = stored(counts.join(placed.select("doc_id", "date", "block"), "doc_id"), "postings")
+        self.blocks = placed.groupBy("block").agg(F.count("*").alias("records"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("size").alias("largest"))
+        self.tokens = stored(self.postings.groupBy("token", "block").agg(F.max("m").alias("most")), "tokens")
+
+    def bounds(self, hot: int = 10_000) -> DataFrame:
+        """(query_id, as_of, block, records, bound, last_date): no overlap of the query with a record of the block is above the bound."""
+        met = _met(self.asked, self.tokens, "token", "block", hot).groupBy("query_id", "block").agg(F.sum(F.least("n", "most")).alias("bound"))
+        out = met.join(self.blocks, "block").join(self.when, "query_id").filter("first_date <= as_of")
+        return out.select("query_id", "as_of", "block", "records", F.least("bound", "largest").alias("bound"), F.least("last_date", "as_of").alias("last_date"))
+
+    def rare(self, kth: DataFrame, score: Score) -> DataFrame:
+        """(query_id, token): the tokens of each query of which a record must have one to reach its k-th best score (kth: query_id, _kth), rarest first."""
+        held = self.postings.groupBy("token").agg(F.count("*").alias("_held"))
+        line = Window.partitionBy("query_id").orderBy("_held", "token")
+        tokens = self.asked.join(held, "token").withColumn("_left", F.sum("n").over(line.rowsBetween(0, Window.unboundedFollowing)))
+        met = tokens.join(self.when, "query_id").join(kth, "query_id", "left")
+        return met.filter(F.col("_kth").isNull() | (score(F.col("_left"), F.col("as_of"), F.col("as_of")) >= F.col("_kth"))).select("query_id", "token")
+
+    def scored(self, pairs: DataFrame, by: str, score: Score) -> DataFrame:
+        """(query_id, doc_id, date, as_of, overlap, score) of pairs of a query and a block or doc_id, that share a token and aren't after the query's time."""
+        met = pairs.select("query_id", by).join(self.asked, "query_id").join(self.postings, [by, "token"])
+        one = met.groupBy("query_id", "doc_id", "date").agg(F.sum(F.least("n", "m")).alias("overlap")).join(self.when, "query_id").filter("date <= as_of")
+        return one.withColumn("score", score(F.col("overlap"), F.col("date"), F.col("as_of")))
+
+    def best(self, k: int, score: Score, first: int = 2, hot: int = 10_000) -> DataFrame:
+        """Rows of `scored`, among them each query's k best by score, then by the smaller doc_id. score must not fall with overlap, nor with date up to as_of."""
+        limits = self.bounds(hot).withColumn("limit", score(F.col("bound"), F.col("last_date"), F.col("as_of")))
+        order = Window.partitionBy("query_id").orderBy(F.desc("limit"), "block")
+        limits = stored(limits.withColumn("_place", F.row_number().over(order)), "limits")
+        self.begun = limits.filter(F.col("_place") <= first)
+        begun = stored(self.scored(self.begun, "block", score), "begun")
+        kth = stored(best_of(begun, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth")), "kth")
+        blocks = limits.filter(F.col("_place") > first).join(kth, "query_id", "left").filter(F.col("_kth").isNull() | (F.col("limit") >= F.col("_kth"))).select("query_id", "block")
+        found = _met(self.rare(kth, score), self.postings.select("token", "block", "doc_id"), "token", "doc_id", hot).select("query_id", "block", "doc_id").distinct()
+        self.looked_up = stored(found.join(blocks, ["query_id", "block"], "left_semi"), "candidates")
+        return begun.unionByName(self.scored(self.looked_up, "doc_id", score))
+
+    def pairs(self) -> int:
+        """Pairs of a query and a record that the last `best` scored."""
+        return (self.begun.agg(F.sum("records")).first()[0] or 0) + self.looked_up.count()
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, of: str, hot: int) -> DataFrame:
+    """left and right joined on key. Keys of more than `hot` rows of right are dealt over parts by `of`, and left's rows go to all of them."""
+    parts = right.groupBy(key).agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts")).filter("_parts > 1")
+    one = left.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    two = right.join(parts, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(of), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    return one.join(two, [key, "_part"]).drop("_part")
+
+
+def best_of(rows: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank."""
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+
+def _of_queries(records: DataFrame, words: Column, asked: DataFrame) -> DataFrame:
+    """(doc_id, token) of the records' tokens that a query has; the queries' tokens are broadcast if they are few."""
+    wanted = stored(asked.select("token").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
+    return records.select("doc_id", F.explode(words).alias("token")).join(few, "token")
+
+
+def recency_score(overlap: Column, date: Column, as_of: Column) -> Column:
+    return F.round(overlap + 2.0 / F.sqrt(F.datediff(as_of, date) / 30.0 + 1.0), 9)
+
+
 def search_recent(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): token overlap with counts, plus 2 / sqrt(age in 30 days + 1), ties to the smaller doc_id.
 
     queries: query_id, query, as_of. records: doc_id, date, text. Records after
-    as_of don't qualify; a record without overlap qualifies by its age. Overlap
-    comes from an equality join on tokens, partly summed before the shuffle;
-    only the k newest records can qualify by age alone, so no query meets all.
+    as_of or without a date don't qualify; a record without overlap qualifies by its
+    age, and only the k newest can. Overlap is looked up in a BlockIndex.
     """
-    q, d = _counts(queries, "query_id", tokens(F.col("query"))), _counts(records, "doc_id", tokens(F.col("text")))
-    hits = q.join(d.withColumnRenamed("n", "m"), "token").groupBy("query_id", "doc_id").agg(F.sum(F.least("n", "m")).alias("overlap"))
-    when = queries.select("query_id", "as_of")
-    met = hits.join(records.select("doc_id", "date"), "doc_id").join(when, "query_id").filter("date <= as_of")
+    asked = _counts(queries, "query_id", tokens(F.col("query")))
+    counts = _of_queries(records, tokens(F.col("text")), asked).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
+    index = BlockIndex(records, counts, asked, queries.select("query_id", "as_of"))
+    found = index.best(k, recency_score).select("query_id", "doc_id", "score")
     # the newest records at each as_of: one running window over the dates of both
-    newest = _newest(queries, records, k)
-    all_ = met.select("query_id", "doc_id", "date", "as_of", "overlap").unionByName(newest.join(when, "query_id").withColumn("overlap", F.lit(0).cast("long")).select("query_id", "doc_id", "date", "as_of", "overlap"))
-    one = all_.groupBy("query_id", "doc_id", "date", "as_of").agg(F.max("overlap").alias("overlap"))
-    score = F.round(F.col("overlap") + 2.0 / F.sqrt(F.datediff("as_of", "date") / 30.0 + 1.0), 9)
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return one.withColumn("score", score).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    newest = _newest(queries, records, k).join(queries.select("query_id", "as_of"), "query_id")
+    by_age = newest.select("query_id", "doc_id", recency_score(F.lit(0), F.col("date"), F.col("as_of")).alias("score"))
+    one = found.unionByName(by_age).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return best_of(one, k).select("query_id", "rank", "doc_id", "score")
 
 
 def _newest(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
@@ -58,57 +147,111 @@ def search_sets(queries: DataFrame, records: DataFrame, k: int, bonus: float = 0
     """(query_id, rank, doc_id, score): number of shared distinct tokens, which must be positive, and a bonus for the same year.
 
     queries: query_id, query, before. records: doc_id, date, text; those after
-    `before` don't qualify. Ties go to the smaller doc_id.
+    `before` don't qualify. Ties go to the smaller doc_id. Tokens are looked up in
+    a BlockIndex.
     """
-    q = queries.select("query_id", "before", F.explode(token_set(F.col("query"))).alias("token"))
-    d = records.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
-    hits = q.join(d, "token").groupBy("query_id", "before", "doc_id").agg(F.count("*").alias("n")).join(records.select("doc_id", "date"), "doc_id").filter("date <= before")
-    score = F.col("n") + F.when(F.year("date") == F.year("before"), bonus).otherwise(0.0)
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("score", score).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    asked = queries.select("query_id", F.explode(token_set(F.col("query"))).alias("token"), F.lit(1).alias("n"))
+    counts = _of_queries(records, token_set(F.col("text")), asked).select("doc_id", "token", F.lit(1).alias("m"))
+    score = lambda n, date, before: n + F.when(F.year(date) == F.year(before), bonus).otherwise(0.0)
+    index = BlockIndex(records, counts, asked, queries.select("query_id", F.col("before").alias("as_of")))
+    return best_of(index.best(k, score), k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _grams(ids: np.ndarray, sentence: np.ndarray, most: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, gram) of all runs of 1 to `most` words inside a sentence; a gram is its words' numbers from 1 on as digits."""
+    places, found = [], []
+    code = np.zeros(len(ids), np.int64)
+    for n in range(1, most + 1):
+        ends = np.arange(n - 1, len(ids))
+        if not len(ends):
+            break
+        code = (code[: len(ends)] if n > 1 else code) * base + ids[n - 1 :] + 1
+        inside = sentence[ends] == sentence[ends - n + 1]
+        places.append(sentence[ends - n + 1][inside])
+        found.append(code[inside])
+    return (np.concatenate(places), np.concatenate(found)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
+
 
+def _pair_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (a, b) in order, and how often each comes."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    return a[new], b[new], np.diff(np.concatenate([new, [len(a)]]))
 
-def _ngrams(words: Sequence[str], most: int) -> list[str]:
-    return [" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)]
 
+def _scores(ids: np.ndarray, sentence: np.ndarray, doc: np.ndarray, asked: np.ndarray, base: int, most: int) -> np.ndarray:
+    """TF-IDF cosine of each sentence with the anchor. ids, sentence: of each word; doc: of each sentence; asked: the anchor's words."""
+    wanted, times = np.unique(_grams(asked, np.zeros(len(asked), np.int64), most, base)[1], return_counts=True)
+    s, g, tf = _pair_counts(*_grams(ids, sentence, most, base))
+    n_docs, n_sentences = (int(doc[-1]) + 1 if len(doc) else 0), np.bincount(doc)
+    d, dg, held = _pair_counts(doc[s], g)
+    at = np.minimum(np.searchsorted(wanted, dg), max(len(wanted) - 1, 0))
+    in_anchor = (wanted[at] == dg) if len(wanted) else np.zeros(len(dg), bool)
+    weight = np.log((n_sentences[d] + 2) / (held + in_anchor + 1)) + 1
+    ask = np.where(in_anchor, times[at] if len(wanted) else 0, 0)
+    unseen = (np.log((n_sentences + 2) / 2) + 1) ** 2
+    own = np.bincount(d, (ask * weight) ** 2, n_docs) + unseen * ((times**2).sum() - np.bincount(d, ask**2, n_docs))
+    # of each (sentence, gram) the place of its (document, gram)
+    order = np.lexsort((g, doc[s]))
+    place = np.empty(len(s), np.int64)
+    place[order] = np.repeat(np.arange(len(d)), held)
+    w, q = weight[place], ask[place]
+    norm = np.sqrt(np.bincount(s, (tf * w) ** 2, len(doc))) * np.sqrt(own)[doc]
+    dot = np.bincount(s, tf * q * w**2, len(doc))
+    return np.round(np.divide(dot, norm, out=np.zeros(len(doc)), where=norm > 0), 9)
 
-def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int = 12, max_chars: int = 6000, most: int = 3) -> DataFrame:
+
+def tfidf_select(docs: DataFrame, anchor: str, stop_words: Sequence[str], k: int = 12, max_chars: int = 6000, most: int = 3, lot_words: int = 300_000) -> DataFrame:
     """(doc_id, n_sentences, selected, text): sentences of each document nearest to an anchor by TF-IDF, in their order.
 
     Weights count the document's sentences and the anchor, with n-grams of up to
-    `most` words of two characters or more after stop words are dropped, smooth
-    idf and unit length. The k best are taken greedily as long as they fit
+    `most` (3 at most) words of two characters or more after stop words are dropped,
+    smooth idf and unit length. The k best are taken greedily as long as they fit
     max_chars; the one that is best goes in whatever its length, and the text is
     cut at max_chars. A document stays one row and nothing is shuffled; tasks
-    hold the n-grams of one document at a time.
+    count the n-grams of about lot_words words of whole documents at a time.
     """
     words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
     asked = docs.sparkSession.createDataFrame([(anchor,)], "a string").select(words(F.col("a"))).first()[0]
-    wanted = Counter(_ngrams(asked, most))
-
-    def best(split: Sequence[Sequence[str]], sizes: Sequence[int]) -> list[int]:
-        own = [Counter(_ngrams(list(w), most)) for w in split]
-        held = Counter(g for tf in own for g in tf)
-        weight = {g: math.log((len(own) + 2) / (d + (g in wanted) + 1)) + 1 for g, d in held.items()}
-        unseen = math.log((len(own) + 2) / 2) + 1
-        length = math.sqrt(sum((n * weight.get(g, unseen)) ** 2 for g, n in wanted.items()))
-        scores = []
-        for tf in own:
-            norm = math.sqrt(sum((n * weight[g]) ** 2 for g, n in tf.items())) * length
-            met = wanted.keys() & tf.keys()
-            scores.append(round(sum(tf[g] * wanted[g] * weight[g] ** 2 for g in met) / norm, 9) if met and norm else 0.0)
+
+    def chosen(scores: np.ndarray, sizes: np.ndarray) -> list[int]:
         chars, kept = 0, []
-        for i in sorted(range(len(own)), key=lambda i: (-scores[i], i))[:k]:
+        for i in np.argsort(-scores, kind="stable")[:k].tolist():
             if chars < max_chars and (chars == 0 or chars + sizes[i] + 1 <= max_chars):
-                chars += sizes[i] + 1
+                chars += int(sizes[i]) + 1
                 kept.append(i)
         return sorted(kept)
 
-    @F.pandas_udf("array<int>")
-    def select(split: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else best(w, n) for w, n in zip(split, sizes)], dtype=object)
+    def lot(split: pa.ListArray, sizes: np.ndarray) -> list[list[int]]:
+        """split: documents of sentences of words."""
+        lists = split.flatten()
+        both = pa.chunked_array([lists.flatten(), pa.array(asked, pa.string())]).combine_chunks().dictionary_encode()
+        numbers = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, anchor_ids = numbers[: len(numbers) - len(asked)], numbers[len(numbers) - len(asked) :]
+        sentence = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        scores = _scores(ids, sentence, np.repeat(np.arange(len(split)), n), anchor_ids, len(both.dictionary) + 1, most)
+        ends = np.cumsum(n)
+        return [chosen(scores[e - m : e], sizes[e - m : e]) for e, m in zip(ends, n)]
+
+    @F.arrow_udf("array<int>")
+    def select(split: pa.Array, sizes: pa.Array) -> pa.Array:
+        there = np.flatnonzero(split.is_valid().to_numpy(zero_copy_only=False))
+        out: list = [None] * len(split)
+        words_of = [0] if not len(there) else np.cumsum([len(split[int(i)].values.flatten()) for i in there])
+        cuts = np.searchsorted(words_of, np.arange(lot_words, words_of[-1] + lot_words, lot_words)) if len(there) else []
+        start = 0
+        for end in sorted({min(int(c) + 1, len(there)) for c in cuts}):
+            if end > start:
+                part = there[start:end]
+                taken = pa.array(part)
+                for i, got in zip(part, lot(split.take(taken), sizes.take(taken).flatten().to_numpy(zero_copy_only=False))):
+                    out[i] = got
+                start = end
+        return pa.array(out, pa.list_(pa.int32()))
 
     listed = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
-    chosen = listed.withColumn("_i", F.coalesce(select(F.transform("_s", words), F.transform("_s", F.length)), F.array().cast("array<int>")))
+    picked = listed.withColumn("_i", F.coalesce(select(F.transform("_s", words), F.transform("_s", F.length)), F.array().cast("array<int>")))
     text = F.substring(F.array_join(F.transform("_i", lambda i: F.get("_s", i)), "\n"), 1, max_chars)
-    return chosen.select("doc_id", F.size("_s").alias("n_sentences"), F.col("_i").alias("selected"), text.alias("text"))
+    return picked.select("doc_id", F.size("_s").alias("n_sentences"), F.col("_i").alias("selected"), text.alias("text"))

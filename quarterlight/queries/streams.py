@@ -112,15 +112,40 @@ PRED = """p AS (SELECT event_id, user_id AS entity, date_trunc('second', ts) AS
 c AS (SELECT event_id, entity, coalesce(last_value(hike IGNORE NULLS) OVER (PARTITION BY entity ORDER BY as_of, event_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.2)::DOUBLE AS hike, hike IS NULL AS carried FROM p)"""
 
 
-@query("rolling_prediction", f"WITH {PRED} SELECT entity, event_id::VARCHAR AS event_id, round(hike, 6) AS hike, carried FROM c")
+FEATURES = """fe AS (SELECT user_id AS entity, ts AS seen, value / 50 - 1 AS ect, (event_id % 10) / 10.0::DOUBLE AS hawkish, (user_id % 5) / 10.0::DOUBLE AS energy, CASE WHEN event_id % 2 = 0 THEN (event_id % 13) / 13.0::DOUBLE - 0.5 END AS other FROM events WHERE event_type = 'view' AND user_id % 7 > 0),
+lf AS (SELECT entity, arg_max({'seen': seen, 'ect': ect, 'hawkish': hawkish, 'energy': energy, 'other': other}, (seen, ect)) AS f FROM fe GROUP BY 1),
+sg AS (SELECT entity, string_agg(name, ',' ORDER BY k) AS top FROM (SELECT entity, name, row_number() OVER (PARTITION BY entity ORDER BY abs(v) DESC, name) AS k FROM (SELECT entity, unnest(['ect', 'hawkish', 'energy', 'other']) AS name, unnest([f.ect, f.hawkish, f.energy, f.other]) AS v FROM lf) WHERE v IS NOT NULL) WHERE k <= 3 GROUP BY 1)"""
+
+
+def latest_features(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'view' AND user_id % 7 > 0")
+    even = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 13) / 13.0 - 0.5)
+    rows = e.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50 - 1).alias("ect"), ((F.col("event_id") % 10) / 10.0).alias("hawkish"), ((F.col("user_id") % 5) / 10.0).alias("energy"), even.alias("other"))
+    return rows.groupBy("entity", "at").agg(F.max_by(F.struct("ect", "hawkish", "energy", "other"), "ect").alias("_r")).select("entity", "at", "_r.*")
+
+
+@query("rolling_prediction", f"""WITH {PRED}, {FEATURES}, a AS (SELECT event_id, date_trunc('second', ts) AS as_of FROM events)
+SELECT c.entity, c.event_id::VARCHAR AS event_id, round(hike, 6) AS hike, carried, coalesce(date_diff('microsecond', l.f.seen, a.as_of) < 86400000000, false) AS fresh,
+ coalesce(nullif(v.ev, ''), 'no rule applies') AS evidence, coalesce(top, '') AS top_signals, CASE WHEN coalesce(v.ev, '') = '' THEN 1 ELSE len(string_split(v.ev, '; ')) END::INTEGER AS evidence_count, 'rolling_prediction_attribution' AS scope
+FROM c JOIN a ON c.event_id = a.event_id LEFT JOIN lf l ON l.entity = c.entity LEFT JOIN sg ON sg.entity = c.entity
+LEFT JOIN (SELECT entity, concat_ws('; ', CASE WHEN f.ect > 0.5 THEN 'above long-run equilibrium' WHEN f.ect < -0.5 THEN 'below long-run equilibrium' END, CASE WHEN f.hawkish > 0.5 THEN 'hawkish text' END, CASE WHEN f.energy > 0.3 THEN 'energy risk' END) AS ev FROM lf) v ON v.entity = c.entity""")
 def _(spark, sf_dir):
-    path = scratch_path(spark, "watched")
     k = F.col("event_id") % 3
     hike = F.when(k == 0, (F.col("event_id") % 7) / 10.0)
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", SECONDS).alias("as_of"), hike.alias("hike"), F.when(k == 0, 0.5).alias("hold"), F.when(k == 0, 0.1).alias("cut"))
-    rows.write.parquet(path)
-    events = spark.readStream.schema(rows.schema).parquet(path).withColumn("as_of", F.to_timestamp("as_of"))
-    return collected(spark, stream.rolling_predictions(events)).select("entity", "event_id", F.round("hike", 6).alias("hike"), "carried")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.col("event_id").cast("string").alias("event_id"), F.date_trunc("second", "ts").cast("timestamp").alias("as_of"), hike.alias("hike"), F.when(k == 0, 0.5).alias("hold"), F.when(k == 0, 0.1).alias("cut"), "event_type")
+    # later events arrive first; the last arrival only tells that the time is over
+    path, out, check = (scratch_path(spark, n) for n in ("watched", "archive", "checkpoint"))
+    columns = [c for c in rows.columns if c != "event_type"]
+    over = rows.agg(F.max("as_of").alias("as_of")).select(F.lit(None).cast("long").alias("entity"), F.lit(None).cast("string").alias("event_id"), (F.col("as_of") + F.expr("interval 61 days")).alias("as_of"), *[F.lit(None).cast("double").alias(c) for c in ("hike", "hold", "cut")])
+    features = latest_features(spark, sf_dir)
+    for arrival in (rows.filter("event_type IN ('error', 'view')"), rows.filter("event_type NOT IN ('error', 'view')"), over):
+        arrival.select(*columns).write.mode("append").parquet(path)
+        source = spark.readStream.schema(over.schema).parquet(path)
+        records = stream.handled(stream.rolling_predictions(source, "60 days"), features, ["ect", "hawkish", "energy", "other"], top=3)
+        stream.run_available(records, stream.archive(out), check)
+    got = spark.read.parquet(out)
+    names = F.array_join(F.transform("risk.top_signals", lambda x: x["name"]), ",")
+    return got.select("entity", "event_id", F.round("hike", 6).alias("hike"), "carried", "fresh", F.array_join("evidence", "; ").alias("evidence"), names.alias("top_signals"), F.col("risk.evidence_count").alias("evidence_count"), F.col("risk.analysis_scope").alias("scope"))
 
 
 @query("carry_forward_prediction", f"WITH {PRED} SELECT entity, event_id, round(hike, 6) AS hike FROM c")
@@ -141,15 +166,29 @@ def _(spark, sf_dir):
     return collected(spark, events).select("event_id", F.array_join("evidence", "; ").alias("evidence"))
 
 
-@query("document_incremental_dedup", r"SELECT sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS hash FROM documents GROUP BY 1")
-def _(spark, sf_dir):
-    path = scratch_path(spark, "arriving")
+HASHES = r"""h AS (SELECT doc_id % 3 AS part, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS hash FROM documents), f AS (SELECT hash, min(part) AS batch FROM h GROUP BY 1)"""
+
+
+def fetched(spark, sf_dir) -> str:
+    """A table that three arrivals, which share texts, have filled; the last batch has been handled twice."""
+    path, store, check = (scratch_path(spark, n) for n in ("arriving", "store", "checkpoint"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text_hash(F.col("text")).alias("hash"))
-    for part in range(2):  # two arrivals that share texts
-        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
-    files = max(1, len(spark.read.parquet(path).inputFiles()) // 2)
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(path)
-    return collected(spark, stream.incremental_documents(arriving, "hash"), lambda out: lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).select("hash")
+    sink = stream.incremental_documents(store, "hash")
+    for part in range(3):
+        docs.filter(F.col("doc_id") % 3 == part).write.mode("append").parquet(path)
+        stream.run_available(spark.readStream.schema(docs.schema).parquet(path), sink, check)
+    sink(docs.filter("doc_id % 3 = 2"), 2)
+    return store
+
+
+@query("document_incremental_dedup", f"WITH {HASHES} SELECT hash, batch::INTEGER AS batch FROM f")
+def _(spark, sf_dir):
+    return stream.stored_documents(spark, fetched(spark, sf_dir)).select("hash", "batch")
+
+
+@query("document_fetch_counts", f"WITH {HASHES}, a AS (SELECT part, count(*) AS n FROM h GROUP BY 1), b AS (SELECT batch, count(*) AS n FROM f GROUP BY 1) SELECT part::INTEGER AS batch, a.n AS arrived, coalesce(b.n, 0) AS new_documents, a.n - coalesce(b.n, 0) AS duplicates FROM a LEFT JOIN b ON a.part = b.batch")
+def _(spark, sf_dir):
+    return stream.fetch_counts(spark, fetched(spark, sf_dir))
 
 
 @query("daily_event_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarterlight.functions.dates import quarter_name
 from quarterlight.functions.rules import stacked
+from quarterlight.scratch import stored
 
 RAW = "event_id string, id string, event_type string, as_of string, timestamp string, created_at string, source_ids array<string>, payload string"
 
@@ -86,28 +87,82 @@ def evidence(ect: Column, hawkish: Column, energy: Column) -> Column:
 PREDICTION = "entity long, event_id string, as_of timestamp, hike double, hold double, cut double, carried boolean"
 # Prediction before any is known.
 PRIOR = (0.20, 0.65, 0.15)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _InOrder(StatefulProcessor):
+    """Holds an entity's events until the watermark has passed their time, then lets them through by time and id, each with its own or the last prediction."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id string, at long, hike double, hold double, cut double")
+        self.last = handle.getValueState("last", "hike double, hold double, cut double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            pdf = pdf[pdf["event_id"].notna()]  # a row without an event only tells the time
+            at = pdf["as_of"].astype("datetime64[us]").astype("int64")
+            for row in zip(pdf["event_id"], at, pdf["hike"], pdf["hold"], pdf["cut"]):
+                self.waiting.appendValue((row[0], int(row[1]), *(None if pd.isna(x) else float(x) for x in row[2:])))
+            for ms in sorted({int(t) // 1000 for t in at}):
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(x) for x in self.waiting.get()]
+        ready = sorted((x for x in waiting if x[1] // 1000 <= now), key=lambda x: (x[1], x[0]))
+        if not ready:
+            yield pd.DataFrame()
+            return
+        rest = [x for x in waiting if x[1] // 1000 > now]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        last, out = tuple(self.last.get()) if self.last.exists() else PRIOR, []
+        for event_id, at, *own in ready:
+            carried = None in own
+            last = last if carried else tuple(own)
+            out.append((key[0], event_id, pd.Timestamp(at, unit="us"), *last, carried))
+        self.last.update(last)
+        yield pd.DataFrame(out, columns=["entity", "event_id", "as_of", "hike", "hold", "cut", "carried"])
+
+    def close(self) -> None:
+        pass
 
 
-def rolling_predictions(events: DataFrame) -> DataFrame:
-    """Each event (entity, event_id, as_of, hike, hold, cut; null without a prediction) with its own or the entity's last prediction.
+def rolling_predictions(events: DataFrame, watermark: str = "2 days") -> DataFrame:
+    """Each event (entity, event_id, as_of, hike, hold, cut; null without a prediction) with its own or the entity's last prediction by event time.
 
-    State is three numbers for an entity. Inside a trigger events go by as_of
-    and id; a later trigger doesn't reach back.
+    An event goes out when the watermark has passed it, in the order of as_of and
+    id whatever its arrival: one that comes late, but within the watermark, changes
+    what follows it; a later one is dropped. A row with a null event_id tells the
+    time and nothing else; a row without a time goes. State is what waits, and three numbers for an entity,
+    kept by RocksDB.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = events.filter("as_of IS NOT NULL").select("entity", "event_id", "as_of", "hike", "hold", "cut").withWatermark("as_of", watermark)
+    return timed.groupBy("entity").transformWithStateInPandas(statefulProcessor=_InOrder(), outputStructType=PREDICTION, outputMode="Append", timeMode="EventTime")
 
-    def carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(state.get) if state.exists else PRIOR
-        rows = pd.concat(list(batches)).sort_values(["as_of", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            own = (r.hike, r.hold, r.cut)
-            carried = any(pd.isna(x) for x in own)
-            last = last if carried else own
-            out.append((key[0], r.event_id, r.as_of, *last, carried))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["entity", "event_id", "as_of", "hike", "hold", "cut", "carried"])
 
-    return events.groupBy("entity").applyInPandasWithState(carry, PREDICTION, "hike double, hold double, cut double", "append", GroupStateTimeout.NoTimeout)
+def handled(predictions: DataFrame, features: DataFrame, signals: Sequence[str], fresh_hours: int = 24, top: int = 5) -> DataFrame:
+    """Predictions (of rolling_predictions) as an event's whole record: freshness, latest signals, evidence and risk attribution.
+
+    features: entity, at, ect, hawkish, energy and the columns named as signals;
+    each entity's latest row holds for its events. An entity without features has no
+    signals, isn't fresh, and its evidence is the fallback. Top signals are the
+    largest by size, equal ones by name; nulls don't count.
+    """
+    latest = features.groupBy("entity").agg(F.max_by(F.struct("*"), "at").alias("_f")).select("entity", F.col("_f").alias("latest"))
+    joined = predictions.join(latest, "entity", "left")
+    of = lambda c: F.coalesce(F.col(f"latest.{c}"), F.lit(0.0))
+    age = F.unix_micros("as_of") - F.unix_micros("latest.at")
+    known = F.filter(F.array(*[F.struct(F.col(f"latest.{c}").cast("double").alias("value"), F.lit(c).alias("name")) for c in signals]), lambda x: x["value"].isNotNull())
+    ranked = F.transform(F.slice(F.array_sort(F.transform(known, lambda x: F.struct((-F.abs(x["value"])).alias("size"), x["name"].alias("name"), x["value"].alias("value")))), 1, top), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    out = joined.withColumn("fresh", F.coalesce(age < F.lit(fresh_hours * 3_600_000_000), F.lit(False))).withColumn("evidence", evidence(of("ect"), of("hawkish"), of("energy")))
+    risk = F.struct(F.lit("predictive_attribution").alias("method"), ranked.alias("top_signals"), F.size("evidence").alias("evidence_count"), F.lit("rolling_prediction_attribution").alias("analysis_scope"))
+    return out.withColumn("risk", risk).drop("latest")
 
 
 def archive(path: str) -> Callable[[DataFrame, int], None]:
@@ -132,14 +187,45 @@ def run_every(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(sink).start()
 
 
-def incremental_documents(arriving: DataFrame, hash_: str) -> DataFrame:
-    """The documents of a stream whose hash hasn't come before, one of equal ones.
+def incremental_documents(path: str, hash_: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: documents whose hash no earlier batch has stored are appended to the table at path, one of equal ones; a row of counts for each batch.
 
-    The hashes that came are the stream's state, dealt by hash over the tasks, so
-    no batch reads what is stored; RocksDB keeps them off the heap where the
-    session names it as spark.sql.streaming.stateStore.providerClass.
+    The table lies by batch and by bucket of the hash; of what is stored a batch
+    reads the hashes of its own buckets. There is no state beside the table. A batch
+    that is replayed compares with the others and overwrites its own rows, so it adds
+    nothing. Null hashes are never known and all stored.
     """
-    return arriving.dropDuplicates([hash_])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = stored(batch.withColumn("bucket", F.pmod(F.xxhash64(hash_), F.lit(buckets)).cast("int")), "arrived")
+        once = arrived.filter(F.col(hash_).isNotNull()).dropDuplicates([hash_]).unionByName(arrived.filter(F.col(hash_).isNull()))
+        before = stored_documents(spark, path)
+        if before is not None:
+            there = [r.bucket for r in arrived.select("bucket").distinct().collect()]
+            known = before.filter((F.col("batch") != batch_id) & F.col("bucket").isin(there)).select("bucket", hash_)
+            once = once.join(known, ["bucket", hash_], "left_anti")
+        once.select(*arrived.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/documents/batch={batch_id}")
+        new = spark.read.schema(arrived.schema).parquet(f"{path}/documents/batch={batch_id}").count()
+        total = arrived.count()
+        counts = spark.createDataFrame([(total, new, total - new)], "arrived long, new_documents long, duplicates long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+
+    return write
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """What incremental_documents has stored at path, with batch and bucket; None before the first batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    found = spark.read.option("mergeSchema", "false").option("recursiveFileLookup", "false").parquet(f"{path}/documents")
+    return found
+
+
+def fetch_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, arrived, new_documents, duplicates) of the batches that incremental_documents has handled."""
+    return spark.read.parquet(f"{path}/counts").select("batch", "arrived", "new_documents", "duplicates")
 
 
 def publish(events: DataFrame, path: str) -> None:

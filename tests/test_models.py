@@ -242,13 +242,3 @@ def test_events_are_published_handled_and_acknowledged(spark, tmp_path):
     got = {r.event_id: r for r in stream.run_counterfactuals(requests, run).collect()}
     assert set(got) == {"e1", "e3"} and got["e1"].status == "completed" and json.loads(got["e1"].result) == {"quarter": "2024Q1", "rounds": 3, "energy_risk": "0.9"}
     assert got["e3"].status == "failed" and got["e3"].error == "RuntimeError: no run for geo" and got["e3"].result is None
-
-
-def test_stream_of_documents_lets_a_hash_through_once(spark, tmp_path):
-    arriving, out, check = f"{tmp_path}/arriving", f"{tmp_path}/store", f"{tmp_path}/check"
-    for rows in ([(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "c")]):
-        spark.createDataFrame(rows, "doc_id long, hash string").write.mode("append").parquet(arriving)
-        docs = stream.incremental_documents(spark.readStream.schema("doc_id long, hash string").parquet(arriving), "hash")
-        stream.run_available(docs, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), check)
-    assert sorted(r.hash for r in spark.read.parquet(out).select("hash").collect()) == ["a", "b", "c"]
-    assert spark.read.parquet(out).filter(F.col("hash") == "b").first().doc_id == 3
