@@ -9,7 +9,8 @@ would, by the chi-square test at level CONFIDENCE, have come already.
 
 The top of the tree is fitted on a bounded sample and deals the vectors into
 cells; a query first visits its own cell, and then those that its stopping
-radius reaches. Inner products become distances by one more coordinate that
+radius reaches, in rounds of one, two, four and so on, the nearest first: after
+each round the radius is drawn in by what was found. Inner products become distances by one more coordinate that
 brings all vectors to the largest norm.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import save, table
+from quarterlight.llm.common import lookup, save, table
 
 #: Projections, and the chi-square level at which a query stops.
 DIMENSIONS, CONFIDENCE = 12, 0.95
@@ -83,10 +84,15 @@ class Cells:
             node[inner] = cuts[1][node[inner], right.astype(int)]
         return -node - 1
 
-    def reached(self, points: np.ndarray, radius2: np.ndarray) -> list[np.ndarray]:
-        """Cells that meet the ball around each point."""
+    def reached(self, points: np.ndarray, radius2: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cells that meet the ball around each point, the nearest first, and their squared distances."""
         low, high = np.array(self.low), np.array(self.high)
-        return [np.flatnonzero((np.square(np.maximum(0, np.maximum(low - p, p - high))).sum(axis=1)) <= r) for p, r in zip(points, radius2)]
+        out = []
+        for p, r in zip(points, radius2):
+            far = np.square(np.maximum(0, np.maximum(low - p, p - high))).sum(axis=1)
+            order = np.argsort(far, kind="stable")[: int((far <= r).sum())]
+            out.append((order, far[order]))
+        return out
 
 
 class Leaves:
@@ -190,28 +196,39 @@ def in_chunks(routed: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """id and embedding as doubles of the vectors that take part: not null, not zero, all components finite, of the commonest length."""
-    double = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    return double.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    """id, vec_id and embedding as doubles of the vectors that take part: not null, not zero, all components finite. id numbers the rows in the order of vec_id, nulls last."""
+    double = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    fine = double.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    order = [F.asc_nulls_last("vec_id"), F.xxhash64("v")]
+    return fine.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell: int = CELL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products found for each query, ties to the smaller id.
-
-    vectors: vec_id, embedding (arrays of one length; extra columns aside).
-    Queries are the rows whose id is divisible by `every`, candidates all rows
-    but the query's own. Null, zero and non-finite vectors take no part; of
-    repeated ids one row does. Of equal vectors the k + 1 smallest ids are
-    indexed, as no result can hold more, so a vector that a third of the rows
-    share is no hot cell. With at most k candidates all are returned.
+    """query_id, rank, vec_id, score: the k largest inner products found for each query, ties to the smaller vec_id.
+
+    vectors: vec_id, embedding (extra columns aside). Queries are the rows whose
+    vec_id is divisible by `every`, candidates all rows of the query's length but
+    its own: rows with repeated ids are queries and candidates each, rows with a
+    null id are candidates (the last of equal ones). Null, empty, zero and non-finite
+    vectors take no part. Vectors of unlike length are searched apart. Of equal
+    vectors the k + 1 first are indexed, as no result can hold more, so a vector
+    that a third of the rows share is no hot cell. With at most k candidates all
+    are returned.
     """
-    spark = vectors.sparkSession
     rows = save(valid(vectors).withColumn("same", F.xxhash64("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "vectors")
-    n, norm2, length = rows.agg(F.count("*"), F.max("norm2"), F.mode(F.size("v"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("v") == length)
+    found = None
+    for length, norm2 in sorted((r.n, r.most) for r in rows.groupBy(F.size("v").alias("n")).agg(F.max("norm2").alias("most")).collect()):
+        one = _nearest(rows.filter(F.size("v") == length), length, norm2, every, k, dimensions, confidence, cell)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    names = rows.select(F.col("id").alias("_row"), "vec_id")
+    named = lookup(found.withColumnRenamed("query_row", "_row"), names.withColumnRenamed("vec_id", "query_id"), "_row").drop("_row")
+    return lookup(named.withColumnRenamed("row", "_row"), names, "_row").select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, length: int, norm2: float, every: int, k: int, dimensions: int, confidence: float, cell: int) -> DataFrame:
+    """query_row, rank, row, score for rows (id, vec_id, v, same, norm2) with vectors of one length."""
     directions = np.random.default_rng(7).standard_normal((length + 1, dimensions))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,10 +239,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
                 yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "p": list(np.hstack([v, lift[:, None]]) @ directions), "q": list(v @ directions[:-1])})
 
     one = lambda by, limit, df: df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_k") <= limit).drop("_k")
-    distinct = rows.dropDuplicates(["id"])
-    few = one(["same", "v"], k + 1, one(["same", "v", "salt"], k + 1, distinct.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))).drop("salt"))
-    points = save(few.select("id", "v", "norm2").mapInPandas(project, "id long, v array<double>, p array<double>, q array<double>"), "points")
-    asked = save(distinct.filter(F.col("id") % every == 0).select("id", "v", "norm2").mapInPandas(project, "id long, v array<double>, p array<double>, q array<double>").drop("p"), "queries")
+    few = one(["same", "v"], k + 1, one(["same", "v", "salt"], k + 1, rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))).drop("salt"))
+    projected = "id long, v array<double>, p array<double>, q array<double>"
+    points = save(few.select("id", "v", "norm2").mapInPandas(project, projected), "points")
+    asked = save(rows.filter(F.col("vec_id") % every == 0).select("id", "v", "norm2").mapInPandas(project, projected).drop("p"), "queries")
 
     m = points.count()
     sampled = points.select("id", "p") if m <= SAMPLE else points.select("id", "p").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / m))
@@ -239,39 +256,53 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dimensions: int =
     def cell_of(p: pd.Series) -> pd.Series:
         return pd.Series(cells.of(np.stack(p.to_numpy())).astype("int32")) if len(p) else pd.Series([], dtype="int32")
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<cell: int, far2: double>>")
     def reached(q: pd.Series, worst2: pd.Series) -> pd.Series:
-        return pd.Series([x.astype("int32") for x in cells.reached(np.stack(q.to_numpy()), worst2.to_numpy() * stop)]) if len(q) else pd.Series([], dtype=object)
+        found = cells.reached(np.stack(q.to_numpy()), worst2.to_numpy() * stop) if len(q) else []
+        return pd.Series([[{"cell": int(c), "far2": float(d)} for c, d in zip(*x)] for x in found], dtype=object)
 
     blocks = save(points.select("id", "v", "p", cell_of("p").alias("cell"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(splits)).cast("int").alias("part")), "blocks")
+    schema = "query_row long, row long, score double"
 
     def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        empty = pd.DataFrame({"query_row": pd.Series([], dtype="int64"), "row": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(left) or not len(right):
             return empty
         stack = lambda df, c: np.stack(df[c].to_numpy())
         who, what, score = search_block(stack(left, "v"), left["id"].to_numpy(), stack(left, "p"), stack(right, "v"), right["id"].to_numpy(), stack(right, "q"), right["worst2"].to_numpy(), norm2, k, stop)
-        return pd.DataFrame({"query_id": who, "vec_id": what, "score": score}) if len(who) else empty
+        return pd.DataFrame({"query_row": who, "row": what, "score": score}) if len(who) else empty
 
     def run(routed: DataFrame) -> DataFrame:
         """routed: id, v, q, worst2, cell."""
         chunks = chunks_by_cell(routed)
         held, sent = blocks.transform(for_chunks, chunks), in_chunks(routed, chunks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
         keys = ["cell", "part", "chunk"]
-        return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(visit, "query_id long, vec_id long, score double")
+        return held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(visit, schema)
 
     inf = float("inf")
-    home = save(asked.withColumn("cell", cell_of("q")).withColumn("worst2", F.lit(inf)), "home")
-    first = save(run(home), "near")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = Window.partitionBy("query_row").orderBy(F.desc("score"), "row")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
-    kth = ranked(first).groupBy("query_id").agg(F.min("score").alias("_s"), F.count("*").alias("_n"))
-    worst2 = F.when(F.col("_n") >= k, F.greatest(F.lit(0.0), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + norm2 - 2 * F.col("_s"))).otherwise(inf)
-    known = home.drop("worst2").join(kth.withColumnRenamed("query_id", "id"), "id", "left").withColumn("worst2", worst2).drop("_s", "_n")
-    # a query is one row here, with the list of its cells
-    listed = save(known.withColumn("cells", F.array_except(reached("q", "worst2"), F.array("cell"))).drop("cell"), "routed")
-    found = first.unionByName(run(listed.withColumn("cell", F.explode("cells")).drop("cells")))
-    return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+    def drawn_in(queries: DataFrame, found: DataFrame) -> DataFrame:
+        """queries with worst2 after what was found: the squared distance of the k-th best, inf if there are fewer."""
+        kth = found.groupBy(F.col("query_row").alias("id")).agg(F.min("score").alias("_s"), F.count("*").alias("_n"))
+        worst2 = F.when(F.col("_n") >= k, F.greatest(F.lit(0.0), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + norm2 - 2 * F.col("_s"))).otherwise(inf)
+        return queries.drop("worst2").join(kth, "id", "left").withColumn("worst2", worst2).drop("_s", "_n")
+
+    home = save(asked.withColumn("cell", cell_of("q")).withColumn("worst2", F.lit(inf)), "home")
+    found = save(ranked(run(home)), "near")
+    # a query is one row here, with the list of its other cells, the nearest first
+    left = drawn_in(home, found).withColumn("cells", F.filter(reached("q", "worst2"), lambda x: x["cell"] != F.col("cell"))).drop("cell")
+    left = save(left.filter(F.size("cells") > 0), "routed")
+    taken = 1
+    while not left.isEmpty():
+        sent = left.withColumn("cell", F.explode(F.transform(F.slice("cells", 1, taken), lambda x: x["cell"]))).drop("cells")
+        found = save(ranked(found.drop("rank").unionByName(run(sent))), "near")
+        rest = drawn_in(left.withColumn("cells", F.slice("cells", taken + 1, F.greatest(F.size("cells"), F.lit(1)))), found)
+        rest = rest.withColumn("cells", F.filter("cells", lambda x: x["far2"] <= F.col("worst2") * stop))
+        left = save(rest.filter(F.size("cells") > 0), "routed")
+        taken *= 2
+    return found
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

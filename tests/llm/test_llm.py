@@ -465,7 +465,8 @@ def test_nearest_recall_and_ties(spark):
     got = collections.defaultdict(list)
     for r in sorted(nearest.nearest(df, cell=300).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
-    want = brute([r for r in rows if r[0] is not None], 20, 20)
+    want = brute([(9999 if i is None else i, v) for i, v in rows], 20, 20)
+    want = {q: [(None if i == 9999 else i, s) for i, s in found] for q, found in want.items()}
     assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
     assert got[2000] == [(i, pytest.approx(s)) for i, s in want[2000]]  # ties to the smaller id
@@ -487,6 +488,40 @@ def test_nearest_recall_with_several_cells_and_chunks(spark, monkeypatch, cell):
     assert all(s == scores[q, i] for q, found in got.items() for _, i, s in found if (q, i) in scores)
 
 
+def test_nearest_takes_every_row(spark):
+    """Repeated and null ids are rows of their own, other lengths are searched apart; all candidates where there are few."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((9, 6))
+    rows = [(20, v[0].tolist()), (20, v[1].tolist()), (1, v[2].tolist()), (None, v[3].tolist()), (None, v[2].tolist())]
+    rows += [(40, [1.0, 2.0]), (41, [3.0, 0.5]), (60, [4.0]), (80, None), (100, []), (0, [0.0] * 6), (21, v[4].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("mine"))
+    got = sorted((tuple(r) for r in nearest.nearest(df).collect()), key=str)
+    want = []
+    for i, (q, a) in enumerate(rows):
+        if q is None or q % 20 or not a or not any(a):
+            continue
+        found = sorted((-float(np.sum(np.array(a) * b)), 1 << 40 if c is None else c) for j, (c, b) in enumerate(rows) if j != i and b and any(b) and len(b) == len(a))
+        want += [(q, k + 1, None if c == 1 << 40 else c, -s) for k, (s, c) in enumerate(found)]
+    want.sort(key=str)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want]) and len(want) == 11
+
+
+def test_nearest_visits_cells_in_rounds(spark, monkeypatch):
+    """Clusters in many cells: recall as with one cell, and the copies of a query that are sent stay far below the number of cells."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 10)) * 6
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True) / 10
+    rows = [(i, (centres[i % 40] + 0.3 * rng.standard_normal(10)).tolist()) for i in range(2400)]
+    sent, real = [], nearest.in_chunks
+    monkeypatch.setattr(nearest, "in_chunks", lambda routed, chunks: (sent.append(routed.count()), real(routed, chunks))[1])
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=60).collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute(rows, 20, 20)
+    assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert sent[0] == 120 and sum(sent) < 0.5 * 120 * 40
+
+
 def test_nearest_blocks_go_to_the_chunks_of_their_cell_alone(spark, monkeypatch):
     """Rows sent grow with the data: twice the vectors and queries in twice the cells are twice the rows."""
     monkeypatch.setattr(nearest, "QUERIES", 10)
