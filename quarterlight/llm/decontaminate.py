@@ -33,6 +33,8 @@ WINDOW, K = 10, 5
 INDEXED_BYTES = 8 << 20
 #: Document words that a task looks at together (a longer document is one such lot).
 LOT_WORDS = 400_000
+#: Bits of the bitmap of short items (1 MB).
+BITS = 1 << 23
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -90,24 +92,35 @@ class BenchmarkIndex:
         self.ids = np.fromiter((i for w in words for i in (*w, 0)), np.uint64, int(lengths.sum()) + len(words))
         begins = np.cumsum(lengths + 1) - lengths - 1
         number = np.array([i for i, _ in items], np.int64)
-        kept, self.windows = [], {}
+        kept, self.windows, offsets, listed = [], {}, [np.zeros(1, np.int64)], [np.empty(0, np.int64)]
         for n in np.unique(np.minimum(lengths[lengths > 0], WINDOW)).tolist():
             which = np.flatnonzero(np.minimum(lengths, WINDOW) == n)
             count = lengths[which] - n + 1
             starts = np.repeat(begins[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             hashes, item = _window_hashes(self.ids, starts, n), np.repeat(number[which], count)
             order = np.argsort(hashes, kind="stable")
-            self.windows[n] = (hashes[order], starts[order], item[order])
+            hashes, starts, item = hashes[order], starts[order], item[order]
+            # each window once, and each of its items once
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            for j in range(n):
+                new[1:] |= self.ids[starts[1:] + j] != self.ids[starts[:-1] + j]
+            first = np.flatnonzero(new)
+            pairs = np.unique((np.cumsum(new) - 1) * len(items) + item)
+            # windows are numbered over all lengths
+            self.windows[n] = (hashes[first], starts[first], sum(len(x) for x in offsets) - 1)
+            offsets.append(offsets[-1][-1] + np.searchsorted(pairs // len(items), np.arange(len(first)), "right"))
+            listed.append(pairs % len(items))
             if n == WINDOW:
                 for i in which:
                     grams = gram_hashes(self.ids[begins[i] : begins[i] + lengths[i]], K)
                     kept.append(grams[winnow(grams, WINDOW - K + 1)])
+        self.offsets, self.listed = np.concatenate(offsets), np.concatenate(listed)
         self.fingerprints = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.uint64)
         self.vocabulary = vocabulary
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(start, length, item) of the windows that occur in ids; an id of 0 is no benchmark word."""
-        for n, (hashes, windows, items) in self.windows.items():
+        """(start, length, window) of the windows that occur in ids, a place once whatever the number of items; an id of 0 is no benchmark word."""
+        for n, (hashes, windows, base) in self.windows.items():
             if len(ids) < n:
                 continue
             if n == WINDOW:
@@ -119,6 +132,7 @@ class BenchmarkIndex:
                 looked = gram_hashes(ids, n)
                 starts = np.flatnonzero(np.isin(looked, hashes))
                 looked = looked[starts]
+            # windows of one hash are one but for clashes
             first = np.searchsorted(hashes, looked, "left")
             size = np.searchsorted(hashes, looked, "right") - first
             place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -126,7 +140,13 @@ class BenchmarkIndex:
             same = np.ones(len(place), bool)
             for j in range(n):
                 same &= self.ids[windows[place] + j] == ids[starts[which] + j]
-            yield starts[which[same]], n, items[place[same]]
+            yield starts[which[same]], n, base + place[same]
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """Items with one of these windows, rising."""
+        windows = np.unique(windows)
+        first, n = self.offsets[windows], self.offsets[windows + 1] - self.offsets[windows]
+        return np.unique(self.listed[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
 
 
 def around(at: np.ndarray, length: int) -> np.ndarray:
@@ -147,14 +167,13 @@ def _scan(index: BenchmarkIndex, texts: list[str | None]) -> list[tuple[int, lis
         at += len(own) + WINDOW
     joined = np.concatenate(ids) if ids else np.empty(0, np.uint64)
     edge = np.zeros(len(joined) + 1, np.int64)
-    found_at, found_item = [], []
-    for start, n, items in index.hits(joined):
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n, -1)
+    found_at, found_window = [], []
+    for start, n, windows in index.hits(joined):
+        edge += np.bincount(start, minlength=len(edge)) - np.bincount(start + n, minlength=len(edge))
         found_at.append(start)
-        found_item.append(items)
+        found_window.append(windows)
     where = np.concatenate(found_at) if found_at else np.empty(0, np.int64)
-    which = np.concatenate(found_item) if found_item else np.empty(0, np.int64)
+    which = np.concatenate(found_window) if found_window else np.empty(0, np.int64)
     order = np.argsort(where, kind="stable")
     where, which = where[order], which[order]
     covered = np.cumsum(edge) > 0
@@ -165,7 +184,7 @@ def _scan(index: BenchmarkIndex, texts: list[str | None]) -> list[tuple[int, lis
             out.append((n, [], []))
             continue
         change = np.flatnonzero(np.diff(np.concatenate([[False], covered[start : start + n], [False]]).astype(np.int8)))
-        out.append((n, list(zip(change[::2].tolist(), change[1::2].tolist())), np.unique(which[lo:hi]).tolist()))
+        out.append((n, list(zip(change[::2].tolist(), change[1::2].tolist())), index.items_of(which[lo:hi]).tolist()))
     return out
 
 
@@ -217,15 +236,30 @@ def _by_index(docs: DataFrame, items: DataFrame) -> DataFrame:
 PRINTS = "array<struct<n:int,at:int,print:long>>"
 
 
-def fingerprints(words: list[bytes], hashes: WordHash, short: list[int]) -> list[tuple[int, int, int]]:
-    """(window length, place, hash) of a text's winnowed k-grams, and of all its grams of each short length."""
+def bitmap_of(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Bitmap of a column `print` of hashes: of one size whatever their number, and a clash only lets a place be looked at in vain."""
+    at = F.pmod(F.col("print"), F.lit(bits))
+    words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(print, 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _there(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def fingerprints(words: list[bytes], hashes: WordHash, short: list[int], known: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(window length, place, hash) of a text's winnowed k-grams, and of its grams of each short length that may be known."""
     ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     grams = gram_hashes(ids, K)
     at = winnow(grams, WINDOW - K + 1)
     found = [(np.full(len(at), WINDOW), at, grams[at])]
     for n in short:
         grams = gram_hashes(ids, n)
-        found.append((np.full(len(grams), n), np.arange(len(grams)), grams))
+        at = np.arange(len(grams)) if known is None else np.flatnonzero(_there(known, grams))
+        found.append((np.full(len(at), n), at, grams[at]))
     return list(zip(*(np.concatenate(x).tolist() for x in ([f[0] for f in found], [f[1] for f in found], [f[2].view(np.int64) for f in found]))))
 
 
@@ -249,18 +283,24 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # WINDOW of them at most
     short = sorted(n for n in lengths if n < WINDOW)
 
-    def own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+    held = None
+
+    def own_prints(batches: Iterator[pa.RecordBatch], of_items: bool = False) -> Iterator[pa.RecordBatch]:
+        hashes, bitmap = WordHash(), held.value if held else None
         kind = pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int32()), ("print", pa.int64())]))
         for batch in batches:
             for i in range(batch.num_rows):
                 words = alnum_words(batch.column(1)[i].as_py())
-                found = [{"n": n, "at": at, "print": h} for n, at, h in fingerprints(words, hashes, short)]
+                # of an item only the gram that is all of it counts
+                lengths = [n for n in short if not of_items or n == len(words)]
+                found = [{"n": n, "at": at, "print": h} for n, at, h in fingerprints(words, hashes, lengths, bitmap)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(words)], pa.int64()), pa.array([found], kind)], names=["row", "n_words", "prints"])
 
     made = f"row long, n_words long, prints {PRINTS}"
-    known = items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(own_prints, made).select(F.explode("prints").alias("p")).select("p.n", "p.print").distinct()
-    # a short gram of an item counts only where it is all of the item
+    of_items = items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(lambda batches: own_prints(batches, True), made)
+    known = save(of_items.select(F.explode("prints").alias("p")).select("p.n", "p.print").distinct(), "known")
+    if short:
+        held = docs.sparkSession.sparkContext.broadcast(bitmap_of(known.filter(F.col("n") < WINDOW)))
     prints = save(texts.mapInArrow(own_prints, made), "prints")
     met = prints.select("row", F.explode("prints").alias("p")).select("row", "p.*").join(known, ["n", "print"], "left_semi")
     places = save(met.groupBy("row").agg(F.collect_list(F.struct("n", "at")).alias("places")), "places")
@@ -279,10 +319,10 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
                 )
 
     asked = save(texts.join(places, "row").select("row", "text", "places").mapInArrow(looked, "row long, n int, start long, words binary"), "asked")
-    # a window met by many items and many documents gives a row for each item and document, as the result lists both
-    hits = asked.join(windows, ["n", "words"]).groupBy("row").agg(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
-    )
+    # a place counts once whatever the number of items; items meet each window of a document once
+    spans = asked.join(windows.select("n", "words").distinct(), ["n", "words"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
+    which = asked.select("row", "n", "words").distinct().join(windows, ["n", "words"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = spans.join(which, "row")
     joined = F.aggregate(
         "spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))

@@ -309,6 +309,28 @@ def test_winnowing_guarantee():
         assert kept[0] & kept[1] & set(decontaminate.gram_hashes(shared, 5).tolist())
 
 
+def test_repeated_windows_make_no_products(spark):
+    """Windows that come often in items and in a document: linear in both, and the same by index and by join."""
+    import time
+    import tracemalloc
+
+    index = decontaminate.BenchmarkIndex([(0, "a " * 3000), (1, "a " * 2500), (2, "b a " * 40)])
+    tracemalloc.start()
+    began = time.time()
+    [(n, spans, items)] = decontaminate._scan(index, ["a " * 60_000])
+    assert (n, spans, items) == (60_000, [(0, 60_000)], [0, 1]) and time.time() - began < 5 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    shared = " ".join(f"s{i}" for i in range(30))
+    items = [(i, f"own{i} {shared} end{i}") for i in range(50)] + [(60, "a " * 40), (61, "x y"), (62, "x y"), (63, "q")]
+    texts = [f"{shared} {shared} and x y", "a " * 300, "x y x y q " * 20, "nothing here", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in df.collect())
+    by_index, by_join = rows(decontaminate._by_index(docs, bench)), rows(decontaminate._by_join(docs, bench))
+    assert by_index == by_join and by_index[0][3] == [*range(50), 61, 62] and by_index[2][2] == [(0, 100)]
+    assert [(n, sum(b - a for a, b in spans), found) for _, n, spans, found in by_index] == [hits(t, items) for t in texts]
+
+
 # 6 token files
 
 
