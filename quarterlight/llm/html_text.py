@@ -32,18 +32,27 @@ _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Their content isn't text of the page.
 SKIPPED = frozenset("script style title noscript template textarea svg math iframe object select option canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-#: Elements that stand beside the text.
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+#: Elements that stand beside the text; a form does unless it is around it.
+ASIDE_TAGS = frozenset("nav footer aside menu dialog button".split())
+FORM_TAGS = frozenset("form fieldset".split())
 #: What a class, id or role calls such a thing, and what may be added to its name; any other word in the name makes it another thing.
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-ADDED_NAMES = frozenset("area bar block body box button center container content field group holder inner item items left line link links list main message messages page panel policy right row section side site slot small sticky text thread top bottom unit user wrap wrapper".split())
+ASIDE_NAMES |= frozenset("commentaires comentarios discussion discussions feedback kommentar kommentare onetrust rail reactions responses respond sidecolumn tagcloud taglist tags".split())
+#: Of these the readers' own words, which are the page's text only where nothing else is prose.
+READER_NAMES = frozenset("comment comments commentaires comentarios discussion discussions disqus feedback kommentar kommentare reactions replies reply respond responses".split())
+ADDED_NAMES = frozenset("area bar block body box button center container content field group holder inner item items left line link links list main message messages page panel policy right row sdk section side site slot small sticky text thread top bottom unit user wrap wrapper".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Their class, id or role says nothing of what is inside.
+#: A short block outside of an article that reads so is a notice of ownership.
+_OWNED = re.compile(r"(?:\u00a9|\(c\)\s|copyright\b)|.*\ball rights reserved\b", re.I)
+OWNED_WORDS = 30
+#: Their class, id or role says nothing of what is inside; that of an article does if another one came before.
 WRAPPERS = frozenset("html body main article".split())
 #: Part of a page's words beyond which an element is the page's text, whatever it is called, if there is no article or main elsewhere.
 MOST_WORDS = 0.6
+#: Words from which a block may be prose.
+PROSE = 12
 #: Skipped elements whose content is plain characters, and elements without content.
 RAW = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,17 +80,25 @@ def names_aside(name: str) -> bool:
     return any(cuts) or bool(cut("".join(x for x in parts if not x.isdigit()).lower(), False))
 
 
-def _is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether the element is beside the text, or hidden, and whether its class, id or role says so, which doesn't hold for one around the text."""
+@lru_cache(4096)
+def names_readers(name: str) -> bool:
+    """Whether a name of names_aside speaks of readers' words."""
+    parts = [x.lower() for x in _NAME_PARTS.findall(name[:60])]
+    return any(x in READER_NAMES for x in parts) or any("".join(parts).startswith(x) for x in READER_NAMES)
+
+
+def _is_aside(tag: str, attrs: str, inside: bool, another: bool = False) -> tuple[bool, int]:
+    """Whether the element is beside the text, or hidden, and whether it says so by what doesn't hold around the text (1: class, id, role or being a form; 2: they speak of readers' words). another: an article that isn't the page's first."""
     if tag in ASIDE_TAGS or tag == "header" and not inside:
-        return True, False
-    named = False
+        return True, 0
+    named = int(tag in FORM_TAGS)
     for name, *values in _ATTRIBUTE.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
-            return True, False
-        if name in ("class", "id", "role") and tag not in WRAPPERS:
-            named = named or any(names_aside(x) and not (inside and x.lower() in ("header", "banner")) for x in value.split())
+            return True, 0
+        if name in ("class", "id", "role") and (tag not in WRAPPERS or another):
+            said = [x for x in value.split() if names_aside(x) and not (inside and x.lower() in ("header", "banner"))]
+            named = max(named, 2 if any(map(names_readers, said)) else int(bool(said)))
     return False, named
 
 
@@ -120,6 +137,7 @@ def blocks(page: str | None) -> list[tuple]:
     stack: list[tuple[str, bool, bool, int]] = []
     # elements that are aside by their words: whether they are around the text; and what of each block
     around: list[bool] = []
+    readers: list[bool] = []
     by_words: list[list[int]] = []
     seen: set[str] = set()
     parts: list[str] = []
@@ -132,7 +150,9 @@ def blocks(page: str | None) -> list[tuple]:
         if parts:
             words = "".join(parts).split()
             if words:
-                found.append((" ".join(words), len(words), min(link_words, len(words)), aside, inside, heading))
+                text = " ".join(words)
+                owned = len(words) <= OWNED_WORDS and _OWNED.match(text) is not None
+                found.append((text, len(words), min(link_words, len(words)), aside or owned and not inside, inside, heading))
                 by_words.append([x[3] for x in stack if x[3] >= 0])
             parts.clear()
         link_words = 0
@@ -181,9 +201,11 @@ def blocks(page: str | None) -> list[tuple]:
                     del stack[i:]
                     break
         elif not attrs.endswith("/") and tag not in ("hr", "meta", "link", "base", "col", "source", "input", "img"):
+            another = False
             if tag in ("article", "main"):
                 # the page's first article, or first one inside main, is its text: no word of what is around it holds
                 within = any(x[0] == "main" for x in stack)
+                another = tag == "article" and ("article in main" in seen or "article" in seen and not within or any(x[0] == "article" for x in stack))
                 if tag not in seen or within and "article in main" not in seen:
                     for x in stack:
                         if x[3] >= 0:
@@ -191,10 +213,11 @@ def blocks(page: str | None) -> list[tuple]:
                 seen.add(tag)
                 if within:
                     seen.add("article in main")
-            sure, by_word = _is_aside(tag, attrs, inside)
+            sure, by_word = _is_aside(tag, attrs, inside, another)
             stack.append((tag, sure, tag in ("article", "main"), len(around) if by_word else -1))
             if by_word:
                 around.append(False)
+                readers.append(by_word == 2)
         aside, inside = any(x[1] for x in stack), any(x[2] for x in stack)
         heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
     add(page[at:])
@@ -208,7 +231,8 @@ def blocks(page: str | None) -> list[tuple]:
             within[i] += b[1] * b[4]
     texts = sum(b[1] for b in found if b[4])
     for i in range(len(around)):
-        around[i] = around[i] or held[i] > MOST_WORDS * every and texts == within[i]
+        if not around[i] and held[i] > MOST_WORDS * every and texts == within[i]:
+            around[i] = not readers[i] or all(b[1] < PROSE for b, own in zip(found, by_words) if i not in own)
     return [(*b[:3], b[3] or not all(around[i] for i in own), *b[4:]) for b, own in zip(found, by_words)]
 
 
@@ -248,6 +272,23 @@ LABELLED = (
 )
 
 
+#: More of it: pages whose elements have no names, so that words and links of a block and its neighbours tell.
+_MID = "keep a block of some ten words or so in it"
+_LINE = "drop a line of few words"
+LABELLED += (
+    f"<div>{_LINE}</div><div><a href=/a>drop one</a> <a href=/b>drop two</a></div><div><p>{_LONG}<p>{_MID}<p>{_LONG} {_LONG}</div><div><a href=/c>drop three</a></div><div>{_LINE}</div>",
+    f"<div><a href=/a>drop one more</a></div><div>{_LINE}</div><div><a href=/b>drop two more</a></div><div><p>{_LONG} {_LONG}<p>{_LONG}</div>",
+    f"<div>drop menu</div><div>drop search</div><p>{_LONG}</p><p>keep two words</p><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p><div>drop top of page</div><div><a href=/t>drop top</a></div>",
+    f"<div><a href=/x>drop a longer link to another story of this paper which is told at some length there</a></div><div><a href=/y>drop and a further one of as many words about quite another thing that took place</a></div><p>{_LONG}</p><p>{_LONG}</p>",
+    f"<p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p><div>{_LINE}</div><div><a href=/u>drop next story</a></div><div>{_LINE}</div><div><a href=/v>drop last story</a></div>",
+    f"<div>{_LINE} <a href=/q>drop more of it here</a></div><div><h1>keep a heading over it</h1><p>{_MID}<p>{_LONG}<p>{_MID} {_MID}<p>{_LONG}</div><div>{_LINE} <a href=/r>drop all of them there</a></div>",
+    f"<div>drop en</div><div>drop de</div><div>drop fr</div><div><p>{_LONG} {_LONG} {_LONG}</div><div>drop imprint</div><div>drop privacy</div>",
+    f"<table><tr><td><a href=/1>drop one</a></td><td><a href=/2>drop two</a></td></tr></table><p>{_LONG}</p><ul><li>keep a point of the list</li><li>keep another point of it</li></ul><p>{_LONG}</p>",
+    f"<form><div>drop search here</div><h1>keep heading</h1><p>{_LONG}<p>{_LONG}<p>{_MID}<p>{_LONG}</form>",
+    f"<article><p>{_LONG}</article><article class=comment-body><p>{_OTHER}</article><article class=comment><p>drop short</article>",
+)
+
+
 def labelled_table(spark: SparkSession) -> DataFrame:
     rows = [(Vectors.dense(x), float(b[0].startswith("keep"))) for found in map(blocks, LABELLED) for b, x in zip(found, features(found))]
     return spark.createDataFrame(rows, ["features", "label"])

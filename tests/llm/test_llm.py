@@ -134,6 +134,30 @@ def test_html_wrappers_and_unclosed_elements(spark):
     assert {r.page_id: r.text for r in out} == dict.fromkeys(range(len(pages)), want)
 
 
+def test_html_forms_readers_and_notices(spark):
+    story = "".join(f"<p>The story goes on in paragraph number {i} with a good many words so that it reads as prose and not as a menu of links.</p>" for i in range(3))
+    want = "\n".join(f"The story goes on in paragraph number {i} with a good many words so that it reads as prose and not as a menu of links." for i in range(3))
+    readers = "".join(f"<p>Reader {i} says that this was a very good read and that there should be more of it in the paper next week, thanks.</p>" for i in range(6))
+    pages = [
+        *(f"<form id=aspnetForm>{x}</form>" for x in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>")),
+        f"<article>{story}</article><article class='comment-body'>{readers}</article>", f"<article>{story}<article class='comment-body'>{readers}</article></article>",
+        *(f"<article>{story}</article><div {x}>{readers}</div>" for x in ("class=discussion", "id=responses", "class=kommentare", "id=onetrust-consent-sdk")),
+        f"<main>{story}<div class=side-column>{readers}</div></main>", f"<article>{story}</article><div>\u00a9 2024 Example. All rights reserved.</div>",
+        f"<article>{story}<div class=tags><a href=/a>one</a> <a href=/b>two</a></div></article>", f"<div>{story}</div><div class=comments>{readers}{readers}</div>",
+    ]
+    out = html_text.main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert {r.page_id: r.text for r in out} == dict.fromkeys(range(len(pages)), want)
+
+
+def test_html_tree_weighs_words_and_neighbours(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    fit = DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=1, maxBins=64, seed=1).fit(html_text.labelled_table(spark).coalesce(1))
+    weight = dict(zip(html_text.FEATURES, fit.featureImportances.toArray()))
+    assert weight["aside"] < 0.5 and weight["words"] > 0 and weight["density"] > 0.1
+    assert sum(weight[c] for c in ("words_before", "density_before", "words_after", "density_after")) > 0.1
+
+
 def test_html_names_are_no_judge_of_the_text(spark):
     story = "".join(f"<p>{x} some words of the story that go on for a while and then a little longer so that it reads as prose</p>" for x in "ABCD")
     want = "\n".join(f"{x} some words of the story that go on for a while and then a little longer so that it reads as prose" for x in "ABCD")
