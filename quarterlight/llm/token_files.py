@@ -253,13 +253,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Writes part, doc_id, begin, n_tokens and tokens of docs (doc_id, text) in ascending doc_id order over the files.
 
     A null text is empty and has the end id alone; null ids come first, and
-    rows with equal ids stay beside each other in one file, by their text.
+    rows with equal ids stay beside each other, by the hash of their text, over as many files as it takes.
     encoding: dictionary, or delta (DELTA_BINARY_PACKED, Parquet's second
     writer version). Other columns aren't read.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    by_text = F.xxhash64("text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", by_text)
+    # an id with many rows is dealt over tasks by its texts
+    dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").sortWithinPartitions("doc_id", by_text, "text")
     (
         _encode(dealt, tokenizer, end_id).write.option("compression", "zstd")
         .option("parquet.block.size", row_group).option("parquet.page.size", page).option("parquet.page.row.count.limit", page_rows)

@@ -456,6 +456,25 @@ def scanned_rows(df):
     return most
 
 
+def test_tokens_of_many_rows_under_one_id_are_dealt(spark):
+    """Every second id is null: the nulls don't meet in one task, and places still follow each other."""
+    rows = [(None if i % 2 else i, f"text number {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = common.new_path(spark, "tokens")
+        token_files.write_tokens(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(path)
+    parts = [r.n for r in files.groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert len(parts) > 1 and max(parts) < 2000
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.read_digests(spark, path).collect())
+    assert [s for s, *_ in got] == list(np.cumsum([0] + [n for _, n, _ in got])[:-1])
+    ids = [-1 if i is None else i for *_, i in got]
+    assert ids == sorted(ids) and ids.count(-1) == 2000
+
+
 # 7 urls
 
 
