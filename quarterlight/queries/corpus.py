@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarterlight.functions import registered
 from quarterlight.functions.dates import quarter_end, quarter_name
 from quarterlight.functions.rules import argmax_class
 from quarterlight.operators import corpus, documents
@@ -152,6 +153,16 @@ def _(spark, sf_dir):
     return rewarded(spark, sf_dir).select("l_orderkey", "l_linenumber", corpus.weighted_reward(SIX, digits=9).alias("reward"))
 
 
+@query("reward_functions", f"WITH {RW} SELECT l_orderkey, l_linenumber, round(CASE WHEN k < 5 THEN fed_probability_calibrated END, 6) AS calibrated, round(CASE WHEN k < 5 THEN no_future_leakage END, 6) AS leakage, round(CASE WHEN k < 5 THEN (no_future_leakage + 1.2::DOUBLE * fed_probability_calibrated) / 2.2::DOUBLE END, 6) AS weighted FROM s")
+def _(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql(
+        """WITH r AS (SELECT l_orderkey, l_linenumber, k, reward_probability_calibrated(h, o, c, actual) AS calibrated, reward_no_future_leakage(CAST(future_mentions AS INT)) AS leakage FROM {rows})
+        SELECT l_orderkey, l_linenumber, round(if(k < 5, calibrated, NULL), 6) AS calibrated, round(if(k < 5, leakage, NULL), 6) AS leakage, round(if(k < 5, reward_weighted(map('fed_probability_calibrated', calibrated, 'no_future_leakage', leakage)), NULL), 6) AS weighted FROM r""",
+        rows=rewarded(spark, sf_dir),
+    )
+
+
 @query("batch_hold_penalty", f"""WITH {RW}, g AS (SELECT l_orderkey, count_if(pr = 'hold') / count(*) AS sh, avg(o) AS m, count(*) AS n FROM s GROUP BY 1)
 SELECT s.l_orderkey, l_linenumber, round(least(not_always_hold, CASE WHEN n < 2 THEN 1.0 WHEN sh >= 0.95 AND m >= 0.6 THEN -1.0 WHEN sh >= 0.85 AND m >= 0.55 THEN -0.6 WHEN sh >= 0.75 THEN -0.2 ELSE 1.0 END), 6)::DOUBLE AS score FROM s JOIN g ON s.l_orderkey = g.l_orderkey""")
 def _(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarterlight.functions.text import text_hash
 from quarterlight.queries.registry import query, table
 from quarterlight.scratch import scratch_path
+from quarterlight.sources import archive as record_archive
 from quarterlight.streaming import events as stream
 
 SECONDS = "yyyy-MM-dd HH:mm:ss"
@@ -94,6 +95,16 @@ def _(spark, sf_dir):
     return collected(spark, stream.normalize(watched(spark, sf_dir))).select("event_id", "batch")
 
 
+@query("prediction_archive_records", """SELECT event_id::VARCHAR AS event_id, year(ts)::VARCHAR || 'Q' || quarter(ts)::VARCHAR AS quarter, CASE WHEN event_id % 8 = 1 THEN 7 ELSE 3 END::INTEGER AS max_rounds FROM events WHERE (event_type = 'error' OR event_id % 8 = 1) AND (event_id % 4 = 0 OR event_id % 8 = 1)""")
+def _(spark, sf_dir):
+    record_archive.register(spark)
+    out, check = scratch_path(spark, "records"), scratch_path(spark, "checkpoint")
+    requests = stream.counterfactual_requests(stream.normalize(watched(spark, sf_dir)), ["energy_risk", "geo"])
+    writer = requests.writeStream.format("record_archive").option("path", out).option("key", "event_id").option("checkpointLocation", check)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id string, quarter string, max_rounds int").json(out)
+
+
 @query("run_counter", "SELECT count(*)::BIGINT AS runs, count(*)::BIGINT AS names FROM events")
 def _(spark, sf_dir):
     return collected(spark, stream.normalize(watched(spark, sf_dir))).agg(F.count("*").alias("runs"), F.countDistinct("run").alias("names"))

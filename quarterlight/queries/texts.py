@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarterlight.functions import registered
 from quarterlight.functions import game, rules, text, titles, urls
 from quarterlight.operators import pages as page_ops
 from quarterlight.queries.registry import query, table
@@ -101,6 +102,14 @@ def _(spark, sf_dir):
     return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.length("title").alias("title_chars"))
 
 
+@query("parser_registry", r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS t FROM pages),
+d AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt(;|$)', '<', 'g'), '&gt(;|$)', '>', 'g'), '&quot(;|$)', '"', 'g'), '&amp(;|$)', '&', 'g') AS t FROM p)
+SELECT page_id, length(trim(regexp_replace(t, '\s+', ' ', 'g')))::INTEGER AS title_chars, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS plain FROM d""")
+def _(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql("SELECT page_id, length(d.title) AS title_chars, md5(CAST(p.text AS BINARY)) AS plain FROM {pages}, LATERAL parse_page(html, 'document') d, LATERAL parse_page(html, 'plain') p", pages=table(spark, sf_dir, "pages"))
+
+
 @query("html_rate_table", """WITH m AS (SELECT o_orderpriority AS entity, CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2) SELECT entity, date, (n * 1.25)::DOUBLE AS rate, unnest(['table', 'chart']) AS origin FROM m""")
 def _(spark, sf_dir):
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from quarterlight.functions import registered
 from quarterlight.operators import metrics, traces
 from quarterlight.queries.registry import query, table
 
@@ -192,6 +193,12 @@ def _(spark, sf_dir):
     return traces.json_dates(trace_json(spark, sf_dir), "o_orderkey", "js")
 
 
+@query("json_walk_lateral", f"WITH {JS} SELECT o_orderkey, '$.evidence_chain[0].published_at' AS path, od::VARCHAR AS value FROM js")
+def _(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql("SELECT o_orderkey, w.path, w.value FROM {records}, LATERAL json_walk(js, 'string') w WHERE w.path LIKE '%.published_at'", records=trace_json(spark, sf_dir))
+
+
 @query("leakage_scan", f"WITH {JS} SELECT o_orderkey, 2::BIGINT AS mentions, (sd > cutoff)::BIGINT AS future, sd > cutoff AS leaked, CASE WHEN sd > cutoff THEN '$.evidence_chain[0].claim' ELSE '' END AS examples FROM js")
 def _(spark, sf_dir):
     return traces.leakage_scan(trace_json(spark, sf_dir), "o_orderkey", "js", "cutoff").withColumn("examples", F.array_join("examples", ","))
