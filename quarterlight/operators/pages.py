@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarterlight.functions.urls import absolute_url, canonical_url, links, url_host
+from quarterlight.scratch import stored
 
 #: Parsers of pages by name; each takes a page's html and gives (title, text, published).
 PARSERS: dict[str, Callable[[str], tuple[str, str, str | None]]] = {}
@@ -139,25 +140,46 @@ def chart_rates(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return rows.select(key, F.try_to_date("x.d", "dd.MM.yyyy").alias("date"), F.col("x.r").try_cast("double").alias("rate")).filter("date IS NOT NULL AND rate IS NOT NULL")
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of df by order: tasks sort ranges, and counts of the ranges say where the n-th row is; nothing is sorted as a whole."""
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    left, last = n, None
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.part):
+        if r.n >= left:
+            last = r.part
+            break
+        left -= r.n
+    kept = placed if last is None else placed.filter((part < last) | (part == last) & (place < left))
+    return kept.drop("_id")
+
+
 def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """(url, depth) reached from seeds over stored links, breadth first, on the seeds' own hosts.
 
-    edges: url, target. Each hop joins the frontier with the links, drops what
-    was visited by an anti join and is written to the shared folder, so lineage
-    stays short and a lost executor repeats one hop. max_pages keeps the first
-    by depth and url.
+    edges: url, target. Each hop joins the frontier with the links and drops what
+    was visited by an anti join. What a hop finds is written once to the shared
+    folder, a part for each depth, and never again, so lineage stays short and a lost executor repeats
+    one hop. max_pages keeps the first by depth and url: counts by depth say which
+    depths stay whole, and of one depth the first urls are kept; deeper hops
+    aren't made.
     """
-    from quarterlight.scratch import stored
-
-    links_ = edges.select(canonical_url(F.col("url")).alias("url"), canonical_url(F.col("target")).alias("target")).dropna().distinct()
+    links_ = stored(edges.select(canonical_url(F.col("url")).alias("url"), canonical_url(F.col("target")).alias("target")).dropna().distinct(), "links")
     frontier = stored(seeds.select(canonical_url(F.col("url")).alias("url")).dropna().distinct().withColumn("depth", F.lit(0)), "frontier")
     hosts = stored(frontier.select(url_host(F.col("url")).alias("host")).distinct(), "hosts")
-    visited = frontier
-    for depth in range(1, max_depth + 1):
+    visited, left, depth = None, max_pages, 0
+    while True:
+        if left is not None:
+            n = frontier.count()
+            if n > left:
+                frontier = first_rows(frontier, ["url"], left)
+            left -= min(n, left)
+        visited = frontier if visited is None else visited.unionByName(frontier)
+        depth += 1
+        if depth > max_depth or left == 0:
+            return visited
         found = links_.join(frontier.select("url"), "url").select(F.col("target").alias("url")).distinct()
         own = found.withColumn("host", url_host(F.col("url"))).join(hosts, "host", "left_semi").select("url")
         frontier = stored(own.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            break
-        visited = stored(visited.unionByName(frontier), "visited")
-    return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)
+            return visited

@@ -136,17 +136,27 @@ def _(spark, sf_dir):
     return df.withColumn("latin", latin).withColumn("raw", raw).withColumn("t", text_).select("page_id", F.md5(plain.cast("binary")).alias("text_md5"))
 
 
-@query("crawl_frontier", f"""WITH RECURSIVE {LINKS}, pg AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url FROM pages),
+CRAWL = f"""WITH RECURSIVE {LINKS}, pg AS (SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url FROM pages),
 ed AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS url, regexp_replace(target, '^(https?://[^/?#]+)(\\?|$)', '\\1/\\2') AS target FROM ln JOIN (SELECT page_id AS p, url FROM pages) ON p = page_id WHERE text <> ''),
 hs AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pg),
 r(url, depth) AS (SELECT DISTINCT url, 0 FROM pg UNION SELECT ed.target, r.depth + 1 FROM r JOIN ed ON ed.url = r.url WHERE r.depth < 3 AND regexp_extract(ed.target, '^https?://([^/?#]*)', 1) IN (SELECT h FROM hs))
-SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
+SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1"""
+
+
+@query("crawl_frontier", CRAWL)
 def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     edges = page_ops.page_links(pages, "url").select("url", "target")
     return page_ops.crawl(pages, edges, pages, 3)
 
 
+@query("crawl_max_pages", f"SELECT * FROM ({CRAWL}) ORDER BY depth, url LIMIT 120")
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    edges = page_ops.page_links(pages, "url").select("url", "target")
+    return page_ops.crawl(pages, edges, pages, 3, max_pages=120)
+
+
 DAY = "CAST(o_orderdate AS DATE)"
 
 
