@@ -95,11 +95,18 @@ def _(spark, sf_dir):
     return page_ops.list_items(table(spark, sf_dir, "pages"), "page_id").groupBy("page_id", "href", "title").agg(F.count("*").alias("n"))
 
 
-@query("html_extract_doc", r"""WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS t FROM pages),
-d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt(;|$)', '<', 'g'), '&gt(;|$)', '>', 'g'), '&quot(;|$)', '"', 'g'), '&amp(;|$)', '&', 'g') AS t FROM p)
-SELECT page_id, length(trim(regexp_replace(t, '\s+', ' ', 'g')))::INTEGER AS title_chars FROM d""")
+def _decoded(column: str) -> str:
+    """SQL for the character references of the pages, decoded; those that a page's end or a title's cut leaves without a semicolon too."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("amp", "&")):
+        column = f"regexp_replace({column}, '&{name}(;|$)', '{sign}', 'g')"
+    return column
+
+
+@query("html_extract_doc", rf"""WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS t, regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1) || ' ' || regexp_extract(html, '(?is)<article>(.*?)(</article>|$)', 1) AS b FROM pages),
+d AS (SELECT page_id, {_decoded('t')} AS t, {_decoded("regexp_replace(b, '<[^>]+>', ' ', 'g')")} AS b FROM p)
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title, md5(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS text_md5, NULL::VARCHAR AS published FROM d""")
 def _(spark, sf_dir):
-    return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.length("title").alias("title_chars"))
+    return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id").select("page_id", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), "published")
 
 
 @query("parser_registry", r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS t FROM pages),
