@@ -116,6 +116,7 @@ def search_recent(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
     as_of or without a date don't qualify; a record without overlap qualifies by its
     age, and only the k newest can. Overlap is looked up in a BlockIndex.
     """
+    records = records.filter("date IS NOT NULL")
     asked = _counts(queries, "query_id", tokens(F.col("query")))
     counts = _of_queries(records, tokens(F.col("text")), asked).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
     index = BlockIndex(records, counts, asked, queries.select("query_id", "as_of"))
