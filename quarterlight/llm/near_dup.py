@@ -134,11 +134,11 @@ def short(signature: np.ndarray) -> np.ndarray:
 
 
 #: Texts whose copies a task knows again, so that it signs them once.
-SEEN = 100_000
+SEEN = 50_000
 SIGNED = "copy string, n long, keys array<long>, signature binary"
 
 
-def bands(docs: DataFrame, lot_chars: int = 1_500_000) -> DataFrame:
+def bands(docs: DataFrame, lot_chars: int = 700_000) -> DataFrame:
     """(copy, n, keys, signature) of docs (copy, text): number of shingles, keys of the bands (none for a text without words), short signature.
 
     Texts with one `copy` are the same; a task signs one of them as long as it remembers it.
@@ -146,15 +146,15 @@ def bands(docs: DataFrame, lot_chars: int = 1_500_000) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             ids, lot, size = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i in seen:
+                if (key := bytes.fromhex(i[:32])) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(i)
+                seen.add(key)
                 ids.append(i)
                 lot.append(bag(text.as_py(), hashes))
                 size += len(lot[-1][0])

@@ -26,7 +26,7 @@ def space_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to `most` words at a time."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
