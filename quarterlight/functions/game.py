@@ -18,6 +18,9 @@ STRATEGY = (
 HAWKISH, DOVISH, EXTERNAL = STRATEGY[:4], STRATEGY[4:6], STRATEGY[6:]
 
 
+# The coefficients and bounds of belief, belief_from_text and fomc_path.
+
+
 def belief(b: Mapping[str, Column]) -> dict[str, Column]:
     """Beliefs of a briefing (ect, gap, inflation, unemployment, energy, credibility), by linear rules and clamped."""
     zero = F.lit(0.0)

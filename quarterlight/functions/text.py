@@ -63,6 +63,7 @@ def iso_date(text: Column) -> Column:
     return F.when(found != "", F.translate(found, "/", "-"))
 
 
+# The names of months and the forms of dates below.
 MONTH_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 

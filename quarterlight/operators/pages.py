@@ -87,22 +87,31 @@ def extract_documents(pages: DataFrame, key: str, html: str = "html", parser: st
     return pages.select(key, F.col(html).alias("_h"), name.alias("_p")).mapInPandas(parse, f"`{key}` {kind}, title string, text string, published string")
 
 
+# Encodings that are tried after the declared one, in this order, and the bytes in which one is declared.
+ENCODINGS, HEAD_BYTES = ("utf-8", "gb18030", "gbk"), 4096
+
+
+def declared_charset(data: bytes) -> str | None:
+    """What stands after the first `charset=` of a page's head: letters, digits, hyphens and underscores, quoted or not."""
+    _, sign, rest = data[:HEAD_BYTES].partition(b"charset=") if b"charset=" in data[:HEAD_BYTES] else data[:HEAD_BYTES].lower().partition(b"charset=")
+    name = re.match(rb"[\w-]+", rest.lstrip(b"'\"").lower()) if sign else None
+    return name[0].decode("ascii", "ignore") if name else None
+
+
+def decoded(data: bytes) -> str:
+    """The text by the first encoding that reads all of it; utf-8 with replacement marks where none does."""
+    for encoding in filter(None, (declared_charset(data), *ENCODINGS)):
+        try:
+            return str(data, encoding)
+        except (UnicodeDecodeError, LookupError):
+            pass
+    return str(data, "utf-8", "replace")
+
+
 @F.pandas_udf(StringType())
 def decode_bytes(raw: pd.Series) -> pd.Series:
-    """Bytes to text: by the charset that the head declares, then utf-8, gb18030, gbk; at last utf-8 with replacement marks."""
-
-    def decode(data: bytes | None) -> str | None:
-        if data is None:
-            return None
-        named = re.search(rb"charset=['\"]?([a-z0-9_-]+)", data[:4096].lower())
-        for encoding in dict.fromkeys([*([named[1].decode()] if named else []), "utf-8", "gb18030", "gbk"]):
-            try:
-                return data.decode(encoding)
-            except (UnicodeDecodeError, LookupError):
-                continue
-        return data.decode("utf-8", errors="replace")
-
-    return raw.map(decode)
+    """Bytes to text: by the charset that the head declares, else by the first of ENCODINGS that fits; null stays null."""
+    return raw.map(lambda data: None if data is None else decoded(data))
 
 
 def page_links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:

@@ -87,6 +87,7 @@ def impact(deltas: DataFrame, cluster: Sequence[str], up: Sequence[str], down: S
     part = lambda names: F.sum(F.when(F.col("field").isin(*names), F.col("delta")).otherwise(0.0))
     r = lambda c: F.round(c, 6)
     sums = deltas.groupBy(*cluster).agg(r(F.sum(F.abs("delta"))).alias("shift"), r(part(up) - part(down)).alias("hawkish"), r(part(outside)).alias("external"), F.max_by("field", F.struct(F.round(F.abs("delta"), 9), F.col("field"))).alias("top_field"))
+    # fixed values: thresholds and labels
     label = (
         F.when(F.col("shift") < 0.03, "little strategic change")
         .when(F.abs("external") >= F.greatest(F.abs("hawkish"), F.lit(0.05)), F.when(F.col("external") > 0, "external-pressure shock").otherwise("external-pressure easing"))

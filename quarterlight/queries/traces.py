@@ -32,11 +32,11 @@ def _(spark, sf_dir):
     return out.select("trace", F.array_join("lines", "; ").alias("lines"))
 
 
-@query("persona_consistency", f"""WITH {PR}, p AS (SELECT role, avg(hike) AS ph, avg(press) AS pp FROM (SELECT role, hike, press FROM pr WHERE round <= 3) GROUP BY 1), la AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY trace, role ORDER BY round DESC) = 1),
+@query("persona_consistency", f"""WITH {PR}, p AS (SELECT role, avg(hike) AS ph, avg(press) AS pp FROM pr GROUP BY 1), la AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY trace, role ORDER BY round DESC) = 1),
 d AS (SELECT trace, avg((abs(hike - round(ph, 4)) + abs(press - round(pp, 4))) / 2) AS d FROM la JOIN p ON la.role = p.role GROUP BY 1) SELECT trace, round(d, 6) AS distance, round(greatest(0.0, 1 - d / 0.3), 6)::DOUBLE AS score FROM d""")
 def _(spark, sf_dir):
     pr = proposals(spark, sf_dir)
-    priors = pr.filter("round <= 3").groupBy("role").agg(F.round(F.avg("hike"), 4).alias("prior_hike"), F.round(F.avg("press"), 4).alias("prior_press"))
+    priors = pr.groupBy("role").agg(F.round(F.avg("hike"), 4).alias("prior_hike"), F.round(F.avg("press"), 4).alias("prior_press"))
     out = traces.persona_consistency(traces.latest_per_role(pr, ["trace", "role"], ["round"]), priors, ["trace"], "role", ["hike", "press"])
     return out.select("trace", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
 
 
 @query("external_shocks", f"""WITH {CL}, s AS (SELECT trace, max(press) AS pressure, coalesce(max(CASE WHEN cluster = 'R' THEN press END), 0) AS returned, coalesce(max(CASE WHEN cluster = 'A' THEN press END), 0) AS accepted FROM cl GROUP BY 1)
-SELECT trace, unnest(['pressure', 'returned', 'accepted', 'energy', 'trade']) AS channel, unnest([pressure, returned, accepted, greatest(0.2, pressure * 0.8), greatest(0.1, pressure * 0.5)]::DOUBLE[]) AS value FROM s""".replace("SELECT trace, unnest(['pressure'", "SELECT trace, unnest(['pressure'"))
+SELECT trace, unnest(['pressure', 'returned', 'accepted', 'energy', 'trade']) AS channel, unnest([pressure, returned, accepted, greatest(0.2, pressure * 0.8), greatest(0.1, pressure * 0.5)]::DOUBLE[]) AS value FROM s""")
 def _(spark, sf_dir):
     return traces.external_shocks(clusters(spark, sf_dir), ["trace"], "cluster", "press", {"returned": "R", "accepted": "A"}, {"energy": (0.2, 0.8), "trade": (0.1, 0.5)}).withColumn("value", F.col("value"))
 
@@ -118,11 +118,12 @@ def _(spark, sf_dir):
     return runs.select("trace", d.alias("d")).select("trace", F.array_join("d.added", ",").alias("added"), F.array_join("d.removed", ",").alias("removed"))
 
 
-@query("mapping_diff", f"WITH {CL}, b AS (SELECT trace, cluster AS name, hike AS before FROM cl), a AS (SELECT trace, cluster AS name, CASE WHEN trace % 3 = 0 THEN round(hike + 0.1, 6) ELSE hike END AS after FROM cl WHERE NOT (trace % 4 = 0 AND cluster = 'N')) SELECT coalesce(a.trace, b.trace) AS trace, coalesce(a.name, b.name) AS name, before, after FROM b FULL JOIN a ON a.trace = b.trace AND a.name = b.name WHERE before IS DISTINCT FROM after")
+@query("mapping_diff", f"WITH {CL}, b AS (SELECT trace, cluster AS name, hike AS before FROM cl), a AS (SELECT trace, cluster AS name, CASE WHEN trace % 4 = 0 AND cluster = 'N' THEN NULL WHEN trace % 3 = 0 THEN round(hike + 0.1, 6) ELSE hike END AS after FROM cl) SELECT coalesce(a.trace, b.trace) AS trace, coalesce(a.name, b.name) AS name, before, after FROM b FULL JOIN a ON a.trace = b.trace AND a.name = b.name WHERE before IS DISTINCT FROM after")
 def _(spark, sf_dir):
     cl = clusters(spark, sf_dir)
     as_map = lambda df: df.groupBy("trace").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "hike"))).alias("m"))
-    changed = cl.filter("NOT (trace % 4 = 0 AND cluster = 'N')").withColumn("hike", F.when(F.col("trace") % 3 == 0, F.round(F.col("hike") + 0.1, 6)).otherwise(F.col("hike")))
+    gone = (F.col("trace") % 4 == 0) & (F.col("cluster") == "N")
+    changed = cl.withColumn("hike", F.when(gone, None).when(F.col("trace") % 3 == 0, F.round(F.col("hike") + 0.1, 6)).otherwise(F.col("hike")))
     return traces.mapping_diff(as_map(cl), as_map(changed), "trace", "m")
 
 
