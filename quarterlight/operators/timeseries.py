@@ -160,8 +160,9 @@ def other_history(df: DataFrame, fields: Sequence[str], n: int, entity: str, ord
     itself with the tail of what lies before. Rows go to one place, whatever the
     number of entities. `order` must tell all rows apart.
     """
-    count = max(1, -(-df.count() // block_rows))
-    placed = stored(df.repartitionByRange(count, *order).withColumn("_block", F.spark_partition_id()), "timeline")
+    kept = stored(df, "rows")  # counted, sampled for the ranges and dealt: computed once
+    count = max(1, -(-kept.count() // block_rows))
+    placed = stored(kept.repartitionByRange(count, *order).withColumn("_block", F.spark_partition_id()), "timeline")
     fact = F.struct(F.col(entity).alias("_e"), *[F.col(c).alias(f"_f_{i}") for i, c in enumerate(fields)])
     newest = [F.desc(c) for c in order]
     narrow = placed.select("_block", *order, entity, fact.alias("_fact")).withColumn("_r", F.row_number().over(Window.partitionBy("_block", entity).orderBy(*newest))).filter(F.col("_r") <= n)
