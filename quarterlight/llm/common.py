@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Rows go to Python 1,000 at a time from now on, unless the session names another number than Spark's: 10,000 whole texts are tens of MB, several times over in a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def hand_back() -> None:
+    """Gives memory that this worker has freed, but its allocators still hold, back to the machine: for the end of a task, as workers wait for the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, hot: int = 2000) -> DataFrame:
     """left with the columns of right, which has one row a key at most (nulls where it has none). Keys of more than `hot` rows of left are few: they are joined where the rows are."""
     many = save(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(key), "many")

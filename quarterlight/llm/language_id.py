@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarterlight.llm.common import shielded, small, table
+from quarterlight.llm.common import hand_back, modest_batches, shielded, small, table
 
 #: Bound of what is learned for a language: so many documents, characters of each, and bytes of dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 100, 4000, 192 << 10
@@ -94,6 +94,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataF
     are where nothing was learned. Only the text is looked at. Of equal sizes
     the first language in code-point order holds, with a narrow margin.
     """
+    modest_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "rejected")
     place = kept.columns.index("text")
 
@@ -103,6 +104,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataF
             found = [classifier.predict(text.as_py()) for text in batch.column(place)]
             more = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+        hand_back()
 
     return kept.mapInArrow(predict, StructType(kept.schema.fields + StructType.fromDDL(FOUND).fields))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import lookup, save, shielded, small, table
+from quarterlight.llm.common import hand_back, lookup, modest_batches, save, shielded, small, table
 from quarterlight.llm.words import WordHash, alnum_words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -162,6 +162,7 @@ def bands(docs: DataFrame, lot_chars: int = 700_000) -> DataFrame:
                     yield packed(ids, lot)
                     ids, lot, size = [], [], 0
             yield packed(ids, lot)
+        hand_back()
 
     def packed(ids: list, lot: list) -> pa.RecordBatch:
         times = signatures(lot)
@@ -188,6 +189,7 @@ def _by_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
             held = held.iloc[edges[-1] :] if len(edges) else held
         if held is not None and len(held):
             yield from f(held)
+        hand_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, schema)
 
@@ -291,6 +293,7 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
                     last, made = x, bag(x, hashes)
                 out.append(weighted_jaccard(made, bag(y, hashes)))
             yield pd.Series(out, dtype="float64")
+        hand_back()
 
     # the text that many pairs have in common is dealt over parts
     parts = save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).filter("_parts > 1"), "parts")
@@ -337,6 +340,7 @@ def _text_key() -> Column:
 
 def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> DataFrame:
     """(doc_id, copy, class, class_id, n_copies, partner_id, similarity) of each row of docs (doc_id, text); null texts have no copy and no class."""
+    modest_batches(docs.sparkSession)
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("copy")), "copies")
     # one text stands for its copies, under a number that is saved
     firsts = rows.filter("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from quarterlight.llm.common import new_path, save, small, table
+from quarterlight.llm.common import hand_back, modest_batches, new_path, save, small, table
 
 #: File of the tokenizer, by its public name.
 TOKENIZER = "word_bpe_49k.json"
@@ -225,7 +225,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 6_000_000) -> DataFrame:
+def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 4_000_000) -> DataFrame:
     """docs (doc_id, text, more) with begin, n_tokens and tokens in the place of text; begin counts the ids of the partition's rows before."""
     place, rest = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
@@ -244,6 +244,7 @@ def _encode(docs: DataFrame, tokenizer: str, end_id: int, lot_bytes: int = 6_000
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(before + edges[:-1]), pa.array(np.diff(edges)), lists], names=[*rest, "begin", "n_tokens", "tokens"])
                 before, at = before + int(edges[-1]), upto
+        hand_back()
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(encode, StructType([*kept, *StructType.fromDDL("begin long, n_tokens long").fields, StructField("tokens", ArrayType(IntegerType()))]))
@@ -257,6 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     encoding: dictionary, or delta (DELTA_BINARY_PACKED, Parquet's second
     writer version). Other columns aren't read.
     """
+    modest_batches(docs.sparkSession)
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
     by_text = F.xxhash64("text")
@@ -300,6 +302,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             ids, offsets = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4"), lists.offsets.to_numpy()
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
+        hand_back()
 
     rows = spark.read.schema(FILES).parquet(path).mapInArrow(digest, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return _with_start(spark, path, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
