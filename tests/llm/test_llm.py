@@ -495,6 +495,14 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_query_has_the_contract_rules(spark, tmp_path):
+    urls = {1: "http://b.net/de/8", 2: "http://net/de/", 3: "http://www.example.net/de/81", 4: "http://www.example.net/de/7", 5: "http://a.com/en/7", 6: "http://example.com/en/7", 7: "http://a.org/es/1", 8: "http://a.net/en/1"}
+    spark.createDataFrame(list(urls.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()}
+    net = ("net/de/", "allow")
+    assert got == {1: net, 2: net, 3: ("example.net/de/8", "block"), 4: net, 5: ("com/en/", "block"), 6: ("example.com/en/7", "allow"), 7: ("org/es/", "block"), 8: (None, "allow")}
+
+
 @pytest.mark.parametrize("turn", [1, -1])
 def test_url_rules_that_conflict_are_judged_alike_both_ways(spark, monkeypatch, turn):
     urls = {1: "http://a.com/x", 2: "http://b.com/xy/z", 3: "http://c.com/q", 4: "http://d.com/xy", 5: "http://e.com", 6: None}
