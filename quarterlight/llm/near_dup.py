@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import hand_back, lookup, modest_batches, save, shielded, small, table
+from quarterlight.llm.common import hand_back, lookup, may_meet, modest_batches, save, shielded, small, table
 from quarterlight.llm.words import WordHash, alnum_words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -339,7 +339,7 @@ def _text_key() -> Column:
 
 
 def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> DataFrame:
-    """(doc_id, copy, class, class_id, n_copies, partner_id, similarity) of each row of docs (doc_id, text); null texts have no copy and no class."""
+    """(doc_id, copy, class, class_id, n_class, n_copies, partner_id, similarity) of each row of docs (doc_id, text); null texts have no copy and no class."""
     modest_batches(docs.sparkSession)
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("copy")), "copies")
     # one text stands for its copies, under a number that is saved
@@ -354,6 +354,7 @@ def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> Data
     members = save(keys.join(groups, "key"), "members")
     stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     wanted = save(firsts.select("copy", "id").join(members.select("id").distinct(), "id"), "wanted")
+    texts = may_meet(texts, "copy", wanted.select("copy")).filter("__open")
     texts = save(texts.join(small(wanted, wanted.count()), "copy").select("id", "text").dropDuplicates(["id"]), "texts")
     links = save(linked(stars, texts, similarity), "links")
     more = save(links_inside(members.select("key", "id"), signed, texts, classes(links), similarity, least_agreement), "links")
@@ -364,7 +365,7 @@ def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> Data
     partner = partner.groupBy("id").agg(F.min_by(F.struct("partner_id", "similarity"), F.struct(-F.col("similarity"), F.col("partner_id").isNull(), "partner_id")).alias("_p")).select("id", "_p.*")
     found = firsts.join(classes(links), "id", "left").join(partner, "id", "left").withColumn("class", F.coalesce("class", "id"))
     found = save(found.select("copy", "class", "least", "n_copies", "partner_id", "similarity"), "found")
-    named = save(found.groupBy("class").agg(F.min("least").alias("class_id")), "named")
+    named = save(found.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n_copies").alias("n_class")), "named")
     return lookup(rows, save(lookup(found, named, "class").drop("least"), "classed"), "copy")
 
 
@@ -393,18 +394,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     agree. Rows with null texts stay; empty and other texts without words go but for
     one of each exact text. Columns must be of types that can be hashed (no maps).
     """
-    plain, back = shielded(docs, ["__copy", "__kept", "__id", "__single"])
-    found = save(_classed(docs.select("doc_id", "text"), similarity, LEAST_AGREEMENT).filter("copy IS NOT NULL").select("doc_id", "copy", "class"), "rows")
-    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "copy")).alias("_k")).select("_k.doc_id", "_k.copy")
+    plain, back = shielded(docs, ["__copy", "__text", "__id", "__best", "__single", "__open", "__open_bucket", "__open_bits"])
+    # a row that is alone in its class stays: only the others are looked up
+    found = save(_classed(docs.select("doc_id", "text"), similarity, LEAST_AGREEMENT).filter("copy IS NOT NULL AND n_class > 1").select("doc_id", "copy", "class"), "rows")
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "copy")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.copy").alias("_copy"), F.lit(True).alias("_best"))
     times = found.groupBy("copy", "doc_id").agg((F.count("*") == 1).alias("__single"))
-    same = best["doc_id"].eqNullSafe(times["doc_id"]) & (best["copy"] == times["copy"])
-    kept = save(best.join(times, same).select(best["copy"].alias("__kept"), best["doc_id"].alias("__id"), "__single"), "kept")
-    keyed = plain.withColumn("__copy", _text_key())
-    met = keyed.join(small(kept, kept.count()), (F.col("__copy") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    judged = times.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
+    judged = save(judged.select(F.col("copy").alias("__text"), F.col("doc_id").alias("__id"), F.coalesce("_best", F.lit(False)).alias("__best"), "__single"), "judged")
+    keyed = may_meet(plain.withColumn("__copy", _text_key()), "__copy", found.select("copy"))
+    met = keyed.filter("__open").join(small(judged, judged.count()), (F.col("__copy") == F.col("__text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").filter("__best IS NULL OR __best")
     columns = [F.col(f"`{c}`") for c in plain.columns]
-    once = met.filter("__single").select(*columns)
+    once = met.filter("__single IS NULL OR __single").select(*columns)
     repeated = met.filter("NOT __single").groupBy("__copy", "__id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")).select("_r.*")
-    return once.unionByName(repeated).unionByName(plain.filter("text IS NULL")).withColumnsRenamed(back).select(*docs.columns)
+    return keyed.filter("NOT __open").select(*columns).unionByName(once).unionByName(repeated).withColumnsRenamed(back).select(*docs.columns)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -818,6 +818,46 @@ def test_near_duplicates_of_a_larger_table_against_brute_force(spark):
     assert got == plain_classes({i: near_dup.bag(t, hashes) for i, t in docs.items()}, docs)
 
 
+def shuffled_texts(df) -> int:
+    """Rows with a text that df's plan shuffled."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec" and "text#" in node.output().toString():
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_documents_alone_in_their_class_are_not_shuffled(spark, monkeypatch):
+    """Where the list of kept rows is too long to be broadcast."""
+    monkeypatch.setattr(near_dup, "small", lambda df, rows=None: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = [(i, shifted(40, i)) for i in range(300)] + [(1000 + i, shifted(40, i)) for i in range(10)] + [(2000, None), (2000, None), (5, shifted(40, 5)), (None, shifted(40, 6))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = [r.doc_id for r in kept.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == [*range(300), 2000, 2000]
+    assert shuffled_texts(kept) < 100
+
+
+def test_rows_that_a_join_may_meet(spark, monkeypatch):
+    for bits in (common.FILTER_BITS, 1 << 16, 7):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        df = spark.range(5000).select(F.when(F.col("id") % 100 != 3, F.col("id").cast("string")).alias("k"), "id")
+        got = {r.id: r["__open"] for r in common.may_meet(df, "k", df.filter("id % 10 = 0").select("k")).collect()}
+        assert len(got) == 5000 and all(got[i] for i in range(0, 5000, 10)) and not any(got[i] for i in range(3, 5000, 100))
+        assert bits == 7 or sum(got.values()) < 600
+    assert not any(r["__open"] for r in common.may_meet(df, "k", df.limit(0).select("k")).collect())
+
+
 # pipeline
 
 
