@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import chain
 
 import numpy as np
 
@@ -12,6 +13,17 @@ WIDTH = 64
 NAMES = ("x", "u", "wc", "bc", "ww", "bw")
 
 
+class Ranks(dict):
+    """Ranks of words; those that aren't known have the rank after the last."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.n = len(words)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.n
+
+
 class Vocabulary:
     """Ranks of the commonest words, their classes and counts.
 
@@ -22,7 +34,7 @@ class Vocabulary:
     """
 
     def __init__(self, words: list[bytes], counts: np.ndarray, rare: int, head: int, ranges: int):
-        self.rank = {w: i for i, w in enumerate(words)}
+        self.rank = Ranks(words)
         self.counts = counts.astype(float)
         self.n = len(words)
         self.head = min(head, self.n)
@@ -46,8 +58,7 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """Ranks of the words and the end; n for words of the last class."""
-        get, n = self.rank.get, self.n
-        return np.array([get(w, n) for w in words] + [0], np.int32)
+        return np.fromiter(chain(map(self.rank.__getitem__, words), (0,)), np.int32, len(words) + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,18 +137,16 @@ def _log_probabilities(p: dict, v: Vocabulary, states: np.ndarray, targets: np.n
 
 
 def _advance(u: np.ndarray, gates: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """As _step, for the state alone; gates is overwritten."""
+    """As _step, for the state alone, on arrays without gaps."""
     n = h.shape[1]
     hu = h @ u
-    rz = gates[:, : 2 * n]
-    rz += hu[:, : 2 * n]
+    rz = gates[:, : 2 * n] + hu[:, : 2 * n]
     np.negative(rz, out=rz)
     np.exp(rz, out=rz)  # inf where the gate is shut
     rz += 1
     np.reciprocal(rz, out=rz)
-    c, own = gates[:, 2 * n :], hu[:, 2 * n :]
-    own *= rz[:, :n]
-    c += own
+    c = rz[:, :n] * hu[:, 2 * n :]
+    c += gates[:, 2 * n :]
     np.tanh(c, out=c)
     out = h - c
     out *= rz[:, n:]
@@ -235,20 +244,21 @@ def train(p: dict, v: Vocabulary, ids: np.ndarray, lanes: int = 512, window: int
         before = y[-1]
         seen, fresh = v.seen_as[inputs].reshape(-1), (inputs != 0).astype(np.float32)[:, :, None]
         gates = p["x"][seen].reshape(length, lanes, 3 * n)
-        carried, states, hu_c = (np.empty((length, lanes, n), np.float32) for _ in range(3))
-        rz, cs = gates[:, :, : 2 * n], gates[:, :, 2 * n :]  # worked out in place
+        carried, states, hu_c, cs = (np.empty((length, lanes, n), np.float32) for _ in range(4))
+        rz = np.empty((length, lanes, 2 * n), np.float32)  # apart from gates, so that each step's is without gaps
         with np.errstate(over="ignore"):
             for t in range(length):
                 np.multiply(h, fresh[t], out=carried[t])
                 hu = carried[t] @ p["u"]
                 hu_c[t] = hu[:, 2 * n :]
                 now, c = rz[t], cs[t]
-                now += hu[:, : 2 * n]
+                np.add(gates[t, :, : 2 * n], hu[:, : 2 * n], out=now)
                 np.negative(now, out=now)
                 np.exp(now, out=now)
                 now += 1
                 np.reciprocal(now, out=now)
-                c += now[:, :n] * hu_c[t]
+                np.multiply(now[:, :n], hu_c[t], out=c)
+                c += gates[t, :, 2 * n :]
                 np.tanh(c, out=c)
                 h = states[t]
                 np.subtract(carried[t], c, out=h)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -182,7 +181,7 @@ def score_documents(docs: DataFrame, corpus: Corpus, params: bytes, key: str = "
             for text in batch.column(1):
                 found = space_words(text.as_py())
                 ids.append(v.encode(found))
-                others.append(list(compress(found, ids[-1][:-1] == v.n)))
+                others.append([found[i] for i in np.flatnonzero(ids[-1] == v.n).tolist()])
             n = np.array([len(x) for x in ids], np.int64)
             n_rare = np.array([len(x) for x in others], np.int64)
             score = gru.score(p, v, ids) / ln10 - n_rare * math.log10(rare_events)

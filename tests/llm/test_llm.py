@@ -668,6 +668,19 @@ def test_lm_probabilities_add_to_one():
         assert np.exp(gru.log_probabilities(p, v, np.repeat(s[None], v.n + 1, 0), every)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_unknown_words_are_the_last_class_and_not_remembered():
+    v = gru.Vocabulary([b"\n", b"a", b"b"], np.array([3, 2, 1]), 5, 2, 3)
+    assert v.encode([b"b", b"x", b"a", b"x"]).tolist() == [2, 3, 1, 3, 0] and v.encode([]).tolist() == [0]
+    assert v.encode([b"x"]).dtype == np.int32 and b"x" not in v.rank
+
+
+def test_lm_step_leaves_its_gates_as_they_were():
+    rng = np.random.default_rng(9)
+    u, gates, h = (rng.standard_normal(s).astype(np.float32) for s in ((8, 24), (5, 24), (5, 8)))
+    before = gates.copy()
+    assert np.allclose(gru._advance(u, gates, h), gru._step({"u": u}, before, h)[0], atol=1e-5) and (gates == before).all()
+
+
 def test_lm_state_is_carried_over_windows():
     words = [b"\n", *(f"w{i}".encode() for i in range(100))]
     v = gru.Vocabulary(words, np.arange(101, 0, -1), 5, 64, 3)
