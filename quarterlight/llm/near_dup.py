@@ -302,7 +302,9 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     centres = texts.select(F.col("id").alias("a"), F.col("text").alias("_x")).join(hot, "a", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
     with_a = dealt.join(centres, ["a", "_part"])
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_y")), "b")
-    return both.select("a", "b", alike("_x", "_y").alias("similarity")).filter(F.col("similarity") >= similarity)
+    # else Spark evaluates it in the filter and again for the column, by two workers a task
+    once = alike.asNondeterministic()
+    return both.select("a", "b", once("_x", "_y").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
 def classes(links: DataFrame, name: str = "classes") -> DataFrame:

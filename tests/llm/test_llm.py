@@ -204,6 +204,13 @@ def test_language_odd_rows(spark, odd, none, documents):
     assert {r.lang_pred for r in language_id.identify_languages(odd, {}).collect()} == {"und"}
 
 
+def test_language_starts_no_python_workers_to_learn(spark, sf_dir, monkeypatch):
+    docs = common.table(spark, sf_dir, "documents")
+    learned = language_id.learn_dictionaries(docs)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert learned and language_id.learn_dictionaries(docs) == learned
+
+
 def test_language_learns_from_distinct_texts(spark):
     rng = np.random.default_rng(2)
     say = lambda a, n: " ".join(f"{a}{i}" for i in rng.integers(0, 5000, n))
@@ -811,6 +818,13 @@ def shifted(words: int, seed: int, change: int = 0) -> str:
     return " ".join(out)
 
 
+def test_near_duplicates_are_compared_once(spark):
+    texts = spark.createDataFrame([(1, "a b c"), (2, "A b, c"), (3, "a b c d e f g")], "id long, text string")
+    found = near_dup.linked(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 1.0)]
+
+
 def test_unlike_texts_under_one_id_are_neither_lost_nor_left_unlinked(spark):
     a, a2, b, b2, c = shifted(200, 1), shifted(200, 1, 2), shifted(200, 2), shifted(200, 2, 2), shifted(50, 3)
     rows = [(1, a, "x"), (1, b, "x"), (2, a2, "y"), (3, b2, "z"), (7, c, "p"), (7, c, "q"), (7, c, "q"), (None, c, "r"), (None, shifted(60, 4), "r"), (5, None, "n"), (5, None, "n")]
