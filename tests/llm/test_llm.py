@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import html
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -715,6 +716,55 @@ def test_lm_training_learns_order():
     assert gru.score(gru.train(p, v, ids), v, [doc])[0] > gru.score(p, v, [doc])[0] + 10
 
 
+def plain_losses(p, v, rows):
+    """Mean loss of rows of ids that begin after an end, by the plain step in double precision."""
+    p, total = {k: x.astype(float) for k, x in p.items()}, 0.0
+    h, before = np.zeros((len(rows), len(p["u"]))), np.zeros(len(rows), int)
+    for y in rows.T:
+        h = gru._step(p, p["x"][v.seen_as[before]], h * (before != 0)[:, None])[0]
+        for lane, t in enumerate(y):
+            total -= gru._log_softmax((h[lane] @ p["wc"] + p["bc"])[None])[0, v.cls[t]]
+            if t < v.head:
+                total -= gru._log_softmax((h[lane] @ p["ww"][v.cls[t]] + p["bw"][v.cls[t]])[None])[0, t % gru.WIDTH]
+        before = y
+    return total / rows.size
+
+
+@pytest.mark.parametrize("high", [0, 200])
+def test_lm_first_step_goes_down_the_plain_gradient(monkeypatch, high):
+    monkeypatch.setattr(gru, "BLOCK", 5)
+    words = [b"\n", *(f"w{i}".encode() for i in range(100))]
+    v = gru.Vocabulary(words, np.arange(101, 0, -1), 5, 80, 3)
+    ids = np.random.default_rng(3).integers(0, 102, 16)
+    ids[[4, 9]] = 0
+    p = gru.start(v, 4)
+    p["bc"] += np.float32(high)  # 200 is beyond float32's exp, and changes no probability
+    squares = {k: np.ones_like(x) for k, x in p.items()}
+    trained = gru.train(p, v, ids, window=16, rate=1e-3, squares=squares)  # with squares of 1 a step is all but the gradient
+    losses = lambda q: plain_losses(q, v, ids[None])
+    rng, moved, wanted = np.random.default_rng(5), [], []
+    for k in gru.NAMES:
+        for i in rng.permutation(np.flatnonzero((trained[k] != p[k]).reshape(-1)))[:6]:
+            up, down = ({n: x.astype(float) for n, x in p.items()} for _ in range(2))
+            up[k].reshape(-1)[i] += 1e-5
+            down[k].reshape(-1)[i] -= 1e-5
+            moved.append((p[k] - trained[k]).reshape(-1)[i] / 1e-3)
+            wanted.append((losses(up) - losses(down)) / 2e-5)
+    assert np.corrcoef(moved, wanted)[0, 1] > 0.99 and np.dot(moved, wanted) == pytest.approx(np.dot(wanted, wanted), rel=0.05)
+
+
+def test_lm_logits_are_made_a_block_at_a_time():
+    words = [b"\n", *(f"w{i}".encode() for i in range(300))]
+    v = gru.Vocabulary(words, np.arange(301, 0, -1), 50, 128, 60)
+    rng = np.random.default_rng(0)
+    p, states, targets = gru.start(v, 8), rng.standard_normal((1 << 16, 8)).astype(np.float32), rng.integers(0, 302, 1 << 16)
+    tracemalloc.start()
+    gru.log_probabilities(p, v, states, targets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < states.shape[0] * v.classes * 4 / 2
+
+
 def test_lm_trains_on_the_tail_that_does_not_fill_the_lanes():
     words = [b"\n", *(f"w{i}".encode() for i in range(20))]
     ids = np.array(([1, 2, 3, 4, 5] * 6 + [0]) * 133)[:4097]  # two lanes and one id over
