@@ -6,6 +6,8 @@ import heapq
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words in a class of the head, which has a softmax of its own.
 WIDTH = 64
@@ -36,7 +38,7 @@ class Vocabulary:
     """
 
     def __init__(self, words: list[bytes], counts: np.ndarray, rare: int, head: int, ranges: int):
-        self.rank = Ranks(words)
+        self.rank, self.words = Ranks(words), pa.array(words, pa.binary())
         self.counts = counts.astype(float)
         self.n = len(words)
         self.head = min(head, self.n)
@@ -62,6 +64,14 @@ class Vocabulary:
         """Ranks of the words and the end; n for words of the last class."""
         return np.fromiter(chain(map(self.rank.__getitem__, words), (0,)), np.int32, len(words) + 1)
 
+    def encode_together(self, words: pa.Array, times: np.ndarray) -> np.ndarray:
+        """As encode, for the words of many documents one after the other, of which each has so many."""
+        ends = np.cumsum(times + 1)
+        out, inside = np.zeros(len(words) + len(times), np.int32), np.ones(len(words) + len(times), bool)
+        inside[ends - 1] = False
+        out[inside] = pc.fill_null(pc.index_in(words, value_set=self.words), self.n).to_numpy()
+        return out
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

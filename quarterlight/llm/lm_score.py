@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlight.llm import gru
 from quarterlight.llm.common import save, table
-from quarterlight.llm.words import space_words
+from quarterlight.llm.words import lots, space_words, space_words_together
 
 #: Words that tasks hold, those with a softmax of their own, ranges of rank of the others, and the state's size.
 LISTED, HEAD, RANGES, HIDDEN = 65_536, 2048, 31, 16
@@ -35,6 +36,8 @@ BARS = 64
 AVERAGED = 8
 #: Stands for a document's end; no word has a line end.
 END = b"\n"
+#: Bytes of text that a task splits and ranks at once.
+LOT = 4 << 20
 #: Words that a task counts before it sends them on.
 COUNTED = 300_000
 
@@ -136,8 +139,8 @@ def train(texts: DataFrame, corpus: Corpus) -> bytes:
             squares: dict[str, np.ndarray] = {}
             ids, held, tokens = [], 0, 0
             for batch in batches:
-                for text in batch.column(0):
-                    ids.append(v.encode(space_words(text.as_py())))
+                for lot in lots(batch.column(0), LOT):
+                    ids.append(v.encode_together(*space_words_together(lot)))
                     held += len(ids[-1])
                     if held >= TRAINED:
                         params = gru.train(params, v, np.concatenate(ids), rate=RATE, squares=squares)
@@ -178,16 +181,20 @@ def score_documents(docs: DataFrame, corpus: Corpus, params: bytes, key: str = "
         known = np.append(numbers > 0, False)
         for batch in batches:
             ids, others = [], []
-            for text in batch.column(1):
-                found = space_words(text.as_py())
-                ids.append(v.encode(found))
-                others.append([found[i] for i in np.flatnonzero(ids[-1] == v.n).tolist()])
+            for lot in lots(batch.column(1), LOT):
+                found, times = space_words_together(lot)
+                together = v.encode_together(found, times)
+                rare_too = np.append(0, np.cumsum(together == v.n, dtype=np.int32))
+                ends = np.cumsum(times + 1)
+                ids += np.split(together, ends[:-1])
+                others.append(pa.ListArray.from_arrays(pa.array(rare_too[np.append(0, ends)]), found.filter(pa.array(np.delete(together, ends - 1) == v.n))))
+            others = pa.concat_arrays(others) if others else pa.array([], pa.list_(pa.binary()))
             n = np.array([len(x) for x in ids], np.int64)
-            n_rare = np.array([len(x) for x in others], np.int64)
+            n_rare = pc.list_value_length(others).to_numpy().astype(np.int64)
             score = gru.score(p, v, ids) / ln10 - n_rare * math.log10(rare_events)
             base, n_known = (np.array([x[i].sum() for i in ids], t) for x, t in ((logs, np.float64), (known, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n, n_known, base, score)), pa.array(others, pa.list_(pa.binary()))],
+                [batch.column(0), *map(pa.array, (n, n_known, base, score)), others],
                 names=[key, "n_tokens", "n_known", "base_score", "score", "others"],
             )
 

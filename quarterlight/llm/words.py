@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _LOWER = bytes(range(65, 91))
@@ -23,6 +28,24 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_UPPER_TO_LOWER).split() if text else []
 
 
+def lots(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """texts, cut where about `most` bytes are together; one text may have more."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for low, high in zip(edges, edges[1:]):
+        if low < high:
+            yield texts.slice(low, high - low)
+
+
+def space_words_together(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What space_words gives for each of the texts: all words one after the other, as bytes, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    there = pc.binary_length(words).to_numpy() > 0  # white space at either end gives an empty one
+    upto = np.append(0, np.cumsum(there))
+    return words.filter(pa.array(there)).cast(pa.binary()), np.diff(upto[offsets])
+
+
 class WordHash(dict):
     """64-bit hash of a word, remembered for up to `most` words at a time."""
 

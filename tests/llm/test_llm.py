@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quarterlight.llm import common, decontaminate, gru, html_text, language_id, lm_score, mixing, near_dup, nearest, token_files, url_filter, warc
 from quarterlight.llm.queries import QUERIES
-from quarterlight.llm.words import WordHash, alnum_words, space_words
+from quarterlight.llm.words import WordHash, alnum_words, lots, space_words, space_words_together
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
@@ -682,6 +682,24 @@ def test_lm_unknown_words_are_the_last_class_and_not_remembered():
     assert v.encode([b"x"]).dtype == np.int32 and b"x" not in v.rank
 
 
+def test_lm_words_of_many_texts_are_those_of_each():
+    every = "".join(chr(c) for c in range(256) if c not in range(0xD800, 0xE000))
+    texts = [None, "", " ", "\x0b a\tB\r\n ", every, "\u0085x\u00a0y\u2003z \u1c80 \x1c \x1f\x00 ÀÉ é İ", "a b " * 50, "x"] * 3
+    v = gru.Vocabulary([b"\n", b"a", b"b", "é".encode()], np.array([3, 2, 1, 1]), 5, 2, 3)
+    for kind in (pa.string(), pa.large_string()):
+        for most in (1, 60, 1 << 20):
+            given = pa.array(["skipped", *texts], kind).slice(1)
+            cut = list(lots(given, most))
+            assert [x for lot in cut for x in lot.to_pylist()] == texts and (most > 1 << 19) == (len(cut) == 1)
+            at = iter(texts)
+            for lot in cut:
+                found, times = space_words_together(lot)
+                own = [space_words(next(at)) for _ in range(len(lot))]
+                assert found.to_pylist() == [w for x in own for w in x] and times.tolist() == [len(x) for x in own]
+                assert v.encode_together(found, times).tolist() == [i for x in own for i in v.encode(x).tolist()]
+    assert list(lots(pa.array([], pa.string()), 5)) == []
+
+
 def test_lm_step_leaves_its_gates_as_they_were():
     rng = np.random.default_rng(9)
     u, gates, h = (rng.standard_normal(s).astype(np.float32) for s in ((8, 24), (5, 24), (5, 8)))
