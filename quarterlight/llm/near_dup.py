@@ -363,12 +363,12 @@ def _classed(docs: DataFrame, similarity: float, least_agreement: float) -> Data
     links = links.unionByName(more)
     # of the links that were found the nearest, of equal ones that to the smallest id
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
-    partner = lookup(ends, firsts.select(F.col("id").alias("other"), F.col("least").alias("partner_id")), "other")
+    partner = lookup(ends, firsts.select(F.col("id").alias("other"), F.col("least").alias("partner_id")), "other", saved=True)
     partner = partner.groupBy("id").agg(F.min_by(F.struct("partner_id", "similarity"), F.struct(-F.col("similarity"), F.col("partner_id").isNull(), "partner_id")).alias("_p")).select("id", "_p.*")
     found = firsts.join(classes(links), "id", "left").join(partner, "id", "left").withColumn("class", F.coalesce("class", "id"))
     found = save(found.select("copy", "class", "least", "n_copies", "partner_id", "similarity"), "found")
     named = save(found.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n_copies").alias("n_class")), "named")
-    return lookup(rows, save(lookup(found, named, "class").drop("least"), "classed"), "copy")
+    return lookup(rows, save(lookup(found, named, "class", saved=True).drop("least"), "classed"), "copy", saved=True)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -403,12 +403,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     times = found.groupBy("copy", "doc_id").agg((F.count("*") == 1).alias("__single"))
     judged = times.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
     judged = save(judged.select(F.col("copy").alias("__text"), F.col("doc_id").alias("__id"), F.coalesce("_best", F.lit(False)).alias("__best"), "__single"), "judged")
-    keyed = may_meet(plain.withColumn("__copy", _text_key()), "__copy", found.select("copy"))
-    met = keyed.filter("__open").join(small(judged, judged.count()), (F.col("__copy") == F.col("__text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").filter("__best IS NULL OR __best")
+    n, repeats = judged.agg(F.count("*"), F.count_if(F.col("__best") & ~F.col("__single"))).first()
     columns = [F.col(f"`{c}`") for c in plain.columns]
-    once = met.filter("__single IS NULL OR __single").select(*columns)
-    repeated = met.filter("NOT __single").groupBy("__copy", "__id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")).select("_r.*")
-    return keyed.filter("NOT __open").select(*columns).unionByName(once).unionByName(repeated).withColumnsRenamed(back).select(*docs.columns)
+    keyed, listed, alone = plain.withColumn("__copy", _text_key()), small(judged, n), None
+    if listed is judged:  # too many to be broadcast: rows that are surely not among them stay where they are
+        keyed = may_meet(keyed, "__copy", found.select("copy"))
+        keyed, alone = keyed.filter("__open"), keyed.filter("NOT __open").select(*columns)
+    met = keyed.join(listed, (F.col("__copy") == F.col("__text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").filter("__best IS NULL OR __best")
+    kept = met.filter("__single IS NULL OR __single").select(*columns)
+    if alone is not None:
+        kept = alone.unionByName(kept)
+    if repeats:  # a row of each text that its id has several times
+        kept = kept.unionByName(met.filter("NOT __single").groupBy("__copy", "__id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")).select("_r.*"))
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

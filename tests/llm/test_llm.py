@@ -943,6 +943,30 @@ def test_documents_alone_in_their_class_are_not_shuffled(spark, monkeypatch):
     assert shuffled_texts(kept) < 100
 
 
+def test_documents_are_kept_in_one_pass_where_the_others_are_broadcast(spark, tmp_path, monkeypatch):
+    """Each file that is written starts processes on a machine without Hadoop's native library, so tables that nothing needs aren't written."""
+    written = []
+    for module in (common, near_dup):
+        monkeypatch.setattr(module, "save", lambda df, name, save=common.save: (written.append(name), save(df, name))[1])
+    rows = [(i, shifted(40, i % 60)) for i in range(70)] + [(100, shifted(200, 1)), (101, shifted(200, 1, 2)), (102, None), (102, None), (None, shifted(40, 3))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    kept = near_dup.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+    assert not {"met", "loud"} & set(written)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/docs") == 1 and "Union" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 100, 102, 102]
+
+
+def test_lookup_of_few_and_of_many_rows_a_key(spark):
+    left = spark.createDataFrame([(i, k) for i, k in enumerate("aaabbc")] + [(6, None), (7, "z")], "id long, k string")
+    right = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v long")
+    want = [(0, "a", 1), (1, "a", 1), (2, "a", 1), (3, "b", None), (4, "b", None), (5, "c", 3), (6, None, None), (7, "z", None)]
+    for hot in (1, 2, 3):
+        for saved in (False, True):
+            found = common.lookup(left, right, "k", hot, saved)
+            assert found.columns == ["k", "id", "v"] and sorted(tuple(r) for r in found.select("id", "k", "v").collect()) == want
+
+
 def test_rows_that_a_join_may_meet(spark, monkeypatch):
     for bits in (common.FILTER_BITS, 1 << 16, 7):
         monkeypatch.setattr(common, "FILTER_BITS", bits)
