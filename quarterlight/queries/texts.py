@@ -106,7 +106,7 @@ def _decoded(column: str) -> str:
 d AS (SELECT page_id, {_decoded('t')} AS t, {_decoded("regexp_replace(b, '<[^>]+>', ' ', 'g')")} AS b FROM p)
 SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS title, md5(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS text_md5, NULL::VARCHAR AS published FROM d""")
 def _(spark, sf_dir):
-    return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id").select("page_id", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), "published")
+    return page_ops.extract_documents(table(spark, sf_dir, "pages"), "page_id", parser="document_closed").select("page_id", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), "published")
 
 
 @query("parser_registry", r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS t FROM pages),
