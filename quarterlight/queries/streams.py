@@ -100,9 +100,10 @@ def _(spark, sf_dir):
     record_archive.register(spark)
     out, check = scratch_path(spark, "records"), scratch_path(spark, "checkpoint")
     requests = stream.counterfactual_requests(stream.normalize(watched(spark, sf_dir)), ["energy_risk", "geo"])
-    writer = requests.writeStream.format("record_archive").option("path", out).option("key", "event_id").option("checkpointLocation", check)
+    writer = requests.writeStream.format("record_archive").option("path", out).option("key", "event_id").option("buckets", 256).option("checkpointLocation", check)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id string, quarter string, max_rounds int").json(out)
+    records = spark.read.format("record_archive").option("buckets", 256).load(out)
+    return records.select(F.from_json("value", "event_id string, quarter string, max_rounds int").alias("r")).select("r.*")
 
 
 @query("run_counter", "SELECT count(*)::BIGINT AS runs, count(*)::BIGINT AS names FROM events")

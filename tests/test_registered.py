@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 
 from quarterlight.functions import registered
 from quarterlight.functions.fixed_values import REWARD_WEIGHTS
@@ -73,3 +75,33 @@ def test_a_streams_replay_leaves_no_second_record(spark, tmp_path):
         writer = spark.readStream.schema(schema).json(source).writeStream.format("record_archive").option("path", path).option("checkpointLocation", f"{tmp_path}/{check}")
         writer.trigger(availableNow=True).start().awaitTermination()
     assert sorted(f for f in os.listdir(path) if not f.startswith("_")) == ["a.json", "b.json"]
+
+
+def test_records_in_folders_are_read_by_tasks(spark, tmp_path):
+    """Records lie in folders by a hash of their names; tasks list them, so the driver plans a partition for some folders, not one for some files."""
+    archive.register(spark)
+    for buckets in (0, 20):
+        path = f"{tmp_path}/records{buckets}"
+        write = lambda rows: spark.createDataFrame(rows, "event_id string, n int").coalesce(1).write.format("record_archive").option("buckets", buckets).mode("append").save(path)  # noqa: E731, B023
+        write([(f"a/{i}", i) for i in range(50)])
+        # of equal keys the last holds
+        write([("a/7", 70), *((f"b{i}", i) for i in range(8)), ("a/7", 77)])
+        write([])
+        found = [os.path.relpath(os.path.join(at, f), path) for at, _, names in os.walk(path) for f in names]
+        assert len(found) == 58 and os.listdir(f"{path}/_pending") == [] and all(f.count("/") == (buckets > 0) for f in found)
+        read = spark.read.format("record_archive").option("buckets", buckets).load(path)
+        assert read.rdd.getNumPartitions() == (3 if buckets else 1)
+        rows = [json.loads(r.value) for r in read.collect()]
+        assert {r["event_id"]: r["n"] for r in rows} == {**{f"a/{i}": i for i in range(50)}, **{f"b{i}": i for i in range(8)}, "a/7": 77} and len(rows) == 58
+
+
+def test_a_commit_holds_the_names_of_a_lot(tmp_path, monkeypatch):
+    held = []
+    pool = archive.ThreadPoolExecutor
+    monkeypatch.setattr(archive, "LOT", 10, raising=False)
+    monkeypatch.setattr(archive, "ThreadPoolExecutor", lambda n: type("Pool", (pool,), {"map": lambda self, f, names: (held.append(len(names)), pool.map(self, f, names))[1]})(n))
+    writer = archive._StreamWriter({"path": f"{tmp_path}/records"})
+    writer.commit([writer.write(Row(event_id=str(i % 95), i=i) for i in range(97)), None], 0)
+    assert sorted(os.listdir(f"{tmp_path}/records")) == sorted([*(f"{i}.json" for i in range(95)), "_pending"])
+    assert held == [10] * 9 + [7]
+    assert [json.loads(open(f"{tmp_path}/records/{i}.json").read())["i"] for i in (0, 1, 2)] == [95, 96, 2]
