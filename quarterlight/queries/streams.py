@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarterlight.functions.text import text_hash
 from quarterlight.queries.registry import query, table
-from quarterlight.scratch import scratch_path
+from quarterlight.scratch import scratch_path, stored
 from quarterlight.sources import archive as record_archive
 from quarterlight.streaming import events as stream
 
@@ -149,7 +149,8 @@ def _(spark, sf_dir):
     path, out, check = (scratch_path(spark, n) for n in ("watched", "archive", "checkpoint"))
     columns = [c for c in rows.columns if c != "event_type"]
     over = rows.agg(F.max("as_of").alias("as_of")).select(F.lit(None).cast("long").alias("entity"), F.lit(None).cast("string").alias("event_id"), (F.col("as_of") + F.expr("interval 61 days")).alias("as_of"), *[F.lit(None).cast("double").alias(c) for c in ("hike", "hold", "cut")])
-    features = latest_features(spark, sf_dir)
+    # written once, as every batch of the stream reads them again
+    features = stored(stream.latest(latest_features(spark, sf_dir)), "features")
     for arrival in (rows.filter("event_type IN ('error', 'view')"), rows.filter("event_type NOT IN ('error', 'view')"), over):
         arrival.select(*columns).write.mode("append").parquet(path)
         source = spark.readStream.schema(over.schema).parquet(path)

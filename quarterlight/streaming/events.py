@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,46 +88,56 @@ def evidence(ect: Column, hawkish: Column, energy: Column) -> Column:
 PREDICTION = "entity long, event_id string, as_of timestamp, hike double, hold double, cut double, carried boolean"
 # Prediction before any is known.
 PRIOR = (0.20, 0.65, 0.15)
+# Most events of an entry of the state.
+LOT = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _InOrder(StatefulProcessor):
-    """Holds an entity's events until the watermark has passed their time, then lets them through by time and id, each with its own or the last prediction."""
+    """Holds an entity's events until the watermark has passed their time, then lets them through by time and id, each with its own or the last prediction.
+
+    Each call to the state is a message to the JVM, so they are few for an entity
+    and batch, whatever its events: what arrives together is one entry of arrays, and
+    one timer, that of the earliest event, stands for all.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_id string, at long, hike double, hold double, cut double")
-        self.last = handle.getValueState("last", "hike double, hold double, cut double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            pdf = pdf[pdf["event_id"].notna()]  # a row without an event only tells the time
-            at = pdf["as_of"].astype("datetime64[us]").astype("int64")
-            for row in zip(pdf["event_id"], at, pdf["hike"], pdf["hold"], pdf["cut"]):
-                self.waiting.appendValue((row[0], int(row[1]), *(None if pd.isna(x) else float(x) for x in row[2:])))
-            for ms in sorted({int(t) // 1000 for t in at}):
-                self.handle.registerTimer(ms)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.waiting = handle.getListState("waiting", "event_id array<string>, at array<long>, hike array<double>, hold array<double>, cut array<double>")
+        self.last = handle.getValueState("last", "hike double, hold double, cut double, due long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        first = None
+        events = ((r.event_id, r.at, r.hike, r.hold, r.cut) for r in rows if r.event_id is not None)  # a row without an event only tells the time
+        while lot := list(islice(events, LOT)):
+            self.waiting.appendValue(tuple(map(list, zip(*lot))))
+            earliest = min(x[1] for x in lot) // 1000
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            *last, due = self.last.get() or (*PRIOR, None)
+            if due is None or first < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(first)
+                self.last.update((*last, first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(x) for x in self.waiting.get()]
-        ready = sorted((x for x in waiting if x[1] // 1000 <= now), key=lambda x: (x[1], x[0]))
-        if not ready:
-            yield pd.DataFrame()
-            return
+        waiting = [x for lot in self.waiting.get() for x in zip(*lot)]
         rest = [x for x in waiting if x[1] // 1000 > now]
+        due = min((x[1] // 1000 for x in rest), default=None)
+        *last, _ = self.last.get() or (*PRIOR, None)
+        for event_id, at, *own in sorted((x for x in waiting if x[1] // 1000 <= now), key=lambda x: (x[1], x[0])):
+            carried = any(x is None or x != x for x in own)
+            last = last if carried else own
+            yield Row(entity=key[0], event_id=event_id, at=at, hike=last[0], hold=last[1], cut=last[2], carried=carried)
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put([tuple(map(list, zip(*rest[i : i + LOT]))) for i in range(0, len(rest), LOT)])
+            self.handle.registerTimer(due)
         else:
             self.waiting.clear()
-        last, out = tuple(self.last.get()) if self.last.exists() else PRIOR, []
-        for event_id, at, *own in ready:
-            carried = None in own
-            last = last if carried else tuple(own)
-            out.append((key[0], event_id, pd.Timestamp(at, unit="us"), *last, carried))
-        self.last.update(last)
-        yield pd.DataFrame(out, columns=["entity", "event_id", "as_of", "hike", "hold", "cut", "carried"])
+        self.last.update((*last, due))
 
     def close(self) -> None:
         pass
@@ -142,8 +153,14 @@ def rolling_predictions(events: DataFrame, watermark: str = "2 days") -> DataFra
     kept by RocksDB.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = events.filter("as_of IS NOT NULL").select("entity", "event_id", "as_of", "hike", "hold", "cut").withWatermark("as_of", watermark)
-    return timed.groupBy("entity").transformWithStateInPandas(statefulProcessor=_InOrder(), outputStructType=PREDICTION, outputMode="Append", timeMode="EventTime")
+    timed = events.filter("as_of IS NOT NULL").select("entity", "event_id", "as_of", F.unix_micros("as_of").alias("at"), "hike", "hold", "cut").withWatermark("as_of", watermark)
+    out = timed.groupBy("entity").transformWithState(statefulProcessor=_InOrder(), outputStructType=PREDICTION.replace("as_of timestamp", "at long"), outputMode="Append", timeMode="EventTime")
+    return out.select("entity", "event_id", F.timestamp_micros("at").alias("as_of"), "hike", "hold", "cut", "carried")
+
+
+def latest(features: DataFrame) -> DataFrame:
+    """Each entity's latest row of features (entity, at and others)."""
+    return features.groupBy("entity").agg(F.max_by(F.struct("*"), "at").alias("_f")).select("_f.*")
 
 
 def handled(predictions: DataFrame, features: DataFrame, signals: Sequence[str], fresh_hours: int = 24, top: int = 5) -> DataFrame:
@@ -154,8 +171,7 @@ def handled(predictions: DataFrame, features: DataFrame, signals: Sequence[str],
     signals, isn't fresh, and its evidence is the fallback. Top signals are the
     largest by size, equal ones by name; nulls don't count.
     """
-    latest = features.groupBy("entity").agg(F.max_by(F.struct("*"), "at").alias("_f")).select("entity", F.col("_f").alias("latest"))
-    joined = predictions.join(latest, "entity", "left")
+    joined = predictions.join(latest(features).select("entity", F.struct("*").alias("latest")), "entity", "left")
     of = lambda c: F.coalesce(F.col(f"latest.{c}"), F.lit(0.0))
     age = F.unix_micros("as_of") - F.unix_micros("latest.at")
     known = F.filter(F.array(*[F.struct(F.col(f"latest.{c}").cast("double").alias("value"), F.lit(c).alias("name")) for c in signals]), lambda x: x["value"].isNotNull())

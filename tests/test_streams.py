@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import Row
 
 from quarterlight.streaming import events as stream
 
@@ -77,3 +78,59 @@ def test_rows_without_entity_or_time(spark, tmp_path, missing):
     after = run(spark, tmp_path, [[row, event(2, "b", 1)], [(None, None, at(500), None, None, None)]], "1 hour")
     assert after[1]["b"] == (2, 0.2, True)
     assert (after[1].get("a") == (None, 0.4, False)) == (missing == "entity")
+
+
+class Told:
+    """A state of one entity that counts the messages to it."""
+
+    def __init__(self):
+        self.calls, self.lists, self.value, self.timers = 0, [], None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("getListState", "getValueState"):
+                return View(self, name)
+            return {"registerTimer": self.timers.add, "deleteTimer": self.timers.remove}[name](*args)
+
+        return call
+
+
+class View:
+    def __init__(self, told, kind):
+        self.told, self.kind = told, kind
+
+    def __getattr__(self, name):
+        def call(*args):
+            t = self.told
+            t.calls += 1
+            if self.kind == "getValueState":
+                if name == "update":
+                    t.value = args[0]
+                return t.value
+            if name == "appendValue":
+                t.lists.append(args[0])
+            elif name in ("put", "clear"):
+                t.lists = list(args[0]) if args else []
+            return iter(list(t.lists))
+
+        return call
+
+
+def test_messages_to_the_state_dont_grow_with_the_events(monkeypatch):
+    """Two arrivals of an entity, and the watermark passing in two steps: one timer at a time, and all events let through by time and id."""
+    told, processor = Told(), stream._InOrder()
+    processor.init(told)
+    arrive = lambda ids: processor.handleInputRows((1,), iter([Row(event_id=f"{i:04d}", at=i * 1_000_000, hike=0.1 if i % 10 == 0 else None, hold=0.5, cut=float("nan") if i % 20 == 0 else 0.2) for i in ids]), None)
+    out, told.calls = [], 0
+    for ids in (range(500, 1000), range(0, 500)):
+        out += arrive(ids)
+        assert len(told.timers) == 1
+    assert told.timers == {0} and told.calls <= 10 and not out
+    for watermark in (700_500, 10**9):
+        due = min(told.timers)
+        out += processor.handleExpiredTimer((1,), type("Now", (), {"getCurrentWatermarkInMs": lambda self, w=watermark: w})(), None)
+        told.timers.discard(due)
+        assert told.timers == ({701_000} if watermark == 700_500 else set())
+    assert [r.event_id for r in out] == [f"{i:04d}" for i in range(1000)] and told.lists == [] and told.calls <= 20
+    assert [r.carried for r in out] == [i % 20 != 10 for i in range(1000)] and [r.hike for r in out[:11]] == [0.2] * 10 + [0.1]
