@@ -132,8 +132,9 @@ sg AS (SELECT entity, string_agg(name, ',' ORDER BY k) AS top FROM (SELECT entit
 def latest_features(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'view' AND user_id % 7 > 0")
     even = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 13) / 13.0 - 0.5)
-    rows = e.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50 - 1).alias("ect"), ((F.col("event_id") % 10) / 10.0).alias("hawkish"), ((F.col("user_id") % 5) / 10.0).alias("energy"), even.alias("other"))
-    return rows.groupBy("entity", "at").agg(F.max_by(F.struct("ect", "hawkish", "energy", "other"), "ect").alias("_r")).select("entity", "at", "_r.*")
+    rows = e.select("event_id", F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") / 50 - 1).alias("ect"), ((F.col("event_id") % 10) / 10.0).alias("hawkish"), ((F.col("user_id") % 5) / 10.0).alias("energy"), even.alias("other"))
+    # of equal times and ect the first event's, which the SQL leaves open
+    return rows.groupBy("entity", "at").agg(F.max_by(F.struct("ect", "hawkish", "energy", "other"), F.struct(F.col("ect"), -F.col("event_id"))).alias("_r")).select("entity", "at", "_r.*")
 
 
 @query("rolling_prediction", f"""WITH {PRED}, {FEATURES}, a AS (SELECT event_id, date_trunc('second', ts) AS as_of FROM events)

@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import Row
 
+from quarterlight.queries.streams import latest_features
 from quarterlight.streaming import events as stream
 
 EVENT = "entity long, event_id string, as_of timestamp, hike double, hold double, cut double"
@@ -134,3 +135,10 @@ def test_messages_to_the_state_dont_grow_with_the_events(monkeypatch):
         assert told.timers == ({701_000} if watermark == 700_500 else set())
     assert [r.event_id for r in out] == [f"{i:04d}" for i in range(1000)] and told.lists == [] and told.calls <= 20
     assert [r.carried for r in out] == [i % 20 != 10 for i in range(1000)] and [r.hike for r in out[:11]] == [0.2] * 10 + [0.1]
+
+
+def test_tied_features_are_the_first_events(spark, tmp_path):
+    rows = [(i, datetime.datetime(2024, 1, 5), 1, "view", 60.0) for i in (38, 4, 12, 26, 8)] + [(2, datetime.datetime(2024, 1, 4), 1, "view", 70.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = stream.latest(latest_features(spark, str(tmp_path))).collect()
+    assert [(r.entity, r.hawkish, r.other) for r in got] == [(1, 0.4, pytest.approx(4 / 13 - 0.5))]
